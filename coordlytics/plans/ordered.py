@@ -283,6 +283,7 @@ def _batches_to_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _runner(fold, n_keys, schema, entries=None, continuing=frozenset()):
     arrow_schema = to_arrow_schema(schema)
+    stop = n_keys + len(fold.inputs)
 
     def run(batches):
         out: list[tuple] = []
@@ -314,7 +315,7 @@ def _runner(fold, n_keys, schema, entries=None, continuing=frozenset()):
                         state = fold.start()
                 if entries is not None:
                     block = row[-1]
-                state = fold.step(state, row[n_keys:], emit)
+                state = fold.step(state, row[n_keys:stop], emit)
             if len(out) >= 10_000:
                 yield flush()
         close()
@@ -330,6 +331,8 @@ _EDGE_SCHEMA = "block int, first_key string, last_key string, exit_state binary"
 def _edges(fold, n_keys, entries):
     """Per block: its first and last key, and the state its last key leaves with."""
 
+    stop = n_keys + len(fold.inputs)
+
     def run(batches):
         first, key, state, block = None, None, None, None
         for row in _batches_to_rows(batches):
@@ -340,7 +343,7 @@ def _edges(fold, n_keys, entries):
                 state = pickle.loads(entries[block]) if entering else fold.start()
                 first = row_key if first is None else first
                 key = row_key
-            state = fold.step(state, row[n_keys:], _ignore)
+            state = fold.step(state, row[n_keys:stop], _ignore)
         if key is not None:
             values = [[block], [repr(first)], [repr(key)], [pickle.dumps(state)]]
             types = [pa.int32(), pa.string(), pa.string(), pa.binary()]
