@@ -63,6 +63,13 @@ class LeaseFold(Fold):
     def start(self):
         return (None, {}, None)
 
+    def due(self, state):
+        return None if state[0] is None else state[0][3]
+
+    def expire(self, state, now, emit):
+        held, queues, ttl = state
+        return (self._expire(held, queues, ttl, now, emit), queues, ttl)
+
     @staticmethod
     def _grant(queues, at, ttl):
         waiting = [p for p, (came, served) in queues.items() if came > served]

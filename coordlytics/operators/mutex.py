@@ -40,18 +40,23 @@ class MutexFold(Fold):
         "status": fields("holder string,locked_at long,expires_at long"),
     }
 
-    def __init__(self, emits: str, as_of_us: int | None = None):
-        self.emits, self.as_of_us = emits, as_of_us
+    def __init__(self, emits: str, as_of_us: int | None = None, announce: bool = False):
+        self.emits, self.as_of_us, self.announce = emits, as_of_us, announce
         self.output = self.schemas[emits]
 
     def start(self):
         return None
 
+    def due(self, state):
+        return None if state is None else state[2]
+
     def _ended(self, state, at, reason, emit):
         if self.emits == "tenures":
             emit((state[0], state[1], at, state[2], reason))
+        elif self.announce and reason == "ttl":
+            emit((None, at, "expire", state[0], True, "expired", None, state[1], state[2]))
 
-    def _expire(self, state, now, emit):
+    def expire(self, state, now, emit):
         """A lock is alive at the instant it expires and gone right after it."""
         if state is not None and state[2] is not None and state[2] < now:
             self._ended(state, state[2], "ttl", emit)
@@ -60,7 +65,7 @@ class MutexFold(Fold):
 
     def step(self, state, row, emit):
         op, holder, ts, ttl, seq = row
-        state = self._expire(state, ts, emit)
+        state = self.expire(state, ts, emit)
         blocked_by, before = None, state
         if op == "lock":
             if state is None:
@@ -82,7 +87,7 @@ class MutexFold(Fold):
 
     def finish(self, state, emit):
         if self.as_of_us is not None:
-            state = self._expire(state, self.as_of_us, emit)
+            state = self.expire(state, self.as_of_us, emit)
         if self.emits == "tenures" and state is not None:
             self._ended(state, None, "open", emit)
         if self.emits == "status":

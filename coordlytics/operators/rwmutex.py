@@ -27,8 +27,8 @@ class RWMutexFold(Fold):
         "status": fields("writer string,readers string,locked_at long,expires_at long"),
     }
 
-    def __init__(self, emits: str, as_of_us: int | None = None):
-        self.emits, self.as_of_us = emits, as_of_us
+    def __init__(self, emits: str, as_of_us: int | None = None, announce: bool = False):
+        self.emits, self.as_of_us, self.announce = emits, as_of_us, announce
         self.output = self.schemas[emits]
 
     def start(self):
@@ -42,17 +42,22 @@ class RWMutexFold(Fold):
         if self.emits == "levels":
             emit((ts, len(lock[1]), lock[0]))
 
-    def _expire(self, state, now, emit):
+    def due(self, state):
+        return state[0][3]
+
+    def expire(self, state, now, emit):
         lock, session = state
         if lock[3] is not None and lock[3] < now:
             self._close(session, lock[3], "ttl", emit)
             self._level(lock[3], FREE, emit)
+            if self.announce:
+                emit((None, lock[3], "expire", lock[0], True, "expired", 0, None, None))
             return (FREE, None)
         return state
 
     def step(self, state, row, emit):
         op, holder, ts, ttl, seq = row
-        lock, session = self._expire(state, ts, emit)
+        lock, session = self.expire(state, ts, emit)
         writer, readers, locked_at, expires_at = lock
         ok = True
         if op == "rlock":
@@ -89,7 +94,7 @@ class RWMutexFold(Fold):
 
     def finish(self, state, emit):
         if self.as_of_us is not None:
-            state = self._expire(state, self.as_of_us, emit)
+            state = self.expire(state, self.as_of_us, emit)
         lock, session = state
         self._close(session, None, "open", emit)
         if self.emits == "status":

@@ -9,23 +9,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from coordlytics.sources.specs import read_events, read_specs
+from coordlytics.sources.specs import SPEC_SCHEMAS, read_events, read_specs, typed
 
 ORDER_AS_OF = "1998-06-01 00:00:00"
 EVENT_AS_OF = "2024-01-15 00:00:00"
+EVENT_FILE = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 class Tables:
     """Canonical tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, streaming: bool = False):
+        self.spark, self.folder, self.streaming = spark, folder.rstrip("/"), streaming
+
+    def as_streams(self) -> Tables:
+        """The same tables, read as streams of files."""
+        return Tables(self.spark, self.folder, streaming=True)
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        path = f"{self.folder}/{table}.parquet"
+        if not self.streaming:
+            return self.spark.read.parquet(path)
+        schema = self.spark.read.parquet(path).schema
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+        return reader.parquet(self.folder)
 
     def spec(self, table: str, kind: str, mapping: dict) -> DataFrame:
         mapping = {"ns": "'default'", **mapping}
+        if self.streaming:
+            return typed(self.raw(table), SPEC_SCHEMAS[kind], mapping)
         return read_specs(self.spark, f"{self.folder}/{table}.parquet", kind, mapping)
 
     def barriers(self) -> DataFrame:
@@ -93,6 +105,9 @@ class Tables:
     def events(self, **columns: str) -> DataFrame:
         """The event log, keyed by user unless ``columns`` says otherwise."""
         mapping = {"ns": "'default'", "name": "user_id", "ts": "ts", "seq": "event_id", **columns}
+        if self.streaming:
+            return read_events(
+                self.spark, self.folder, mapping, stream=True, source_schema=EVENT_FILE, file_glob="events.parquet")
         return read_events(self.spark, f"{self.folder}/events.parquet", mapping)
 
     def lease_log(self) -> DataFrame:
@@ -105,6 +120,16 @@ class Tables:
     def heartbeats(self) -> DataFrame:
         return self.events(kind="'lease'", holder="event_type", op="'renew'", ttl="make_dt_interval(0, 6)")
 
+    def barrier_log(self) -> DataFrame:
+        """Barriers being created and holders arriving, in one log."""
+        created = self.barriers().selectExpr(
+            "ns", "name", "'create' as op", "cast(null as string) as holder", "created_at as ts", "0L as seq",
+            "coalesce(quorum, expected) as required", "created_at + timeout as deadline")
+        arrived = self.arrivals().selectExpr(
+            "ns", "barrier as name", "'arrive' as op", "holder", "arrived_at as ts", "seq",
+            "cast(null as int) as required", "cast(null as timestamp) as deadline")
+        return created.unionByName(arrived)
+
     def runs(self) -> DataFrame:
         return self.raw("events").selectExpr(
             "'default' as ns", "cast(user_id as string) as name", "event_type as holder",
