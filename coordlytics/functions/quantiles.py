@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from coordlytics.plans.ordered import Prefix, ordered_scan
 
 
-def discrete_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def discrete_quantiles(
+    histogram: DataFrame, by: list[str], value: str, count: str, wanted: dict[str, float]
+) -> DataFrame:
     """Per group, the smallest value that at least a fraction q of the group does not exceed.
 
-    Equal values are counted before the shuffle, then a running count over the distinct values
-    finds the ranks. Null values are left out, groups without values do not appear.
+    ``histogram`` has one row per group and value with its count, which is the part of the
+    work that shrinks the data; a running count over the distinct values finds the ranks. It is
+    read several times here, so callers store it. Null values count for nothing.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ordered_scan(counts, by, [value], {"__upto": Prefix("sum", F.col("__n"))})
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    reached = ranked.join(totals, by)
+    known = histogram.filter(F.col(value).isNotNull())
+    ranked = ordered_scan(known, by, [value], {"__upto": Prefix("sum", F.col(count))})
+    totals = known.groupBy(*by).agg(F.sum(count).alias("__total"))
     at_least = lambda q: F.min(F.when(F.col("__upto") >= F.col("__total") * F.lit(q), F.col(value)))
-    return reached.groupBy(*by).agg(*[at_least(q).alias(name) for name, q in wanted.items()])
+    return ranked.join(totals, by).groupBy(*by).agg(*[at_least(q).alias(name) for name, q in wanted.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
+from coordlytics.plans.durable import cut
 from coordlytics.plans.ordered import Prefix, has_large_group, ordered_scan
 
 def required():
@@ -26,12 +27,12 @@ def first_arrivals(arrivals: DataFrame) -> DataFrame:
         F.min("arrived_at").alias("arrived_at"), F.min("seq").alias("seq"))
 
 
-def barrier_arrivals(arrivals: DataFrame) -> DataFrame:
+def barrier_arrivals(arrivals: DataFrame, large: bool | None = None) -> DataFrame:
     """Holders in order of arrival, one row per position.
 
     The list is kept as rows, because an array per barrier could not hold a very large fan-in.
     """
-    large = has_large_group(arrivals, ["ns", "barrier"])
+    large = has_large_group(arrivals, ["ns", "barrier"]) if large is None else large
     ranked = ordered_scan(
         first_arrivals(arrivals), KEY, ["arrived_at", "seq", "holder"],
         {"position": Prefix("sum", F.lit(1))}, large)
@@ -41,14 +42,24 @@ def barrier_arrivals(arrivals: DataFrame) -> DataFrame:
 def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """B2: when the required-th distinct arrival came, if not after the deadline.
 
-    Arrivals older than the barrier count from its creation on. The ranked arrivals are already
-    partitioned by barrier, so joining the specs and counting moves only the specs.
+    Arrivals older than the barrier count from its creation on. With small barriers the ranked
+    arrivals are already partitioned by barrier, so joining the specs and counting moves only
+    the specs. With a large one its rows must not meet in one task: counts are partial sums and
+    the required-th arrival is joined on (barrier, position), which is unique.
     """
+    large = has_large_group(arrivals, ["ns", "barrier"])
     spec = barriers.select(*KEY, "created_at", "expected", "quorum", required(), deadline())
-    ranked = barrier_arrivals(arrivals).select(*KEY, "position", "arrived_at")
-    counted = spec.join(ranked, KEY, "left").groupBy(*spec.columns).agg(
-        F.count("position").alias("arrived"),
-        F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).alias("nth"))
+    ranked = barrier_arrivals(arrivals, large).select(*KEY, "position", "arrived_at")
+    if large:
+        arrived = first_arrivals(arrivals).groupBy(*KEY).agg(F.count(F.lit(1)).alias("arrived"))
+        nth = ranked.select(*KEY, F.col("position").alias("required"), F.col("arrived_at").alias("nth"))
+        counted = (
+            spec.join(arrived, KEY, "left").withColumn("arrived", F.coalesce("arrived", F.lit(0)))
+            .join(nth, [*KEY, "required"], "left"))
+    else:
+        counted = spec.join(ranked, KEY, "left").groupBy(*spec.columns).agg(
+            F.count("position").alias("arrived"),
+            F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).alias("nth"))
     in_time = F.col("nth").isNotNull() & (F.col("deadline").isNull() | (F.col("nth") <= F.col("deadline")))
     return counted.withColumn("opened_at", F.when(in_time, F.greatest("nth", "created_at"))).drop("nth")
 
@@ -67,7 +78,8 @@ def barrier_status(barriers: DataFrame, arrivals: DataFrame, as_of: str) -> Data
 
 def barrier_missing(roster: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Expected holders that have not arrived."""
-    return roster.join(arrivals, ["ns", "barrier", "holder"], "left_anti")
+    came = arrivals.select("ns", "barrier", "holder").distinct()
+    return roster.join(came, ["ns", "barrier", "holder"], "left_anti")
 
 
 def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> DataFrame:
@@ -121,10 +133,13 @@ def barrier_waits(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
 def barrier_wait_summary(waits: DataFrame) -> DataFrame:
     """Per barrier the waits of those who came in time, and the holder all others waited for."""
     on_time = waits.filter("not late")
-    totals = on_time.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("waiters"), F.max("wait_seconds").alias("max_wait_seconds"),
-        F.max_by("holder", "position").alias("last_holder"))
-    return totals.join(discrete_quantiles(on_time, KEY, "wait_seconds", {"p50_wait_seconds": 0.5}), KEY, "left")
+    histogram = cut(on_time.groupBy(*KEY, "wait_seconds").agg(
+        F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.max_by("holder", "position").alias("holder")))
+    totals = histogram.groupBy(*KEY).agg(
+        F.sum("n").alias("waiters"), F.max("wait_seconds").alias("max_wait_seconds"),
+        F.max_by("holder", "last").alias("last_holder"))
+    median = discrete_quantiles(histogram, KEY, "wait_seconds", "n", {"p50_wait_seconds": 0.5})
+    return totals.join(median, KEY, "left")
 
 
 def stage_chain(stages: DataFrame, opened: DataFrame) -> DataFrame:
@@ -134,11 +149,11 @@ def stage_chain(stages: DataFrame, opened: DataFrame) -> DataFrame:
     last needed holder per barrier.
     """
     staged = stages.join(opened, KEY, "left")
+    large = has_large_group(stages, ["ns", "pipeline"])
     scanned = ordered_scan(staged, ["ns", "pipeline"], ["stage", "name"], {
         "started_at": Prefix("prev", F.col("opened_at")),
         "unopened_before": Prefix("sum", F.when(F.col("opened_at").isNull(), 1).otherwise(0), inclusive=False),
-        "ready_at": Prefix("max", F.col("opened_at"), inclusive=False),
-    })
+    }, large)
     blocked = F.coalesce("unopened_before", F.lit(0)) > 0
     return scanned.select(
         "ns", "pipeline", "stage", "name", "started_at", F.col("opened_at").alias("ended_at"),

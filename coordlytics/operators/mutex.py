@@ -8,6 +8,7 @@ from coordlytics.functions.columns import DEFAULT_WAIT, instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.operators.semaphore import pair_in_order
+from coordlytics.plans.durable import cut
 from coordlytics.plans.ordered import Fold, Prefix, has_large_group, ordered_fold, ordered_scan
 
 ORDER = ["ts", "seq"]
@@ -144,9 +145,11 @@ def mutex_contention(replay: DataFrame, tenures: DataFrame, bucket: str = "day")
         F.count(F.lit(1)).alias("attempts"), F.count_if("ok").alias("acquired"),
         F.approx_count_distinct("holder").alias("contenders"))
     closed = tenures.filter("ended_at is not null")
-    held = closed.select(
-        *KEY, F.date_trunc(bucket, "locked_at").alias("bucket"), seconds_between("locked_at", "ended_at").alias("hold"))
-    started = discrete_quantiles(held, [*KEY, "bucket"], "hold", {"p50_hold_seconds": 0.5, "p95_hold_seconds": 0.95})
+    holds = cut(closed.groupBy(
+        *KEY, F.date_trunc(bucket, "locked_at").alias("bucket"), seconds_between("locked_at", "ended_at").alias("hold")
+    ).agg(F.count(F.lit(1)).alias("n")))
+    started = discrete_quantiles(
+        holds, [*KEY, "bucket"], "hold", "n", {"p50_hold_seconds": 0.5, "p95_hold_seconds": 0.95})
     unit = F.expr(f"interval 1 {bucket}")
     touched = closed.withColumn("bucket", F.explode(F.sequence(
         F.date_trunc(bucket, "locked_at"), F.date_trunc(bucket, "ended_at"), unit)))

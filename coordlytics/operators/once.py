@@ -41,7 +41,7 @@ def once_status(onces: DataFrame, claims: DataFrame, as_of: str) -> DataFrame:
 
 def once_pending(onces: DataFrame, claims: DataFrame) -> DataFrame:
     """Keys whose work never succeeded."""
-    return onces.join(claims.filter("ok"), KEY, "left_anti")
+    return onces.join(claims.filter("ok").select(*KEY).distinct(), KEY, "left_anti")
 
 
 def duplicate_executions(executions: DataFrame) -> DataFrame:

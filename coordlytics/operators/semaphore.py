@@ -56,7 +56,7 @@ def pair_in_order(log: DataFrame, keys: list[str], opens: str, closes: str) -> D
     return paired.drop("__n", "__side", "__opens", "__closes", "__floor_before", "total", "floor")
 
 
-def permit_intervals(events: DataFrame, as_of: str | None = None) -> DataFrame:
+def permit_intervals(events: DataFrame) -> DataFrame:
     """S3: how long each permit was held; a release ends the holder's oldest open permit."""
     paired = pair_in_order(events, [*KEY, "holder"], "acquire", "release")
     expires = expiry(F.col("ts"), F.col("ttl"))
@@ -79,19 +79,19 @@ def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str =
         F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
         F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s"))
     net = steps.filter("s.ts is not null").groupBy(*KEY, F.col("s.ts").alias("ts")).agg(F.sum("s.d").alias("d"))
-    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))})
+    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}, has_large_group(intervals, KEY))
     return level.filter("d <> 0").drop("d")
 
 
-def _with_end(timeline: DataFrame) -> DataFrame:
-    return ordered_scan(timeline, KEY, ["ts"], {"until": Prefix("prev", F.col("ts"), reverse=True)})
+def _with_end(timeline: DataFrame, large: bool | None) -> DataFrame:
+    return ordered_scan(timeline, KEY, ["ts"], {"until": Prefix("prev", F.col("ts"), reverse=True)}, large)
 
 
-def oversubscription(timeline: DataFrame, semaphores: DataFrame) -> DataFrame:
+def oversubscription(timeline: DataFrame, semaphores: DataFrame, large: bool | None = None) -> DataFrame:
     """Maximal intervals in which more permits were in use than exist, with the peak excess."""
-    steps = _with_end(timeline).join(semaphores.select(*KEY, "permits"), KEY)
+    large = has_large_group(timeline, KEY) if large is None else large
+    steps = _with_end(timeline, large).join(semaphores.select(*KEY, "permits"), KEY)
     excess = steps.withColumn("excess", F.greatest(F.lit(0), F.col("in_use") - F.col("permits")))
-    large = has_large_group(timeline, KEY)
     marked = ordered_scan(excess, KEY, ["ts"], {"__before": Prefix("prev", F.col("excess"))}, large)
     starts = F.when((F.col("excess") > 0) & (F.coalesce("__before", F.lit(0)) == 0), 1).otherwise(0)
     islands = ordered_scan(marked, KEY, ["ts"], {"episode": Prefix("sum", starts)}, large)
@@ -102,12 +102,14 @@ def oversubscription(timeline: DataFrame, semaphores: DataFrame) -> DataFrame:
         .withColumn("episode", F.col("episode").cast("long")))
 
 
-def peak_concurrency(timeline: DataFrame, semaphores: DataFrame, bucket: str = "month") -> DataFrame:
+def peak_concurrency(
+    timeline: DataFrame, semaphores: DataFrame, bucket: str = "month", large: bool | None = None
+) -> DataFrame:
     """Per time bucket the peak, the time-weighted mean and the utilisation.
 
     A step that lasts over several buckets is split into one row per bucket it touches.
     """
-    steps = _with_end(timeline).filter("until is not null")
+    steps = _with_end(timeline, large).filter("until is not null")
     unit = F.expr(f"interval 1 {bucket}")
     last = F.date_trunc(bucket, F.col("until") - F.expr("interval 1 microsecond"))
     split = steps.withColumn("bucket", F.explode(F.sequence(F.date_trunc(bucket, "ts"), last, unit)))

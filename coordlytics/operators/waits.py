@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from coordlytics.functions.columns import DEFAULT_WAIT, micros
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
+from coordlytics.plans.durable import cut
 from coordlytics.plans.ordered import Prefix, ordered_scan
 
 
-def wait_outcomes(waiters: DataFrame, transitions: DataFrame, default_timeout: str = DEFAULT_WAIT) -> DataFrame:
+def wait_outcomes(
+    waiters: DataFrame, transitions: DataFrame, default_timeout: str = DEFAULT_WAIT, large: bool | None = None
+) -> DataFrame:
     """How each wait ended: opened, failed or timed out, and after how long.
 
     The phase at the start is the last transition before it, the next one the first after it:
@@ -23,7 +26,7 @@ def wait_outcomes(waiters: DataFrame, transitions: DataFrame, default_timeout: s
     ended = F.when(F.col("t.phase").isin("Open", "Failed"), F.col("t"))
     seen = ordered_scan(rows, KEY, ["ts", "seq"], {
         "current": Prefix("last", F.col("t")),
-        "coming": Prefix("last", ended, inclusive=False, reverse=True)})
+        "coming": Prefix("last", ended, inclusive=False, reverse=True)}, large)
     limit = F.coalesce("timeout", F.expr(default_timeout))
     already = F.when(F.col("current.phase").isin("Open", "Failed"), F.col("current.phase"))
     later = F.when(F.col("coming.ts") <= F.col("ts") + limit, F.col("coming.phase"))
@@ -55,8 +58,10 @@ def update_retries(conflicts: DataFrame, max_tries: int = 10) -> DataFrame:
 
 
 def wait_percentiles(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """Outcomes counted and exact wait percentiles per group."""
-    counts = outcomes.groupBy(*by).agg(
-        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("opened", "failed", "timeout")])
-    waits = discrete_quantiles(outcomes, by, "wait_seconds", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    """Outcomes counted and exact wait percentiles per group, all from one stored histogram."""
+    histogram = cut(outcomes.groupBy(*by, "wait_seconds").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("opened", "failed", "timeout")]))
+    counts = histogram.groupBy(*by).agg(*[F.sum(o).alias(o) for o in ("opened", "failed", "timeout")])
+    waits = discrete_quantiles(histogram, by, "wait_seconds", "n", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return counts.join(waits, by, "left")

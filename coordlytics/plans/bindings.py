@@ -31,7 +31,7 @@ class Tables:
         if not self.streaming:
             return self.spark.read.parquet(path)
         schema = self.spark.read.parquet(path).schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 64)
         return reader.parquet(self.folder)
 
     def spec(self, table: str, kind: str, mapping: dict) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.operators import barrier, gate, lease, mutex, once, rwmutex, semaphore, waits, waitgroup
+from coordlytics.plans.ordered import has_large_group
 from coordlytics.plans.bindings import EVENT_AS_OF, ORDER_AS_OF, Tables
 from coordlytics.plans.catalog import Entry, with_tables
 
@@ -72,6 +73,15 @@ def conditions(t: Tables) -> DataFrame:
     return gate.gate_conditions(t.gates(), resources(t))
 
 
+def many_permits(t: Tables) -> bool:
+    """Whether one semaphore has too many permits for a task, measured on the plain scan."""
+    return has_large_group(t.permits(), ["ns", "semaphore"])
+
+
+def many_arrivals(t: Tables) -> bool:
+    return has_large_group(t.arrivals(), ["ns", "barrier"])
+
+
 def opened(t: Tables) -> DataFrame:
     return barrier.barrier_opened_at(t.barriers(), t.arrivals())
 
@@ -454,7 +464,7 @@ ENTRIES: dict[str, Entry] = {
     "in_use_timeline": entry(
         timeline, f"select {NS}, name, ts, in_use from timeline"),
     "oversubscription": entry(
-        lambda t: semaphore.oversubscription(timeline(t), t.semaphores()),
+        lambda t: semaphore.oversubscription(timeline(t), t.semaphores(), many_permits(t)),
         f"""select {NS}, name, island as episode, min(ts) as started_at, max(until) as ended_at, max(excess)::bigint as peak_excess
             from (select *, sum(case when excess > 0 and coalesce(before, 0) <= 0 then 1 else 0 end)
                     over (partition by name order by ts)::bigint as island
@@ -462,7 +472,7 @@ ENTRIES: dict[str, Entry] = {
                         from (select t.name, t.ts, t.until, t.in_use - s.permits as excess from timeline t join semaphores s on s.name = t.name)))
             where excess > 0 group by name, island"""),
     "peak_concurrency": entry(
-        lambda t: semaphore.peak_concurrency(timeline(t), t.semaphores()),
+        lambda t: semaphore.peak_concurrency(timeline(t), t.semaphores(), large=many_permits(t)),
         f"""select {NS}, name, bucket, max(in_use) as peak, sum(s)::bigint as covered_seconds, sum(s * in_use)::bigint as permit_seconds,
               round(sum(s * in_use) / sum(s)::double, 4) as mean_in_use,
               round(sum(s * in_use) / (max(permits) * sum(s))::double, 4) as utilisation
@@ -699,13 +709,13 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, name, count(*) as dependencies, max(depth)::bigint as depth, bool_or(name = dependency) as in_cycle,
               count(*) filter (dependency not in (select name from nested_gates)) as root_blockers from closure group by name"""),
     "gate_history": entry(
-        lambda t: gate.gate_history(barrier_and_semaphore_gates(t), dependency_changes(t)),
+        lambda t: gate.gate_history(barrier_and_semaphore_gates(t), dependency_changes(t), many_permits(t)),
         f"""select {NS}, name, open, ts as started_at, lead(ts) over (partition by name order by ts) as ended_at, met as conditions_met
             from (select *, lag(open) over (partition by name order by ts) as before from gate_levels)
             where before is null or before <> open"""),
     # ---- waiters and updates
     "wait_outcomes": entry(
-        lambda t: waits.wait_outcomes(waiters(t), barrier_transitions(t)),
+        lambda t: waits.wait_outcomes(waiters(t), barrier_transitions(t), large=many_arrivals(t)),
         f"select {NS}, name, ts, seq, outcome, wait_seconds from outcomes"),
     "update_conflicts": entry(
         lambda t: waits.update_conflicts(updates(t)),
@@ -716,7 +726,7 @@ ENTRIES: dict[str, Entry] = {
               not bool_or(outcome = 'applied') and count(*) >= 10 as exhausted from attempts group by name, update_id"""),
     "wait_percentiles": entry(
         lambda t: waits.wait_percentiles(
-            waits.wait_outcomes(waiters(t), barrier_transitions(t)).join(t.barriers().select("ns", "name", "expected"), ["ns", "name"]), ["ns", "expected"]),
+            waits.wait_outcomes(waiters(t), barrier_transitions(t), large=many_arrivals(t)).join(t.barriers().select("ns", "name", "expected"), ["ns", "name"]), ["ns", "expected"]),
         f"""select {NS}, b.expected, count(*) filter (outcome = 'opened') as opened, count(*) filter (outcome = 'failed') as failed,
               count(*) filter (outcome = 'timeout') as timeout, quantile_disc(wait_seconds, 0.5) as p50, quantile_disc(wait_seconds, 0.95) as p95,
               quantile_disc(wait_seconds, 0.99) as p99

@@ -9,6 +9,7 @@ from coordlytics.operators import barrier, gate, mutex, once, relations, report,
 from coordlytics.plans import catalog_primitives as P
 from coordlytics.plans.bindings import EVENT_AS_OF, ORDER_AS_OF, Tables
 from coordlytics.plans.catalog import Entry
+from coordlytics.plans.durable import cut
 from coordlytics.plans.catalog_primitives import EVENT_NOW, NS, ORDER_NOW, entry, secs
 
 
@@ -75,13 +76,18 @@ def transition_source(t: Tables) -> DataFrame:
 def everything(t: Tables) -> DataFrame:
     """T1 over the eight kinds."""
     k = ["ns", "name", "phase"]
-    sem = semaphore.semaphore_status(t.semaphores(), t.permits(), ORDER_AS_OF)
-    bar = barrier.barrier_status(t.barriers(), t.arrivals(), ORDER_AS_OF)
+    # status tables, stored because the gates are evaluated against them as well
+    sem = cut(semaphore.semaphore_status(t.semaphores(), t.permits(), ORDER_AS_OF))
+    bar = cut(barrier.barrier_status(t.barriers(), t.arrivals(), ORDER_AS_OF))
+    held = cut(lease.lease_status(P.held_leases(t), P.some_requests(t), ORDER_AS_OF))
+    known = (
+        gate.resource_status("Barrier", bar).unionByName(gate.resource_status("Semaphore", sem))
+        .unionByName(gate.resource_status("Lease", held)).unionByName(gate.resource_status("Job", t.jobs())))
     return report.status_all(
         Semaphore=sem.select(*k, F.col("in_use").alias("used"), F.col("permits").alias("total")),
         Barrier=bar.select(*k, F.col("arrived").alias("used"), F.col("required").alias("total")),
-        Lease=lease.lease_status(P.held_leases(t), P.some_requests(t), ORDER_AS_OF).select(*k, "holder"),
-        Gate=gate.gate_status(t.gates(), P.conditions(t), ORDER_AS_OF).select(
+        Lease=held.select(*k, "holder"),
+        Gate=gate.gate_status(t.gates(), gate.gate_conditions(t.gates(), known), ORDER_AS_OF).select(
             *k, F.col("conditions_met").alias("used"), F.col("conditions_total").alias("total")),
         Mutex=mutex.mutex_status(t.mutex_ops(), EVENT_AS_OF).select(*k, "holder"),
         RWMutex=rwmutex.rwmutex_status(t.rwmutex_ops(), EVENT_AS_OF).select(*k, F.col("writer").alias("holder")),
@@ -101,6 +107,11 @@ def deadlines(t: Tables) -> DataFrame:
     return permits.unionByName(barriers).unionByName(gates).unionByName(leases)
 
 
+def gate_listing(t: Tables) -> DataFrame:
+    checked = cut(P.conditions(t))
+    return report.status_detail("gate", gate.gate_status(t.gates(), checked, ORDER_AS_OF), checked)
+
+
 def lease_children(t: Tables) -> DataFrame:
     return lease.pending_requests(t.lease_requests(), ORDER_AS_OF)
 
@@ -235,7 +246,7 @@ ENTRIES: dict[str, Entry] = {
               coalesce(strftime(expires_at, '%H:%M:%S'), 'N/A') as detail from lease_now
             union all select 'default', lease, 'pending request', holder || ' ' || priority from lease_requests where phase is null and requested_at <= {ORDER_NOW}"""),
     "gate_detail": entry(
-        lambda t: report.status_detail("gate", gate.gate_status(t.gates(), P.conditions(t), ORDER_AS_OF), P.conditions(t)),
+        gate_listing,
         f"""select {NS}, name, 'resource' as part, phase || ' ' || conditions_met || '/' || conditions_total as detail from gate_now
             union all select 'default', name, 'condition', type || '/' || condition || case when met then ' met ' else ' not met ' end || message from checked"""),
     "mutex_detail": entry(
@@ -243,6 +254,17 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, name, 'resource' as part, case when alive then 'Locked ' || h || ' ' || strftime(la + interval 12 hour, '%H:%M:%S') else 'Unlocked N/A N/A' end as detail
             from (select name, s.h as h, s.la as la, coalesce(s.la + interval 12 hour >= {EVENT_NOW}, false) as alive
                   from (select name, arg_max({{'h': h, 'la': la}}, rn) as s from mutex_walk where ts <= {EVENT_NOW} group by name))"""),
+    "rwmutex_detail": entry(
+        lambda t: report.status_detail("rwmutex", rwmutex.rwmutex_status(t.rwmutex_ops(), EVENT_AS_OF)),
+        f"""select {NS}, name, 'resource' as part, case when alive and w is not null then 'WriteLocked ' || w
+              when alive and len(r) > 0 then 'ReadLocked ' || array_to_string(r, ',') else 'Unlocked N/A' end as detail
+            from (select name, s.w as w, s.r as r, coalesce(s.ex >= {EVENT_NOW}, false) as alive
+                  from (select name, arg_max({{'w': w, 'r': r, 'ex': ex}}, rn) as s from rw_walk where ts <= {EVENT_NOW} group by name))"""),
+    "once_detail": entry(
+        lambda t: report.status_detail("once", once.once_status(t.onces(), t.claims(), EVENT_AS_OF)),
+        f"""select {NS}, o.name, 'resource' as part, case when w.name is null then 'Pending N/A N/A' else 'Executed ' || w.executor || ' ' || strftime(w.executed_at, '%H:%M:%S') end as detail
+            from onces o left join (select name, arg_min(executor, ts) as executor, min(ts) as executed_at from claims where ok and ts <= {EVENT_NOW} group by name) w on w.name = o.name
+            where o.created_at <= {EVENT_NOW} and {EVENT_NOW} <= o.created_at + interval 7 day"""),
     "waitgroup_detail": entry(
         lambda t: report.as_json(report.status_detail("waitgroup", waitgroup.waitgroup_status(t.waitgroups(), t.deltas(), EVENT_AS_OF))),
         f"""select {NS}, c_custkey::varchar as name, '{{"ns":"default","name":"' || c_custkey || '","part":"resource","detail":"' ||

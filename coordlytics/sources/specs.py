@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _KEY = "ns string, name string, created_at timestamp, labels map<string,string>"
 _TTL = "ttl interval day to second"
@@ -33,9 +33,8 @@ EVENT_SCHEMA = (
 
 def typed(df: DataFrame, schema: str, mapping: dict[str, str | Column]) -> DataFrame:
     """Project ``df`` to ``schema``; columns without a mapping are null of the right type."""
-    fields = df.sparkSession.createDataFrame([], schema).schema.fields
     columns = []
-    for f in fields:
+    for f in T.StructType.fromDDL(schema).fields:
         source = mapping.get(f.name, F.lit(None))
         value = F.expr(source) if isinstance(source, str) else source
         columns.append(value.cast(f.dataType).alias(f.name))
@@ -73,10 +72,14 @@ def read_events(
     mapping: dict[str, str | Column] | None = None,
     stream: bool = False,
     source_schema: str | None = None,
-    files_per_trigger: int = 1000,
+    files_per_trigger: int = 64,
     file_glob: str | None = None,
 ) -> DataFrame:
-    """IO2: the append-only coordination log, as a batch or as a stream of new files."""
+    """IO2: the append-only coordination log, as a batch or as a stream of new files.
+
+    A stream takes ``files_per_trigger`` files at a time, which also bounds the rows of one key
+    that a stateful operator sees at once, however many have piled up.
+    """
     reader = spark.readStream if stream else spark.read
     if source_schema or mapping is None:
         reader = reader.schema(source_schema or EVENT_SCHEMA)
