@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from coordlytics.functions.columns import expiry, instant, lock_live, none_if_empty, seconds_between
 from coordlytics.operators.mutex import _as_of_us, _until, as_timestamps, fields, with_micros
 from coordlytics.operators.relations import KEY
+from coordlytics.plans.durable import cut
 from coordlytics.plans.ordered import Fold, Prefix, has_large_group, ordered_fold, ordered_scan
 
 def given_priority():
@@ -48,13 +49,13 @@ def lease_status(leases: DataFrame, requests: DataFrame, as_of: str) -> DataFram
 class LeaseFold(Fold):
     """Grants over a log of requests and clears.
 
-    Pending requests of one priority are served in order, so per priority only two counts are
-    kept, how many came and how many were granted. A grant names the priority and the ordinal
-    within it; the request itself is joined back afterwards. State size is the number of
-    distinct priorities, not the length of the queue.
+    Requests of one priority are served in order and numbered beforehand, so the queue of a
+    priority is a range of ordinals. A grant names the priority and the ordinal; the request
+    itself is joined back afterwards. State holds one range per priority that has anyone
+    waiting, not the queue, and forgets everything once nobody waits.
     """
 
-    inputs = ["op", "priority", "ts_us", "ttl_us"]
+    inputs = ["op", "priority", "ts_us", "ttl_us", "ordinal"]
     output = fields("priority long,ordinal long,started_at long,ended_at long,end_reason string")
 
     def __init__(self, as_of_us: int | None = None):
@@ -67,56 +68,72 @@ class LeaseFold(Fold):
         return None if state[0] is None else state[0][3]
 
     def expire(self, state, now, emit):
-        held, queues, ttl = state
-        return (self._expire(held, queues, ttl, now, emit), queues, ttl)
+        held, waiting, ttl = state
+        while held is not None and held[3] is not None and held[3] < now:
+            emit((held[0], held[1], held[2], held[3], "ttl"))
+            held, waiting = self._grant(waiting, held[3], ttl)
+        return (held, waiting, ttl)
 
     @staticmethod
-    def _grant(queues, at, ttl):
-        waiting = [p for p, (came, served) in queues.items() if came > served]
+    def _grant(waiting, at, ttl):
         if not waiting:
-            return None
+            return None, waiting
         best = max(waiting)
-        came, served = queues[best]
-        queues[best] = (came, served + 1)
-        return (best, served + 1, at, None if ttl is None or ttl <= 0 else at + ttl)
-
-    def _expire(self, held, queues, ttl, now, emit):
-        while held is not None and held[3] is not None and held[3] < now:
-            emit((held[0], held[1], held[2], held[3], "ttl"))
-            held = self._grant(queues, held[3], ttl)
-        return held
+        head, tail = waiting[best]
+        rest = {p: r for p, r in waiting.items() if p != best}
+        if head < tail:
+            rest[best] = (head + 1, tail)
+        return (best, head, at, None if ttl is None or ttl <= 0 else at + ttl), rest
 
     def step(self, state, row, emit):
-        held, queues, _ = state
-        op, priority, ts, ttl = row
-        held = self._expire(held, queues, ttl, ts, emit)
+        op, priority, ts, ttl, ordinal = row
+        held, waiting, _ = self.expire(state, ts, emit)
         if op == "request":
-            came, served = queues.get(priority, (0, 0))
-            queues[priority] = (came + 1, served)
+            waiting = {**waiting, priority: (waiting.get(priority, (ordinal,))[0], ordinal)}
             if held is None:
-                held = self._grant(queues, ts, ttl)
+                held, waiting = self._grant(waiting, ts, ttl)
         elif held is not None:
             emit((held[0], held[1], held[2], ts, "clear"))
-            held = self._grant(queues, ts, ttl)
-        return (held, queues, ttl)
+            held, waiting = self._grant(waiting, ts, ttl)
+        return (held, waiting, ttl)
 
     def finish(self, state, emit):
-        held, queues, ttl = state
-        if self.as_of_us is not None:
-            held = self._expire(held, dict(queues), ttl, self.as_of_us, emit)
+        held = (state if self.as_of_us is None else self.expire(state, self.as_of_us, emit))[0]
         if held is not None:
             emit((held[0], held[1], held[2], None, "open"))
 
 
+def _grantable(numbered: DataFrame, log: DataFrame, as_of: str | None) -> DataFrame:
+    """Requests early enough in their queue that they could be granted at all.
+
+    A lease is granted at most once per ttl, once per clear and once at the start. Requests of a
+    priority are served in order, so one whose ordinal exceeds that number never gets it: this
+    drops nothing that could matter and shrinks the log of a lease that far more ask for than
+    get.
+    """
+    end = F.max("ts") if as_of is None else F.lit(as_of).cast("timestamp")
+    epoch = F.timestamp_micros(F.lit(0))
+    ttl_us = F.min(F.unix_micros(epoch + F.col("ttl")))
+    span_us = F.unix_micros(end) - F.unix_micros(F.min("ts"))
+    per_ttl = F.when(ttl_us > 0, F.floor(span_us / ttl_us)).otherwise(0)
+    bound = (F.coalesce(per_ttl, F.lit(0)) + F.count_if(F.col("op") == "clear") + 1).alias("__grants")
+    return numbered.join(log.groupBy(*KEY).agg(bound), KEY).filter("ordinal <= __grants").drop("__grants")
+
+
 def lease_tenures(events: DataFrame, as_of: str | None = None) -> DataFrame:
     """L3: every tenure, granted by priority among those pending when the lease became free."""
     log = _until(events, as_of).withColumn("priority", given_priority().cast("long"))
     large = has_large_group(log, KEY)
-    requests = log.filter("op = 'request'")
-    numbered = ordered_scan(requests, [*KEY, "priority"], ["ts", "seq"], {"ordinal": Prefix("sum", F.lit(1))}, large)
-    grants = ordered_fold(with_micros(log), KEY, ["ts", "seq"], LeaseFold(_as_of_us(as_of)), large)
+    numbered = ordered_scan(
+        log.filter("op = 'request'"), [*KEY, "priority"], ["ts", "seq"], {"ordinal": Prefix("sum", F.lit(1))}, large
+    ).withColumn("ordinal", F.col("ordinal").cast("long"))
+    if large:
+        numbered = cut(_grantable(numbered, log, as_of))
+    steps = numbered.unionByName(log.filter("op <> 'request'"), allowMissingColumns=True)
+    grants = ordered_fold(
+        with_micros(steps), KEY, ["ts", "seq"], LeaseFold(_as_of_us(as_of)), has_large_group(steps, KEY) if large else False)
     grants = as_timestamps(grants, ["started_at", "ended_at"])
-    asked = numbered.select(*KEY, "priority", F.col("ordinal").cast("long").alias("ordinal"), "holder", F.col("ts").alias("requested_at"), "seq")
+    asked = numbered.select(*KEY, "priority", "ordinal", "holder", F.col("ts").alias("requested_at"), "seq")
     return grants.join(asked, [*KEY, "priority", "ordinal"]).drop("ordinal")
 
 

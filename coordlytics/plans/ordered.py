@@ -255,9 +255,7 @@ def ordered_fold(
 
     Rows stream through Arrow batches sorted by key, so memory holds one batch and one state
     whatever the key size. If a key is too large for one task its blocks are folded in
-    parallel from an assumed entry state; the blocks whose assumption turns out wrong are
-    folded again from the true one until all entry states agree with the exit state of the
-    block before. Only one state per block boundary travels through the driver.
+    parallel, from the entry states ``_settle_entries`` finds for them.
     """
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([*key_fields, *fold.output.fields])
@@ -325,30 +323,37 @@ def _runner(fold, n_keys, schema, entries=None, continuing=frozenset()):
     return run
 
 
-_EDGE_SCHEMA = "block int, first_key string, last_key string, exit_state binary"
+_EDGE_SCHEMA = "block int, first_key string, last_key string, entry binary, exit binary"
 
 
-def _edges(fold, n_keys, entries):
-    """Per block: its first and last key, and the state its last key leaves with."""
+def _edges(fold, n_keys, candidates):
+    """Per block and candidate entry state: first and last key, and the state it leaves with.
 
+    All candidates of a block advance together in one pass over its rows. A block whose last
+    key began inside it leaves with the same state whatever came in.
+    """
     stop = n_keys + len(fold.inputs)
 
     def run(batches):
-        first, key, state, block = None, None, None, None
+        first, key, states, given, block = None, None, [], [], None
         for row in _batches_to_rows(batches):
             row_key = row[:n_keys]
             if row_key != key:
-                block = row[-1]
-                entering = first is None and block in entries
-                state = pickle.loads(entries[block]) if entering else fold.start()
-                first = row_key if first is None else first
+                if first is None:
+                    first, block = row_key, row[-1]
+                    given = candidates.get(block) or [pickle.dumps(fold.start())]
+                    states = [pickle.loads(g) for g in given]
+                else:
+                    states, given = [fold.start()], given[:1]
                 key = row_key
-            state = fold.step(state, row[n_keys:stop], _ignore)
+            values = row[n_keys:stop]
+            states = [fold.step(s, values, _ignore) for s in states]
         if key is not None:
-            values = [[block], [repr(first)], [repr(key)], [pickle.dumps(state)]]
-            types = [pa.int32(), pa.string(), pa.string(), pa.binary()]
-            names = ["block", "first_key", "last_key", "exit_state"]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
+            n = len(states)
+            columns = [[block] * n, [repr(first)] * n, [repr(key)] * n, given, [pickle.dumps(s) for s in states]]
+            types = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+            names = ["block", "first_key", "last_key", "entry", "exit"]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names)
 
     return run
 
@@ -357,26 +362,60 @@ def _ignore(_values):
     return None
 
 
-def _same(left: bytes, right: bytes) -> bool:
-    return left == right or pickle.loads(left) == pickle.loads(right)
+def _lookup(tried: list[tuple], state):
+    return next((left for entered, left in tried if entered == state), None)
 
 
 def _settle_entries(stored: DataFrame, fold: Fold, n_keys: int):
-    """Entry state of every block that continues a key, and the blocks that are continued."""
+    """The true entry state of every block that continues a key, and the blocks continued.
+
+    First every block is folded from the empty state. Then, as long as some entry state is not
+    known, the blocks after the known part are folded from the state reached so far and from
+    the exits their predecessors showed. State machines that forget settle after one such
+    round, because all candidates leave alike; one that holds its state over many blocks does
+    so too, because that state is a candidate for all of them. Exactness does not depend on
+    it: an entry only counts once it equals the exit of the block before, and each round
+    settles at least one more block. The driver sees a few small states per block.
+    """
     edges: dict[int, tuple] = {}
-    entries: dict[int, bytes] = {}
-    stale: list[int] | None = None
-    while stale is None or stale:
-        rows = stored if stale is None else stored.filter(F.col(BLOCK).isin(stale))
-        for r in rows.mapInArrow(_edges(fold, n_keys, dict(entries)), _EDGE_SCHEMA).collect():
-            edges[r.block] = (r.first_key, r.last_key, bytes(r.exit_state))
-        used, entries = entries, {}
-        order = sorted(edges)
-        for before, after in zip(order, order[1:]):
-            if edges[before][1] == edges[after][0]:
-                entries[after] = edges[before][2]
-        stale = [b for b, s in entries.items() if b not in used or not _same(used[b], s)]
-    continuing = frozenset(
-        b for b, after in zip(order, order[1:]) if edges[b][1] == edges[after][0]
-    )
-    return entries, continuing
+    tried: dict[int, list[tuple]] = {}
+
+    def fold_blocks(rows, candidates):
+        for r in rows.mapInArrow(_edges(fold, n_keys, candidates), _EDGE_SCHEMA).collect():
+            edges[r.block] = (r.first_key, r.last_key)
+            tried.setdefault(r.block, []).append((pickle.loads(bytes(r.entry)), bytes(r.exit)))
+
+    fold_blocks(stored, {})
+    order = sorted(edges)
+    follows = {b: a for a, b in zip(order, order[1:]) if edges[a][1] == edges[b][0]}
+    while True:
+        entries: dict[int, bytes] = {}
+        leaving: dict[int, bytes | None] = {}
+        candidates: dict[int, list[bytes]] = {}
+        reached = None
+        for b in order:
+            before = follows.get(b)
+            whole = edges[b][0] == edges[b][1]
+            if before is None:
+                # the key begins here, so the empty state was the right one
+                leaving[b] = tried[b][0][1]
+                continue
+            entry = leaving[before]
+            if entry is not None:
+                entries[b] = reached = entry
+            if not whole:
+                leaving[b] = tried[b][0][1]
+                continue
+            leaving[b] = None if entry is None else _lookup(tried[b], pickle.loads(entry))
+            if leaving[b] is None:
+                wanted = [reached, *[left for _, left in tried[before]]]
+                new = []
+                for w in wanted:
+                    state = pickle.loads(w)
+                    if _lookup(tried[b], state) is None and all(pickle.loads(n) != state for n in new):
+                        new.append(w)
+                candidates[b] = new
+        if len(entries) == len(follows):
+            return entries, frozenset(follows.values())
+        stale = {b: c for b, c in candidates.items() if c}
+        fold_blocks(stored.filter(F.col(BLOCK).isin(list(stale))), stale)

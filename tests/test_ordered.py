@@ -163,3 +163,40 @@ def test_counter_on_a_hot_key(spark):
     log = hot_lock_log(spark, ["x"]).withColumn("delta", (F.col("seq") % 7 - 3).cast("int"))
     rows = both(spark, lambda: waitgroup_counter(log))
     assert min(r[-2] for r in rows) == 0 and max(r[-1] for r in rows) > 0
+
+
+def test_overloaded_lease(spark):
+    # requests every second, one grant a minute: most requests can never be served
+    log = hot_lock_log(spark, ["request"], gap=2, ttl=60).withColumn("priority", (F.col("seq") % 3).cast("int"))
+    rows = both(spark, lambda: lease_tenures(log, "2024-01-01 13:00:00"))
+    # an hour holds sixty grants of a minute, and one more that is still open
+    assert 55 <= sum(1 for r in rows if r[1] == "hot") <= 61
+
+
+def test_lock_held_over_many_blocks_settles_in_few_rounds(spark):
+    from coordlytics.operators.mutex import MutexFold, with_micros
+    from coordlytics.plans import ordered
+
+    rows = [("default", "m", "lock", f"h{i % 5}", at(seconds=i), i) for i in range(2000)]
+    log = spark.createDataFrame(rows, "ns string, name string, op string, holder string, ts timestamp, seq long")
+    log = with_micros(log.withColumn("ttl", F.lit(None).cast("interval day to second")))
+    fold = MutexFold("outcomes")
+    columns = ["ns", "name", *fold.inputs]
+    stored = blocks_of(log.select(*columns, "ts"), ["ns", "name"], ["ts", "seq"], sort=True).select(*columns, BLOCK)
+    jobs = []
+
+    class Counted:
+        def __init__(self, df):
+            self.df = df
+
+        def mapInArrow(self, *a):
+            jobs.append(1)
+            return self.df.mapInArrow(*a)
+
+        def filter(self, *a):
+            return Counted(self.df.filter(*a))
+
+    entries, continuing = ordered._settle_entries(Counted(stored), fold, 2)
+    assert len(entries) >= 6 and len(jobs) == 2
+    import pickle
+    assert {pickle.loads(e)[0] for e in entries.values()} == {"h0"}
