@@ -66,7 +66,8 @@ class MutexFold(Fold):
 
     def step(self, state, row, emit):
         op, holder, ts, ttl, seq = row
-        state = self.expire(state, ts, emit)
+        if state is not None and state[2] is not None and state[2] < ts:
+            state = self.expire(state, ts, emit)
         blocked_by, before = None, state
         if op == "lock":
             if state is None:

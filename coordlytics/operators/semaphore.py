@@ -35,25 +35,21 @@ def pair_in_order(log: DataFrame, keys: list[str], opens: str, closes: str) -> D
     finds nothing open has no effect: the running balance clamped at zero tells which ones
     those are, so the match needs one pass and a join on (key, ordinal), which is unique.
     """
-    large = has_large_group(log, keys)
     is_open = F.col("op") == opens
     steps = log.filter(F.col("op").isin(opens, closes)).withColumn(
         "__side", F.when(is_open, 1).otherwise(0))
     order = ["ts", "__side"] + (["seq"] if "seq" in log.columns else [])
-    level = running_balance(steps, keys, order, F.when(is_open, 1).otherwise(-1), large=large)
-    # closes so far that had an effect = closes so far - closes absorbed at zero
-    absorbed = -F.least(F.lit(0), F.col("floor"))
-    numbered = ordered_scan(level, keys, order, {
-        "__opens": Prefix("sum", F.col("__side")),
-        "__closes": Prefix("sum", 1 - F.col("__side")),
-        "__floor_before": Prefix("prev", F.col("floor")),
-    }, large)
-    effective = F.col("floor") >= F.least(F.lit(0), F.coalesce("__floor_before", F.lit(0)))
-    starts = numbered.filter("__side = 1").withColumn("__n", F.col("__opens"))
+    level = running_balance(
+        steps, keys, order, F.when(is_open, 1).otherwise(-1), has_large_group(log, keys))
+    low = F.least(F.lit(0), F.col("floor"))
+    effective = low == F.least(F.lit(0), F.col("floor_before"))
+    # effective closes so far = closes so far less those absorbed at zero
+    ordinal = F.when(is_open, F.col("ups")).otherwise(F.col("ups") - F.col("total") + low)
+    numbered = level.withColumn("__n", ordinal)
+    starts = numbered.filter("__side = 1")
     ends = numbered.filter("__side = 0").filter(effective).select(
-        *keys, (F.col("__closes") - absorbed).alias("__n"), F.col("ts").alias("closed_at"))
-    paired = starts.join(ends, [*keys, "__n"], "left")
-    return paired.drop("__n", "__side", "__opens", "__closes", "__floor_before", "total", "floor")
+        *keys, "__n", F.col("ts").alias("closed_at"))
+    return starts.join(ends, [*keys, "__n"], "left").drop("__n", "__side", "total", "ups", "floor", "floor_before")
 
 
 def permit_intervals(events: DataFrame) -> DataFrame:

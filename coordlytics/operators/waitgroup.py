@@ -16,24 +16,24 @@ def waitgroup_counter(deltas: DataFrame, large: bool | None = None) -> DataFrame
 
     The clamped counter is the prefix sum minus its lowest value so far when that is negative.
     """
-    large = has_large_group(deltas, KEY) if large is None else large
-    level = running_balance(deltas, KEY, ORDER, F.col("delta"), large=large)
-    counter = F.col("total") - F.least(F.lit(0), F.col("floor"))
-    scanned = ordered_scan(
-        level.withColumn("counter", counter), KEY, ORDER, {"__before": Prefix("prev", F.col("counter"))}, large)
-    lost = F.col("counter") - (F.coalesce("__before", F.lit(0)) + F.col("delta"))
-    return scanned.select(*KEY, *ORDER, F.col("delta").cast("long").alias("delta"), "counter", lost.alias("lost"))
+    level = running_balance(deltas, KEY, ORDER, F.col("delta"), large)
+    clamped = lambda floor: -F.least(F.lit(0), floor)
+    lost = clamped(F.col("floor")) - clamped(F.col("floor_before"))
+    return level.select(
+        *KEY, *ORDER, F.col("delta").cast("long").alias("delta"),
+        (F.col("total") + clamped(F.col("floor"))).alias("counter"), lost.alias("lost"))
 
 
 def waitgroup_status(waitgroups: DataFrame, deltas: DataFrame, as_of: str) -> DataFrame:
     """Last counter; a group at zero, also a new one, is Done.
 
-    The last counter only needs the sum and the lowest prefix, not the rows between.
+    The last counter is the whole sum less its lowest prefix, so a hash aggregation finds it.
     """
     past = deltas.filter(F.col("ts") <= instant(as_of))
-    last = waitgroup_counter(past).groupBy(*KEY).agg(F.max_by("counter", F.struct(*ORDER)).alias("last"))
-    counter = F.coalesce("last", F.lit(0))
-    return waitgroups.join(last, KEY, "left").select(
+    ends = running_balance(past, KEY, ORDER, F.col("delta")).groupBy(*KEY).agg(
+        F.sum("delta").alias("sum"), F.min("total").alias("low"))
+    counter = F.coalesce(F.col("sum") - F.least(F.lit(0), F.col("low")), F.lit(0))
+    return waitgroups.join(ends, KEY, "left").select(
         *KEY, counter.alias("counter"), F.when(counter <= 0, "Done").otherwise("Waiting").alias("phase"))
 
 

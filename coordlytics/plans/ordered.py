@@ -21,7 +21,9 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -179,18 +181,14 @@ def _combine(spec: Prefix, local: str, carry: str) -> Column:
 
 
 def running_balance(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    delta: Column,
-    total: str = "total",
-    floor: str = "floor",
-    large: bool | None = None,
+    df: DataFrame, keys: list[str], order: list[str], delta: Column, large: bool | None = None
 ) -> DataFrame:
-    """Prefix sum of ``delta`` and the minimum of that prefix sum so far.
+    """Prefix sum of ``delta`` and the minimum of that prefix sum, in one pass.
 
-    ``total - least(0, floor)`` is the sum clamped at zero on every step. Blocks compose: a
-    block is described by its sum and its lowest prefix, both relative to its start.
+    Adds total, floor (lowest total so far), floor_before (the same without the current row)
+    and ups (positive steps so far). ``total - least(0, floor)`` is the sum clamped at zero on
+    every step. Blocks compose: a block is described by its sum, its lowest prefix relative to
+    its start and its positive steps.
     """
     step = df.withColumn("__d", delta.cast("long"))
     if large is None:
@@ -198,25 +196,31 @@ def running_balance(
     grouping = keys
     if large:
         step, grouping = blocks_of(step, keys, order), [*keys, BLOCK]
-    frame = _window(grouping, order, False).rowsBetween(W.unboundedPreceding, 0)
-    local = step.withColumn(total, F.sum("__d").over(frame)).withColumn(floor, F.min(total).over(frame))
+    rows = _window(grouping, order, False)
+    upto, earlier = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(W.unboundedPreceding, -1)
+    up = F.when(F.col("__d") > 0, 1).otherwise(0)
+    local = (
+        step.withColumns({"total": F.sum("__d").over(upto), "ups": F.sum(up).over(upto)})
+        .withColumns({"floor": F.min("total").over(upto), "floor_before": F.min("total").over(earlier)}))
     if not large:
         return local.drop("__d")
-    totals = local.groupBy(*grouping).agg(F.sum("__d").alias("__s"), F.min(floor).alias("__m"))
+    totals = local.groupBy(*grouping).agg(
+        F.sum("__d").alias("__s"), F.min("floor").alias("__m"), F.max("ups").alias("__u"))
     before = _window(keys, [BLOCK], False).rowsBetween(W.unboundedPreceding, -1)
     carries = (
-        totals.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-        .filter("__n > 1")
+        totals.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter("__n > 1")
         .withColumn("__cs", F.coalesce(F.sum("__s").over(before), F.lit(0)))
         .withColumn("__cm", F.min(F.col("__cs") + F.col("__m")).over(before))
-        .select(*keys, BLOCK, "__cs", "__cm")
-    )
+        .withColumn("__cu", F.coalesce(F.sum("__u").over(before), F.lit(0)))
+        .select(*keys, BLOCK, "__cs", "__cm", "__cu"))
     joined = local.join(F.broadcast(carries), grouping, "left")
     start = F.coalesce("__cs", F.lit(0))
     return joined.select(
         *df.columns,
-        (F.col(total) + start).alias(total),
-        F.least(F.col(floor) + start, "__cm").alias(floor),
+        (F.col("total") + start).alias("total"),
+        (F.col("ups") + F.coalesce("__cu", F.lit(0))).alias("ups"),
+        F.least(F.col("floor") + start, "__cm").alias("floor"),
+        F.least(F.col("floor_before") + start, "__cm").alias("floor_before"),
     )
 
 
@@ -274,49 +278,76 @@ def ordered_fold(
     return stored.mapInArrow(_runner(fold, len(keys), schema, entries, continuing), schema)
 
 
-def _batches_to_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+def _plain_values(column: pa.Array) -> list:
+    """A column as Python values, by the cheapest route its type allows."""
+    if column.null_count:
+        return column.to_pylist()
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().tolist()
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        return [words[i] for i in coded.indices.to_numpy().tolist()]
+    return column.to_pylist()
+
+
+def _stretches(batches: Iterable[pa.RecordBatch], n_keys: int, n_inputs: int) -> Iterator[tuple]:
+    """(key, block, rows) for every run of one key inside a batch; block is None when absent.
+
+    Keys are compared as whole columns, so the loop over rows only touches the fold's inputs.
+    """
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
+        n = batch.num_rows
+        if n == 0:
+            continue
+        changes = np.zeros(n - 1, dtype=bool)
+        for column in batch.columns[:n_keys]:
+            differs = pc.not_equal(column.slice(1), column.slice(0, n - 1))
+            changes |= pc.fill_null(differs, True).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
+        rows = list(zip(*[_plain_values(c) for c in batch.columns[n_keys : n_keys + n_inputs]]))
+        tagged = batch.num_columns > n_keys + n_inputs
+        block = batch.column(batch.num_columns - 1)[0].as_py() if tagged else None
+        for low, high in zip(cuts, cuts[1:]):
+            key = tuple(c[low].as_py() for c in batch.columns[:n_keys])
+            yield key, block, rows[low:high]
 
 
 def _runner(fold, n_keys, schema, entries=None, continuing=frozenset()):
     arrow_schema = to_arrow_schema(schema)
-    stop = n_keys + len(fold.inputs)
 
     def run(batches):
         out: list[tuple] = []
+        emit, step = out.append, fold.step
+        keys: list[tuple] = []
         key, state, block = None, None, None
 
+        def keep_keys():
+            keys.extend([key] * (len(out) - len(keys)))
+
         def flush():
-            columns = list(zip(*out))
+            columns = [*zip(*keys), *zip(*out)]
             arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow_schema)]
+            keys.clear()
             out.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
-        def close():
-            if key is not None and block not in continuing:
-                fold.finish(state, emit)
-
-        def emit(values):
-            out.append(key + values)
-
-        for batch in batches:
-            for row in _batches_to_rows([batch]):
-                row_key = row[:n_keys]
-                if row_key != key:
-                    if key is not None:
-                        fold.finish(state, emit)
-                    key = row_key
-                    if entries is not None and block is None and row[-1] in entries:
-                        state = pickle.loads(entries[row[-1]])
-                    else:
-                        state = fold.start()
-                if entries is not None:
-                    block = row[-1]
-                state = fold.step(state, row[n_keys:stop], emit)
+        for row_key, row_block, rows in _stretches(batches, n_keys, len(fold.inputs)):
+            if row_key != key:
+                if key is not None:
+                    fold.finish(state, emit)
+                    keep_keys()
+                entered = entries.get(row_block) if entries and key is None else None
+                state = fold.start() if entered is None else pickle.loads(entered)
+                key, block = row_key, row_block
+            for row in rows:
+                state = step(state, row, emit)
+            keep_keys()
             if len(out) >= 10_000:
                 yield flush()
-        close()
+        if key is not None and block not in continuing:
+            fold.finish(state, emit)
+            keep_keys()
         if out:
             yield flush()
 
@@ -332,22 +363,21 @@ def _edges(fold, n_keys, candidates):
     All candidates of a block advance together in one pass over its rows. A block whose last
     key began inside it leaves with the same state whatever came in.
     """
-    stop = n_keys + len(fold.inputs)
-
     def run(batches):
         first, key, states, given, block = None, None, [], [], None
-        for row in _batches_to_rows(batches):
-            row_key = row[:n_keys]
+        for row_key, row_block, rows in _stretches(batches, n_keys, len(fold.inputs)):
             if row_key != key:
                 if first is None:
-                    first, block = row_key, row[-1]
+                    first, block = row_key, row_block
                     given = candidates.get(block) or [pickle.dumps(fold.start())]
                     states = [pickle.loads(g) for g in given]
                 else:
                     states, given = [fold.start()], given[:1]
                 key = row_key
-            values = row[n_keys:stop]
-            states = [fold.step(s, values, _ignore) for s in states]
+            for i, state in enumerate(states):
+                for row in rows:
+                    state = fold.step(state, row, _ignore)
+                states[i] = state
         if key is not None:
             n = len(states)
             columns = [[block] * n, [repr(first)] * n, [repr(key)] * n, given, [pickle.dumps(s) for s in states]]
