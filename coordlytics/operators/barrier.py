@@ -8,7 +8,7 @@ from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import Prefix, has_large_group, ordered_scan
+from coordlytics.plans.ordered import Prefix, co_located, has_large_group, ordered_scan
 
 def required():
     return F.coalesce("quorum", "expected").alias("required")
@@ -49,19 +49,23 @@ def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """
     large = has_large_group(arrivals, ["ns", "barrier"])
     spec = barriers.select(*KEY, "created_at", "expected", "quorum", required(), deadline())
-    ranked = barrier_arrivals(arrivals, large).select(*KEY, "position", "arrived_at")
+    ranked = barrier_arrivals(arrivals, large).select(*KEY, "position", "arrived_at", "holder")
     if large:
         arrived = first_arrivals(arrivals).groupBy(*KEY).agg(F.count(F.lit(1)).alias("arrived"))
-        nth = ranked.select(*KEY, F.col("position").alias("required"), F.col("arrived_at").alias("nth"))
+        nth = ranked.select(
+            *KEY, F.col("position").alias("required"), F.col("arrived_at").alias("nth"), F.col("holder").alias("last_holder"))
         counted = (
             spec.join(arrived, KEY, "left").withColumn("arrived", F.coalesce("arrived", F.lit(0)))
             .join(nth, [*KEY, "required"], "left"))
     else:
         counted = spec.join(ranked, KEY, "left").groupBy(*spec.columns).agg(
             F.count("position").alias("arrived"),
-            F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).alias("nth"))
+            F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).alias("nth"),
+            F.max(F.when(F.col("position") == F.col("required"), F.col("holder"))).alias("last_holder"))
     in_time = F.col("nth").isNotNull() & (F.col("deadline").isNull() | (F.col("nth") <= F.col("deadline")))
-    return counted.withColumn("opened_at", F.when(in_time, F.greatest("nth", "created_at"))).drop("nth")
+    return counted.withColumns({
+        "opened_at": F.when(in_time, F.greatest("nth", "created_at")),
+        "last_holder": F.when(in_time, F.col("last_holder"))}).drop("nth")
 
 
 def barrier_status(barriers: DataFrame, arrivals: DataFrame, as_of: str) -> DataFrame:
@@ -99,8 +103,9 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
         steps.select(*KEY, F.greatest("ts", "created_at").alias("ts"), F.lit(0).alias("rank"), "delta", "required", "deadline")
         .unionByName(spec.select(*KEY, F.col("created_at").alias("ts"), F.lit(0).alias("rank"), still, "required", "deadline"))
         .unionByName(spec.filter("deadline is not null").select(
-            *KEY, F.col("deadline").alias("ts"), F.lit(1).alias("rank"), still, "required", "deadline"))
-        .groupBy(*KEY, "ts", "rank", "required", "deadline").agg(F.sum("delta").alias("delta")))
+            *KEY, F.col("deadline").alias("ts"), F.lit(1).alias("rank"), still, "required", "deadline")))
+    rows = co_located(rows, KEY, large).groupBy(*KEY, "ts", "rank", "required", "deadline").agg(
+        F.sum("delta").alias("delta"))
     order = ["ts", "rank"]
     counted = ordered_scan(rows, KEY, order, {"arrived": Prefix("sum", F.col("delta"))}, large)
     reached = F.col("arrived") >= F.col("required")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import expiry, instant, permit_live, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import Prefix, has_large_group, ordered_scan, running_balance
+from coordlytics.plans.ordered import Prefix, co_located, has_large_group, ordered_scan, running_balance
 
 
 def semaphore_status(semaphores: DataFrame, permits: DataFrame, as_of: str) -> DataFrame:
@@ -68,14 +68,15 @@ def permit_intervals(events: DataFrame) -> DataFrame:
 def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str = "ended_at") -> DataFrame:
     """Permits in use after every change.
 
-    Changes of one instant are summed before the shuffle, so ends and starts at a tie cancel
-    and a burst of simultaneous changes is a single row.
+    Changes of one instant are summed first, so ends and starts at a tie cancel and a burst of
+    simultaneous changes is a single row.
     """
+    large = has_large_group(intervals, KEY)
     steps = intervals.select(*KEY, F.explode(F.array(
         F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
-        F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s"))
-    net = steps.filter("s.ts is not null").groupBy(*KEY, F.col("s.ts").alias("ts")).agg(F.sum("s.d").alias("d"))
-    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}, has_large_group(intervals, KEY))
+        F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s")).filter("s.ts is not null")
+    net = co_located(steps, KEY, large).groupBy(*KEY, F.col("s.ts").alias("ts")).agg(F.sum("s.d").alias("d"))
+    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}, large)
     return level.filter("d <> 0").drop("d")
 
 

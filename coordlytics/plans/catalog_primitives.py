@@ -92,12 +92,6 @@ def stages(t: Tables) -> DataFrame:
         "'default' as ns", "cast(o_custkey as string) as pipeline", "o_orderkey as stage", "cast(o_orderkey as string) as name")
 
 
-def opened_with_last(t: Tables) -> DataFrame:
-    needed = barrier.barrier_arrivals(t.arrivals()).select("ns", "name", F.col("position").alias("required"), F.col("holder").alias("last_holder"))
-    return opened(t).join(needed, ["ns", "name", "required"], "left").select(
-        "ns", "name", "opened_at", F.when(F.col("opened_at").isNotNull(), F.col("last_holder")).alias("last_holder"))
-
-
 def condition_times(t: Tables) -> DataFrame:
     """When each barrier condition of a gate came true."""
     barriers = gate.exploded_conditions(t.gates()).filter("type = 'Barrier'")
@@ -433,7 +427,7 @@ ENTRIES: dict[str, Entry] = {
                   from ranked_arrivals a join opened o on o.name = a.barrier where o.opened_at is not null and a.pos <= o.required)
             group by name"""),
     "stage_chain": entry(
-        lambda t: barrier.stage_chain(stages(t), opened_with_last(t)),
+        lambda t: barrier.stage_chain(stages(t), opened(t).select("ns", "name", "opened_at", "last_holder")),
         f"""select {NS}, pipeline, stage, name, started_at, opened_at as ended_at, coalesce(missing, 0) > 0 as blocked,
               case when coalesce(missing, 0) = 0 then {secs('started_at', 'opened_at')} end as stage_seconds, last_holder as critical_holder
             from (select o_custkey::varchar as pipeline, o_orderkey as stage, b.name, b.opened_at,

@@ -64,6 +64,14 @@ def has_large_group(df: DataFrame, keys: list[str]) -> bool:
     return largest_group(df, keys) > max_group_rows(df)
 
 
+def co_located(df: DataFrame, keys: list[str], large: bool) -> DataFrame:
+    """Rows of a key in one partition, so that sums and windows on it share one shuffle.
+
+    With a large key rows stay where they are and sums are taken before they move.
+    """
+    return df if large else df.repartition(*keys)
+
+
 def blocks_of(df: DataFrame, keys: list[str], order: list[str], sort: bool = False) -> DataFrame:
     """Rows range-partitioned on (key, order) with their block number, stored once."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
