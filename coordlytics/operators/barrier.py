@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
@@ -18,6 +18,12 @@ def deadline():
     return (F.col("created_at") + F.col("timeout")).alias("deadline")
 
 
+def opening():
+    """The required-th arrival ``nth``, if it came in time; not before the barrier existed."""
+    in_time = F.col("deadline").isNull() | (F.col("nth") <= F.col("deadline"))
+    return F.when(F.col("nth").isNotNull() & in_time, F.greatest("nth", "created_at"))
+
+
 def first_arrivals(arrivals: DataFrame) -> DataFrame:
     """A holder arrives once, at its earliest record; its lowest seq breaks ties between holders.
 
@@ -39,7 +45,7 @@ def barrier_arrivals(arrivals: DataFrame, large: bool | None = None) -> DataFram
     return ranked.select(*KEY, F.col("position").cast("long").alias("position"), "holder", "arrived_at", "seq")
 
 
-def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
+def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame, large: bool | None = None) -> DataFrame:
     """B2: when the required-th distinct arrival came, if not after the deadline.
 
     Arrivals older than the barrier count from its creation on. With small barriers the ranked
@@ -47,7 +53,7 @@ def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     the specs. With a large one its rows must not meet in one task: counts are partial sums and
     the required-th arrival is joined on (barrier, position), which is unique.
     """
-    large = has_large_group(arrivals, ["ns", "barrier"])
+    large = has_large_group(arrivals, ["ns", "barrier"]) if large is None else large
     spec = barriers.select(*KEY, "created_at", "expected", "quorum", required(), deadline())
     ranked = barrier_arrivals(arrivals, large).select(*KEY, "position", "arrived_at", "holder")
     if large:
@@ -62,10 +68,8 @@ def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
             F.count("position").alias("arrived"),
             F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).alias("nth"),
             F.max(F.when(F.col("position") == F.col("required"), F.col("holder"))).alias("last_holder"))
-    in_time = F.col("nth").isNotNull() & (F.col("deadline").isNull() | (F.col("nth") <= F.col("deadline")))
-    return counted.withColumns({
-        "opened_at": F.when(in_time, F.greatest("nth", "created_at")),
-        "last_holder": F.when(in_time, F.col("last_holder"))}).drop("nth")
+    return counted.withColumn("opened_at", opening()).withColumn(
+        "last_holder", F.when(F.col("opened_at").isNotNull(), F.col("last_holder"))).drop("nth")
 
 
 def barrier_status(barriers: DataFrame, arrivals: DataFrame, as_of: str) -> DataFrame:
@@ -126,10 +130,18 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
 
 def barrier_waits(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """How long each holder waited for the opening, and who the stragglers were."""
-    opened = barrier_opened_at(barriers, arrivals).filter("opened_at is not null").select(*KEY, "opened_at", "required")
-    ranked = barrier_arrivals(arrivals).join(opened, KEY)
+    large = has_large_group(arrivals, ["ns", "barrier"])
+    ranked = barrier_arrivals(arrivals, large)
+    if large:
+        opened = barrier_opened_at(barriers, arrivals, large).select(*KEY, "required", "opened_at")
+        timed = ranked.join(opened, KEY)
+    else:
+        # the rows of a barrier are together already, so a window hands its opening to all of them
+        spec = barriers.select(*KEY, "created_at", required(), deadline())
+        nth = F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).over(W.partitionBy(*KEY))
+        timed = ranked.join(spec, KEY).withColumn("nth", nth).withColumn("opened_at", opening())
     wait = F.greatest(F.lit(0), seconds_between("arrived_at", "opened_at"))
-    return ranked.select(
+    return timed.filter("opened_at is not null").select(
         *KEY, "holder", "position", wait.alias("wait_seconds"),
         (F.col("position") == F.col("required")).alias("is_last_needed"),
         (F.col("position") > F.col("required")).alias("late"))

@@ -308,3 +308,15 @@ def test_labels(spark):
     df = spark.createDataFrame([("default", "a", {"barrier": "b"}), ("default", "c", {"barrier": "x"}), ("other", "a", {"barrier": "b"})], "ns string, barrier string, labels map<string,string>")
     assert relations.list_kind(df, "default", {"barrier": "b"}).count() == 1
     assert got(relations.label_spec_mismatch(df, "barrier"), "barrier") == [("a",), ("a",), ("c",)]
+
+
+def test_rules_of_child_and_status_rows(spark):
+    arrivals = spark.createDataFrame([("default", "a", "b", "x" * 253), ("default", "c", None, "x" * 254), ("default", "d", "y" * 64, "")], "ns string, name string, barrier string, holder string")
+    assert got(validate.validate_specs(arrivals, "arrival"), "name", "rule") == [
+        ("c", "barrier_required"), ("c", "holder_length"), ("d", "barrier_length"), ("d", "holder_length")]
+    requests = spark.createDataFrame([("default", "r", "l", "h", -1, "5x")], "ns string, name string, lease string, holder string, priority int, ttl string")
+    assert got(validate.validate_specs(requests, "lease_request"), "rule") == [("priority_min",), ("ttl_duration",)]
+    semaphores = spark.createDataFrame([("default", "s", 0), ("default", "t", None), ("default", "u", 1)], "ns string, name string, permits int")
+    assert got(validate.validate_specs(semaphores, "semaphore"), "name", "rule") == [("s", "permits_min"), ("t", "permits_required")]
+    counted = spark.createDataFrame([("default", "w", -1)], "ns string, name string, counter long")
+    assert got(validate.validate_specs(counted, "waitgroup_status"), "rule") == [("counter_min",)]

@@ -11,7 +11,7 @@ from coordlytics.operators.rwmutex import rwmutex_replay
 from coordlytics.operators.semaphore import in_use_timeline, permit_intervals
 from coordlytics.operators.waitgroup import waitgroup_counter
 from coordlytics.plans.ordered import BLOCK, Prefix, blocks_of, ordered_scan, running_balance
-from helpers import LOCK_OPS, T0, at, got, stamp
+from helpers import at, got
 
 
 def skewed(n=900, seed=7):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coordlytics.functions.columns import parse_durations
-from coordlytics.operators import barrier, gate, lease, mutex, rwmutex, semaphore, validate, waitgroup
+from coordlytics.operators import barrier, lease, mutex, rwmutex, semaphore, validate, waitgroup
 from coordlytics.operators.relations import where_condition
 from coordlytics.sources.specs import EVENT_SCHEMA, read_events, typed
 from coordlytics.streaming import runtime, streams
