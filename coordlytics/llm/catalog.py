@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import mixing, quality_rules, token_counts, url_filter
+from coordlytics.llm import minhash, mixing, quality_rules, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,26 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
 
+def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 SQL: dict[str, str] = {
+    "op10_minhash_near_duplicates": r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM split),
+items AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.x = b.x AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT id, id AS other FROM sets UNION SELECT l.b, r.other FROM reach r JOIN links l ON l.a = r.id),
+lowest AS (SELECT r.id, min(o.doc_id) AS component_id FROM reach r JOIN sets o ON o.id = r.other GROUP BY r.id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN lowest USING (id)""",
     "op1_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -88,4 +107,5 @@ FROM parts LEFT JOIN best USING (id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op9_url_filter)}
+    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op9_url_filter,
+                              op10_minhash_near_duplicates)}
