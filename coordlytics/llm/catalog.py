@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import minhash, mixing, quality_rules, token_counts, url_filter
+from coordlytics.llm import minhash, mixing, quality_rules, repeats, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ URL_RULES = [
 ]
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), span=35)
+    return left.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
@@ -48,6 +53,21 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT id, i, array_to_string(w[i:i + 34], ' ') AS x FROM (SELECT id, w, unnest(range(1, len(w) - 33)) AS i FROM split)),
+again AS (SELECT md5(x) AS m FROM windows GROUP BY 1 HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT id, unnest(range(i, i + 35)) AS p FROM windows JOIN again ON md5(x) = m),
+lost AS (SELECT id, count(*) AS n, list(p) AS ps FROM gone GROUP BY id),
+kept AS (
+  SELECT s.id, string_agg(s.x, ' ' ORDER BY s.p) AS t
+  FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM split) s
+  LEFT JOIN gone g ON g.id = s.id AND g.p = s.p WHERE g.p IS NULL GROUP BY s.id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM split LEFT JOIN lost l USING (id) LEFT JOIN kept k USING (id)""",
     "op10_minhash_near_duplicates": r"""
 WITH RECURSIVE split AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -107,5 +127,5 @@ FROM parts LEFT JOIN best USING (id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op9_url_filter,
+    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op9_url_filter,
                               op10_minhash_near_duplicates)}
