@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import minhash, mixing, quality_rules, repeats, token_counts, url_filter
+from coordlytics.llm import minhash, mixing, quality_rules, repeats, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
@@ -127,5 +131,5 @@ FROM parts LEFT JOIN best USING (id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op9_url_filter,
+    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op6_toxicity, op9_url_filter,
                               op10_minhash_near_duplicates)}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEX_DIGITS = 4  # 65,536 buckets
+HEX_DIGITS = 3  # 4,096 buckets
 
 
 def shuffled_key(*columns: Column) -> Column:

@@ -76,6 +76,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    sums: np.ndarray  # of the hashed bytes, for hashes of parts of words
 
     @property
     def counts(self) -> np.ndarray:
@@ -107,7 +108,13 @@ class Reader:
         np.cumsum(self.alphabet[data] * up[:n], out=sums[1:])
         hashes = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
         first = np.searchsorted(start, offsets) if docs else np.zeros(1, np.int64)
-        return Words(data, offsets, start, end, first.astype(np.int64), hashes)
+        return Words(data, offsets, start, end, first.astype(np.int64), hashes, sums)
+
+    def beginnings(self, words: Words, width: int) -> np.ndarray:
+        """Hash of the first ``width`` bytes of every word, of the whole word if it is shorter."""
+        _, down = self.powers.upto(len(words.data) + 1)
+        end = np.minimum(words.end, words.start + width)
+        return mixed((words.sums[end] - words.sums[words.start]) * down[words.start] + np.uint64(width))
 
     def windows(self, hashes: np.ndarray, width: int) -> np.ndarray:
         """Hash of every run of ``width`` neighbouring entries, text borders not regarded."""
