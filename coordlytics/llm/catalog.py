@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import minhash, mixing, quality_rules, repeats, token_counts, toxicity, url_filter
+from coordlytics.llm import embeddings, minhash, mixing, quality_rules, repeats, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
@@ -57,6 +61,20 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op7_embedding_near_duplicates": r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS id, vec_id, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.ok AND b.ok AND a.label = b.label AND a.id <> b.id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT id, id AS other FROM v UNION SELECT l.b, r.other FROM reach r JOIN links l ON l.a = r.id),
+lowest AS (SELECT r.id, min(o.vec_id) AS component_id FROM reach r JOIN v o ON o.id = r.other GROUP BY r.id)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN lowest USING (id) LEFT JOIN counts USING (id)""",
     "op5_substring_dedup": r"""
 WITH split AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -131,5 +149,5 @@ FROM parts LEFT JOIN best USING (id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op6_toxicity, op9_url_filter,
+    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op6_toxicity, op7_embedding_near_duplicates, op9_url_filter,
                               op10_minhash_near_duplicates)}
