@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import embeddings, minhash, mixing, quality_rules, repeats, token_counts, toxicity, url_filter
+from coordlytics.llm import embeddings, minhash, mixing, quality_rules, repeats, sentencepiece_codec, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = sentencepiece_codec.coded(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return coded.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids", "decoded_sha256", "round_trip")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=("page_id",))
 
@@ -149,5 +157,5 @@ FROM parts LEFT JOIN best USING (id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op6_toxicity, op7_embedding_near_duplicates, op9_url_filter,
-                              op10_minhash_near_duplicates)}
+    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op6_toxicity, op7_embedding_near_duplicates,
+                              op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates)}
