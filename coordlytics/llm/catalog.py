@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import embeddings, minhash, mixing, quality_rules, repeats, sentencepiece_codec, token_counts, toxicity, url_filter
+from coordlytics.llm import embeddings, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ URL_RULES = [
 ]
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"), 16, ["doc_id"]).select(
+        F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), span=35)
     return left.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -157,5 +163,6 @@ FROM parts LEFT JOIN best USING (id)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_token_counts, op5_substring_dedup, op6_toxicity, op7_embedding_near_duplicates,
-                              op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates)}
+    f.__name__: f for f in (
+        op1_mix_sources, op2_quality_rules, op3_token_counts, op4_shards, op5_substring_dedup, op6_toxicity,
+        op7_embedding_near_duplicates, op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates)}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEX_DIGITS = 3  # 4,096 buckets
+HEX_DIGITS = 3  # of the key: 4,096 buckets
 
 
 def shuffled_key(*columns: Column) -> Column:
@@ -18,17 +18,18 @@ def shuffled_key(*columns: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]))
 
 
-def bucket_of(key: Column) -> Column:
-    return F.conv(F.substring(key, 1, HEX_DIGITS), 16, 10).cast("int")
+def bucket_of(key: Column, digits: int = HEX_DIGITS) -> Column:
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
-def running(df: DataFrame, group: list[str], key: str, order: list[str], value: str, out: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], key: str, order: list[str], value: str, out: str,
+            digits: int = HEX_DIGITS) -> DataFrame:
     """``out``: the sum of ``value`` over the group's rows up to this one, by (key, order).
 
-    ``key`` is a `shuffled_key`. Columns named ``__bucket`` and ``__before`` must not exist. Rows that agree
+    ``key`` is a `shuffled_key` or another number in hexadecimal digits, of which the first ``digits`` make the buckets. Columns named ``__bucket`` and ``__before`` must not exist. Rows that agree
     in key and order are ordered arbitrarily.
     """
-    keyed = df.withColumn("__bucket", bucket_of(F.col(key)))
+    keyed = df.withColumn("__bucket", bucket_of(F.col(key), digits))
     totals = keyed.groupBy(*group, "__bucket").agg(F.sum(value).alias("__total"))
     earlier = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
