@@ -71,7 +71,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.drop("text_md5")
 
 
 SQL: dict[str, str] = {

@@ -198,7 +198,7 @@ def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept and text_md5 of every row.
 
     ``width`` words make a shingle; sets are linked from ``percent`` percent of shared shingles on. One link
     is confirmed between a set and every component it belongs to, copies are not paired.
@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "sid", "low", F.coalesce("component", "sid").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of_set = stored(named.join(lowest, "component").select(F.col("sid").alias("s"), "component_id"), "components")
-    joined = sketched.select("doc_id", "n", "sid").join(of_set, F.col("sid") == F.col("s"), "left")
+    joined = sketched.select("doc_id", "tid", "n", "sid").join(of_set, F.col("sid") == F.col("s"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("tid").alias("text_md5"))

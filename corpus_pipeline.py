@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over the documents, each run on all that the one before has kept."""
+"""The corpus pipeline: stages over the documents, each run on all that the one before has kept.
+
+Every stage passes on all columns of its input. Defined cases: an empty table stays empty; a
+document with a null or empty text fails the quality rules; documents without an id cannot be told apart
+and are only dropped as near duplicates of one that has an id; repeated rows of the document that is
+kept stay together; what loses all its words to substring dedup stays with an empty text and
+is not taken by the mix, which takes words.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +14,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import mixing, quality_rules
+from coordlytics.llm import minhash, mixing, quality_rules, repeats, sentencepiece_codec
 from coordlytics.llm.store import stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SPAN = 35  # words that may not occur twice
+SHINGLE, SIMILARITY = 5, 80  # words, percent
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules.judged(docs, labels, list(COLUMNS))
-    return judged.filter("kept").select("row.*")
+    return quality_rules.judged(docs, labels).filter("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates."""
+    found = minhash.near_duplicates(docs, width=SHINGLE, percent=SIMILARITY)
+    gone = stored(found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_text")).distinct(), "near-duplicates")
+    same = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.unhex(F.md5(F.col("row.text"))) == F.col("gone_text"))
+    return docs.select(F.struct("*").alias("row")).join(gone, same, "left_anti").select("row.*")
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that occur anywhere else."""
+    left = repeats.without_repeats(docs, span=SPAN, give_text=True)
+    columns = []
+    for name in docs.columns:
+        if name == "text":
+            columns.append(F.col("text"))
+        elif name == "n_chars":
+            columns.append(F.char_length("text").cast(docs.schema[name].dataType).alias(name))
+        else:
+            columns.append(F.col(f"row.`{name}`").alias(name))
+    return left.select(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The weighted mix of the sources; a document that is taken repeatedly has as many rows."""
-    return mixing.mixed_documents(docs.select(*COLUMNS))
+    return mixing.mixed_documents(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document of the mix, in its order."""
+    import public_tokenizers
+
+    coded = sentencepiece_codec.coded(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id", "source"])
+    return coded.select("row.*", "n_tokens", "ids", "decoded_sha256", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", rules), ("mixing sources", mix)]
+    ("quality rules", quality), ("near duplicates", near_duplicates), ("substring dedup", substrings),
+    ("mixing sources", mix), ("pieces", pieces)]
 
 ORACLE_SQL = None  # learned rules and tokenizer pieces have no SQL
 
