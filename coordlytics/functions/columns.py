@@ -11,6 +11,7 @@ UNIT_NANOS = {
     "ns": 1, "us": 1_000, "µs": 1_000, "ms": 1_000_000,
     "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000,
 }
+LONGEST = 9_200_000_000_000_000_000_000  # nanoseconds
 DEFAULT_TTL = "make_dt_interval(0, 0, 10)"
 DEFAULT_WAIT = "make_dt_interval(0, 0, 0, 30)"
 DEFAULT_NAMESPACE = "default"
@@ -19,19 +20,27 @@ DEFAULT_NAMESPACE = "default"
 def duration_micros(text: Column) -> Column:
     """Whole microseconds of a duration text, null when it is malformed; finer parts truncate."""
     unit = lambda part: F.regexp_extract(part, r"[a-zµ]+$", 0)
-    number = lambda part: F.regexp_extract(part, r"^[0-9.]+", 0).cast("decimal(20,9)")
+    number = lambda part: F.regexp_extract(part, r"^[0-9.]+", 0)
 
     def nanos(part):
-        factor = F.lit(None).cast("decimal(15,0)")
+        # digits in front of the point and behind it apart: nothing that fits the result overflows on the way
+        whole = F.substring_index(number(part), ".", 1).try_cast("decimal(22,0)")
+        # null without a fraction, and digits behind the ninth are below any unit's nanosecond
+        rest = F.rpad(F.substring(F.regexp_extract(number(part), r"\.([0-9]+)", 1), 1, 13), 13, "0").cast("decimal(13,0)")
+        out = F.lit(None).cast("decimal(38,0)")
         for name, n in UNIT_NANOS.items():
-            factor = F.when(unit(part) == name, F.lit(n).cast("decimal(15,0)")).otherwise(factor)
-        return (number(part) * factor).cast("decimal(38,9)")
+            factor = F.lit(n).cast("decimal(14,0)")
+            whole_part = F.try_multiply(whole, factor).try_cast("decimal(36,0)")
+            rest_part = F.floor(rest * factor / F.lit(10**13).cast("decimal(14,0)")).cast("decimal(36,0)")
+            out = F.when(unit(part) == name, F.try_add(whole_part, rest_part).try_cast("decimal(38,0)")).otherwise(out)
+        return out
 
     parts = F.regexp_extract_all(text, F.lit(DURATION_PART), 1)
     total = F.aggregate(
-        parts, F.lit(0).cast("decimal(38,9)"), lambda acc, p: (acc + nanos(p)).cast("decimal(38,9)")
-    )
-    return F.when(text.rlike(DURATION_PATTERN), F.floor(total / 1000).cast("long"))
+        parts, F.lit(0).cast("decimal(38,0)"), lambda acc, p: F.try_add(acc, nanos(p)).try_cast("decimal(38,0)"))
+    micros = F.floor(F.try_divide(total, F.lit(1000)))
+    # longer than an interval can hold is no duration
+    return F.when(text.rlike(DURATION_PATTERN) & (total < F.lit(str(LONGEST)).cast("decimal(38,0)")), micros.try_cast("long"))
 
 
 def micros_interval(micros: Column) -> Column:
@@ -42,10 +51,11 @@ def micros_interval(micros: Column) -> Column:
 
 
 def parse_durations(df: DataFrame, col: str) -> DataFrame:
-    """V1: adds ``<col>_interval`` and ``<col>_valid``; a null text is valid and has no interval."""
+    """V1: adds ``<col>_interval`` and ``<col>_valid``; a null text is valid and has no interval, one beyond any
+    interval is invalid."""
     return df.withColumns({
         f"{col}_interval": micros_interval(duration_micros(F.col(col))),
-        f"{col}_valid": F.col(col).isNull() | F.col(col).rlike(DURATION_PATTERN),
+        f"{col}_valid": F.col(col).isNull() | duration_micros(F.col(col)).isNotNull(),
     })
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import Prefix, co_located, has_large_group, ordered_scan
+from coordlytics.plans.ordered import BUCKET, Prefix, bucketed, ordered_scan
+
 
 def required():
     return F.coalesce("quorum", "expected").alias("required")
@@ -33,41 +34,31 @@ def first_arrivals(arrivals: DataFrame) -> DataFrame:
         F.min("arrived_at").alias("arrived_at"), F.min("seq").alias("seq"))
 
 
-def barrier_arrivals(arrivals: DataFrame, large: bool | None = None) -> DataFrame:
+def barrier_arrivals(arrivals: DataFrame) -> DataFrame:
     """Holders in order of arrival, one row per position.
 
     The list is kept as rows, because an array per barrier could not hold a very large fan-in.
     """
-    large = has_large_group(arrivals, ["ns", "barrier"]) if large is None else large
     ranked = ordered_scan(
         first_arrivals(arrivals), KEY, ["arrived_at", "seq", "holder"],
-        {"position": Prefix("sum", F.lit(1))}, large)
+        {"position": Prefix("sum", F.lit(1))})
     return ranked.select(*KEY, F.col("position").cast("long").alias("position"), "holder", "arrived_at", "seq")
 
 
-def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame, large: bool | None = None) -> DataFrame:
+def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """B2: when the required-th distinct arrival came, if not after the deadline.
 
-    Arrivals older than the barrier count from its creation on. With small barriers the ranked
-    arrivals are already partitioned by barrier, so joining the specs and counting moves only
-    the specs. With a large one its rows must not meet in one task: counts are partial sums and
-    the required-th arrival is joined on (barrier, position), which is unique.
+    Arrivals older than the barrier count from its creation on. Counts are partial sums and the required-th
+    arrival is joined on (barrier, position), which is unique, so the rows of a barrier never meet in one task.
     """
-    large = has_large_group(arrivals, ["ns", "barrier"]) if large is None else large
     spec = barriers.select(*KEY, "created_at", "expected", "quorum", required(), deadline())
-    ranked = barrier_arrivals(arrivals, large).select(*KEY, "position", "arrived_at", "holder")
-    if large:
-        arrived = first_arrivals(arrivals).groupBy(*KEY).agg(F.count(F.lit(1)).alias("arrived"))
-        nth = ranked.select(
-            *KEY, F.col("position").alias("required"), F.col("arrived_at").alias("nth"), F.col("holder").alias("last_holder"))
-        counted = (
-            spec.join(arrived, KEY, "left").withColumn("arrived", F.coalesce("arrived", F.lit(0)))
-            .join(nth, [*KEY, "required"], "left"))
-    else:
-        counted = spec.join(ranked, KEY, "left").groupBy(*spec.columns).agg(
-            F.count("position").alias("arrived"),
-            F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).alias("nth"),
-            F.max(F.when(F.col("position") == F.col("required"), F.col("holder"))).alias("last_holder"))
+    ranked = barrier_arrivals(arrivals)
+    arrived = ranked.groupBy(*KEY).agg(F.max("position").alias("arrived"))
+    nth = ranked.select(
+        *KEY, F.col("position").alias("required"), F.col("arrived_at").alias("nth"), F.col("holder").alias("last_holder"))
+    counted = (
+        spec.join(arrived, KEY, "left").withColumn("arrived", F.coalesce("arrived", F.lit(0)))
+        .join(nth, [*KEY, "required"], "left"))
     return counted.withColumn("opened_at", opening()).withColumn(
         "last_holder", F.when(F.col("opened_at").isNotNull(), F.col("last_holder"))).drop("nth")
 
@@ -86,8 +77,7 @@ def barrier_status(barriers: DataFrame, arrivals: DataFrame, as_of: str) -> Data
 
 def barrier_missing(roster: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Expected holders that have not arrived."""
-    came = arrivals.select("ns", "barrier", "holder").distinct()
-    return roster.join(came, ["ns", "barrier", "holder"], "left_anti")
+    return roster.join(arrivals.select("ns", "barrier", "holder"), ["ns", "barrier", "holder"], "left_anti")
 
 
 def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> DataFrame:
@@ -98,7 +88,6 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
     requirement is Waiting until the deadline and Failed after it; a count that reaches it
     before the deadline opens the barrier, one that reaches it later does not.
     """
-    large = has_large_group(arrival_events, KEY)
     spec = barriers.select(*KEY, "created_at", required(), deadline())
     still = F.lit(0).cast("long").alias("delta")
     steps = arrival_events.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta")).join(spec, KEY)
@@ -108,40 +97,32 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
         .unionByName(spec.select(*KEY, F.col("created_at").alias("ts"), F.lit(0).alias("rank"), still, "required", "deadline"))
         .unionByName(spec.filter("deadline is not null").select(
             *KEY, F.col("deadline").alias("ts"), F.lit(1).alias("rank"), still, "required", "deadline")))
-    rows = co_located(rows, KEY, large).groupBy(*KEY, "ts", "rank", "required", "deadline").agg(
-        F.sum("delta").alias("delta"))
     order = ["ts", "rank"]
-    counted = ordered_scan(rows, KEY, order, {"arrived": Prefix("sum", F.col("delta"))}, large)
+    rows = bucketed(rows, KEY, order).groupBy(*KEY, BUCKET, "ts", "rank", "required", "deadline").agg(
+        F.sum("delta").alias("delta"))
+    counted = ordered_scan(rows, KEY, order, {"arrived": Prefix("sum", F.col("delta"))}, more=True)
     reached = F.col("arrived") >= F.col("required")
     open_for_arrivals = F.col("deadline").isNull() | (F.struct("ts", "rank") < F.struct("deadline", F.lit(1)))
     level = ordered_scan(counted, KEY, order, {
         "opened_at": Prefix("min", F.when(reached & open_for_arrivals, F.col("ts"))),
         "missed": Prefix("max", F.when(~reached & ~open_for_arrivals, 1)),
-    }, large)
+    }, more=True)
     phase = (
         F.when(open_for_arrivals, F.when(reached, "Open").otherwise("Waiting"))
         .when(F.col("missed").isNull(), "Open").otherwise("Failed"))
-    phased = level.select(*KEY, *order, phase.alias("phase"), "opened_at", F.col("arrived").cast("long").alias("arrived"))
-    edges = ordered_scan(phased, KEY, order, {"__before": Prefix("prev", F.col("phase"))}, large)
+    phased = level.select(*KEY, BUCKET, *order, phase.alias("phase"), "opened_at", F.col("arrived").cast("long").alias("arrived"))
+    edges = ordered_scan(phased, KEY, order, {"__before": Prefix("prev", F.col("phase"))}, more=True)
     changes = edges.filter(F.col("__before").isNull() | (F.col("__before") != F.col("phase")))
-    ended = ordered_scan(changes, KEY, order, {"ended_at": Prefix("prev", F.col("ts"), reverse=True)}, large)
+    ended = ordered_scan(changes, KEY, order, {"ended_at": Prefix("prev", F.col("ts"), reverse=True)})
     return ended.select(*KEY, "phase", F.col("ts").alias("started_at"), "ended_at", "arrived", "opened_at")
 
 
 def barrier_waits(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """How long each holder waited for the opening, and who the stragglers were."""
-    large = has_large_group(arrivals, ["ns", "barrier"])
-    ranked = barrier_arrivals(arrivals, large)
-    if large:
-        opened = barrier_opened_at(barriers, arrivals, large).select(*KEY, "required", "opened_at")
-        timed = ranked.join(opened, KEY)
-    else:
-        # the rows of a barrier are together already, so a window hands its opening to all of them
-        spec = barriers.select(*KEY, "created_at", required(), deadline())
-        nth = F.max(F.when(F.col("position") == F.col("required"), F.col("arrived_at"))).over(W.partitionBy(*KEY))
-        timed = ranked.join(spec, KEY).withColumn("nth", nth).withColumn("opened_at", opening())
+    opened = barrier_opened_at(barriers, arrivals).filter("opened_at is not null").select(*KEY, "required", "opened_at")
+    timed = barrier_arrivals(arrivals).join(opened, KEY)
     wait = F.greatest(F.lit(0), seconds_between("arrived_at", "opened_at"))
-    return timed.filter("opened_at is not null").select(
+    return timed.select(
         *KEY, "holder", "position", wait.alias("wait_seconds"),
         (F.col("position") == F.col("required")).alias("is_last_needed"),
         (F.col("position") > F.col("required")).alias("late"))
@@ -166,11 +147,10 @@ def stage_chain(stages: DataFrame, opened: DataFrame) -> DataFrame:
     last needed holder per barrier.
     """
     staged = stages.join(opened, KEY, "left")
-    large = has_large_group(stages, ["ns", "pipeline"])
     scanned = ordered_scan(staged, ["ns", "pipeline"], ["stage", "name"], {
         "started_at": Prefix("prev", F.col("opened_at")),
         "unopened_before": Prefix("sum", F.when(F.col("opened_at").isNull(), 1).otherwise(0), inclusive=False),
-    }, large)
+    })
     blocked = F.coalesce("unopened_before", F.lit(0)) > 0
     return scanned.select(
         "ns", "pipeline", "stage", "name", "started_at", F.col("opened_at").alias("ended_at"),

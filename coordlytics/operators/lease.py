@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from coordlytics.functions.columns import expiry, instant, lock_live, none_if_empty, seconds_between
 from coordlytics.operators.mutex import _as_of_us, _until, as_timestamps, fields, with_micros
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import Fold, Prefix, has_large_group, ordered_fold, ordered_scan
+from coordlytics.plans.ordered import BUCKET_UNIT, Fold, Prefix, ordered_fold, ordered_scan
+
+#: The end of what has not ended.
+FAR = "timestamp '9999-01-01 00:00:00'"
+
 
 def given_priority():
     return F.coalesce("priority", F.lit(0))
@@ -50,9 +53,9 @@ class LeaseFold(Fold):
     """Grants over a log of requests and clears.
 
     Requests of one priority are served in order and numbered beforehand, so the queue of a
-    priority is a range of ordinals. A grant names the priority and the ordinal; the request
-    itself is joined back afterwards. State holds one range per priority that has anyone
-    waiting, not the queue, and forgets everything once nobody waits.
+    priority is a list of ranges of ordinals, a new one wherever the ttl asked for changes. A grant
+    names the priority and the ordinal, and lasts as long as that request asked for; the request
+    itself is joined back afterwards. State forgets everything once nobody waits.
     """
 
     inputs = ["op", "priority", "ts_us", "ttl_us", "ordinal"]
@@ -62,76 +65,68 @@ class LeaseFold(Fold):
         self.as_of_us = as_of_us
 
     def start(self):
-        return (None, {}, None)
+        return (None, {})
 
     def due(self, state):
         return None if state[0] is None else state[0][3]
 
     def expire(self, state, now, emit):
-        held, waiting, ttl = state
+        held, waiting = state
         while held is not None and held[3] is not None and held[3] < now:
             emit((held[0], held[1], held[2], held[3], "ttl"))
-            held, waiting = self._grant(waiting, held[3], ttl)
-        return (held, waiting, ttl)
+            held, waiting = self._grant(waiting, held[3])
+        return (held, waiting)
 
     @staticmethod
-    def _grant(waiting, at, ttl):
+    def _grant(waiting, at):
         if not waiting:
             return None, waiting
         best = max(waiting)
-        head, tail = waiting[best]
+        (head, tail, ttl), *others = waiting[best]
         rest = {p: r for p, r in waiting.items() if p != best}
         if head < tail:
-            rest[best] = (head + 1, tail)
+            rest[best] = ((head + 1, tail, ttl), *others)
+        elif others:
+            rest[best] = tuple(others)
         return (best, head, at, None if ttl is None or ttl <= 0 else at + ttl), rest
 
+    @staticmethod
+    def _queued(ranges, ordinal, ttl):
+        if ranges and ranges[-1][2] == ttl:
+            return (*ranges[:-1], (ranges[-1][0], ordinal, ttl))
+        return (*ranges, (ordinal, ordinal, ttl))
+
     def step(self, state, row, emit):
         op, priority, ts, ttl, ordinal = row
-        held, waiting, _ = self.expire(state, ts, emit)
+        held, waiting = self.expire(state, ts, emit)
         if op == "request":
-            waiting = {**waiting, priority: (waiting.get(priority, (ordinal,))[0], ordinal)}
+            waiting = {**waiting, priority: self._queued(waiting.get(priority, ()), ordinal, ttl)}
             if held is None:
-                held, waiting = self._grant(waiting, ts, ttl)
+                held, waiting = self._grant(waiting, ts)
         elif held is not None:
             emit((held[0], held[1], held[2], ts, "clear"))
-            held, waiting = self._grant(waiting, ts, ttl)
-        return (held, waiting, ttl)
+            held, waiting = self._grant(waiting, ts)
+        return (held, waiting)
 
-    def finish(self, state, emit):
+    def finish(self, state, emit, end):
         held = (state if self.as_of_us is None else self.expire(state, self.as_of_us, emit))[0]
         if held is not None:
             emit((held[0], held[1], held[2], None, "open"))
 
 
-def _grantable(numbered: DataFrame, log: DataFrame, as_of: str | None) -> DataFrame:
-    """Requests early enough in their queue that they could be granted at all.
+def lease_tenures(events: DataFrame, as_of: str | None = None) -> DataFrame:
+    """L3: every tenure, granted by priority among those pending when the lease became free.
 
-    A lease is granted at most once per ttl, once per clear and once at the start. Requests of a
-    priority are served in order, so one whose ordinal exceeds that number never gets it: this
-    drops nothing that could matter and shrinks the log of a lease that far more ask for than
-    get.
+    A tenure lasts as long as its own request asked for. Who is granted depends on all grants
+    before, also over silences, as long as anyone waits: the log of one lease is one stream, read
+    once; different leases are read side by side.
     """
-    end = F.max("ts") if as_of is None else F.lit(as_of).cast("timestamp")
-    epoch = F.timestamp_micros(F.lit(0))
-    ttl_us = F.min(F.unix_micros(epoch + F.col("ttl")))
-    span_us = F.unix_micros(end) - F.unix_micros(F.min("ts"))
-    per_ttl = F.when(ttl_us > 0, F.floor(span_us / ttl_us)).otherwise(0)
-    bound = (F.coalesce(per_ttl, F.lit(0)) + F.count_if(F.col("op") == "clear") + 1).alias("__grants")
-    return numbered.join(log.groupBy(*KEY).agg(bound), KEY).filter("ordinal <= __grants").drop("__grants")
-
-
-def lease_tenures(events: DataFrame, as_of: str | None = None) -> DataFrame:
-    """L3: every tenure, granted by priority among those pending when the lease became free."""
     log = _until(events, as_of).withColumn("priority", given_priority().cast("long"))
-    large = has_large_group(log, KEY)
     numbered = ordered_scan(
-        log.filter("op = 'request'"), [*KEY, "priority"], ["ts", "seq"], {"ordinal": Prefix("sum", F.lit(1))}, large
+        log.filter("op = 'request'"), [*KEY, "priority"], ["ts", "seq"], {"ordinal": Prefix("sum", F.lit(1))}
     ).withColumn("ordinal", F.col("ordinal").cast("long"))
-    if large:
-        numbered = cut(_grantable(numbered, log, as_of))
     steps = numbered.unionByName(log.filter("op <> 'request'"), allowMissingColumns=True)
-    grants = ordered_fold(
-        with_micros(steps), KEY, ["ts", "seq"], LeaseFold(_as_of_us(as_of)), has_large_group(steps, KEY) if large else False)
+    grants = ordered_fold(with_micros(steps), KEY, ["ts", "seq"], LeaseFold(_as_of_us(as_of)))
     grants = as_timestamps(grants, ["started_at", "ended_at"])
     asked = numbered.select(*KEY, "priority", "ordinal", "holder", F.col("ts").alias("requested_at"), "seq")
     return grants.join(asked, [*KEY, "priority", "ordinal"]).drop("ordinal")
@@ -143,7 +138,8 @@ def pending_requests(requests: DataFrame, as_of: str) -> DataFrame:
     waiting = (
         requests.filter((F.col("requested_at") <= now) & (F.col("phase").isNull() | (F.col("phase") != "Granted")))
         .withColumnRenamed("lease", "name").withColumn("__p", -given_priority()))
-    queued = ordered_scan(waiting, KEY, ["__p", "requested_at", "seq"], {"position": Prefix("sum", F.lit(1))})
+    queued = ordered_scan(waiting, KEY, ["__p", "requested_at", "seq"], {"position": Prefix("sum", F.lit(1))},
+                          bucket=F.struct("__p", F.date_trunc(BUCKET_UNIT, "requested_at")))
     depth = waiting.groupBy(*KEY).agg(F.count(F.lit(1)).alias("queue_length"))
     return queued.join(depth, KEY).select(
         *KEY, "holder", "seq", (-F.col("__p")).alias("priority"), F.col("position").cast("long").alias("position"),
@@ -172,11 +168,10 @@ def heartbeat_sessions(heartbeats: DataFrame, keys: list[str] = [*KEY, "holder"]
 
     A renewal at the very instant of expiry still continues the reign.
     """
-    large = has_large_group(heartbeats, keys)
     order = ["ts", "seq"]
-    alive_until = ordered_scan(heartbeats, keys, order, {"__until": Prefix("prev", F.col("ts") + F.col("ttl"))}, large)
+    alive_until = ordered_scan(heartbeats, keys, order, {"__until": Prefix("prev", F.col("ts") + F.col("ttl"))}, more=True)
     new = F.when(F.col("__until").isNull() | (F.col("__until") < F.col("ts")), 1).otherwise(0)
-    numbered = ordered_scan(alive_until, keys, order, {"__reign": Prefix("sum", new)}, large)
+    numbered = ordered_scan(alive_until, keys, order, {"__reign": Prefix("sum", new)})
     return numbered.groupBy(*keys, "__reign").agg(
         F.min("ts").alias("started_at"), F.max(F.col("ts") + F.col("ttl")).alias("ended_at"),
         (F.count(F.lit(1)) - 1).alias("renew_count")).drop("__reign")
@@ -195,7 +190,9 @@ def leader_changes(tenures: DataFrame, flapping_from: int = 3) -> DataFrame:
 
 
 def overlapping_runs(runs: DataFrame) -> DataFrame:
-    """Runs of a singleton job that began before an earlier one had ended."""
+    """Runs of a singleton job that began before an earlier one had ended; one without an end still runs."""
     seen = ordered_scan(runs, KEY, ["start_at", "seq"], {
-        "busy_until": Prefix("max", F.col("end_at"), inclusive=False)})
-    return seen.filter(F.col("busy_until") > F.col("start_at")).select(*KEY, "holder", "seq", "start_at", "end_at", "busy_until")
+        "__busy": Prefix("max", F.coalesce("end_at", F.expr(FAR)), inclusive=False)})
+    busy_until = F.when(F.col("__busy") < F.expr(FAR), F.col("__busy"))
+    return seen.filter(F.col("__busy") > F.col("start_at")).select(
+        *KEY, "holder", "seq", "start_at", "end_at", busy_until.alias("busy_until"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from coordlytics.functions.columns import DEFAULT_WAIT, instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.operators.semaphore import pair_in_order
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import Fold, Prefix, has_large_group, ordered_fold, ordered_scan
+from coordlytics.plans.ordered import Fold, Prefix, ordered_fold, ordered_scan
 
 ORDER = ["ts", "seq"]
+#: The end of what has not ended.
+FAR = "timestamp '9999-01-01 00:00:00'"
+STRETCH = "__stretch"
 
 
 def with_micros(ops: DataFrame) -> DataFrame:
@@ -35,6 +38,7 @@ class MutexFold(Fold):
     """State: (holder, locked_at, expires_at) or None. Emits outcomes, tenures or the last state."""
 
     inputs = ["op", "holder", "ts_us", "ttl_us", "seq"]
+    ends = "end_us"
     schemas = {
         "outcomes": fields("seq long,ts long,op string,holder string,ok boolean,outcome string,blocked_by string,locked_at long,expires_at long"),
         "tenures": fields("holder string,locked_at long,ended_at long,expires_at long,end_reason string"),
@@ -87,9 +91,10 @@ class MutexFold(Fold):
             emit((seq, ts, op, holder, ok, outcome, blocked_by, mine[1], mine[2]))
         return state
 
-    def finish(self, state, emit):
-        if self.as_of_us is not None:
-            state = self.expire(state, self.as_of_us, emit)
+    def finish(self, state, emit, end):
+        now = self.as_of_us if end is None else end
+        if now is not None:
+            state = self.expire(state, now, emit)
         if self.emits == "tenures" and state is not None:
             self._ended(state, None, "open", emit)
         if self.emits == "status":
@@ -109,10 +114,35 @@ def _until(ops: DataFrame, as_of: str | None) -> DataFrame:
     return ops if as_of is None else ops.filter(F.col("ts") <= instant(as_of))
 
 
-def mutex_replay(ops: DataFrame, large: bool | None = None) -> DataFrame:
+def stretched(ops: DataFrame, locks: list[str]) -> DataFrame:
+    """Operations in the form the folds take, cut into stretches at silences longer than any ttl in force.
+
+    Once every lock that was ever asked for would have expired, the lock is free whatever happened before,
+    so stretches are folded independently. A lock without a ttl never expires, so a log in which those
+    occur is cut up to the first one and is one stream from there on. ``end_us`` is where the next
+    stretch begins, null for the last one.
+    """
+    until = F.when(F.col("op").isin(*locks), F.coalesce(F.col("ts") + F.col("ttl"), F.expr(FAR)))
+    reach = ordered_scan(ops, KEY, ORDER, {"__reach": Prefix("max", until, inclusive=False)}, more=True)
+    fresh = F.col("__reach").isNull() | (F.col("__reach") < F.col("ts"))
+    cuts = ordered_scan(reach, KEY, ORDER, {
+        STRETCH: Prefix("sum", F.when(fresh, 1).otherwise(0)),
+        "__next": Prefix("last", F.when(fresh, F.col("ts")), inclusive=False, reverse=True)})
+    return with_micros(cuts).withColumn("end_us", F.unix_micros("__next")).drop("__reach", "__next")
+
+
+def replayed(stretches: DataFrame, fold: Fold, times: list[str]) -> DataFrame:
+    return as_timestamps(ordered_fold(stretches, [*KEY, STRETCH], ORDER, fold).drop(STRETCH), times)
+
+
+def last_stretches(stretches: DataFrame) -> DataFrame:
+    """Only these decide the state at the end of the log."""
+    return stretches.filter("end_us is null")
+
+
+def mutex_replay(ops: DataFrame) -> DataFrame:
     """M2: the outcome of every operation, given all those before it on the same mutex."""
-    out = ordered_fold(with_micros(ops), KEY, ORDER, MutexFold("outcomes"), large)
-    return as_timestamps(out, ["ts", "locked_at", "expires_at"])
+    return replayed(stretched(ops, ["lock"]), MutexFold("outcomes"), ["ts", "locked_at", "expires_at"])
 
 
 def mutex_tenures(ops: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -121,14 +151,13 @@ def mutex_tenures(ops: DataFrame, as_of: str | None = None) -> DataFrame:
     Emitted by the same pass as the outcomes, so no second shuffle pairs locks with unlocks.
     """
     fold = MutexFold("tenures", _as_of_us(as_of))
-    out = ordered_fold(with_micros(_until(ops, as_of)), KEY, ORDER, fold)
-    return as_timestamps(out, ["locked_at", "ended_at", "expires_at"])
+    return replayed(stretched(_until(ops, as_of), ["lock"]), fold, ["locked_at", "ended_at", "expires_at"])
 
 
 def mutex_status(ops: DataFrame, as_of: str) -> DataFrame:
     """M1: current holder; an expired lock is Unlocked."""
     fold = MutexFold("status", _as_of_us(as_of))
-    out = as_timestamps(ordered_fold(with_micros(_until(ops, as_of)), KEY, ORDER, fold), ["locked_at", "expires_at"])
+    out = replayed(last_stretches(stretched(_until(ops, as_of), ["lock"])), fold, ["locked_at", "expires_at"])
     return out.withColumn("phase", F.when(F.col("holder").isNull(), "Unlocked").otherwise("Locked"))
 
 
@@ -164,14 +193,22 @@ def mutex_contention(replay: DataFrame, tenures: DataFrame, bucket: str = "day")
         F.round(F.col("acquired") / F.col("attempts"), 4).alias("success_rate"))
 
 
+def with_open_ends(intervals: DataFrame) -> DataFrame:
+    """Intervals that have not ended reach beyond all others."""
+    return intervals.withColumn("end_at", F.coalesce("end_at", F.expr(FAR)))
+
+
+def _ended(end: Column) -> Column:
+    return F.when(end < F.expr(FAR), end)
+
+
 def merged_holds(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Overlapping or touching intervals of one holder joined into one."""
     by = [*keys, "holder"]
-    large = has_large_group(intervals, by)
     order = ["start_at", "seq"]
-    reach = ordered_scan(intervals, by, order, {"__reach": Prefix("max", F.col("end_at"), inclusive=False)}, large)
+    reach = ordered_scan(intervals, by, order, {"__reach": Prefix("max", F.col("end_at"), inclusive=False)}, more=True)
     new = F.when(F.col("__reach").isNull() | (F.col("__reach") < F.col("start_at")), 1).otherwise(0)
-    islands = ordered_scan(reach, by, order, {"__island": Prefix("sum", new)}, large)
+    islands = ordered_scan(reach, by, order, {"__island": Prefix("sum", new)})
     return islands.groupBy(*by, "__island").agg(
         F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"), F.min("seq").alias("seq")).drop("__island")
 
@@ -180,16 +217,16 @@ def exclusion_violations(intervals: DataFrame) -> DataFrame:
     """M6: holds that began while another holder still held the same mutex.
 
     Each holder's own intervals are merged first; after that any overlap is between two
-    holders, and the furthest end among the earlier ones decides. One row per offending hold,
-    never one per pair.
+    holders, and the furthest end among the earlier ones decides. A hold without an end goes on. One
+    row per offending hold, never one per pair.
     """
-    merged = merged_holds(intervals, KEY)
+    merged = merged_holds(with_open_ends(intervals), KEY)
     furthest = ordered_scan(merged, KEY, ["start_at", "seq"], {
-        "__far": Prefix("max", F.struct("end_at", "holder"), inclusive=False)},
-        has_large_group(intervals, KEY))
+        "__far": Prefix("max", F.struct("end_at", "holder"), inclusive=False)})
+    both = F.least("end_at", "__far.end_at")
     return furthest.filter(F.col("__far.end_at") > F.col("start_at")).select(
-        *KEY, "holder", "start_at", "end_at", F.col("__far.holder").alias("held_by"),
-        seconds_between("start_at", F.least("end_at", "__far.end_at")).alias("overlap_seconds"))
+        *KEY, "holder", "start_at", _ended(F.col("end_at")).alias("end_at"), F.col("__far.holder").alias("held_by"),
+        F.when(both < F.expr(FAR), seconds_between("start_at", both)).alias("overlap_seconds"))
 
 
 def lock_wait_times(ops: DataFrame, timeout: str = DEFAULT_WAIT) -> DataFrame:

@@ -21,10 +21,11 @@ def once_winner(claims: DataFrame) -> DataFrame:
 def once_attempts(claims: DataFrame) -> DataFrame:
     """O2: what became of every claim, told by its place before, at or after the winner."""
     winner = once_winner(claims).select(*KEY, F.struct("executed_at", "win_seq").alias("won"))
-    before = F.col("won").isNull() | (position() < F.struct(F.col("won.executed_at").alias("ts"), F.col("won.win_seq").alias("seq")))
+    at = F.struct(F.col("won.executed_at").alias("ts"), F.col("won.win_seq").alias("seq"))
+    before = F.col("won").isNull() | (position() < at)
     outcome = (
         F.when(before, "failed_rolled_back")
-        .when(F.col("seq") == F.col("won.win_seq"), "executed").otherwise("skipped_already_executed"))
+        .when(position() == at, "executed").otherwise("skipped_already_executed"))
     return claims.join(winner, KEY, "left").select(*KEY, "executor", "ts", "seq", outcome.alias("outcome"))
 
 
@@ -41,7 +42,7 @@ def once_status(onces: DataFrame, claims: DataFrame, as_of: str) -> DataFrame:
 
 def once_pending(onces: DataFrame, claims: DataFrame) -> DataFrame:
     """Keys whose work never succeeded."""
-    return onces.join(claims.filter("ok").select(*KEY).distinct(), KEY, "left_anti")
+    return onces.join(claims.filter("ok").select(*KEY), KEY, "left_anti")
 
 
 def duplicate_executions(executions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import instant, micros, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import Prefix, has_large_group, ordered_scan
+from coordlytics.plans.ordered import Prefix, ordered_scan
 
 CLOCK = "HH:mm:ss"
 FULL_TIME = "yyyy-MM-dd HH:mm:ss"
@@ -87,10 +87,9 @@ def transition_log(status_log: DataFrame) -> DataFrame:
     transition and are dropped first.
     """
     keys, order = ["kind", *KEY], ["ts", "seq"]
-    large = has_large_group(status_log, keys)
-    before = ordered_scan(status_log, keys, order, {"__b": Prefix("prev", F.col("phase"))}, large)
+    before = ordered_scan(status_log, keys, order, {"__b": Prefix("prev", F.col("phase"))}, more=True)
     changes = before.filter(F.col("__b").isNull() | (F.col("__b") != F.col("phase")))
-    after = ordered_scan(changes, keys, order, {"__n": Prefix("prev", F.struct("phase", "ts"), reverse=True)}, large)
+    after = ordered_scan(changes, keys, order, {"__n": Prefix("prev", F.struct("phase", "ts"), reverse=True)})
     dwell = micros("__n.ts") - micros("ts")
     return after.filter("__n is not null").groupBy(
         "kind", F.col("phase").alias("from_phase"), F.col("__n.phase").alias("to_phase")).agg(

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import seconds_between
-from coordlytics.operators.mutex import ORDER, _as_of_us, _until, as_timestamps, fields, with_micros
+from coordlytics.operators.mutex import (
+    ORDER, _as_of_us, _until, last_stretches, replayed, stretched, with_open_ends, fields)
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import Fold, Prefix, has_large_group, ordered_fold, ordered_scan
+from coordlytics.plans.ordered import Fold, Prefix, ordered_scan
 
-FREE = (None, (), None, None)
+FREE = (None, None, None, None)
+LOCKS = ["rlock", "lock"]
 
 
 class RWMutexFold(Fold):
     """State: (writer, readers, locked_at, expires_at); a session is a maximal locked stretch.
 
-    Readers share one expiry which every new reader resets. State also carries, for the open
+    ``readers`` is None or (number of read locks, holder -> places in the order of read locks); it is
+    changed in place, so an operation costs the same however many readers there are. Readers share one expiry which every new reader resets. State also carries, for the open
     read session, the first reader's expiry and the number of read locks.
     """
 
     inputs = ["op", "holder", "ts_us", "ttl_us", "seq"]
+    ends = "end_us"
     schemas = {
         "outcomes": fields("seq long,ts long,op string,holder string,ok boolean,outcome string,readers long,writer string,expires_at long"),
         "levels": fields("ts long,readers long,writer string"),
@@ -40,7 +44,11 @@ class RWMutexFold(Fold):
 
     def _level(self, ts, lock, emit):
         if self.emits == "levels":
-            emit((ts, len(lock[1]), lock[0]))
+            emit((ts, self._count(lock), lock[0]))
+
+    @staticmethod
+    def _count(lock):
+        return lock[1][0] if lock[1] else 0
 
     def due(self, state):
         return state[0][3]
@@ -66,19 +74,22 @@ class RWMutexFold(Fold):
             else:
                 expires_at = expires_at if ttl is None else ts + ttl
                 locked_at = ts if locked_at is None else locked_at
-                lock = (None, (*readers, holder), locked_at, expires_at)
+                count, places = readers or (0, {})
+                # places only grow, so the last one is the largest
+                places.setdefault(holder, []).append(session[2] if session else 0)
+                lock = (None, (count + 1, places), locked_at, expires_at)
                 session = (ts, expires_at, 1) if session is None else (session[0], session[1], session[2] + 1)
                 outcome = "read_locked"
         elif op == "lock":
             if writer is not None or readers:
                 ok, outcome = False, "read_held" if readers else "write_held"
             else:
-                lock = (holder, (), ts, None if ttl is None else ts + ttl)
+                lock = (holder, None, ts, None if ttl is None else ts + ttl)
                 outcome = "write_locked"
-        elif holder in readers:
-            rest = tuple(h for h in readers if h != holder)
-            lock = (None, rest, locked_at, expires_at) if rest else FREE
-            if not rest:
+        elif readers and holder in readers[1]:
+            gone = len(readers[1].pop(holder))
+            lock = (None, (readers[0] - gone, readers[1]), locked_at, expires_at) if readers[0] > gone else FREE
+            if lock is FREE:
                 self._close(session, ts, "unlock", emit)
                 session = None
             outcome = "read_released"
@@ -87,40 +98,40 @@ class RWMutexFold(Fold):
         else:
             ok, outcome = False, "not_holder"
         if self.emits == "outcomes":
-            emit((seq, ts, op, holder, ok, outcome, len(lock[1]), lock[0], lock[3]))
+            emit((seq, ts, op, holder, ok, outcome, self._count(lock), lock[0], lock[3]))
         elif ok:
             self._level(ts, lock, emit)
         return (lock, session)
 
-    def finish(self, state, emit):
-        if self.as_of_us is not None:
-            state = self.expire(state, self.as_of_us, emit)
+    def finish(self, state, emit, end):
+        now = self.as_of_us if end is None else end
+        if now is not None:
+            state = self.expire(state, now, emit)
         lock, session = state
         self._close(session, None, "open", emit)
         if self.emits == "status":
-            emit((lock[0], ",".join(lock[1]) or None, lock[2], lock[3]))
+            order = sorted((at, holder) for holder, places in (lock[1] or (0, {}))[1].items() for at in places)
+            emit((lock[0], ",".join(holder for _, holder in order) or None, lock[2], lock[3]))
 
 
-def rwmutex_replay(ops: DataFrame, large: bool | None = None) -> DataFrame:
+def rwmutex_replay(ops: DataFrame) -> DataFrame:
     """R2: the outcome of every operation and the lock as it is afterwards."""
-    out = ordered_fold(with_micros(ops), KEY, ORDER, RWMutexFold("outcomes"), large)
-    return as_timestamps(out, ["ts", "expires_at"])
+    return replayed(stretched(ops, LOCKS), RWMutexFold("outcomes"), ["ts", "expires_at"])
 
 
 def rwmutex_status(ops: DataFrame, as_of: str) -> DataFrame:
     """Writer, readers and phase; expiry clears all holders at once."""
     fold = RWMutexFold("status", _as_of_us(as_of))
-    out = ordered_fold(with_micros(_until(ops, as_of)), KEY, ORDER, fold)
+    out = replayed(last_stretches(stretched(_until(ops, as_of), LOCKS)), fold, ["locked_at", "expires_at"])
     phase = (
         F.when(F.col("writer").isNotNull(), "WriteLocked")
         .when(F.col("readers").isNotNull(), "ReadLocked").otherwise("Unlocked"))
-    return as_timestamps(out, ["locked_at", "expires_at"]).withColumn("phase", phase)
+    return out.withColumn("phase", phase)
 
 
 def rw_reader_timeline(ops: DataFrame, as_of: str | None = None) -> DataFrame:
     """Readers and writer after every change, expiries included."""
-    fold = RWMutexFold("levels", _as_of_us(as_of))
-    return as_timestamps(ordered_fold(with_micros(_until(ops, as_of)), KEY, ORDER, fold), ["ts"])
+    return replayed(stretched(_until(ops, as_of), LOCKS), RWMutexFold("levels", _as_of_us(as_of)), ["ts"])
 
 
 def reader_peaks(timeline: DataFrame) -> DataFrame:
@@ -130,13 +141,13 @@ def reader_peaks(timeline: DataFrame) -> DataFrame:
 
 
 def rw_conflicts(intervals: DataFrame) -> DataFrame:
-    """Reported holds that began inside an incompatible earlier one.
+    """Reported holds that began inside an incompatible earlier one; a hold without an end goes on.
 
     Two running maxima, the furthest end of the earlier writes and of the earlier reads, tell
     every such hold in linear size; pairs are never enumerated.
     """
     by_end = F.struct("end_at", "holder")
-    scanned = ordered_scan(intervals, KEY, ["start_at", "seq"], {
+    scanned = ordered_scan(with_open_ends(intervals), KEY, ["start_at", "seq"], {
         "__w": Prefix("max", F.when(F.col("mode") == "write", by_end), inclusive=False),
         "__r": Prefix("max", F.when(F.col("mode") == "read", by_end), inclusive=False),
     })
@@ -152,18 +163,17 @@ def rw_conflicts(intervals: DataFrame) -> DataFrame:
 def rw_ttl_extension(ops: DataFrame, as_of: str | None = None) -> DataFrame:
     """Read sessions, and how far later readers pushed the shared expiry."""
     fold = RWMutexFold("sessions", _as_of_us(as_of))
-    out = as_timestamps(ordered_fold(with_micros(_until(ops, as_of)), KEY, ORDER, fold), ["started_at", "first_expiry", "ended_at"])
+    out = replayed(stretched(_until(ops, as_of), LOCKS), fold, ["started_at", "first_expiry", "ended_at"])
     beyond = F.greatest(F.lit(0), seconds_between("first_expiry", "ended_at"))
     return out.withColumn("extended_seconds", F.when(F.col("ended_at").isNotNull(), beyond))
 
 
-def writer_starvation(replay: DataFrame, large: bool | None = None) -> DataFrame:
+def writer_starvation(replay: DataFrame) -> DataFrame:
     """Per writer, refusals by readers from the first one until its next success."""
     writes = replay.filter("op = 'lock'")
     by = [*KEY, "holder"]
-    large = has_large_group(writes, by) if large is None else large
     later = ordered_scan(writes, by, ORDER, {
-        "locked_at": Prefix("last", F.when(F.col("ok"), F.col("ts")), inclusive=False, reverse=True)}, large)
+        "locked_at": Prefix("last", F.when(F.col("ok"), F.col("ts")), inclusive=False, reverse=True)})
     refused = later.filter("outcome = 'read_held'")
     return refused.groupBy(*by, "locked_at").agg(
         F.count(F.lit(1)).alias("refusals"), F.min("ts").alias("first_refused_at")).withColumn(

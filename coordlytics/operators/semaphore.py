@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import expiry, instant, permit_live, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import Prefix, co_located, has_large_group, ordered_scan, running_balance
+from coordlytics.plans.ordered import BUCKET, Prefix, bucketed, ordered_scan, running_balance
 
 
 def semaphore_status(semaphores: DataFrame, permits: DataFrame, as_of: str) -> DataFrame:
@@ -39,8 +39,7 @@ def pair_in_order(log: DataFrame, keys: list[str], opens: str, closes: str) -> D
     steps = log.filter(F.col("op").isin(opens, closes)).withColumn(
         "__side", F.when(is_open, 1).otherwise(0))
     order = ["ts", "__side"] + (["seq"] if "seq" in log.columns else [])
-    level = running_balance(
-        steps, keys, order, F.when(is_open, 1).otherwise(-1), has_large_group(log, keys))
+    level = running_balance(steps, keys, order, F.when(is_open, 1).otherwise(-1))
     low = F.least(F.lit(0), F.col("floor"))
     effective = low == F.least(F.lit(0), F.col("floor_before"))
     # effective closes so far = closes so far less those absorbed at zero
@@ -71,27 +70,26 @@ def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str =
     Changes of one instant are summed first, so ends and starts at a tie cancel and a burst of
     simultaneous changes is a single row.
     """
-    large = has_large_group(intervals, KEY)
     steps = intervals.select(*KEY, F.explode(F.array(
         F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
         F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s")).filter("s.ts is not null")
-    net = co_located(steps, KEY, large).groupBy(*KEY, F.col("s.ts").alias("ts")).agg(F.sum("s.d").alias("d"))
-    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}, large)
+    steps = bucketed(steps.select(*KEY, "s.*"), KEY, ["ts"])
+    net = steps.groupBy(*KEY, BUCKET, "ts").agg(F.sum("d").alias("d"))
+    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))})
     return level.filter("d <> 0").drop("d")
 
 
-def _with_end(timeline: DataFrame, large: bool | None) -> DataFrame:
-    return ordered_scan(timeline, KEY, ["ts"], {"until": Prefix("prev", F.col("ts"), reverse=True)}, large)
+def _with_end(timeline: DataFrame) -> DataFrame:
+    return ordered_scan(timeline, KEY, ["ts"], {"until": Prefix("prev", F.col("ts"), reverse=True)})
 
 
-def oversubscription(timeline: DataFrame, semaphores: DataFrame, large: bool | None = None) -> DataFrame:
+def oversubscription(timeline: DataFrame, semaphores: DataFrame) -> DataFrame:
     """Maximal intervals in which more permits were in use than exist, with the peak excess."""
-    large = has_large_group(timeline, KEY) if large is None else large
-    steps = _with_end(timeline, large).join(semaphores.select(*KEY, "permits"), KEY)
+    steps = _with_end(timeline).join(semaphores.select(*KEY, "permits"), KEY)
     excess = steps.withColumn("excess", F.greatest(F.lit(0), F.col("in_use") - F.col("permits")))
-    marked = ordered_scan(excess, KEY, ["ts"], {"__before": Prefix("prev", F.col("excess"))}, large)
+    marked = ordered_scan(excess, KEY, ["ts"], {"__before": Prefix("prev", F.col("excess"))}, more=True)
     starts = F.when((F.col("excess") > 0) & (F.coalesce("__before", F.lit(0)) == 0), 1).otherwise(0)
-    islands = ordered_scan(marked, KEY, ["ts"], {"episode": Prefix("sum", starts)}, large)
+    islands = ordered_scan(marked, KEY, ["ts"], {"episode": Prefix("sum", starts)})
     return (
         islands.filter("excess > 0").groupBy(*KEY, "episode")
         .agg(F.min("ts").alias("started_at"), F.max("until").alias("ended_at"),
@@ -99,14 +97,12 @@ def oversubscription(timeline: DataFrame, semaphores: DataFrame, large: bool | N
         .withColumn("episode", F.col("episode").cast("long")))
 
 
-def peak_concurrency(
-    timeline: DataFrame, semaphores: DataFrame, bucket: str = "month", large: bool | None = None
-) -> DataFrame:
+def peak_concurrency(timeline: DataFrame, semaphores: DataFrame, bucket: str = "month") -> DataFrame:
     """Per time bucket the peak, the time-weighted mean and the utilisation.
 
     A step that lasts over several buckets is split into one row per bucket it touches.
     """
-    steps = _with_end(timeline, large).filter("until is not null")
+    steps = _with_end(timeline).filter("until is not null")
     unit = F.expr(f"interval 1 {bucket}")
     last = F.date_trunc(bucket, F.col("until") - F.expr("interval 1 microsecond"))
     split = steps.withColumn("bucket", F.explode(F.sequence(F.date_trunc(bucket, "ts"), last, unit)))

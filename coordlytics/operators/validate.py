@@ -72,6 +72,10 @@ RULES: dict[str, list[Rule]] = {
 }
 
 
+#: The column of a child table that names its parent.
+CHILD_PARENT = {"arrival": "barrier", "permit": "semaphore", "lease_request": "lease"}
+
+
 def validate_specs(df: DataFrame, kind: str) -> DataFrame:
     """V2: violations as (ns, name, rule, message).
 
@@ -95,4 +99,6 @@ def validate_specs(df: DataFrame, kind: str) -> DataFrame:
         reported = F.transform(extra, lambda f: F.struct(
             F.lit("unknown_field").alias("rule"), F.concat(F.lit("unknown field "), f).alias("message")))
         checks = F.concat(checks, F.coalesce(reported, F.array().cast("array<struct<rule:string,message:string>>")))
-    return df.select(*KEY, F.explode(checks).alias("v")).select(*KEY, "v.rule", "v.message")
+    # children have no name of their own: they go by their parent and holder
+    named = F.col("name") if "name" in types else F.concat_ws("/", F.col(CHILD_PARENT[kind]), F.col("holder"))
+    return df.select("ns", named.alias("name"), F.explode(checks).alias("v")).select(*KEY, "v.rule", "v.message")

@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import Prefix, has_large_group, ordered_scan, running_balance
+from coordlytics.plans.ordered import BUCKET, Prefix, ordered_scan, running_balance
 
 ORDER = ["ts", "seq"]
 
 
-def waitgroup_counter(deltas: DataFrame, large: bool | None = None) -> DataFrame:
+def waitgroup_counter(deltas: DataFrame, more: bool = False) -> DataFrame:
     """The counter after every change, and the part of the change lost at zero.
 
     The clamped counter is the prefix sum minus its lowest value so far when that is negative.
     """
-    level = running_balance(deltas, KEY, ORDER, F.col("delta"), large)
+    level = running_balance(deltas, KEY, ORDER, F.col("delta"), more)
     clamped = lambda floor: -F.least(F.lit(0), floor)
     lost = clamped(F.col("floor")) - clamped(F.col("floor_before"))
     return level.select(
-        *KEY, *ORDER, F.col("delta").cast("long").alias("delta"),
+        *KEY, *([BUCKET] if more else []), *ORDER, F.col("delta").cast("long").alias("delta"),
         (F.col("total") + clamped(F.col("floor"))).alias("counter"), lost.alias("lost"))
 
 
@@ -39,13 +39,12 @@ def waitgroup_status(waitgroups: DataFrame, deltas: DataFrame, as_of: str) -> Da
 
 def waitgroup_episodes(deltas: DataFrame) -> DataFrame:
     """Each stretch from the first add to the return to zero, with its peak."""
-    large = has_large_group(deltas, KEY)
-    counted = waitgroup_counter(deltas, large)
+    counted = waitgroup_counter(deltas, more=True)
     is_zero = F.when(F.col("counter") == 0, 1).otherwise(0)
     numbered = ordered_scan(counted, KEY, ORDER, {
         "episode": Prefix("sum", is_zero, inclusive=False),
         "__before": Prefix("prev", F.col("counter")),
-    }, large)
+    })
     # a zero row that follows a zero row belongs to no episode
     busy = numbered.filter((F.col("counter") > 0) | (F.coalesce("__before", F.lit(0)) > 0))
     grouped = busy.groupBy(*KEY, F.coalesce("episode", F.lit(0)).alias("__e")).agg(

@@ -12,21 +12,23 @@ from coordlytics.plans.ordered import Prefix, ordered_scan
 
 
 def wait_outcomes(
-    waiters: DataFrame, transitions: DataFrame, default_timeout: str = DEFAULT_WAIT, large: bool | None = None
+    waiters: DataFrame, transitions: DataFrame, default_timeout: str = DEFAULT_WAIT
 ) -> DataFrame:
     """How each wait ended: opened, failed or timed out, and after how long.
 
     The phase at the start is the last transition before it, the next one the first after it:
     two running values over the union of both logs, no interval join. Waiters have ns, name,
-    ts, seq and timeout; transitions ns, name, ts and phase. Only Open and Failed end a wait.
+    ts, seq and timeout; transitions ns, name, ts, phase and, if any share an instant, seq. All
+    transitions of an instant count for the waits that begin at it. Only Open and Failed end a wait.
     """
+    seq = F.col("seq") if "seq" in transitions.columns else F.lit(0).cast("long")
     rows = (
-        transitions.select(*KEY, "ts", F.lit(-1).cast("long").alias("seq"), F.struct("ts", "phase").alias("t"), F.lit(None).cast("interval day to second").alias("timeout"))
-        .unionByName(waiters.select(*KEY, "ts", "seq", F.lit(None).alias("t"), "timeout")))
+        transitions.select(*KEY, "ts", F.lit(0).alias("side"), seq.alias("seq"), F.struct("ts", "phase").alias("t"), F.lit(None).cast("interval day to second").alias("timeout"))
+        .unionByName(waiters.select(*KEY, "ts", F.lit(1).alias("side"), "seq", F.lit(None).alias("t"), "timeout")))
     ended = F.when(F.col("t.phase").isin("Open", "Failed"), F.col("t"))
-    seen = ordered_scan(rows, KEY, ["ts", "seq"], {
+    seen = ordered_scan(rows, KEY, ["ts", "side", "seq"], {
         "current": Prefix("last", F.col("t")),
-        "coming": Prefix("last", ended, inclusive=False, reverse=True)}, large)
+        "coming": Prefix("last", ended, inclusive=False, reverse=True)})
     limit = F.coalesce("timeout", F.expr(default_timeout))
     already = F.when(F.col("current.phase").isin("Open", "Failed"), F.col("current.phase"))
     later = F.when(F.col("coming.ts") <= F.col("ts") + limit, F.col("coming.phase"))
@@ -34,7 +36,7 @@ def wait_outcomes(
         F.when(F.coalesce(already, later) == "Open", "opened")
         .when(F.coalesce(already, later) == "Failed", "failed").otherwise("timeout"))
     until = F.when(already.isNotNull(), F.col("ts")).when(later.isNotNull(), F.col("coming.ts")).otherwise(F.col("ts") + limit)
-    return seen.filter("seq >= 0").select(
+    return seen.filter("side = 1").select(
         *KEY, "ts", "seq", outcome.alias("outcome"), F.floor((micros(until) - micros("ts")) / 1_000_000).cast("long").alias("wait_seconds"))
 
 

@@ -7,7 +7,7 @@ SQL, for the independent checks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coordlytics.sources.specs import SPEC_SCHEMAS, read_events, read_specs, typed
 
@@ -182,18 +182,11 @@ class Tables:
             "name": "o_orderkey", "succeeded": "if(o_orderstatus = 'F', 1, 0)"})
 
     def gates(self) -> DataFrame:
-        """One per customer: up to five early orders, its nation, a supplier, its last order.
-
-        Lists have at most eight entries: the rank filter is a group limit, applied before the
-        shuffle, so a customer with very many orders costs no more than any other.
-        """
+        """One per customer: all its orders, its nation, a supplier, its last order."""
         orders = self.raw("orders").selectExpr("o_custkey", "o_orderkey")
-        by_key = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-        early = (
-            orders.withColumn("pos", F.row_number().over(by_key)).filter("pos <= 5")
-            .groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("early")))
-        latest = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("latest"))
-        suppliers = self.raw("supplier").count()
+        own = orders.groupBy("o_custkey").agg(
+            F.sort_array(F.collect_list("o_orderkey")).alias("early"), F.max("o_orderkey").alias("latest"))
+        suppliers = self.raw("supplier").agg(F.count(F.lit(1)).alias("suppliers"))  # one row
         empty = "cast(null as int)"
 
         def one(type_, name, state, value=empty):
@@ -201,8 +194,7 @@ class Tables:
                     f"'namespace', '', 'state', '{state}', 'value', {value})")
 
         return (
-            self.raw("customer").join(early, F.col("o_custkey") == F.col("c_custkey"), "left").drop("o_custkey")
-            .join(latest, F.col("o_custkey") == F.col("c_custkey"), "left")
+            self.raw("customer").join(own, F.col("o_custkey") == F.col("c_custkey"), "left").crossJoin(suppliers)
             .selectExpr(
                 "'default' as ns", "cast(c_custkey as string) as name",
                 "timestamp '1998-01-01 00:00:00' as created_at",
@@ -210,7 +202,7 @@ class Tables:
                 f"""concat(
                   transform(coalesce(early, array()), k -> {one('Barrier', 'k', 'Open')}),
                   array({one('Lease', 'c_nationkey', 'Available')},
-                        {one('Semaphore', f'c_custkey % {suppliers}', '', '2')}),
+                        {one('Semaphore', 'c_custkey % suppliers', '', '2')}),
                   if(latest is null, array(), array({one('Job', 'latest', 'Complete')}))) as conditions"""))
 
     def nested_gates(self) -> DataFrame:
@@ -294,13 +286,13 @@ BASE: dict[str, str] = {
         select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as pos
         from orders)
       select o_custkey::varchar as gate, pos - 1 as pos, 'Barrier' as type, o_orderkey::varchar as cname,
-        'Open' as state, null::int as value from ranked where pos <= 5
+        'Open' as state, null::int as value from ranked
       union all
-      select c_custkey::varchar, 10, 'Lease', c_nationkey::varchar, 'Available', null from customer
+      select c_custkey::varchar, 1000001, 'Lease', c_nationkey::varchar, 'Available', null from customer
       union all
-      select c_custkey::varchar, 11, 'Semaphore', (c_custkey % (select count(*) from supplier))::varchar, '', 2 from customer
+      select c_custkey::varchar, 1000002, 'Semaphore', (c_custkey % (select count(*) from supplier))::varchar, '', 2 from customer
       union all
-      select o_custkey::varchar, 12, 'Job', max(o_orderkey)::varchar, 'Complete', null from orders
+      select o_custkey::varchar, 1000003, 'Job', max(o_orderkey)::varchar, 'Complete', null from orders
       where o_custkey in (select c_custkey from customer) group by o_custkey""",
     "gates": """
       select c_custkey::varchar as name,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.operators import barrier, gate, lease, mutex, once, rwmutex, semaphore, waits, waitgroup
-from coordlytics.plans.ordered import has_large_group
 from coordlytics.plans.bindings import EVENT_AS_OF, ORDER_AS_OF, Tables
 from coordlytics.plans.catalog import Entry, with_tables
 
@@ -14,6 +13,9 @@ EVENT_NOW = f"timestamp '{EVENT_AS_OF}'"
 SECONDS = "floor((epoch_us({1}) - epoch_us({0})) / 1000000.0)::bigint"
 
 
+LEASES_FROM = "timestamp '1992-01-01 00:00:00'"
+
+
 def secs(start: str, end: str) -> str:
     return SECONDS.format(start, end)
 
@@ -47,10 +49,6 @@ def held_leases(t: Tables) -> DataFrame:
         f"case {k} when 0 then {ORDER_NOW} - make_dt_interval(1) when 1 then {ORDER_NOW} end as expires_at")
 
 
-def some_requests(t: Tables) -> DataFrame:
-    return t.lease_requests().filter("cast(lease as int) % 4 <> 0")
-
-
 def tenures(t: Tables) -> DataFrame:
     return lease.lease_tenures(t.lease_log(), EVENT_AS_OF)
 
@@ -65,7 +63,7 @@ def resources(t: Tables) -> DataFrame:
     return (
         gate.resource_status("Barrier", barrier.barrier_status(t.barriers(), t.arrivals(), ORDER_AS_OF))
         .unionByName(gate.resource_status("Semaphore", semaphore.semaphore_status(t.semaphores(), t.permits(), ORDER_AS_OF)))
-        .unionByName(gate.resource_status("Lease", lease.lease_status(held_leases(t), some_requests(t), ORDER_AS_OF)))
+        .unionByName(gate.resource_status("Lease", lease.lease_status(held_leases(t), t.lease_requests(), ORDER_AS_OF)))
         .unionByName(gate.resource_status("Job", t.jobs())))
 
 
@@ -73,15 +71,6 @@ def conditions(t: Tables) -> DataFrame:
     return gate.gate_conditions(t.gates(), resources(t))
 
 
-def many_permits(t: Tables) -> bool:
-    """Whether one semaphore has too many permits for a task, measured on the plain scan."""
-    return has_large_group(t.permits(), ["ns", "semaphore"])
-
-
-def many_arrivals(t: Tables) -> bool:
-    return has_large_group(t.arrivals(), ["ns", "barrier"])
-
-
 def opened(t: Tables) -> DataFrame:
     return barrier.barrier_opened_at(t.barriers(), t.arrivals())
 
@@ -93,27 +82,31 @@ def stages(t: Tables) -> DataFrame:
 
 
 def condition_times(t: Tables) -> DataFrame:
-    """When each barrier condition of a gate came true."""
-    barriers = gate.exploded_conditions(t.gates()).filter("type = 'Barrier'")
-    times = opened(t).select(F.col("ns").alias("target_ns"), F.col("name").alias("condition"), F.col("opened_at").alias("met_at"))
-    return barriers.join(times, ["target_ns", "condition"], "left").select("ns", "name", "pos", "met_at")
+    """When each condition of a gate first came true, whatever its type."""
+    first = gate.first_met(t.gates(), dependency_changes(t))
+    return gate.ruled_conditions(t.gates()).join(first, gate.RULE, "left").select("ns", "name", "pos", "met_at")
 
 
 def dependency_changes(t: Tables) -> DataFrame:
-    """Barriers opening and permits coming and going, as status changes."""
-    def shape(df, kind):
+    """Barriers opening, permits coming and going, leases running out and jobs finishing, as status changes."""
+    def shape(df, kind, succeeded="cast(null as bigint)"):
         return df.select(
             F.lit(kind).alias("type"), F.col("ns").alias("target_ns"), F.col("name").alias("condition"),
-            "ts", F.lit(0).cast("long").alias("seq"), "phase", "available", F.lit(None).cast("long").alias("succeeded"))
+            "ts", F.lit(0).cast("long").alias("seq"), "phase", "available", F.expr(succeeded).alias("succeeded"))
 
     opens = opened(t).filter("opened_at is not null").selectExpr("ns", "name", "opened_at as ts", "'Open' as phase", "cast(null as bigint) as available")
     spec = t.semaphores().select("ns", "name", "permits")
     levels = timeline(t).join(spec, ["ns", "name"]).selectExpr("ns", "name", "ts", "cast(null as string) as phase", "permits - in_use as available")
-    return shape(opens, "Barrier").unionByName(shape(levels, "Semaphore"))
-
-
-def barrier_and_semaphore_gates(t: Tables) -> DataFrame:
-    return t.gates().withColumn("conditions", F.filter("conditions", lambda c: c["type"].isin("Barrier", "Semaphore")))
+    # a lease is taken and runs out; one never taken is available from the first day on
+    held = held_leases(t).selectExpr("ns", "name", "explode(array(named_struct('ts', acquired_at, 'phase', 'Held'), "
+        f"named_struct('ts', coalesce(expires_at, {LEASES_FROM}), 'phase', 'Available'))) as c").selectExpr(
+        "ns", "name", "c.ts as ts", "c.phase as phase", "cast(null as bigint) as available").filter("ts is not null")
+    done = t.raw("orders").selectExpr(
+        "'default' as ns", "cast(o_orderkey as string) as name", "cast(o_orderdate as timestamp) as ts",
+        "cast(null as string) as phase", "cast(null as bigint) as available", "if(o_orderstatus = 'F', 1L, 0L) as succeeded")
+    return (
+        shape(opens, "Barrier").unionByName(shape(levels, "Semaphore")).unionByName(shape(held, "Lease"))
+        .unionByName(shape(done, "Job", "succeeded")))
 
 
 def evaluations(t: Tables) -> DataFrame:
@@ -135,7 +128,7 @@ def waiters(t: Tables) -> DataFrame:
 
 def barrier_transitions(t: Tables) -> DataFrame:
     return opened(t).selectExpr(
-        "ns", "name", "coalesce(opened_at, deadline) as ts", "if(opened_at is null, 'Failed', 'Open') as phase").filter("ts is not null")
+        "ns", "name", "coalesce(opened_at, deadline) as ts", "if(opened_at is null, 'Failed', 'Open') as phase", "0L as seq").filter("ts is not null")
 
 
 def updates(t: Tables) -> DataFrame:
@@ -207,7 +200,7 @@ EXTRA: dict[str, str] = {
         case when l.expires_at >= {ORDER_NOW} then l.acquired_at when w.holder is not null then {ORDER_NOW} end as acquired_at,
         case when l.expires_at >= {ORDER_NOW} then l.expires_at when w.holder is not null then {ORDER_NOW} + interval 1 day end as expires_at
       from held_leases l left join (
-        select lease, holder from lease_requests where lease::int % 4 <> 0 and requested_at <= {ORDER_NOW}
+        select lease, holder from lease_requests where requested_at <= {ORDER_NOW}
         qualify row_number() over (partition by lease order by priority desc, requested_at, seq) = 1) w on w.lease = l.name""",
     "lease_requests_log": f"select * from lease_log where op = 'request' and ts <= {EVENT_NOW}",
     "lease_clears": f"select * from lease_log where op = 'clear' and ts <= {EVENT_NOW}",
@@ -296,7 +289,8 @@ EXTRA: dict[str, str] = {
       union all
       select c.name, c.rn, c.ts, c.seq, c.delta, greatest(0, w.counter + c.delta), greatest(0, -(w.counter + c.delta))
       from counter_walk w join counter_seq c on c.name = w.name and c.rn = w.rn + 1""",
-    "winners": "select name, arg_min(executor, ts) as executor, min(ts) as executed_at, arg_min(seq, ts) as win_seq from claims where ok group by name",
+    "winners": """select name, arg_min(executor, {'ts': ts, 'seq': seq}) as executor, min(ts) as executed_at,
+      arg_min(seq, {'ts': ts, 'seq': seq}) as win_seq from claims where ok group by name""",
     "barrier_now": f"""
       select o.name, coalesce(c.n, 0) as arrived, o.required::bigint as required,
         case when o.opened_at <= {ORDER_NOW} then 'Open' when o.deadline < {ORDER_NOW} then 'Failed' else 'Waiting' end as phase,
@@ -330,7 +324,8 @@ EXTRA: dict[str, str] = {
     "closure_steps": """
       select name, depends_on as dependency, 1 as depth from nested_gates
       union
-      select c.name, e.depends_on, c.depth + 1 from closure_steps c join nested_gates e on e.name = c.dependency where c.depth < 40""",
+      select c.name, e.depends_on, c.depth + 1 from closure_steps c join nested_gates e on e.name = c.dependency
+      where c.depth < (select count(*) from nested_gates)""",
     "closure": "select name, dependency, min(depth) as depth from closure_steps group by all",
     "waits": f"""
       select a.*, t.opened_at, t.deadline from (
@@ -362,12 +357,15 @@ EXTRA: dict[str, str] = {
              else case when value >= 20 then 'Open' else 'Waiting' end end as phase,
         case when event_type = 'error' then 'override' else 'evaluation' end as source
       from events""",
-    "rules": "select distinct type, cname, value from conditions where type in ('Barrier', 'Semaphore')",
+    "rules": "select distinct type, cname, value from conditions",
     "rule_state": """
       select 'Barrier' as type, name as cname, null::int as value, opened_at as ts, true as met from opened where opened_at is not null
       union all
       select r.type, r.cname, r.value, t.ts, s.permits - t.in_use >= r.value
-      from rules r join timeline t on r.type = 'Semaphore' and t.name = r.cname join semaphores s on s.name = r.cname""",
+      from rules r join timeline t on r.type = 'Semaphore' and t.name = r.cname join semaphores s on s.name = r.cname
+      union all select 'Lease', name, null, acquired_at, false from held_leases where acquired_at is not null
+      union all select 'Lease', name, null, coalesce(expires_at, """ + LEASES_FROM + """), true from held_leases
+      union all select 'Job', o_orderkey::varchar, null, o_orderdate, o_orderstatus = 'F' from orders""",
     "rule_flips": """
       select type, cname, ts, case when met then 1 else -1 end as d from (
         select *, lag(met, 1, false) over (partition by type, cname, value order by ts) as before from rule_state)
@@ -376,10 +374,10 @@ EXTRA: dict[str, str] = {
       select name, ts, sum(d) as d, total from (
         select c.gate as name, greatest(f.ts, timestamp '1998-01-01') as ts, f.d, n.total
         from conditions c join rule_flips f on f.type = c.type and f.cname = c.cname
-          join (select gate, count(*) as total from conditions where type in ('Barrier', 'Semaphore') group by gate) n on n.gate = c.gate
+          join (select gate, count(*) as total from conditions group by gate) n on n.gate = c.gate
         union all
         select g.name, timestamp '1998-01-01', 0, coalesce(n.total, 0) from gates g
-          left join (select gate, count(*) as total from conditions where type in ('Barrier', 'Semaphore') group by gate) n on n.gate = g.name)
+          left join (select gate, count(*) as total from conditions group by gate) n on n.gate = g.name)
       group by name, ts, total""",
     "gate_levels": """
       select *, met = total as open from (select name, ts, total, sum(d) over (partition by name order by ts)::bigint as met from gate_rows)""",
@@ -458,7 +456,7 @@ ENTRIES: dict[str, Entry] = {
     "in_use_timeline": entry(
         timeline, f"select {NS}, name, ts, in_use from timeline"),
     "oversubscription": entry(
-        lambda t: semaphore.oversubscription(timeline(t), t.semaphores(), many_permits(t)),
+        lambda t: semaphore.oversubscription(timeline(t), t.semaphores()),
         f"""select {NS}, name, island as episode, min(ts) as started_at, max(until) as ended_at, max(excess)::bigint as peak_excess
             from (select *, sum(case when excess > 0 and coalesce(before, 0) <= 0 then 1 else 0 end)
                     over (partition by name order by ts)::bigint as island
@@ -466,7 +464,7 @@ ENTRIES: dict[str, Entry] = {
                         from (select t.name, t.ts, t.until, t.in_use - s.permits as excess from timeline t join semaphores s on s.name = t.name)))
             where excess > 0 group by name, island"""),
     "peak_concurrency": entry(
-        lambda t: semaphore.peak_concurrency(timeline(t), t.semaphores(), large=many_permits(t)),
+        lambda t: semaphore.peak_concurrency(timeline(t), t.semaphores()),
         f"""select {NS}, name, bucket, max(in_use) as peak, sum(s)::bigint as covered_seconds, sum(s * in_use)::bigint as permit_seconds,
               round(sum(s * in_use) / sum(s)::double, 4) as mean_in_use,
               round(sum(s * in_use) / (max(permits) * sum(s))::double, 4) as utilisation
@@ -496,7 +494,7 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, lease as name, holder, priority, requested_at, seq from lease_requests where phase is null
             qualify row_number() over (partition by lease order by priority desc, requested_at, seq) = 1"""),
     "lease_status": entry(
-        lambda t: lease.lease_status(held_leases(t), some_requests(t), ORDER_AS_OF),
+        lambda t: lease.lease_status(held_leases(t), t.lease_requests(), ORDER_AS_OF),
         f"""select {NS}, name, holder, acquired_at, expires_at, case when holder is null then 'Available' else 'Held' end as phase from lease_now"""),
     "lease_tenures": entry(
         tenures,
@@ -635,8 +633,9 @@ ENTRIES: dict[str, Entry] = {
         lambda t: once.once_winner(t.claims()), f"select {NS}, name, executor, executed_at, win_seq from winners"),
     "once_attempts": entry(
         lambda t: once.once_attempts(t.claims()),
-        f"""select {NS}, c.name, c.executor, c.ts, c.seq, case when w.name is null or c.ts < w.executed_at then 'failed_rolled_back'
-              when c.seq = w.win_seq then 'executed' else 'skipped_already_executed' end as outcome
+        f"""select {NS}, c.name, c.executor, c.ts, c.seq, case
+              when w.name is null or c.ts < w.executed_at or (c.ts = w.executed_at and c.seq < w.win_seq) then 'failed_rolled_back'
+              when c.ts = w.executed_at and c.seq = w.win_seq then 'executed' else 'skipped_already_executed' end as outcome
             from claims c left join winners w on w.name = c.name"""),
     "once_status": entry(
         lambda t: once.once_status(t.onces(), t.claims(), EVENT_AS_OF),
@@ -682,8 +681,9 @@ ENTRIES: dict[str, Entry] = {
         lambda t: gate.gate_opened_at(t.gates(), condition_times(t)),
         f"""select {NS}, g.name, case when coalesce(c.all_met, true) then greatest(coalesce(c.last, timestamp '1998-01-01'), timestamp '1998-01-01') end as opened_at
             from gates g left join (
-              select c.gate, bool_and(o.opened_at is not null) as all_met, max(o.opened_at) as last
-              from conditions c left join opened o on o.name = c.cname where c.type = 'Barrier' group by c.gate) c on c.gate = g.name"""),
+              select c.gate, bool_and(f.met_at is not null) as all_met, max(f.met_at) as last
+              from conditions c left join (select type, cname, min(ts) as met_at from rule_flips where d = 1 group by type, cname) f
+                on f.type = c.type and f.cname = c.cname group by c.gate) c on c.gate = g.name"""),
     "gate_subset_ready": entry(
         lambda t: gate.gate_subset_ready(
             conditions(t),
@@ -703,13 +703,13 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, name, count(*) as dependencies, max(depth)::bigint as depth, bool_or(name = dependency) as in_cycle,
               count(*) filter (dependency not in (select name from nested_gates)) as root_blockers from closure group by name"""),
     "gate_history": entry(
-        lambda t: gate.gate_history(barrier_and_semaphore_gates(t), dependency_changes(t), many_permits(t)),
+        lambda t: gate.gate_history(t.gates(), dependency_changes(t)),
         f"""select {NS}, name, open, ts as started_at, lead(ts) over (partition by name order by ts) as ended_at, met as conditions_met
             from (select *, lag(open) over (partition by name order by ts) as before from gate_levels)
             where before is null or before <> open"""),
     # ---- waiters and updates
     "wait_outcomes": entry(
-        lambda t: waits.wait_outcomes(waiters(t), barrier_transitions(t), large=many_arrivals(t)),
+        lambda t: waits.wait_outcomes(waiters(t), barrier_transitions(t)),
         f"select {NS}, name, ts, seq, outcome, wait_seconds from outcomes"),
     "update_conflicts": entry(
         lambda t: waits.update_conflicts(updates(t)),
@@ -720,7 +720,7 @@ ENTRIES: dict[str, Entry] = {
               not bool_or(outcome = 'applied') and count(*) >= 10 as exhausted from attempts group by name, update_id"""),
     "wait_percentiles": entry(
         lambda t: waits.wait_percentiles(
-            waits.wait_outcomes(waiters(t), barrier_transitions(t), large=many_arrivals(t)).join(t.barriers().select("ns", "name", "expected"), ["ns", "name"]), ["ns", "expected"]),
+            waits.wait_outcomes(waiters(t), barrier_transitions(t)).join(t.barriers().select("ns", "name", "expected"), ["ns", "name"]), ["ns", "expected"]),
         f"""select {NS}, b.expected, count(*) filter (outcome = 'opened') as opened, count(*) filter (outcome = 'failed') as failed,
               count(*) filter (outcome = 'timeout') as timeout, quantile_disc(wait_seconds, 0.5) as p50, quantile_disc(wait_seconds, 0.95) as p95,
               quantile_disc(wait_seconds, 0.99) as p99

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions import columns as C
@@ -60,6 +62,12 @@ def creates(t: Tables) -> DataFrame:
     return t.events(kind="event_type", holder="concat('h', event_id % 3)", op="'create'")
 
 
+def user_permits(t: Tables) -> DataFrame:
+    """Events as permits of the semaphore that has the user's number; many users have none."""
+    return t.raw("events").selectExpr(
+        "'default' as ns", "cast(user_id as string) as semaphore", "event_type as holder", "cast(ts as timestamp) as acquired_at", "event_id as seq")
+
+
 def phase_log(t: Tables) -> DataFrame:
     return P.evaluations(t).unionByName(P.overrides(t))
 
@@ -76,10 +84,9 @@ def transition_source(t: Tables) -> DataFrame:
 def everything(t: Tables) -> DataFrame:
     """T1 over the eight kinds."""
     k = ["ns", "name", "phase"]
-    # status tables, stored because the gates are evaluated against them as well
-    sem = cut(semaphore.semaphore_status(t.semaphores(), t.permits(), ORDER_AS_OF))
-    bar = cut(barrier.barrier_status(t.barriers(), t.arrivals(), ORDER_AS_OF))
-    held = cut(lease.lease_status(P.held_leases(t), P.some_requests(t), ORDER_AS_OF))
+    sem = semaphore.semaphore_status(t.semaphores(), t.permits(), ORDER_AS_OF)
+    bar = barrier.barrier_status(t.barriers(), t.arrivals(), ORDER_AS_OF)
+    held = lease.lease_status(P.held_leases(t), t.lease_requests(), ORDER_AS_OF)
     known = (
         gate.resource_status("Barrier", bar).unionByName(gate.resource_status("Semaphore", sem))
         .unionByName(gate.resource_status("Lease", held)).unionByName(gate.resource_status("Job", t.jobs())))
@@ -95,16 +102,32 @@ def everything(t: Tables) -> DataFrame:
         WaitGroup=waitgroup.waitgroup_status(t.waitgroups(), t.deltas(), EVENT_AS_OF).select(*k, F.col("counter").alias("used")))
 
 
+def known_resources(t: Tables) -> DataFrame:
+    """The kind of every resource there is, without any status: what a count per kind needs."""
+    now = F.lit(ORDER_AS_OF).cast("timestamp")
+    onces = once.once_status(t.onces(), t.claims().limit(0), EVENT_AS_OF)
+    of = {
+        "Semaphore": t.semaphores(), "Barrier": t.barriers().filter(F.col("created_at") <= now), "Lease": t.leases(),
+        "Gate": t.raw("customer"), "Once": onces, "WaitGroup": t.waitgroups(),
+        **{kind: ops.filter(F.col("ts") <= EVENT_AS_OF).select("ns", "name").distinct()
+           for kind, ops in (("Mutex", t.mutex_ops()), ("RWMutex", t.rwmutex_ops()))}}
+    parts = [df.select(F.lit(kind).alias("kind")) for kind, df in of.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def deadlines(t: Tables) -> DataFrame:
-    """Deadlines of permits, barriers and leases in one shape."""
+    """Deadlines of permits, barriers, gates, leases and locks in one shape."""
     permits = t.permits().filter(F.col("acquired_at") <= ORDER_AS_OF).selectExpr(
         "'Permit' as kind", "ns", "concat(semaphore, '/', holder) as name", "expires_at as deadline").distinct()
     barriers = P.opened(t).filter(f"created_at <= {ORDER_NOW} and (opened_at is null or opened_at > {ORDER_NOW})").selectExpr(
         "'Barrier' as kind", "ns", "name", "deadline")
     gates = t.gates().selectExpr("'Gate' as kind", "ns", "name", "created_at + timeout as deadline")
-    leases = lease.lease_status(P.held_leases(t), P.some_requests(t), ORDER_AS_OF).selectExpr(
+    leases = lease.lease_status(P.held_leases(t), t.lease_requests(), ORDER_AS_OF).selectExpr(
         "'Lease' as kind", "ns", "name", "expires_at as deadline")
-    return permits.unionByName(barriers).unionByName(gates).unionByName(leases)
+    mutexes = mutex.mutex_status(t.mutex_ops(), EVENT_AS_OF).selectExpr("'Mutex' as kind", "ns", "name", "expires_at as deadline")
+    rwmutexes = rwmutex.rwmutex_status(t.rwmutex_ops(), EVENT_AS_OF).selectExpr("'RWMutex' as kind", "ns", "name", "expires_at as deadline")
+    parts = [permits, barriers, gates, leases, mutexes, rwmutexes]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def gate_listing(t: Tables) -> DataFrame:
@@ -145,8 +168,10 @@ ENTRIES: dict[str, Entry] = {
         lambda t: t.barriers().select("ns", "name", "created_at", "expected", "quorum", (F.col("created_at") + F.col("timeout")).alias("deadline")),
         f"select {NS}, name, created_at, expected, quorum, deadline from barriers"),
     "read_events": entry(
-        lambda t: t.rwmutex_ops().selectExpr("ns", "kind", "name", "op", "holder", "ts", "seq", "ts + ttl as expires_at"),
-        f"select {NS}, 'rwmutex' as kind, name, op, holder, ts, seq, ts + interval 12 hour as expires_at from rwmutex_ops"),
+        lambda t: t.events(kind="'lock'", op="event_type", holder="concat('h', event_id % 3)", ttl="make_dt_interval(0, 12)").selectExpr(
+            "ns", "kind", "name", "op", "holder", "ts", "seq", "ts + ttl as expires_at"),
+        f"""select {NS}, 'lock' as kind, user_id::varchar as name, event_type as op, 'h' || (event_id % 3) as holder, ts, event_id as seq,
+              ts + interval 12 hour as expires_at from events"""),
     "list_kind": entry(
         lambda t: relations.list_kind(t.lease_requests(), "default", {"lease": "7"}).select("ns", "lease", "holder", "priority", "requested_at", "seq"),
         f"select {NS}, lease, holder, priority, requested_at, seq from lease_requests where lease = '7'"),
@@ -156,9 +181,9 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, b.name, b.expected, count(l.l_orderkey) as children, max(l.l_shipdate) as last
             from barriers b left join lineitem l on l.l_orderkey::varchar = b.name group by b.name, b.expected"""),
     "orphans": entry(
-        lambda t: relations.orphans(t.barriers().filter("cast(name as bigint) % 4 <> 0"), t.arrivals(), "barrier").select("ns", "barrier", "holder", "arrived_at"),
-        f"""select {NS}, l_orderkey::varchar as barrier, l_linenumber::varchar as holder, l_shipdate as arrived_at from lineitem
-            where not exists (select 1 from barriers b where b.name = l_orderkey::varchar and l_orderkey % 4 <> 0)"""),
+        lambda t: relations.orphans(t.semaphores(), user_permits(t), "semaphore").select("ns", "semaphore", "holder", "acquired_at", "seq"),
+        f"""select {NS}, user_id::varchar as semaphore, event_type as holder, ts as acquired_at, event_id as seq from events
+            where not exists (select 1 from semaphores s where s.name = user_id::varchar)"""),
     "label_spec_mismatch": entry(
         lambda t: relations.label_spec_mismatch(
             t.arrivals().withColumn("labels", F.when(F.col("seq") % 3 == 0, F.create_map(F.lit("barrier"), F.col("holder")))
@@ -194,8 +219,8 @@ ENTRIES: dict[str, Entry] = {
         """select l_orderkey, l_linenumber, l_partkey, case l_linenumber % 3 when 0 then l_shipdate + l_quantity::int * interval 1 day
              when 2 then l_shipdate + interval 10 minute end as expires_at from lineitem"""),
     "is_live": entry(
-        lambda t: C.is_live(t.permits(), ORDER_AS_OF, permits=True).groupBy("semaphore").agg(F.count_if("live").alias("live_permits"))
-        .join(C.is_live(t.permits(), ORDER_AS_OF, permits=False).groupBy("semaphore").agg(F.count_if("live").alias("live_locks")), "semaphore"),
+        lambda t: C.is_live(C.is_live(t.permits(), ORDER_AS_OF, permits=True).withColumnRenamed("live", "counted"), ORDER_AS_OF, permits=False)
+        .groupBy("semaphore").agg(F.count_if("counted").alias("live_permits"), F.count_if("live").alias("live_locks")),
         f"""select semaphore, count(*) filter (expires_at > {ORDER_NOW}) as live_permits, count(*) filter (expires_at >= {ORDER_NOW}) as live_locks
             from permits group by semaphore"""),
     "validate_barriers": entry(
@@ -223,7 +248,7 @@ ENTRIES: dict[str, Entry] = {
     # ---- reports
     "status_all": entry(everything, f"select * from ({EVERYTHING})"),
     "kind_counts": entry(
-        lambda t: report.kind_counts(everything(t)), f"select kind, count(*) as resources from ({EVERYTHING}) group by kind"),
+        lambda t: report.kind_counts(known_resources(t)), f"select kind, count(*) as resources from ({EVERYTHING}) group by kind"),
     "phase_summary": entry(
         lambda t: report.phase_summary(everything(t)),
         f"select ns, kind, phase, count(*) as resources from ({EVERYTHING}) group by rollup (ns, kind, phase)"),
@@ -241,7 +266,7 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, name, 'resource' as part, phase || ' ' || arrived || '/' || required || coalesce(' ' || strftime(opened_at, '%Y-%m-%d %H:%M:%S'), '') as detail from barrier_now
             union all select 'default', barrier, 'arrival', holder from arrivals where arrived_at <= {ORDER_NOW} and barrier in (select name from barrier_now)"""),
     "lease_detail": entry(
-        lambda t: report.status_detail("lease", lease.lease_status(P.held_leases(t), P.some_requests(t), ORDER_AS_OF), lease_children(t)),
+        lambda t: report.status_detail("lease", lease.lease_status(P.held_leases(t), t.lease_requests(), ORDER_AS_OF), lease_children(t)),
         f"""select {NS}, name, 'resource' as part, case when holder is null then 'Available Available' else 'Held ' || holder end || ' ' ||
               coalesce(strftime(expires_at, '%H:%M:%S'), 'N/A') as detail from lease_now
             union all select 'default', lease, 'pending request', holder || ' ' || priority from lease_requests where phase is null and requested_at <= {ORDER_NOW}"""),
@@ -276,7 +301,13 @@ ENTRIES: dict[str, Entry] = {
               select distinct 'Permit' as kind, semaphore || '/' || holder as name, expires_at as deadline from permits where acquired_at <= {ORDER_NOW}
               union all select 'Barrier', name, deadline from opened where created_at <= {ORDER_NOW} and (opened_at is null or opened_at > {ORDER_NOW})
               union all select 'Gate', name, deadline from gates
-              union all select 'Lease', name, expires_at from lease_now)
+              union all select 'Lease', name, expires_at from lease_now
+              union all select 'Mutex', name, la + interval 12 hour
+                from (select name, s.la as la from (select name, arg_max({{'la': la}}, rn) as s from mutex_walk where ts <= {EVENT_NOW} group by name))
+                where la + interval 12 hour >= {EVENT_NOW}
+              union all select 'RWMutex', name, ex
+                from (select name, s.ex as ex from (select name, arg_max({{'ex': ex}}, rn) as s from rw_walk where ts <= {EVENT_NOW} group by name))
+                where ex >= {EVENT_NOW})
             where deadline > {ORDER_NOW} order by deadline, kind, name limit 50"""),
     "transition_log": entry(
         lambda t: report.transition_log(transition_source(t)),

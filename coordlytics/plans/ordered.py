@@ -1,23 +1,17 @@
-"""Per-key ordered computation that does not depend on how rows spread over keys.
+"""Per-key ordered computation, by one plan whatever the number of rows of a key.
 
-A window partitioned by key puts a whole key into one task. That is the cheapest plan while
-the largest key is small, and it fails when one key holds a large share of the log. Every
-ordered operator of the package goes through this module, which measures the largest key
-with a partially aggregated count and picks one of two plans:
+Every running value is a two-level prefix. The rows of a key are cut into buckets that follow the order
+(hours of its leading instant); totals per (key, bucket) are summed map-side where rows are
+in place, a window over the totals gives what the earlier buckets contribute, and a window
+inside the bucket does the rest. No task ever orders a whole key, nothing is counted first and
+no job runs while a plan is built. Rows are shuffled once by (key, bucket); the totals, the
+windows and further scans of the same order share that shuffle.
 
-* all keys small: one hash shuffle on the key and a plain window (or a streamed fold);
-* some key large: range-partition on ``(key, order)``, so that a large key spans many equal
-  blocks, compute inside each block, and pass a small carry from block to block. A carry row
-  exists only for keys that span a block boundary, so there are at most two per block and
-  the carry table is safe to broadcast whatever the size of the data.
-
-Block numbers come from a range partitioner, so the partitioned rows are checkpointed once:
-both the block totals and the rows then see the same block boundaries.
+Folds, whose next state depends on the last one, stream through Arrow batches by key.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,12 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from coordlytics.plans.durable import cut
-
-MAX_GROUP_ROWS_CONF = "coordlytics.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-BLOCK = "__block"
+BUCKET = "__bucket"
+#: Length of a bucket: of instants, and of whole numbers that lead an order.
+BUCKET_UNIT, BUCKET_SPAN = "hour", 4096
 
 
 @dataclass(frozen=True)
@@ -50,35 +41,19 @@ class Prefix:
     reverse: bool = False
 
 
-def max_group_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key: partial counts before the shuffle, one number to the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return row.n or 0
-
-
-def has_large_group(df: DataFrame, keys: list[str]) -> bool:
-    return largest_group(df, keys) > max_group_rows(df)
-
-
-def co_located(df: DataFrame, keys: list[str], large: bool) -> DataFrame:
-    """Rows of a key in one partition, so that sums and windows on it share one shuffle.
-
-    With a large key rows stay where they are and sums are taken before they move.
-    """
-    return df if large else df.repartition(*keys)
-
-
-def blocks_of(df: DataFrame, keys: list[str], order: list[str], sort: bool = False) -> DataFrame:
-    """Rows range-partitioned on (key, order) with their block number, stored once."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys, *order)
-    if sort:
-        ranged = ranged.sortWithinPartitions(*keys, *order)
-    return cut(ranged.withColumn(BLOCK, F.spark_partition_id()))
+def bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
+    """Rows of a (key, bucket) together. The bucket is a coarser form of the leading order column."""
+    if BUCKET in df.columns:
+        return df
+    if bucket is None:
+        lead, kind = F.col(order[0]), df.schema[order[0]].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            bucket = F.date_trunc(BUCKET_UNIT, lead)
+        elif isinstance(kind, T.IntegralType):
+            bucket = F.floor(lead / BUCKET_SPAN)
+        else:
+            raise TypeError(f"no buckets for an order led by {kind.simpleString()}")
+    return df.withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
 
 
 # ---------------------------------------------------------------- running values
@@ -89,31 +64,23 @@ def ordered_scan(
     keys: list[str],
     order: list[str],
     specs: dict[str, Prefix],
-    large: bool | None = None,
+    bucket: Column | None = None,
+    more: bool = False,
 ) -> DataFrame:
     """``df`` with one running column per entry of ``specs``.
 
-    ``large`` is the answer of ``has_large_group`` when the caller measured it already, usually
-    on the raw log, so that a chain of scans does not compute its input again for each.
+    ``more`` keeps the rows in their buckets for another scan with the same keys and order.
     """
-    if large is None:
-        large = has_large_group(df, keys)
-    if not large:
-        return df.select("*", *[_running(s, keys, order).alias(c) for c, s in specs.items()])
+    rows = bucketed(df, keys, order, bucket)
     specs = {c: _keep_null_rows(s) for c, s in specs.items()}
-    blocks = blocks_of(df, keys, order)
-    local = blocks.select(
-        "*", *[_running(s, [*keys, BLOCK], order).alias(f"__l_{c}") for c, s in specs.items()]
-    )
-    totals = blocks.groupBy(*keys, BLOCK).agg(
-        *[_block_total(s, order).alias(f"__t_{c}") for c, s in specs.items()]
-    )
-    carried = local.join(
-        F.broadcast(_carries(totals, keys, specs)), [*keys, BLOCK], "left"
-    )
+    local = rows.select(
+        "*", *[_running(s, [*keys, BUCKET], order).alias(f"__l_{c}") for c, s in specs.items()])
+    totals = rows.groupBy(*keys, BUCKET).agg(
+        *[_bucket_total(s, order).alias(f"__t_{c}") for c, s in specs.items()])
+    carried = local.join(_carries(totals, keys, specs), [*keys, BUCKET], "left")
     return carried.select(
-        *df.columns, *[_combine(s, f"__l_{c}", f"__c_{c}").alias(c) for c, s in specs.items()]
-    )
+        *[c for c in rows.columns if more or c != BUCKET],
+        *[_combine(s, f"__l_{c}", f"__c_{c}").alias(c) for c, s in specs.items()])
 
 
 def _window(keys: list[str], order: list[str], reverse: bool):
@@ -145,7 +112,7 @@ def _keep_null_rows(spec: Prefix) -> Prefix:
     return Prefix("prev", F.struct(spec.expr.alias("v")), spec.inclusive, spec.reverse)
 
 
-def _block_total(spec: Prefix, order: list[str]) -> Column:
+def _bucket_total(spec: Prefix, order: list[str]) -> Column:
     if spec.how in ("sum", "min", "max"):
         return _aggregate(spec.how)(spec.expr)
     pick = F.min_by if spec.reverse else F.max_by
@@ -157,21 +124,17 @@ def _block_total(spec: Prefix, order: list[str]) -> Column:
 
 
 def _carries(totals: DataFrame, keys: list[str], specs: dict[str, Prefix]) -> DataFrame:
-    """What the other blocks of the same key contribute to a block.
-
-    Only keys that span several blocks appear: at most two rows per block boundary.
-    """
-    spanning = totals.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter("__n > 1")
+    """What the other buckets of the same key contribute to a bucket."""
     carried = []
     for c, s in specs.items():
         total = F.col(f"__t_{c}")
-        before = _window(keys, [BLOCK], s.reverse)
+        before = _window(keys, [BUCKET], s.reverse)
         if s.how == "prev":
             value = F.lag(total).over(before)
         else:
             value = _aggregate(s.how)(total).over(before.rowsBetween(W.unboundedPreceding, -1))
         carried.append(value.alias(f"__c_{c}"))
-    return spanning.select(*keys, BLOCK, *carried)
+    return totals.select(*keys, BUCKET, *carried)
 
 
 def _combine(spec: Prefix, local: str, carry: str) -> Column:
@@ -184,47 +147,38 @@ def _combine(spec: Prefix, local: str, carry: str) -> Column:
         return F.greatest(here, before)
     if spec.how == "last":
         return F.coalesce(here, before)
-    # prev: the first row of a block has no row before it inside the block
+    # prev: the first row of a bucket has no row before it inside the bucket
     return F.coalesce(here, before)["v"]
 
 
-def running_balance(
-    df: DataFrame, keys: list[str], order: list[str], delta: Column, large: bool | None = None
-) -> DataFrame:
+def running_balance(df: DataFrame, keys: list[str], order: list[str], delta: Column, more: bool = False) -> DataFrame:
     """Prefix sum of ``delta`` and the minimum of that prefix sum, in one pass.
 
     Adds total, floor (lowest total so far), floor_before (the same without the current row)
     and ups (positive steps so far). ``total - least(0, floor)`` is the sum clamped at zero on
-    every step. Blocks compose: a block is described by its sum, its lowest prefix relative to
+    every step. Buckets compose: one is described by its sum, its lowest prefix relative to
     its start and its positive steps.
     """
-    step = df.withColumn("__d", delta.cast("long"))
-    if large is None:
-        large = has_large_group(df, keys)
-    grouping = keys
-    if large:
-        step, grouping = blocks_of(step, keys, order), [*keys, BLOCK]
+    step = bucketed(df, keys, order).withColumn("__d", delta.cast("long"))
+    grouping = [*keys, BUCKET]
     rows = _window(grouping, order, False)
     upto, earlier = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(W.unboundedPreceding, -1)
     up = F.when(F.col("__d") > 0, 1).otherwise(0)
     local = (
         step.withColumns({"total": F.sum("__d").over(upto), "ups": F.sum(up).over(upto)})
         .withColumns({"floor": F.min("total").over(upto), "floor_before": F.min("total").over(earlier)}))
-    if not large:
-        return local.drop("__d")
     totals = local.groupBy(*grouping).agg(
         F.sum("__d").alias("__s"), F.min("floor").alias("__m"), F.max("ups").alias("__u"))
-    before = _window(keys, [BLOCK], False).rowsBetween(W.unboundedPreceding, -1)
+    before = _window(keys, [BUCKET], False).rowsBetween(W.unboundedPreceding, -1)
     carries = (
-        totals.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter("__n > 1")
-        .withColumn("__cs", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+        totals.withColumn("__cs", F.coalesce(F.sum("__s").over(before), F.lit(0)))
         .withColumn("__cm", F.min(F.col("__cs") + F.col("__m")).over(before))
         .withColumn("__cu", F.coalesce(F.sum("__u").over(before), F.lit(0)))
-        .select(*keys, BLOCK, "__cs", "__cm", "__cu"))
-    joined = local.join(F.broadcast(carries), grouping, "left")
+        .select(*grouping, "__cs", "__cm", "__cu"))
+    joined = local.join(carries, grouping, "left")
     start = F.coalesce("__cs", F.lit(0))
     return joined.select(
-        *df.columns,
+        *[c for c in step.columns if c != "__d" and (more or c != BUCKET)],
         (F.col("total") + start).alias("total"),
         (F.col("ups") + F.coalesce("__cu", F.lit(0))).alias("ups"),
         F.least(F.col("floor") + start, "__cm").alias("floor"),
@@ -252,38 +206,27 @@ class Fold:
         """Next state after ``row``; call ``emit(tuple)`` for every output row."""
         raise NotImplementedError
 
-    def finish(self, state, emit):
-        """Called once after the last row of a key."""
+    #: Optional column with the instant, the same for all rows of a stretch, at which the stretch ends.
+    ends: str | None = None
 
+    def finish(self, state, emit, end):
+        """Called once after the last row of a key; ``end`` is the value of the ``ends`` column."""
 
-def ordered_fold(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    fold: Fold,
-    large: bool | None = None,
-) -> DataFrame:
-    """Run ``fold`` over the rows of every key in order.
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+    """Run ``fold`` over the rows of every key in order, each row once.
 
     Rows stream through Arrow batches sorted by key, so memory holds one batch and one state
-    whatever the key size. If a key is too large for one task its blocks are folded in
-    parallel, from the entry states ``_settle_entries`` finds for them.
+    whatever the key size. A key is one stream: callers cut long logs into stretches first where
+    the state is known to be empty, and make the stretch part of the key.
     """
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([*key_fields, *fold.output.fields])
-    columns = [*keys, *fold.inputs]
-    sort_cols = list(dict.fromkeys([*keys, *order]))
-    if large is None:
-        large = has_large_group(df, keys)
-    if not large:
-        rows = df.select(*dict.fromkeys([*columns, *order])).repartition(*keys)
-        ordered = rows.sortWithinPartitions(*sort_cols).select(*columns)
-        return ordered.mapInArrow(_runner(fold, len(keys), schema), schema)
-
-    needed = df.select(*dict.fromkeys([*columns, *order]))
-    stored = blocks_of(needed, keys, order, sort=True).select(*columns, BLOCK)
-    entries, continuing = _settle_entries(stored, fold, len(keys))
-    return stored.mapInArrow(_runner(fold, len(keys), schema, entries, continuing), schema)
+    ends = [fold.ends] if fold.ends else []
+    columns = [*keys, *fold.inputs, *ends]
+    rows = df.select(*dict.fromkeys([*columns, *order])).repartition(*keys)
+    ordered = rows.sortWithinPartitions(*dict.fromkeys([*keys, *order])).select(*columns)
+    return ordered.mapInArrow(_runner(fold, len(keys), schema), schema)
 
 
 def _plain_values(column: pa.Array) -> list:
@@ -300,7 +243,7 @@ def _plain_values(column: pa.Array) -> list:
 
 
 def _stretches(batches: Iterable[pa.RecordBatch], n_keys: int, n_inputs: int) -> Iterator[tuple]:
-    """(key, block, rows) for every run of one key inside a batch; block is None when absent.
+    """(key, end, rows) for every run of one key inside a batch; end is None when there is no such column.
 
     Keys are compared as whole columns, so the loop over rows only touches the fold's inputs.
     """
@@ -314,21 +257,20 @@ def _stretches(batches: Iterable[pa.RecordBatch], n_keys: int, n_inputs: int) ->
             changes |= pc.fill_null(differs, True).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), n]
         rows = list(zip(*[_plain_values(c) for c in batch.columns[n_keys : n_keys + n_inputs]]))
-        tagged = batch.num_columns > n_keys + n_inputs
-        block = batch.column(batch.num_columns - 1)[0].as_py() if tagged else None
+        ends = batch.column(n_keys + n_inputs) if batch.num_columns > n_keys + n_inputs else None
         for low, high in zip(cuts, cuts[1:]):
             key = tuple(c[low].as_py() for c in batch.columns[:n_keys])
-            yield key, block, rows[low:high]
+            yield key, None if ends is None else ends[low].as_py(), rows[low:high]
 
 
-def _runner(fold, n_keys, schema, entries=None, continuing=frozenset()):
+def _runner(fold, n_keys, schema):
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches):
         out: list[tuple] = []
         emit, step = out.append, fold.step
         keys: list[tuple] = []
-        key, state, block = None, None, None
+        key, state, end = None, None, None
 
         def keep_keys():
             keys.extend([key] * (len(out) - len(keys)))
@@ -340,120 +282,21 @@ def _runner(fold, n_keys, schema, entries=None, continuing=frozenset()):
             out.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
-        for row_key, row_block, rows in _stretches(batches, n_keys, len(fold.inputs)):
+        for row_key, row_end, rows in _stretches(batches, n_keys, len(fold.inputs)):
             if row_key != key:
                 if key is not None:
-                    fold.finish(state, emit)
+                    fold.finish(state, emit, end)
                     keep_keys()
-                entered = entries.get(row_block) if entries and key is None else None
-                state = fold.start() if entered is None else pickle.loads(entered)
-                key, block = row_key, row_block
+                key, state, end = row_key, fold.start(), row_end
             for row in rows:
                 state = step(state, row, emit)
             keep_keys()
             if len(out) >= 10_000:
                 yield flush()
-        if key is not None and block not in continuing:
-            fold.finish(state, emit)
+        if key is not None:
+            fold.finish(state, emit, end)
             keep_keys()
         if out:
             yield flush()
 
     return run
-
-
-_EDGE_SCHEMA = "block int, first_key string, last_key string, entry binary, exit binary"
-
-
-def _edges(fold, n_keys, candidates):
-    """Per block and candidate entry state: first and last key, and the state it leaves with.
-
-    All candidates of a block advance together in one pass over its rows. A block whose last
-    key began inside it leaves with the same state whatever came in.
-    """
-    def run(batches):
-        first, key, states, given, block = None, None, [], [], None
-        for row_key, row_block, rows in _stretches(batches, n_keys, len(fold.inputs)):
-            if row_key != key:
-                if first is None:
-                    first, block = row_key, row_block
-                    given = candidates.get(block) or [pickle.dumps(fold.start())]
-                    states = [pickle.loads(g) for g in given]
-                else:
-                    states, given = [fold.start()], given[:1]
-                key = row_key
-            for i, state in enumerate(states):
-                for row in rows:
-                    state = fold.step(state, row, _ignore)
-                states[i] = state
-        if key is not None:
-            n = len(states)
-            columns = [[block] * n, [repr(first)] * n, [repr(key)] * n, given, [pickle.dumps(s) for s in states]]
-            types = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            names = ["block", "first_key", "last_key", "entry", "exit"]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names)
-
-    return run
-
-
-def _ignore(_values):
-    return None
-
-
-def _lookup(tried: list[tuple], state):
-    return next((left for entered, left in tried if entered == state), None)
-
-
-def _settle_entries(stored: DataFrame, fold: Fold, n_keys: int):
-    """The true entry state of every block that continues a key, and the blocks continued.
-
-    First every block is folded from the empty state. Then, as long as some entry state is not
-    known, the blocks after the known part are folded from the state reached so far and from
-    the exits their predecessors showed. State machines that forget settle after one such
-    round, because all candidates leave alike; one that holds its state over many blocks does
-    so too, because that state is a candidate for all of them. Exactness does not depend on
-    it: an entry only counts once it equals the exit of the block before, and each round
-    settles at least one more block. The driver sees a few small states per block.
-    """
-    edges: dict[int, tuple] = {}
-    tried: dict[int, list[tuple]] = {}
-
-    def fold_blocks(rows, candidates):
-        for r in rows.mapInArrow(_edges(fold, n_keys, candidates), _EDGE_SCHEMA).collect():
-            edges[r.block] = (r.first_key, r.last_key)
-            tried.setdefault(r.block, []).append((pickle.loads(bytes(r.entry)), bytes(r.exit)))
-
-    fold_blocks(stored, {})
-    order = sorted(edges)
-    follows = {b: a for a, b in zip(order, order[1:]) if edges[a][1] == edges[b][0]}
-    while True:
-        entries: dict[int, bytes] = {}
-        leaving: dict[int, bytes | None] = {}
-        candidates: dict[int, list[bytes]] = {}
-        reached = None
-        for b in order:
-            before = follows.get(b)
-            whole = edges[b][0] == edges[b][1]
-            if before is None:
-                # the key begins here, so the empty state was the right one
-                leaving[b] = tried[b][0][1]
-                continue
-            entry = leaving[before]
-            if entry is not None:
-                entries[b] = reached = entry
-            if not whole:
-                leaving[b] = tried[b][0][1]
-                continue
-            leaving[b] = None if entry is None else _lookup(tried[b], pickle.loads(entry))
-            if leaving[b] is None:
-                wanted = [reached, *[left for _, left in tried[before]]]
-                new = []
-                for w in wanted:
-                    state = pickle.loads(w)
-                    if _lookup(tried[b], state) is None and all(pickle.loads(n) != state for n in new):
-                        new.append(w)
-                candidates[b] = new
-        if len(entries) == len(follows):
-            return entries, frozenset(follows.values())
-        stale = {b: c for b, c in candidates.items() if c}
-        fold_blocks(stored.filter(F.col(BLOCK).isin(list(stale))), stale)

@@ -17,8 +17,4 @@ SETTINGS = {
 def tune(spark: SparkSession) -> SparkSession:
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # one machine with Spark's default: a partition per core is plenty
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark

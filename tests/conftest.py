@@ -21,11 +21,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
     session.stop()
-
-
-@pytest.fixture
-def blocked(spark):
-    """Every key of more than three rows takes the plan for large keys."""
-    spark.conf.set("coordlytics.maxGroupRows", "3")
-    yield spark
-    spark.conf.unset("coordlytics.maxGroupRows")

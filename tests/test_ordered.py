@@ -1,16 +1,22 @@
-"""The plan for large keys against plain Python, on logs dominated by one key."""
+"""Ordered computation against plain Python, on logs dominated by one key."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from coordlytics.operators.lease import lease_tenures
-from coordlytics.operators.mutex import mutex_replay, mutex_status, mutex_tenures
-from coordlytics.operators.rwmutex import rwmutex_replay
+from coordlytics.functions.columns import parse_durations
+from coordlytics.operators.lease import lease_tenures, overlapping_runs
+from coordlytics.operators.mutex import (
+    STRETCH, MutexFold, exclusion_violations, mutex_replay, mutex_status, mutex_tenures, stretched)
+from coordlytics.operators.once import once_attempts
+from coordlytics.operators.rwmutex import rw_conflicts, rwmutex_replay
 from coordlytics.operators.semaphore import in_use_timeline, permit_intervals
+from coordlytics.operators.validate import validate_specs
 from coordlytics.operators.waitgroup import waitgroup_counter
-from coordlytics.plans.ordered import BLOCK, Prefix, blocks_of, ordered_scan, running_balance
+from coordlytics.operators.waits import wait_outcomes
+from coordlytics.plans import ordered
+from coordlytics.plans.ordered import Prefix, ordered_scan, running_balance
 from helpers import at, got
 
 
@@ -51,23 +57,21 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", ["3", "1000000"])
-def test_scan_equals_brute_force(spark, limit):
-    spark.conf.set("coordlytics.maxGroupRows", limit)
+@pytest.mark.parametrize("span", [3, 1_000_000])
+def test_scan_equals_brute_force(spark, monkeypatch, span):
+    monkeypatch.setattr(ordered, "BUCKET_SPAN", span)
     rows = skewed()
     df = spark.createDataFrame(rows, "k string, ts int, seq int, v int")
     out = ordered_scan(df, ["k"], ["ts", "seq"], {c: s() for c, s in SPECS.items()})
-    spark.conf.unset("coordlytics.maxGroupRows")
     assert got(out, "k", "seq", *SPECS) == brute(rows)
 
 
-@pytest.mark.parametrize("limit", ["3", "1000000"])
-def test_balance_equals_brute_force(spark, limit):
-    spark.conf.set("coordlytics.maxGroupRows", limit)
+@pytest.mark.parametrize("span", [3, 1_000_000])
+def test_balance_equals_brute_force(spark, monkeypatch, span):
+    monkeypatch.setattr(ordered, "BUCKET_SPAN", span)
     rows = [(k, ts, seq, v or 1) for k, ts, seq, v in skewed(seed=3)]
     df = spark.createDataFrame(rows, "k string, ts int, seq int, v int")
     out = running_balance(df, ["k"], ["ts", "seq"], F.col("v"))
-    spark.conf.unset("coordlytics.maxGroupRows")
     want = []
     for key in {r[0] for r in rows}:
         total, floor = 0, None
@@ -78,12 +82,23 @@ def test_balance_equals_brute_force(spark, limit):
     assert got(out, "k", "seq", "total", "floor") == sorted(want, key=repr)
 
 
-def test_one_key_is_spread_over_blocks(blocked):
-    df = blocked.createDataFrame([("k", i) for i in range(4000)], "k string, ts int")
-    sizes = [r["count"] for r in blocks_of(df, ["k"], ["ts"]).groupBy(BLOCK).count().collect()]
+def test_one_key_is_spread_over_tasks(spark):
+    df = spark.createDataFrame([("k", i * 100) for i in range(4000)], "k string, ts int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in ordered.bucketed(df, ["k"], ["ts"]).groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) >= 6 and max(sizes) < 1500
 
 
+def test_building_runs_no_job(spark):
+    df = hot_lock_log(spark, ["lock", "unlock"])
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    mutex_tenures(df)
+    waitgroup_counter(df.withColumn("delta", F.lit(1)))
+    rwmutex_replay(df)
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+
+
 def hot_lock_log(spark, ops, n=1500, gap=40, ttl=90, seed=11):
     rnd = random.Random(seed)
     rows, t = [], 0
@@ -96,15 +111,24 @@ def hot_lock_log(spark, ops, n=1500, gap=40, ttl=90, seed=11):
 
 
 def both(spark, build):
-    small = build()
-    spark.conf.set("coordlytics.maxGroupRows", "3")
-    large = build()
-    spark.conf.unset("coordlytics.maxGroupRows")
-    a, b = got(small, *small.columns), got(large, *small.columns)
+    """The same rows with a bucket for every minute as with one for the whole log."""
+    frames = []
+    for unit in ("minute", "year"):
+        kept, ordered.BUCKET_UNIT = ordered.BUCKET_UNIT, unit
+        frames.append(build())
+        ordered.BUCKET_UNIT = kept
+    a, b = (got(df, *df.columns) for df in frames)
     assert a and a == b
     return a
 
 
+def test_silences_cut_a_log(spark):
+    log = hot_lock_log(spark, ["lock", "unlock"], gap=200)
+    stretches = stretched(log, ["lock"]).filter("name = 'hot'")
+    assert stretches.select(STRETCH).distinct().count() > 50
+    assert stretches.filter("end_us is null").select(STRETCH).distinct().count() == 1
+
+
 def test_mutex_fold_on_a_hot_key(spark):
     log = hot_lock_log(spark, ["lock", "lock", "unlock"])
     rows = both(spark, lambda: mutex_replay(log))
@@ -173,30 +197,82 @@ def test_overloaded_lease(spark):
     assert 55 <= sum(1 for r in rows if r[1] == "hot") <= 61
 
 
-def test_lock_held_over_many_blocks_settles_in_few_rounds(spark):
-    from coordlytics.operators.mutex import MutexFold, with_micros
-    from coordlytics.plans import ordered
-
+def test_every_row_is_folded_once(spark):
     rows = [("default", "m", "lock", f"h{i % 5}", at(seconds=i), i) for i in range(2000)]
     log = spark.createDataFrame(rows, "ns string, name string, op string, holder string, ts timestamp, seq long")
-    log = with_micros(log.withColumn("ttl", F.lit(None).cast("interval day to second")))
-    fold = MutexFold("outcomes")
-    columns = ["ns", "name", *fold.inputs]
-    stored = blocks_of(log.select(*columns, "ts"), ["ns", "name"], ["ts", "seq"], sort=True).select(*columns, BLOCK)
-    jobs = []
-
-    class Counted:
-        def __init__(self, df):
-            self.df = df
-
-        def mapInArrow(self, *a):
-            jobs.append(1)
-            return self.df.mapInArrow(*a)
-
-        def filter(self, *a):
-            return Counted(self.df.filter(*a))
-
-    entries, continuing = ordered._settle_entries(Counted(stored), fold, 2)
-    assert len(entries) >= 6 and len(jobs) == 2
-    import pickle
-    assert {pickle.loads(e)[0] for e in entries.values()} == {"h0"}
+    steps = spark.sparkContext.accumulator(0)
+
+    class Counting(MutexFold):
+        def step(self, state, row, emit):
+            steps.add(1)
+            return super().step(state, row, emit)
+
+    endless = stretched(log.withColumn("ttl", F.lit(None).cast("interval day to second")), ["lock"])
+    out = ordered.ordered_fold(endless, ["ns", "name", STRETCH], ["ts", "seq"], Counting("outcomes")).collect()
+    assert len(out) == 2000 and steps.value == 2000
+    assert {r.blocked_by for r in out} == {None, "h0"}
+
+
+# ---- inputs that once gave wrong answers
+
+
+def test_a_short_ttl_costs_no_tenure(spark):
+    log = hot_lock_log(spark, ["request"], n=20, gap=2).withColumn(
+        "ttl", F.expr("if(seq = 7, make_dt_interval(0), make_dt_interval(0, 1))")).withColumn("priority", F.lit(0))
+    names = {r.name: r["count"] for r in log.groupBy("name").count().collect()}
+    rows = lease_tenures(log, "2024-01-05 00:00:00").groupBy("name").count().collect()
+    endless = {r.name for r in log.filter("seq = 7").collect()}
+    for r in rows:
+        assert r["count"] == names[r.name] or r.name in endless
+
+
+def test_a_clear_has_no_ttl_to_give(spark):
+    hour = "make_dt_interval(0, 1)"
+    rows = [("default", "l", "request", "a", at(), 1), ("default", "l", "request", "b", at(seconds=1), 2),
+            ("default", "l", "request", "c", at(seconds=2), 3), ("default", "l", "clear", None, at(minutes=5), 4)]
+    log = spark.createDataFrame(rows, "ns string, name string, op string, holder string, ts timestamp, seq long").withColumn(
+        "ttl", F.expr(f"if(op = 'request', {hour}, null)")).withColumn("priority", F.lit(0))
+    got_ = [(r.holder, r.started_at, r.end_reason) for r in lease_tenures(log, "2024-01-02 00:00:00").orderBy("started_at").collect()]
+    assert got_ == [("a", at(), "clear"), ("b", at(minutes=5), "ttl"), ("c", at(minutes=65), "ttl")]
+
+
+def test_holds_without_an_end_go_on(spark):
+    schema = "ns string, name string, holder string, mode string, start_at timestamp, end_at timestamp, seq long"
+    rows = [("default", "x", "a", "write", at(seconds=1), None, 1), ("default", "x", "b", "write", at(seconds=5), at(seconds=9), 2)]
+    df = spark.createDataFrame(rows, schema)
+    assert [(r.holder, r.held_by, r.overlap_seconds) for r in exclusion_violations(df).collect()] == [("b", "a", 4)]
+    assert [(r.holder, r.writer) for r in rw_conflicts(df).collect()] == [("b", "a")]
+    assert [(r.holder, r.busy_until) for r in overlapping_runs(df).collect()] == [("b", None)]
+
+
+def test_equal_seq_at_another_time_is_another_claim(spark):
+    df = spark.createDataFrame(
+        [("default", "k", "a", at(seconds=1), 1, True), ("default", "k", "b", at(seconds=2), 1, True)],
+        "ns string, name string, executor string, ts timestamp, seq long, ok boolean")
+    assert got(once_attempts(df), "executor", "outcome") == [("a", "executed"), ("b", "skipped_already_executed")]
+
+
+def test_transitions_of_one_instant_keep_their_order(spark):
+    waiters = spark.createDataFrame([("default", "b", at(seconds=9), 1)], "ns string, name string, ts timestamp, seq long").withColumn(
+        "timeout", F.expr("make_dt_interval(0, 0, 1)"))
+    for first, want in (("Waiting", "opened"), ("Open", "timeout")):
+        second = {"Waiting": "Open", "Open": "Waiting"}[first]
+        rows = [("default", "b", at(seconds=5), 2, second), ("default", "b", at(seconds=5), 1, first)]
+        moves = spark.createDataFrame(rows, "ns string, name string, ts timestamp, seq long, phase string")
+        assert got(wait_outcomes(waiters, moves), "outcome") == [(want,)]
+
+
+def test_durations_beyond_eleven_digits(spark):
+    texts = ["500000000000ns", "200000000000us", "9" * 30 + "h", "1.5h30m", "0.0000015s", "1h" * 40, "x", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, ttl string")
+    out = parse_durations(df, "ttl").select(
+        "i", "ttl_valid", F.unix_micros(F.timestamp_micros(F.lit(0)) + F.col("ttl_interval")).alias("us")).orderBy("i").collect()
+    assert [(r.ttl_valid, r.us) for r in out] == [
+        (True, 500_000_000), (True, 200_000_000_000), (False, None), (True, 7_200_000_000), (True, 1), (True, 144_000_000_000),
+        (False, None), (True, None)]
+
+
+def test_child_tables_are_validated_as_stored(spark):
+    for kind, parent in (("arrival", "barrier"), ("permit", "semaphore"), ("lease_request", "lease")):
+        df = spark.createDataFrame([("default", "p", None)], f"ns string, {parent} string, holder string")
+        assert got(validate_specs(df, kind), "name") != []

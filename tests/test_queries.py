@@ -20,17 +20,5 @@ def test_query_matches_sql(spark, con, name):
     assert difference(df, con, contract.oracle_sql()[name]) is None
 
 
-ORDERED = [
-    "barrier_status", "barrier_phase_timeline", "permit_intervals", "in_use_timeline", "lease_tenures", "mutex_replay",
-    "rwmutex_replay", "rw_ttl_extension", "waitgroup_counter", "gate_overrides", "wait_outcomes", "heartbeat_sessions",
-]
-
-
-@pytest.mark.parametrize("name", ORDERED)
-def test_query_matches_sql_with_large_keys(blocked, con, name):
-    df = contract.queries()[name](blocked, FOLDER)
-    assert difference(df, con, contract.oracle_sql()[name]) is None
-
-
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
