@@ -7,10 +7,10 @@ windows that it stands for are taken, reaching as far to both sides as the ancho
 reaches, and compared with the windows of the same anchor in all other places. The union of the
 windows found again is the set of maximal repeats of at least ``span`` words.
 
-Anchors and windows are only ever counted and joined, never paired. An anchor with many
-places is dealt over several groups by document, and windows that stay alone in their group are looked
-up in the counts over all groups. Equal texts are worked on once. The texts are shuffled once; the three
-passes over them share that shuffle.
+Anchors and windows are only ever counted and joined, never paired. The windows of an anchor with many
+places are dealt over several groups by their hash, and windows that repeat within a slice of texts are
+settled there, so that a passage in any share of all documents fills no task. Equal texts are worked on
+once. The texts are shuffled once; the three passes over them share that shuffle.
 
 Defined cases: a null text counts as empty; texts shorter than a window lose nothing; copies of a text
 of at least ``span`` words lose all words; null ids and repeated rows are documents like any other;
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordlytics.llm.words import Reader, Words, text_slices
+from coordlytics.llm.words import Reader, Words, mixed, text_slices
 
 SEED = 8
-PLACES = 512  # of an anchor in one group
+PLACES = 512  # of an anchor, on average, in one group
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -93,8 +93,19 @@ def anchors(texts: DataFrame, span: int, seed: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, tid binary")
 
 
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal neighbours begin, and the offsets of an Arrow list with one entry per run."""
+    heads = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return heads, np.r_[heads, len(values)].astype(np.int32)
+
+
 def windows(texts: DataFrame, span: int, seed: int) -> DataFrame:
-    """(h, parts, part, tid, start, w) per place of an anchor in ``hs``: ``w`` has the hashes of its windows."""
+    """(h, part, tid, starts, w) per place of an anchor in ``hs``: where its windows start and their hashes.
+
+    Windows of a crowded anchor are dealt over parts by their hash, so equal ones stay together. Windows that
+    meet an equal one in the same slice of texts need not look further: they come in rows without ``w``, in
+    parts of their own, and only one of each goes out to tell the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -107,37 +118,42 @@ def windows(texts: DataFrame, span: int, seed: int) -> DataFrame:
             for row, _, data, offsets in text_slices(batch.column(1)):
                 words = reader.read(data, offsets)
                 found = Anchors(reader, words, span, seed)
-                heads = found.cuts()
-                if not len(heads):
+                if not len(found.start):
                     continue
-                tails = np.r_[heads[1:], len(found.start)]
-                doc = np.searchsorted(words.first, found.start[heads], "right") - 1 + row
-                out: list[tuple] = []
+                doc = np.searchsorted(words.first, found.start, "right") - 1
+                parts = np.zeros(len(doc), np.int64)
                 edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
                 for a, b in zip(edges[:-1], edges[1:]):
-                    d = int(doc[a])
+                    d = row + int(doc[a])
                     own, much = names[limits[d]: limits[d + 1]], counts[limits[d]: limits[d + 1]]
                     order = np.argsort(own)
-                    h = found.anchor[heads[a:b]]
-                    at = np.minimum(np.searchsorted(own, h, sorter=order), len(own) - 1)
-                    hit = np.flatnonzero(own[order[at]] == h)
-                    name = tid[d].as_py()
-                    base = int(words.first[d - row])
-                    draw = int.from_bytes(name[:6], "big")
-                    for i in hit:
-                        lo, hi = heads[a + i], tails[a + i]
-                        parts = -(-int(much[order[at[i]]]) // PLACES)
-                        out.append((h[i], parts, draw % parts, name, int(found.start[lo]) - base, found.hash[lo:hi]))
-                if out:
-                    sizes = np.r_[0, np.cumsum([len(r[5]) for r in out])].astype(np.int32)
+                    at = order[np.minimum(np.searchsorted(own, found.anchor[a:b], sorter=order), len(own) - 1)]
+                    parts[a:b] = np.where(own[at] == found.anchor[a:b], -(-much[at] // PLACES), 0)
+                hit = np.flatnonzero(parts)
+                doc, parts, anchor, hashes = doc[hit], parts[hit], found.anchor[hit], found.hash[hit]
+                start = (found.start[hit] - words.first[doc]).astype(np.int32)
+                _, first, back, times = np.unique(
+                    mixed(anchor + mixed(hashes)), return_index=True, return_inverse=True, return_counts=True)
+                known = times[back] > 1
+                out = ~known | (first[back] == np.arange(len(back)))
+                places = found.place[hit]
+                part = (hashes % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+                for chosen, shared in ((np.flatnonzero(out), True), (np.flatnonzero(known), False)):
+                    if not shared:
+                        part = -1 - (mixed(places.astype(np.uint64) + np.uint64(row)) % np.uint64(1024)).astype(np.int64)
+                    chosen = chosen[np.lexsort((part[chosen], places[chosen]))]
+                    heads, lists = _grouped(places[chosen] * (1 << 20) + part[chosen])
+                    if not len(heads):
+                        continue
+                    ones = chosen[heads]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(np.array([r[0] for r in out], np.uint64))), pa.array([r[1] for r in out], pa.int32()),
-                         pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary()),
-                         pa.array([r[4] for r in out], pa.int32()),
-                         pa.ListArray.from_arrays(pa.array(sizes), pa.array(_signed(np.concatenate([r[5] for r in out]))))],
-                        ["h", "parts", "part", "tid", "start", "w"])
+                        [pa.array(_signed(anchor[ones])), pa.array(part[ones].astype(np.int32)),
+                         tid.take(pa.array(doc[ones] + row)), pa.ListArray.from_arrays(pa.array(lists), pa.array(start[chosen])),
+                         pa.ListArray.from_arrays(pa.array(lists), pa.array(_signed(hashes[chosen]))) if shared
+                         else pa.nulls(len(ones), pa.list_(pa.int64()))],
+                        ["h", "part", "tid", "starts", "w"])
 
-    return texts.mapInArrow(run, "h long, parts int, part int, tid binary, start int, w array<long>")
+    return texts.mapInArrow(run, "h long, part int, tid binary, starts array<int>, w array<long>")
 
 
 def cleaned(texts: DataFrame, span: int, give_text: bool) -> DataFrame:
@@ -197,7 +213,8 @@ def _without(body: bytes, words: Words, d: int, origin: int, lost: np.ndarray) -
 
 
 def text_id(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    # never null, which the planner has to know: all passes then shuffle the texts by the very same plan
+    return F.coalesce(F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")))), F.lit(bytearray()))
 
 
 def without_repeats(docs: DataFrame, span: int = 35, seed: int = SEED, give_text: bool = False) -> DataFrame:
@@ -215,14 +232,10 @@ def without_repeats(docs: DataFrame, span: int = 35, seed: int = SEED, give_text
     often = places.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     wanted = places.join(often, "h").groupBy("tid").agg(F.collect_set(F.struct("h", "c")).alias("hs"))
     runs = windows(texts.join(wanted, "tid").select("tid", "text", "hs"), span, seed)
-    dealt = runs.repartition("h", "part").select(
-        "h", "parts", "part", "tid", "start", F.posexplode("w").alias("i", "w")).select(
-        "h", "parts", "part", "tid", "w", (F.col("start") + F.col("i")).alias("start"))
-    alike = dealt.selectExpr("*", "count(*) over (partition by h, part, w) as n")
-    spread = dealt.filter("parts > 1").groupBy("h", "w").agg(F.count("*").alias("all")).filter("all > 1")
-    lone = alike.filter("n = 1 and parts > 1").join(spread, ["h", "w"]).select("tid", "start")
-    again = alike.filter("n > 1").select("tid", "start").unionByName(lone)
-    starts = again.groupBy("tid").agg(F.collect_list("start").alias("starts"))
+    dealt = runs.repartition("h", "part").select("h", "part", "tid", "w", F.posexplode("starts").alias("i", "start")).select(
+        "h", "part", "tid", F.get("w", F.col("i")).alias("w"), "start")
+    alike = dealt.selectExpr("tid", "start", "w", "count(*) over (partition by h, part, w) as n")
+    starts = alike.filter("w is null or n > 1").groupBy("tid").agg(F.collect_list("start").alias("starts"))
     copied = named.groupBy("tid").agg(F.count("*").alias("c")).filter("c > 1").select("tid", F.lit(True).alias("copied"))
     known = texts.join(starts, "tid", "left").join(copied, "tid", "left").select("tid", "text", "starts", "copied")
     results = cleaned(known, span, give_text).withColumnRenamed("tid", "t")
