@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import micros
-from coordlytics.operators.gate import gate_conditions, gate_status
+from coordlytics.operators.gate import exploded_conditions, gate_conditions, gate_status
 from coordlytics.operators.lease import LeaseFold, given_priority
 from coordlytics.operators.mutex import MutexFold, as_timestamps, with_micros
 from coordlytics.operators.relations import KEY
@@ -122,15 +122,21 @@ def gate_stream(changes: DataFrame, gates: DataFrame, as_of_column: str, path: s
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            _evaluate(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _evaluate(spark, batch: DataFrame, batch_id: int) -> None:
         latest_rows(batch, resource, ["ts", "seq"]).write.mode("overwrite").parquet(f"{path}/resources/batch_id={batch_id}")
         newest = batch.agg(F.date_format(F.max(as_of_column), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first().t
         if newest is None:
             return
         resources = read_status(spark, f"{path}/resources", resource)
-        changed = batch.select(F.col("kind").alias("type"), F.col("name").alias("condition")).distinct()
-        named = gates.select(*KEY, F.explode("conditions").alias("c")).select(
-            *KEY, F.col("c.type").alias("type"), F.col("c.name").alias("condition"))
-        touched = gates.join(named.join(changed, ["type", "condition"], "left_semi").select(*KEY).distinct(), KEY, "left_semi")
+        changed = batch.select(F.col("kind").alias("type"), F.col("ns").alias("target_ns"), F.col("name").alias("condition"))
+        named = exploded_conditions(gates).join(changed, ["type", "target_ns", "condition"], "left_semi")
+        touched = gates.join(named.select(*KEY), KEY, "left_semi")
         status = gate_status(touched, gate_conditions(touched, resources), newest)
         status.withColumn("ts", F.lit(newest).cast("timestamp")).write.mode("overwrite").parquet(f"{path}/gates/batch_id={batch_id}")
 
