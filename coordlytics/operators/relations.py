@@ -18,16 +18,10 @@ def list_kind(df: DataFrame, ns: str, selector: dict[str, str] | None = None) ->
 
 
 def children_of(parents: DataFrame, children: DataFrame, label: str) -> DataFrame:
-    """IO4: every parent with its children by label; parents without children stay.
-
-    Written as an inner join plus the childless parents: an outer join could not split the
-    children of one very large parent over several tasks, an inner one can. Whether the spec
-    side is broadcast is left to the adaptive planner, which knows its size.
-    """
+    """IO4: every parent with its children by label; parents without children stay."""
     linked = children.withColumn("name", F.col("labels")[label]).select(
         "ns", "name", *[F.col(c).alias(f"child_{c}") for c in children.columns if c not in ("ns", "labels", "name")])
-    childless = parents.join(linked.select(*KEY).distinct(), KEY, "left_anti")
-    return parents.join(linked, KEY).unionByName(childless, allowMissingColumns=True)
+    return parents.join(linked, KEY, "left")
 
 
 def orphans(parents: DataFrame, children: DataFrame, parent: str) -> DataFrame:

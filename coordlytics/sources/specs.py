@@ -47,9 +47,12 @@ def read_specs(
     kind: str,
     mapping: dict[str, str | Column] | None = None,
     fmt: str | None = None,
+    source_schema: str | None = None,
 ) -> DataFrame:
     """IO1: the spec table of a kind.
 
+    ``source_schema`` is the schema of files of another layout; without it that of the files is taken.
+
     ``mapping`` gives an expression per spec column when the files have another layout, in
     which case only the named columns are scanned. JSON input keeps its text in ``raw`` so that
     validation can report fields the schema does not know.
@@ -63,7 +66,8 @@ def read_specs(
         return lines.select(F.from_json("raw", text_schema).alias("s"), "raw").select("s.*", "raw")
     if mapping is None:
         return spark.read.schema(schema).format(fmt).load(path)
-    return typed(spark.read.format(fmt).load(path), schema, mapping)
+    reader = spark.read.schema(source_schema) if source_schema else spark.read
+    return typed(reader.format(fmt).load(path), schema, mapping)
 
 
 def read_events(
@@ -74,11 +78,14 @@ def read_events(
     source_schema: str | None = None,
     files_per_trigger: int = 64,
     file_glob: str | None = None,
+    since: str | None = None,
+    until: str | None = None,
 ) -> DataFrame:
     """IO2: the append-only coordination log, as a batch or as a stream of new files.
 
     A stream takes ``files_per_trigger`` files at a time, which also bounds the rows of one key
-    that a stateful operator sees at once, however many have piled up.
+    that a stateful operator sees at once, however many have piled up. ``since`` (inclusive) and ``until``
+    (exclusive) bound ``ts``; a log partitioned by a ``date`` column is read only in the folders of those days.
     """
     reader = spark.readStream if stream else spark.read
     if source_schema or mapping is None:
@@ -88,4 +95,11 @@ def read_events(
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     rows = reader.parquet(path)
+    ts = F.col("ts") if mapping is None else F.expr(mapping["ts"]) if isinstance(mapping["ts"], str) else mapping["ts"]
+    for bound, holds in ((since, lambda c, b: c >= b), (until, lambda c, b: c < b)):
+        if bound is not None:
+            rows = rows.filter(holds(ts, F.lit(bound).cast("timestamp")))
+            if "date" in rows.columns:
+                day = F.lit(bound).cast("date")
+                rows = rows.filter(F.col("date") >= day if bound == since else F.col("date") <= day)
     return rows if mapping is None else typed(rows, EVENT_SCHEMA, mapping)

@@ -4,7 +4,7 @@ import json
 
 from coordlytics.functions.columns import parse_durations
 from coordlytics.operators.validate import validate_specs
-from coordlytics.sources.specs import SPEC_SCHEMAS, read_specs
+from coordlytics.sources.specs import EVENT_SCHEMA, SPEC_SCHEMAS, read_events, read_specs
 from helpers import got
 
 
@@ -33,3 +33,15 @@ def test_only_mapped_columns_are_scanned(spark):
     df = read_specs(spark, "/root/testdata/sf0.001/orders.parquet", "barrier", {"name": "o_orderkey", "expected": "3"})
     plan = df.filter("name = '7'")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_a_time_range_reads_only_its_days(spark, tmp_path):
+    rows = [("default", f"u{i}", f"2024-01-{1 + i // 4:02d} {6 * (i % 4):02d}:00:00", i) for i in range(20)]
+    log = spark.createDataFrame(rows, "ns string, name string, at string, seq long").selectExpr(
+        "ns", "name", "cast(at as timestamp) as ts", "seq", "cast(at as date) as date")
+    log.write.partitionBy("date").parquet(str(tmp_path / "log"))
+    df = read_events(spark, str(tmp_path / "log"), source_schema=EVENT_SCHEMA + ", date date",
+                     since="2024-01-02 12:00:00", until="2024-01-04 06:00:00")
+    assert got(df, "seq") == sorted([(i,) for i in range(6, 13)], key=repr)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
