@@ -18,16 +18,20 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     links = stored(
         edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    seen = None
-    while True:
+    while not _is_stars(links):
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(lowest, "a").filter(b > a).select(b.alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(lowest, "a").filter(b > a).select(b.alias("a"), F.col("low").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").filter(b != F.col("low")).select(b.alias("a"), F.col("low").alias("b"))
         links = stored(small.unionByName(lowest.withColumnRenamed("low", "b")).distinct(), "links")
-        now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == seen:
-            stars = links.withColumnsRenamed({"a": "id", "b": "component"})
-            return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
-        seen = now
+    stars = links.withColumnsRenamed({"a": "id", "b": "component"})
+    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+
+
+def _is_stars(links: DataFrame) -> bool:
+    """Every node points to one other at most, and none that is pointed to points on."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        links.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    odd = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1")
+    return odd.isEmpty()

@@ -8,9 +8,10 @@ the quarter of positions that agree by chance, and only what may reach the limit
 on the full sets, recomputed from the texts.
 
 A band is never expanded into all its pairs. First every member is held against one member of its
-band; members that end up in one component need no more pairs. Then, for each member outside
-its band's largest component, the candidates in other components are held against it. All
-links between different components have then been looked at.
+band. Bands that then still mix components are joined to clusters, and within a cluster each member
+outside the largest component is compared with the members of other components, on bit counts and,
+where those allow, on the full sets; only links leave the join. All links between different
+components have then been looked at.
 
 Defined cases: a null text or one without words has no shingles and is linked with nothing; fewer
 words than a shingle form one shingle; a null doc_id takes part and gets its component's
@@ -35,7 +36,7 @@ from coordlytics.llm.words import Reader, mixed, text_slices
 
 MINIMA, ROWS = 128, 4
 BANDS = MINIMA // ROWS
-STAR_ROUNDS = 2
+MINORS = 1024  # members outside the largest component that one group of a cluster takes
 #: An estimate this far below the limit, six standard deviations, rules a pair out.
 SLACK = 0.25
 
@@ -152,6 +153,41 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(sid, shingles): the full set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(fold=True)
+        for batch in batches:
+            for start, stop, data, offsets in text_slices(batch.column(1)):
+                hashes, first = shingle_sets(reader, reader.read(data, offsets), width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, stop - start),
+                     pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))],
+                    ["sid", "shingles"])
+
+    return texts.select("sid", "text").mapInArrow(run, "sid binary, shingles array<long>")
+
+
+def _across(clustered: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components of a cluster, confirmed on the full sets in the join itself."""
+    held = clustered.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    sizes = held.groupBy("cluster").agg(
+        F.max(F.struct("c", "comp"))["comp"].alias("main"), (F.sum("c") - F.max("c")).alias("minors"))
+    groups = sizes.withColumn("groups", F.ceil(F.col("minors") / MINORS).cast("int")).filter("groups > 0").drop("minors")
+    rows = clustered.join(groups, "cluster").select("cluster", "groups", "main", F.struct(
+        "sid", "comp", "n", "p0", "p1", "p2", "p3", "shingles").alias("m"))
+    minor = rows.filter(F.col("m.comp") != F.col("main")).select(
+        "cluster", F.pmod(F.xxhash64("m.sid"), F.col("groups")).cast("int").alias("part"), F.col("m").alias("x"))
+    every = rows.select("cluster", "main", "m", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    common = F.size(F.array_intersect("x.shingles", "m.shingles"))
+    alike = 100 * common >= percent * (F.col("x.n") + F.col("m.n") - common)
+    found = minor.join(every, ["cluster", "part"]).filter(
+        (F.col("x.comp") != F.col("m.comp")) & ((F.col("m.comp") == F.col("main")) | (F.col("x.sid") < F.col("m.sid")))
+        & _possible("x", "m", percent) & alike)
+    return found.select(*_pair("x", "m"))
+
+
 def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, component) of the sets that are linked with others. ``sets``: one row per sid."""
     members = sets.select("sid", F.explode("bands").alias("key"))
@@ -161,47 +197,30 @@ def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int)
         shared.select("sid").distinct().join(sets.select("sid", "tid", "n", "p0", "p1", "p2", "p3"), "sid"), "traits")
     texts = texts_of.join(traits.select("tid", "sid"), "tid").select("sid", "text").dropDuplicates(["sid"])
     texts = stored(texts, "texts")
+    row = F.struct("sid", "n", "p0", "p1", "p2", "p3")
     full = shared.join(traits.drop("tid"), "sid")
-    tested = edges = None
-    owners = traits.select("sid", F.col("sid").alias("comp"))
-
-    def settle(pairs: DataFrame, label: str):
-        nonlocal tested, edges, owners
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"{label}-pairs")
-        good = stored(confirmed(pairs, texts, width, percent), f"{label}-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = good if edges is None else edges.unionByName(good)
-        found = components(edges).select(F.col("id").alias("sid"), F.col("component").alias("found"))
-        owners = stored(
-            traits.select("sid").join(found, "sid", "left").select("sid", F.coalesce("found", "sid").alias("comp")), "owners")
-
-    for turn in range(STAR_ROUNDS):
-        now = full.join(owners, "sid")
-        row = F.struct("sid", "comp", "n", "p0", "p1", "p2", "p3")
-        centres = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), row.alias("c")))["c"].alias("c"))
-        stars = now.select("key", row.alias("m")).join(centres, "key").filter(
-            (F.col("m.comp") != F.col("c.comp")) & _possible("m", "c", percent))
-        settle(stars.select(*_pair("m", "c")).distinct(), f"star{turn}")
-    now = full.join(owners, "sid")
-    held = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed_keys = held.groupBy("key").agg(
-        F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    rest = now.join(mixed_keys, "key").select("key", "main", F.struct("sid", "comp", "n", "p0", "p1", "p2", "p3").alias("m"))
-    minor = rest.filter(F.col("m.comp") != F.col("main")).withColumnRenamed("m", "x").drop("main")
-    across = minor.join(rest, "key").filter(
-        (F.col("x.comp") != F.col("m.comp")) & ((F.col("m.comp") == F.col("main")) | (F.col("x.sid") < F.col("m.sid")))
-        & _possible("x", "m", percent))
-    settle(across.select(*_pair("x", "m")).distinct(), "rest")
-    return owners.withColumnsRenamed({"sid": "id", "comp": "component"})
+    centres = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), row.alias("c")))["c"].alias("c"))
+    stars = full.select("key", row.alias("m")).join(centres, "key").filter(
+        (F.col("m.sid") != F.col("c.sid")) & _possible("m", "c", percent))
+    links = stored(confirmed(stars.select(*_pair("m", "c")).distinct(), texts, width, percent), "star-links")
+    found = stored(components(links), "star-components")
+    comp = F.coalesce("component", "sid").alias("comp")
+    now = shared.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("key", "sid", comp)
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("sid").alias("low")).filter("x <> y")
+    rest = stored(now.join(open_keys.select("key", "low"), "key").select("sid", "comp", "low").distinct(), "open")
+    clusters = components(rest.select(F.col("sid").alias("a"), F.col("low").alias("b")))
+    inside = rest.select("sid", "comp").distinct().join(
+        clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
+    shingles = shingled(texts.join(rest.select("sid").distinct(), "sid", "left_semi"), width)
+    clustered = stored(inside.join(traits.drop("tid"), "sid").join(shingles, "sid"), "clusters")
+    more = stored(_across(clustered, percent), "cluster-links")
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept and text_md5 of every row.
 
-    ``width`` words make a shingle; sets are linked from ``percent`` percent of shared shingles on. One link
-    is confirmed between a set and every component it belongs to, copies are not paired.
+    ``width`` words make a shingle; sets are linked from ``percent`` percent of shared shingles on.
     """
     sketched = stored(sketch(docs.select("doc_id", "text"), width), "sketch")
     sets = sketched.filter("n > 0").select("sid", "tid", "n", "p0", "p1", "p2", "p3", "bands").dropDuplicates(["sid"])
