@@ -8,7 +8,7 @@ from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import BUCKET, Prefix, bucketed, ordered_scan
+from coordlytics.plans.ordered import HELD, Prefix, bucketed, ordered_scan
 
 
 def required():
@@ -98,7 +98,7 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
         .unionByName(spec.filter("deadline is not null").select(
             *KEY, F.col("deadline").alias("ts"), F.lit(1).alias("rank"), still, "required", "deadline")))
     order = ["ts", "rank"]
-    rows = bucketed(rows, KEY, order).groupBy(*KEY, BUCKET, "ts", "rank", "required", "deadline").agg(
+    rows = bucketed(rows, KEY, order).groupBy(*HELD, *KEY, "ts", "rank", "required", "deadline").agg(
         F.sum("delta").alias("delta"))
     counted = ordered_scan(rows, KEY, order, {"arrived": Prefix("sum", F.col("delta"))}, more=True)
     reached = F.col("arrived") >= F.col("required")
@@ -110,7 +110,7 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
     phase = (
         F.when(open_for_arrivals, F.when(reached, "Open").otherwise("Waiting"))
         .when(F.col("missed").isNull(), "Open").otherwise("Failed"))
-    phased = level.select(*KEY, BUCKET, *order, phase.alias("phase"), "opened_at", F.col("arrived").cast("long").alias("arrived"))
+    phased = level.select(*HELD, *KEY, *order, phase.alias("phase"), "opened_at", F.col("arrived").cast("long").alias("arrived"))
     edges = ordered_scan(phased, KEY, order, {"__before": Prefix("prev", F.col("phase"))}, more=True)
     changes = edges.filter(F.col("__before").isNull() | (F.col("__before") != F.col("phase")))
     ended = ordered_scan(changes, KEY, order, {"ended_at": Prefix("prev", F.col("ts"), reverse=True)})

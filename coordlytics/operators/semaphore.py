@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import expiry, instant, permit_live, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import BUCKET, Prefix, bucketed, ordered_scan, running_balance
+from coordlytics.plans.ordered import HELD, Prefix, bucketed, ordered_scan, running_balance
 
 
 def semaphore_status(semaphores: DataFrame, permits: DataFrame, as_of: str) -> DataFrame:
@@ -74,7 +74,7 @@ def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str =
         F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
         F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s")).filter("s.ts is not null")
     steps = bucketed(steps.select(*KEY, "s.*"), KEY, ["ts"])
-    net = steps.groupBy(*KEY, BUCKET, "ts").agg(F.sum("d").alias("d"))
+    net = steps.groupBy(*HELD, *KEY, "ts").agg(F.sum("d").alias("d"))
     level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))})
     return level.filter("d <> 0").drop("d")
 

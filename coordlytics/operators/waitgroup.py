@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import BUCKET, Prefix, ordered_scan, running_balance
+from coordlytics.plans.ordered import HELD, Prefix, ordered_scan, running_balance
 
 ORDER = ["ts", "seq"]
 
@@ -20,7 +20,7 @@ def waitgroup_counter(deltas: DataFrame, more: bool = False) -> DataFrame:
     clamped = lambda floor: -F.least(F.lit(0), floor)
     lost = clamped(F.col("floor")) - clamped(F.col("floor_before"))
     return level.select(
-        *KEY, *([BUCKET] if more else []), *ORDER, F.col("delta").cast("long").alias("delta"),
+        *(HELD if more else []), *KEY, *ORDER, F.col("delta").cast("long").alias("delta"),
         (F.col("total") + clamped(F.col("floor"))).alias("counter"), lost.alias("lost"))
 
 

@@ -21,7 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BUCKET = "__bucket"
+BUCKET, GROUP, ROW = "__bucket", "__group", "__row"
+#: Columns that keep rows in their buckets for further scans.
+HELD = [GROUP, BUCKET]
 #: Length of a bucket: of instants, and of whole numbers that lead an order.
 BUCKET_UNIT, BUCKET_SPAN = "hour", 4096
 
@@ -42,7 +44,11 @@ class Prefix:
 
 
 def bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
-    """Rows of a (key, bucket) together. The bucket is a coarser form of the leading order column."""
+    """Rows of a (key, bucket) together. The bucket is a coarser form of the leading order column.
+
+    Rows are shuffled as one struct, under a key and a bucket that are never null: whatever columns or null
+    checks the plans above need, they all ask for the very same shuffle, which then happens once.
+    """
     if BUCKET in df.columns:
         return df
     if bucket is None:
@@ -53,7 +59,10 @@ def bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column |
             bucket = F.floor(lead / BUCKET_SPAN)
         else:
             raise TypeError(f"no buckets for an order led by {kind.simpleString()}")
-    return df.withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
+    never = F.lit("1900-01-01").cast("timestamp") if isinstance(df.schema[order[0]].dataType, T.TimestampType) else None
+    filled = bucket if never is None else F.coalesce(bucket, never.cast(df.select(bucket.alias("b")).schema["b"].dataType))
+    packed = df.select(F.struct(*keys).alias(GROUP), filled.alias(BUCKET), F.struct(*df.columns).alias(ROW))
+    return packed.repartition(GROUP, BUCKET).select(*HELD, f"{ROW}.*")
 
 
 # ---------------------------------------------------------------- running values
@@ -74,12 +83,12 @@ def ordered_scan(
     rows = bucketed(df, keys, order, bucket)
     specs = {c: _keep_null_rows(s) for c, s in specs.items()}
     local = rows.select(
-        "*", *[_running(s, [*keys, BUCKET], order).alias(f"__l_{c}") for c, s in specs.items()])
-    totals = rows.groupBy(*keys, BUCKET).agg(
+        "*", *[_running(s, HELD, order).alias(f"__l_{c}") for c, s in specs.items()])
+    totals = rows.groupBy(*HELD).agg(
         *[_bucket_total(s, order).alias(f"__t_{c}") for c, s in specs.items()])
-    carried = local.join(_carries(totals, keys, specs), [*keys, BUCKET], "left")
+    carried = local.join(_carries(totals, specs), HELD, "left")
     return carried.select(
-        *[c for c in rows.columns if more or c != BUCKET],
+        *[c for c in rows.columns if more or c not in HELD],
         *[_combine(s, f"__l_{c}", f"__c_{c}").alias(c) for c, s in specs.items()])
 
 
@@ -123,18 +132,18 @@ def _bucket_total(spec: Prefix, order: list[str]) -> Column:
     return pick(spec.expr, position)
 
 
-def _carries(totals: DataFrame, keys: list[str], specs: dict[str, Prefix]) -> DataFrame:
+def _carries(totals: DataFrame, specs: dict[str, Prefix]) -> DataFrame:
     """What the other buckets of the same key contribute to a bucket."""
     carried = []
     for c, s in specs.items():
         total = F.col(f"__t_{c}")
-        before = _window(keys, [BUCKET], s.reverse)
+        before = _window([GROUP], [BUCKET], s.reverse)
         if s.how == "prev":
             value = F.lag(total).over(before)
         else:
             value = _aggregate(s.how)(total).over(before.rowsBetween(W.unboundedPreceding, -1))
         carried.append(value.alias(f"__c_{c}"))
-    return totals.select(*keys, BUCKET, *carried)
+    return totals.select(*HELD, *carried)
 
 
 def _combine(spec: Prefix, local: str, carry: str) -> Column:
@@ -160,25 +169,24 @@ def running_balance(df: DataFrame, keys: list[str], order: list[str], delta: Col
     its start and its positive steps.
     """
     step = bucketed(df, keys, order).withColumn("__d", delta.cast("long"))
-    grouping = [*keys, BUCKET]
-    rows = _window(grouping, order, False)
+    rows = _window(HELD, order, False)
     upto, earlier = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(W.unboundedPreceding, -1)
     up = F.when(F.col("__d") > 0, 1).otherwise(0)
     local = (
         step.withColumns({"total": F.sum("__d").over(upto), "ups": F.sum(up).over(upto)})
         .withColumns({"floor": F.min("total").over(upto), "floor_before": F.min("total").over(earlier)}))
-    totals = local.groupBy(*grouping).agg(
+    totals = local.groupBy(*HELD).agg(
         F.sum("__d").alias("__s"), F.min("floor").alias("__m"), F.max("ups").alias("__u"))
-    before = _window(keys, [BUCKET], False).rowsBetween(W.unboundedPreceding, -1)
+    before = _window([GROUP], [BUCKET], False).rowsBetween(W.unboundedPreceding, -1)
     carries = (
         totals.withColumn("__cs", F.coalesce(F.sum("__s").over(before), F.lit(0)))
         .withColumn("__cm", F.min(F.col("__cs") + F.col("__m")).over(before))
         .withColumn("__cu", F.coalesce(F.sum("__u").over(before), F.lit(0)))
-        .select(*grouping, "__cs", "__cm", "__cu"))
-    joined = local.join(carries, grouping, "left")
+        .select(*HELD, "__cs", "__cm", "__cu"))
+    joined = local.join(carries, HELD, "left")
     start = F.coalesce("__cs", F.lit(0))
     return joined.select(
-        *[c for c in step.columns if c != "__d" and (more or c != BUCKET)],
+        *[c for c in step.columns if c != "__d" and (more or c not in HELD)],
         (F.col("total") + start).alias("total"),
         (F.col("ups") + F.coalesce("__cu", F.lit(0))).alias("ups"),
         F.least(F.col("floor") + start, "__cm").alias("floor"),

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # scans of one order share a shuffle only if each asks for whole rows of it (plans/ordered.py)
+    "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
 }
 
 
