@@ -186,7 +186,7 @@ class Tables:
         orders = self.raw("orders").selectExpr("o_custkey", "o_orderkey")
         own = orders.groupBy("o_custkey").agg(
             F.sort_array(F.collect_list("o_orderkey")).alias("early"), F.max("o_orderkey").alias("latest"))
-        suppliers = self.raw("supplier").agg(F.count(F.lit(1)).alias("suppliers"))  # one row
+        suppliers = self.raw("supplier").agg(F.count(F.lit(1))).scalar()
         empty = "cast(null as int)"
 
         def one(type_, name, state, value=empty):
@@ -194,7 +194,7 @@ class Tables:
                     f"'namespace', '', 'state', '{state}', 'value', {value})")
 
         return (
-            self.raw("customer").join(own, F.col("o_custkey") == F.col("c_custkey"), "left").crossJoin(suppliers)
+            self.raw("customer").join(own, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("suppliers", suppliers)
             .selectExpr(
                 "'default' as ns", "cast(c_custkey as string) as name",
                 "timestamp '1998-01-01 00:00:00' as created_at",
