@@ -217,22 +217,45 @@ def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int)
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept and text_md5 of every row.
-
-    ``width`` words make a shingle; sets are linked from ``percent`` percent of shared shingles on.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, tid and n of every row, and of its component the smallest doc_id and the first (id, text);
+    both are null without shingles."""
     sketched = stored(sketch(docs.select("doc_id", "text"), width), "sketch")
     sets = sketched.filter("n > 0").select("sid", "tid", "n", "p0", "p1", "p2", "p3", "bands").dropDuplicates(["sid"])
     texts_of = docs.select(F.unhex(F.md5(F.col("text").cast("string"))).alias("tid"), F.col("text").cast("string").alias("text"))
     owners = linked_sets(stored(sets, "sets"), texts_of, width, percent)
-    classes = sketched.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
+    classes = sketched.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.min(place).alias("first"))
     named = classes.join(owners.withColumnRenamed("id", "sid"), "sid", "left").select(
-        "sid", "low", F.coalesce("component", "sid").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_set = stored(named.join(lowest, "component").select(F.col("sid").alias("s"), "component_id"), "components")
-    joined = sketched.select("doc_id", "tid", "n", "sid").join(of_set, F.col("sid") == F.col("s"), "left")
+        "sid", "low", "first", F.coalesce("component", "sid").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    of_set = stored(
+        named.select("sid", "component").join(lowest, "component").select(F.col("sid").alias("s"), "component_id", "first"), "components")
+    return sketched.select("doc_id", "tid", "n", "sid").join(of_set, F.col("sid") == F.col("s"), "left").drop("sid", "s")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept and text_md5 of every row.
+
+    ``width`` words make a shingle; sets are linked from ``percent`` percent of shared shingles on.
+    """
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select(
+    return _grouped(docs, width, percent).select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("tid").alias("text_md5"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns: the smallest id, nulls last, then the lowest MD5 of the text, then of
+    the row as JSON. Texts without shingles all stay."""
+    leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tid") == F.col("first.tid"))
+    # rows of one id and text are of one set, so all of them lead or none does
+    held = _grouped(docs, width, percent).filter("n > 0").groupBy(F.col("doc_id").alias("held_id"), F.col("tid").alias("held_text")).agg(
+        F.count("*").alias("c"), F.bool_and(leads).alias("leads"))
+    found = stored(held.filter("not leads or c > 1").drop("c"), "near-duplicates")
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.unhex(F.md5(F.col("row.text").cast("string")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("held_id")) & (text == F.col("held_text"))
+    again = rows.join(found.filter("leads"), same, "left_semi").groupBy(F.col("row.doc_id").alias("d"), text.alias("t")).agg(
+        F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return rows.join(found, same, "left_anti").unionByName(again.select("row")).select("row.*")

@@ -1,10 +1,10 @@
 """The corpus pipeline: stages over the documents, each run on all that the one before has kept.
 
 Every stage passes on all columns of its input. Defined cases: an empty table stays empty; a
-document with a null or empty text fails the quality rules; documents without an id cannot be told apart
-and are only dropped as near duplicates of one that has an id; repeated rows of the document that is
-kept stay together; what loses all its words to substring dedup stays with an empty text and
-is not taken by the mix, which takes words.
+document with a null or empty text fails the quality rules; of near duplicates exactly one row
+stays, so of repeated rows, rows that share an id and rows without an id as well: the smallest id, nulls last,
+then the lowest MD5 of the text, then of the row; what loses all its words to substring dedup stays with
+an empty text and is not taken by the mix, which takes words.
 """
 
 from __future__ import annotations
@@ -28,12 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
-    found = minhash.near_duplicates(docs, width=SHINGLE, percent=SIMILARITY)
-    gone = stored(found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select(
-        F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_text")).distinct(), "near-duplicates")
-    same = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.unhex(F.md5(F.col("row.text"))) == F.col("gone_text"))
-    return docs.select(F.struct("*").alias("row")).join(gone, same, "left_anti").select("row.*")
+    """One row, the first by id, of each group of near duplicates, repeated rows and rows without an id included."""
+    return minhash.one_of_each(docs, width=SHINGLE, percent=SIMILARITY)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

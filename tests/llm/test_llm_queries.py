@@ -1,5 +1,7 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,29 @@ def test_pipeline(spark):
     assert coded.count() == inputs["pieces"].count() and coded.filter(~F.col("round_trip")).count() == 0
 
 
+def test_one_row_of_each_group_survives_substring_dedup(spark):
+    rng = random.Random(12)
+    text = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(60)) for _ in range(7)]
+    table = [
+        (1, text[0], "a"), (1, text[0], "a"),  # a row ingested twice
+        (2, text[1], "b"), (2, text[1], "a"),  # which differ in another column
+        (None, text[2], "a"), (None, text[2], "a"),  # copies without an id
+        (None, text[3] + " x", "a"), (None, text[3] + " y", "a"),  # near copies without an id
+        (3, text[4] + " x", "a"), (3, text[4] + " y", "a"), (4, text[4], "a"),  # one id of two texts
+        (None, text[5], "a"), (9, text[5], "a"),  # an id is preferred
+        (5, text[6], "a"), (6, "", "a"), (6, "", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    once = stored(corpus_pipeline.near_duplicates(spark, docs, FOLDER), "test-stage")
+    got = once.collect()
+    assert len(got) == 7 + 3  # and all texts without words
+    for t in text:
+        assert sum((r["text"] or "").startswith(t) for r in got) == 1
+    assert [r["doc_id"] for r in got if r["text"] == text[5]] == [9]
+    assert [r["doc_id"] for r in got if (r["text"] or "").startswith(text[4])] == [3]
+    cleaned = corpus_pipeline.substrings(spark, once, FOLDER).collect()
+    assert sorted(r["text"] or "" for r in cleaned) == sorted(r["text"] or "" for r in got)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
