@@ -192,8 +192,8 @@ def _discount(once: float, twice: float) -> float:
 
 
 def count_models(texts: DataFrame, rare_share: float = RARE_SHARE) -> Models:
-    """``texts``: toxic (0 or 1) and text of a bounded number of rows. Counted by Spark; what is left of the
-    counts, without pairs of one text only, goes to the driver."""
+    """``texts``: toxic (0 or 1) and text of a bounded number of rows. Counted by Spark; all counts, also of what
+    one text has, go to the driver."""
     pairs = stored(_units(texts, False), "toxic-pairs")
     stems = stored(_units(texts, True), "toxic-stems")
     seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
@@ -216,12 +216,12 @@ def count_models(texts: DataFrame, rare_share: float = RARE_SHARE) -> Models:
     none = Level((1, 1), (0, 0), (0.5, 0.5))
     word_level = level(words.withColumn("before", F.lit(0)), "follow_t", "follow_o") or [none]
     stem_levels = level(stems, "t", "o") or [none] * len(STEMS)
-    kept_words = words.filter(" or ".join(f"{n} > 1" for n in names)).toArrow()
-    kept_pairs = pairs.filter("t + o > 1").toArrow()
+    kept_words = words.toArrow()
+    kept_pairs = pairs.toArrow()
     word_keys = kept_words["w"].to_numpy().view(np.uint64)
     pair_keys = pair_key(kept_pairs["before"].to_numpy().view(np.uint64), kept_pairs["word"].to_numpy().view(np.uint64))
     a, b = np.argsort(word_keys), np.argsort(pair_keys)
-    kept_stems = stems.filter("t + o > 1").select("word", "t", "o").toArrow()
+    kept_stems = stems.select("word", "t", "o").toArrow()
     stem_keys = kept_stems["word"].to_numpy().view(np.uint64)
     c = np.argsort(stem_keys)
     column = lambda table, name, order: table[name].to_numpy().astype(np.float32)[order]

@@ -336,6 +336,15 @@ def test_toxicity(spark, none):
     assert {r[0] for r in rows(toxicity.toxicity(docs, marks.limit(0)), "score")} == {0.0}
 
 
+def test_toxicity_counts_what_one_text_has(spark):
+    texts = [(1, "all say this"), (1, "all say slurry"), (0, "all say that"), (0, "all say this")]
+    models = toxicity.count_models(spark.createDataFrame(texts, "toxic int, text string"))
+    bodies = [t.split() for _, t in texts]
+    pairs = {(a, b) for w in bodies for a, b in zip(["", *w], w)}
+    assert len(models.pairs) == len(pairs)
+    assert len(models.words) == len({w for b in bodies for w in b}) + 1  # and the beginning of a text
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 def test_near_vectors(spark, monkeypatch):
