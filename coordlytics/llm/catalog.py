@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import embeddings, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from coordlytics.llm import embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,45 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_md5")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 SQL: dict[str, str] = {
+    "op11_importance_resampling": r"""
+WITH shares AS (
+  SELECT list(list_reduce(range(9), lambda a, b: CASE WHEN b = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT)
+    ORDER BY i) AS share FROM range(256) t(i)),
+docs AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+used AS (SELECT unnest(w) AS x, 1 AS s, 0 AS t, id FROM docs),
+aimed AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x, 0 AS s, 1 AS t FROM benchmark),
+words AS (SELECT x, sum(s) AS s, sum(t) AS t FROM (SELECT x, s, t FROM used UNION ALL SELECT x, s, t FROM aimed) GROUP BY x),
+bytes AS (
+  SELECT x, s, t, [('0x' || substr(hex(encode(x)), 2 * i - 1, 2))::BIGINT FOR i IN range(1, length(hex(encode(x))) // 2 + 1)] AS b
+  FROM words),
+hashed AS (
+  SELECT x, s, t, xor(list_reduce(b, lambda a, c: xor(a >> 8, share[(xor(a, c) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM bytes, shares),
+counts AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket),
+total AS (SELECT sum(s) AS s, sum(t) AS t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((c.t + 1) * (coalesce(total.s, 0) + 10000))::DOUBLE / ((c.s + 1) * (coalesce(total.t, 0) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counts c, total),
+weights AS (SELECT id, sum(gain)::BIGINT AS weight FROM used JOIN hashed USING (x) JOIN gains USING (bucket) GROUP BY id),
+scored AS (
+  SELECT id, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE
+      / 4294967296))))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (id)),
+drawn AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    10 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END::BIGINT AS rank
+FROM scored LEFT JOIN drawn USING (id)""",
     "op7_embedding_near_duplicates": r"""
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS id, vec_id, label, embedding::DOUBLE[] AS e,
@@ -166,4 +204,5 @@ FROM parts LEFT JOIN best USING (id)""",
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_quality_rules, op3_token_counts, op4_shards, op5_substring_dedup, op6_toxicity,
-        op7_embedding_near_duplicates, op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates)}
+        op7_embedding_near_duplicates, op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates,
+        op11_importance_resampling)}
