@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from coordlytics.llm import dialogue_repair, dialogue_sql, embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +79,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 SQL: dict[str, str] = {
+    "op13_conversation_repair": dialogue_sql.SQL,
     "op11_importance_resampling": r"""
 WITH shares AS (
   SELECT list(list_reduce(range(9), lambda a, b: CASE WHEN b = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT)
@@ -205,4 +210,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_quality_rules, op3_token_counts, op4_shards, op5_substring_dedup, op6_toxicity,
         op7_embedding_near_duplicates, op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates,
-        op11_importance_resampling)}
+        op11_importance_resampling, op13_conversation_repair)}
