@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import dialogue_repair, dialogue_sql, embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from coordlytics.llm import dialogue_repair, dialogue_sql, disclosure, embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.spans_of(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -210,4 +214,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_quality_rules, op3_token_counts, op4_shards, op5_substring_dedup, op6_toxicity,
         op7_embedding_near_duplicates, op8_sentencepiece, op9_url_filter, op10_minhash_near_duplicates,
-        op11_importance_resampling, op13_conversation_repair)}
+        op11_importance_resampling, op12_personal_data, op13_conversation_repair)}

@@ -221,7 +221,7 @@ CHUNK = ("range int, chunk long, first_turn long, last_turn long, turns long, cl
          "roles array<string>, texts array<string>")
 
 
-def _chunker(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _chunker(schema: pa.Schema, chunk_turns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted turns to chunks of one conversation each."""
 
     def run(batches):
@@ -240,7 +240,7 @@ def _chunker(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
         for batch in batches:
             for r in batch.to_pylist():
-                if open_rows and (r["conv_id"] != open_rows[0]["conv_id"] or len(open_rows) >= CHUNK_TURNS or chars > CHUNK_CHARS):
+                if open_rows and (r["conv_id"] != open_rows[0]["conv_id"] or len(open_rows) >= chunk_turns or chars > CHUNK_CHARS):
                     close()
                 open_rows.append(r)
                 chars += len(r["text"])
@@ -254,7 +254,7 @@ def _chunker(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _chunks(turns: DataFrame) -> DataFrame:
+def _chunks(turns: DataFrame, chunk_turns: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text"]
@@ -262,7 +262,7 @@ def _chunks(turns: DataFrame) -> DataFrame:
     kind = turns.schema["conv_id"].dataType.simpleString()
     spark = turns.sparkSession
     schema = spark.createDataFrame([], f"conv_id {kind}, {CHUNK}").schema
-    return dealt.mapInArrow(_chunker(to_arrow_schema(schema)), schema)
+    return dealt.mapInArrow(_chunker(to_arrow_schema(schema), chunk_turns), schema)
 
 
 def _with_symbols(chunks: DataFrame) -> DataFrame:
@@ -444,13 +444,13 @@ class Repaired:
     turns: DataFrame
 
 
-def repair(turns: DataFrame) -> Repaired:
+def repair(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> Repaired:
     """Faults and the cheapest repair of every conversation in ``turns`` (conv_id, turn, role, text)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = turns.sparkSession
     kind = turns.schema["conv_id"].dataType.simpleString()
-    chunks = stored(_chunks(turns), "chunks")
+    chunks = stored(_chunks(turns, chunk_turns), "chunks")
     marked = stored(_with_symbols(chunks), "chunk-symbols")
     sequences = stored(marked.select("symbols").distinct(), "sequences")
     rules = grammar(sequences)
@@ -477,9 +477,9 @@ def repair(turns: DataFrame) -> Repaired:
     return Repaired(summary, made)
 
 
-def repaired_conversations(conversations: DataFrame) -> DataFrame:
+def repaired_conversations(conversations: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """The summary of the damaged conversations' repair, with a row for every conv_id of the input."""
-    found = repair(damaged(conversations)).summary.withColumnRenamed("conv_id", "c")
+    found = repair(damaged(conversations), chunk_turns).summary.withColumnRenamed("conv_id", "c")
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     return conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
         "conv_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
