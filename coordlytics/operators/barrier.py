@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import HELD, Prefix, bucketed, ordered_scan
+from coordlytics.plans.ordered import HELD, Prefix, bucketed, composed_scan, inside_bucket, ordered_scan
 
 
 def required():
@@ -90,30 +90,41 @@ def barrier_phase_timeline(barriers: DataFrame, arrival_events: DataFrame) -> Da
     """
     spec = barriers.select(*KEY, "created_at", required(), deadline())
     still = F.lit(0).cast("long").alias("delta")
+    known = ["created_at", "required", "deadline"]
     steps = arrival_events.groupBy(*KEY, "ts").agg(F.sum("delta").alias("delta")).join(spec, KEY)
     # rank orders rows of one instant: the deadline is inclusive, so its own row comes after
     rows = (
-        steps.select(*KEY, F.greatest("ts", "created_at").alias("ts"), F.lit(0).alias("rank"), "delta", "required", "deadline")
-        .unionByName(spec.select(*KEY, F.col("created_at").alias("ts"), F.lit(0).alias("rank"), still, "required", "deadline"))
+        steps.select(*KEY, F.greatest("ts", "created_at").alias("ts"), F.lit(0).alias("rank"), "delta", *known)
+        .unionByName(spec.select(*KEY, F.col("created_at").alias("ts"), F.lit(0).alias("rank"), still, *known))
         .unionByName(spec.filter("deadline is not null").select(
-            *KEY, F.col("deadline").alias("ts"), F.lit(1).alias("rank"), still, "required", "deadline")))
+            *KEY, F.col("deadline").alias("ts"), F.lit(1).alias("rank"), still, *known)))
     order = ["ts", "rank"]
-    rows = bucketed(rows, KEY, order).groupBy(*HELD, *KEY, "ts", "rank", "required", "deadline").agg(
-        F.sum("delta").alias("delta"))
-    counted = ordered_scan(rows, KEY, order, {"arrived": Prefix("sum", F.col("delta"))}, more=True)
-    reached = F.col("arrived") >= F.col("required")
-    open_for_arrivals = F.col("deadline").isNull() | (F.struct("ts", "rank") < F.struct("deadline", F.lit(1)))
-    level = ordered_scan(counted, KEY, order, {
-        "opened_at": Prefix("min", F.when(reached & open_for_arrivals, F.col("ts"))),
-        "missed": Prefix("max", F.when(~reached & ~open_for_arrivals, 1)),
-    }, more=True)
-    phase = (
-        F.when(open_for_arrivals, F.when(reached, "Open").otherwise("Waiting"))
-        .when(F.col("missed").isNull(), "Open").otherwise("Failed"))
-    phased = level.select(*HELD, *KEY, *order, phase.alias("phase"), "opened_at", F.col("arrived").cast("long").alias("arrived"))
-    edges = ordered_scan(phased, KEY, order, {"__before": Prefix("prev", F.col("phase"))}, more=True)
-    changes = edges.filter(F.col("__before").isNull() | (F.col("__before") != F.col("phase")))
-    ended = ordered_scan(changes, KEY, order, {"ended_at": Prefix("prev", F.col("ts"), reverse=True)})
+    rows = bucketed(rows, KEY, order).groupBy(*HELD, *KEY, *order, *known).agg(F.sum("delta").alias("delta"))
+    in_time = F.col("deadline").isNull() | (F.struct("ts", "rank") < F.struct("deadline", F.lit(1)))
+    # a bucket misses its requirement if its lowest count after the deadline does, given what came before it
+    scanned = composed_scan(
+        rows, KEY, order,
+        local=[{"__upto": lambda w: F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))}],
+        totals={"__sum": F.sum("delta"), "__low": F.min(F.when(~in_time, F.col("__upto"))), "__needed": F.first("required")},
+        carries=[{"__start": lambda earlier, later: F.coalesce(F.sum("__sum").over(earlier), F.lit(0))},
+                 {"__missed": lambda earlier, later: F.max(F.col("__start") + F.col("__low") < F.col("__needed")).over(earlier)}])
+    arrived = F.col("__start") + F.col("__upto")
+    reached, reached_before = arrived >= F.col("required"), arrived - F.col("delta") >= F.col("required")
+    rows_so_far = inside_bucket(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows_before = inside_bucket(order).rowsBetween(Window.unboundedPreceding, -1)
+    missed = lambda rows: F.coalesce(F.col("__missed"), F.lit(False)) | F.coalesce(F.max(~in_time & ~reached).over(rows), F.lit(False))
+    waiting = lambda enough: F.when(enough, "Open").otherwise("Waiting")
+    after = lambda failed: F.when(failed, "Failed").otherwise("Open")
+    # the phase just before a row: nothing before the creation, still in time before the row of the deadline
+    before = F.when((F.col("ts") == F.col("created_at")) & (F.col("rank") == 0), F.lit(None)).when(
+        in_time | (F.col("rank") == 1), waiting(reached_before)).otherwise(after(missed(rows_before)))
+    phased = scanned.select(
+        *HELD, *KEY, *order, F.when(in_time, waiting(reached)).otherwise(after(missed(rows_so_far))).alias("phase"),
+        before.alias("__before"), arrived.cast("long").alias("arrived"))
+    changes = phased.filter(F.col("__before").isNull() | (F.col("__before") != F.col("phase"))).drop("__before")
+    ended = ordered_scan(changes, KEY, order, {
+        "ended_at": Prefix("prev", F.col("ts"), reverse=True),
+        "opened_at": Prefix("min", F.when(F.col("phase") == "Open", F.col("ts")))})
     return ended.select(*KEY, "phase", F.col("ts").alias("started_at"), "ended_at", "arrived", "opened_at")
 
 

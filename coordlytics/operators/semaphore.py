@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from coordlytics.functions.columns import expiry, instant, permit_live, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import HELD, Prefix, bucketed, ordered_scan, running_balance
+from coordlytics.plans.ordered import HELD, Prefix, bucketed, composed_scan, ordered_scan, running_balance
 
 
 def semaphore_status(semaphores: DataFrame, permits: DataFrame, as_of: str) -> DataFrame:
@@ -64,34 +64,52 @@ def permit_intervals(events: DataFrame) -> DataFrame:
         expires.alias("expires_at"), ended.alias("ended_at"), reason.alias("end_reason"))
 
 
-def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str = "ended_at") -> DataFrame:
+def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str = "ended_at", spans: bool = False) -> DataFrame:
     """Permits in use after every change.
 
     Changes of one instant are summed first, so ends and starts at a tie cancel and a burst of
-    simultaneous changes is a single row.
+    simultaneous changes is a single row. With ``spans`` also until, the next change, and d, the change itself.
     """
     steps = intervals.select(*KEY, F.explode(F.array(
         F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
         F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s")).filter("s.ts is not null")
     steps = bucketed(steps.select(*KEY, "s.*"), KEY, ["ts"])
-    net = steps.groupBy(*HELD, *KEY, "ts").agg(F.sum("d").alias("d"))
-    level = ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))})
-    return level.filter("d <> 0").drop("d")
-
-
-def _with_end(timeline: DataFrame) -> DataFrame:
-    return ordered_scan(timeline, KEY, ["ts"], {"until": Prefix("prev", F.col("ts"), reverse=True)})
+    net = steps.groupBy(*HELD, *KEY, "ts").agg(F.sum("d").alias("d")).filter("d <> 0")
+    if not spans:
+        return ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}).drop("d")
+    scanned = composed_scan(
+        net, KEY, ["ts"],
+        local=[{"__upto": lambda w: F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__next": lambda w: F.lead("ts").over(w)}],
+        totals={"__sum": F.sum("d"), "__first": F.min("ts")},
+        carries=[{"__start": lambda earlier, later: F.sum("__sum").over(earlier), "__later": lambda earlier, later: F.min("__first").over(later)}])
+    return scanned.select(
+        *HELD, *KEY, "ts", "d", (F.coalesce("__start", F.lit(0)) + F.col("__upto")).alias("in_use"),
+        F.coalesce("__next", "__later").alias("until"))
+
+
+def _with_spans(timeline: DataFrame) -> DataFrame:
+    """``timeline`` with until and d, which it has if it was made with ``spans``."""
+    if "until" in timeline.columns:
+        return timeline
+    scanned = composed_scan(
+        timeline, KEY, ["ts"],
+        local=[{"__next": lambda w: F.lead("ts").over(w), "__back": lambda w: F.lag("in_use").over(w)}],
+        totals={"__first": F.min("ts"), "__last": F.max_by("in_use", "ts")},
+        carries=[{"__later": lambda earlier, later: F.min("__first").over(later),
+                  "__earlier": lambda earlier, later: F.last("__last").over(earlier)}])
+    return scanned.select(
+        *HELD, *KEY, "ts", "in_use", F.coalesce("__next", "__later").alias("until"),
+        (F.col("in_use") - F.coalesce("__back", "__earlier", F.lit(0))).alias("d"))
 
 
 def oversubscription(timeline: DataFrame, semaphores: DataFrame) -> DataFrame:
     """Maximal intervals in which more permits were in use than exist, with the peak excess."""
-    steps = _with_end(timeline).join(semaphores.select(*KEY, "permits"), KEY)
-    excess = steps.withColumn("excess", F.greatest(F.lit(0), F.col("in_use") - F.col("permits")))
-    marked = ordered_scan(excess, KEY, ["ts"], {"__before": Prefix("prev", F.col("excess"))}, more=True)
-    starts = F.when((F.col("excess") > 0) & (F.coalesce("__before", F.lit(0)) == 0), 1).otherwise(0)
-    islands = ordered_scan(marked, KEY, ["ts"], {"episode": Prefix("sum", starts)})
+    steps = _with_spans(timeline).join(semaphores.select(*KEY, "permits"), KEY).filter(F.col("in_use") > F.col("permits"))
+    excess = steps.select(*KEY, "ts", "until", (F.col("in_use") - F.col("permits")).alias("excess"),
+                          F.when(F.col("in_use") - F.col("d") <= F.col("permits"), 1).otherwise(0).alias("__starts"))
+    islands = ordered_scan(excess, KEY, ["ts"], {"episode": Prefix("sum", F.col("__starts"))})
     return (
-        islands.filter("excess > 0").groupBy(*KEY, "episode")
+        islands.groupBy(*KEY, "episode")
         .agg(F.min("ts").alias("started_at"), F.max("until").alias("ended_at"),
              F.max("excess").cast("long").alias("peak_excess"))
         .withColumn("episode", F.col("episode").cast("long")))
@@ -102,7 +120,7 @@ def peak_concurrency(timeline: DataFrame, semaphores: DataFrame, bucket: str = "
 
     A step that lasts over several buckets is split into one row per bucket it touches.
     """
-    steps = _with_end(timeline).filter("until is not null")
+    steps = _with_spans(timeline).filter("until is not null").select(*KEY, "ts", "in_use", "until")
     unit = F.expr(f"interval 1 {bucket}")
     last = F.date_trunc(bucket, F.col("until") - F.expr("interval 1 microsecond"))
     split = steps.withColumn("bucket", F.explode(F.sequence(F.date_trunc(bucket, "ts"), last, unit)))

@@ -37,7 +37,7 @@ def permit_spans(t: Tables) -> DataFrame:
 
 
 def timeline(t: Tables) -> DataFrame:
-    return semaphore.in_use_timeline(permit_spans(t))
+    return semaphore.in_use_timeline(permit_spans(t), spans=True)
 
 
 def held_leases(t: Tables) -> DataFrame:
@@ -454,7 +454,7 @@ ENTRIES: dict[str, Entry] = {
         f"""select {NS}, name, holder, acquired_at, released_at, expires_at, ended_at,
               case when released_at <= expires_at then 'release' else 'expiry' end as end_reason from permit_pairs"""),
     "in_use_timeline": entry(
-        timeline, f"select {NS}, name, ts, in_use from timeline"),
+        lambda t: semaphore.in_use_timeline(permit_spans(t)), f"select {NS}, name, ts, in_use from timeline"),
     "oversubscription": entry(
         lambda t: semaphore.oversubscription(timeline(t), t.semaphores()),
         f"""select {NS}, name, island as episode, min(ts) as started_at, max(until) as ended_at, max(excess)::bigint as peak_excess

@@ -92,6 +92,40 @@ def ordered_scan(
         *[_combine(s, f"__l_{c}", f"__c_{c}").alias(c) for c, s in specs.items()])
 
 
+def composed_scan(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    local: list[dict[str, Callable]],
+    totals: dict[str, Column],
+    carries: list[dict[str, Callable]],
+    bucket: Column | None = None,
+) -> DataFrame:
+    """``df`` with running values that depend on each other, by one summary per (key, bucket).
+
+    ``local`` are values inside a bucket, functions of the window over its rows in order. ``totals`` describe the bucket,
+    aggregates over rows with their local values. ``carries`` are what other buckets mean for it, functions of
+    the windows over the earlier and the later buckets of the key. Each entry of a list may use the columns of the
+    entries before it, so any number of dependent values takes one exchange of summaries and one join.
+    The rows stay in their buckets, with the local and carried columns.
+    """
+    rows = bucketed(df, keys, order, bucket)
+    inside = _window(HELD, order, False)
+    for step in local:
+        rows = rows.withColumns({c: f(inside) for c, f in step.items()})
+    summary = rows.groupBy(*HELD).agg(*[v.alias(c) for c, v in totals.items()])
+    earlier = _window([GROUP], [BUCKET], False).rowsBetween(W.unboundedPreceding, -1)
+    later = _window([GROUP], [BUCKET], True).rowsBetween(W.unboundedPreceding, -1)
+    for step in carries:
+        summary = summary.withColumns({c: f(earlier, later) for c, f in step.items()})
+    return rows.join(summary.select(*HELD, *[c for step in carries for c in step]), HELD, "left")
+
+
+def inside_bucket(order: list[str]):
+    """The window over the rows of a (key, bucket) in order, for rows that are held in their buckets."""
+    return _window(HELD, order, False)
+
+
 def _window(keys: list[str], order: list[str], reverse: bool):
     cols = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     return W.partitionBy(*keys).orderBy(*cols)

@@ -1,7 +1,14 @@
-"""ST1-ST10, O6 and the streaming form of IO7: streams in, streams out."""
+"""ST1-ST10, O6 and the streaming form of IO7: streams in, streams out.
+
+``delay`` says how late a row may come. The stateful streams hold rows for so long and then apply them in
+order, so their output does not depend on files and micro-batches; with a delay of zero the log is
+taken to be in order, and answers come at once.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import micros
@@ -18,6 +25,11 @@ from coordlytics.streaming.runtime import latest_rows, read_status, use_rocksdb
 LATENESS = "10 minutes"
 
 
+def held(delay: str) -> bool:
+    """Whether rows have to wait for the watermark: not if the log is in order."""
+    return not re.fullmatch(r"\s*0+\s*\w+\s*", delay)
+
+
 def _stateful(rows: DataFrame, processor, delay: str) -> DataFrame:
     use_rocksdb(rows.sparkSession)
     return rows.withWatermark("ts", delay).groupBy(*KEY).transformWithState(
@@ -27,7 +39,7 @@ def _stateful(rows: DataFrame, processor, delay: str) -> DataFrame:
 def _folded(log: DataFrame, fold: Fold, times: list[str], delay: str) -> DataFrame:
     needed = list(dict.fromkeys([*KEY, "ts", "ts_us", "seq", *fold.inputs]))
     rows = with_micros(log).select(*needed)
-    return as_timestamps(_stateful(rows, FoldProcessor(fold, KEY), delay), times)
+    return as_timestamps(_stateful(rows, FoldProcessor(fold, KEY, held(delay)), delay), times)
 
 
 def barrier_stream(log: DataFrame, delay: str = LATENESS) -> DataFrame:
@@ -36,7 +48,7 @@ def barrier_stream(log: DataFrame, delay: str = LATENESS) -> DataFrame:
     ``log`` has ns, name, op (create or arrive), holder, ts, seq, required and deadline.
     """
     rows = log.select(*KEY, "ts", micros("ts").alias("ts_us"), "op", "holder", "seq", "required", micros("deadline").alias("deadline_us"))
-    return as_timestamps(_stateful(rows, BarrierProcessor(), delay), ["ts"])
+    return as_timestamps(_stateful(rows, BarrierProcessor(held(delay)), delay), ["ts"])
 
 
 def mutex_stream(ops: DataFrame, delay: str = LATENESS) -> DataFrame:
@@ -53,13 +65,13 @@ def lease_stream(log: DataFrame, delay: str = LATENESS) -> DataFrame:
     """ST4: every tenure when it ends; the next request is granted at that instant."""
     rows = with_micros(log.withColumn("priority", given_priority().cast("long"))).select(
         *KEY, "ts", "ts_us", "seq", "op", "priority", "ttl_us", "holder")
-    return as_timestamps(_stateful(rows, LeaseProcessor(LeaseFold()), delay), ["started_at", "ended_at"])
+    return as_timestamps(_stateful(rows, LeaseProcessor(LeaseFold(), held(delay)), delay), ["started_at", "ended_at"])
 
 
 def semaphore_stream(log: DataFrame, delay: str = LATENESS) -> DataFrame:
     """ST5: permits in use after every change, expiries included."""
     rows = with_micros(log).select(*KEY, "ts", "ts_us", "op", "seq", "holder", "ttl_us")
-    return as_timestamps(_stateful(rows, SemaphoreProcessor(), delay), ["ts"])
+    return as_timestamps(_stateful(rows, SemaphoreProcessor(held(delay)), delay), ["ts"])
 
 
 def waitgroup_stream(deltas: DataFrame, delay: str = LATENESS) -> DataFrame:

@@ -114,6 +114,67 @@ def test_once_and_heartbeats(spark, tmp_path):
     assert online and online <= batch and len(batch - online) <= 6
 
 
+def shuffled(spark, df, folder, lateness=600, parts=5, seed=3):
+    """The log in files whose rows are out of order by less than ``lateness`` seconds, and a last one far ahead."""
+    rnd = random.Random(seed)
+    rows = sorted((r for r in df.collect()), key=lambda r: r.ts.timestamp() + rnd.uniform(0, lateness - 1))
+    assert [r.seq for r in rows] != sorted(r.seq for r in rows)
+    ahead = [r.asDict() | {"name": "ahead", "ts": max(r.ts for r in rows) + timedelta(days=30), "seq": 10**6} for r in rows[:1]]
+    n = len(rows)
+    for i, part in enumerate([rows[k * n // parts: (k + 1) * n // parts] for k in range(parts)] + [ahead, ahead]):
+        if part:
+            spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+@pytest.mark.parametrize("kind", ["mutex", "rwmutex", "lease", "semaphore", "waitgroup", "once", "barrier"])
+def test_shuffled_files_give_what_the_batch_gives(spark, tmp_path, kind):
+    """Rows up to ten minutes late, over many micro-batches, against the batch operator or a loop on the sorted log."""
+    ops = {"mutex": ["lock", "lock", "unlock"], "rwmutex": ["rlock", "rlock", "lock", "unlock", "unlock"], "lease": ["request", "request", "clear"],
+           "semaphore": ["acquire", "acquire", "release"], "waitgroup": ["x"], "once": ["x"]}
+    if kind == "barrier":
+        specs = [("default", f"b{i}", at(seconds=40 * i), 3, 2 if i % 2 else None, None if i % 3 == 0 else timedelta(seconds=100)) for i in range(30)]
+        rnd = random.Random(1)
+        arrivals = sorted((at(seconds=40 * b + rnd.randrange(0, 200)), f"b{b}", f"h{rnd.randrange(4)}") for b in range(30) for _ in range(4))
+        b = frame(spark, BARRIERS, specs)
+        a = frame(spark, "ns string, barrier string, holder string, arrived_at timestamp, seq long", [("default", n, h, ts, i) for i, (ts, n, h) in enumerate(arrivals)])
+        created = b.selectExpr("ns", "name", "'create' as op", "cast(null as string) as holder", "created_at as ts", "-1L as seq", "coalesce(quorum, expected) as required", "created_at + timeout as deadline")
+        came = a.selectExpr("ns", "barrier as name", "'arrive' as op", "holder", "arrived_at as ts", "seq", "cast(null as int) as required", "cast(null as timestamp) as deadline")
+        rows = created.unionByName(came).withColumn("seq", F.expr("cast(row_number() over (order by ts, seq) as bigint)"))
+        out = runtime.drain(streams.barrier_stream(shuffled(spark, rows, tmp_path / "in"), "10 minutes"), "t").filter("name <> 'ahead'")
+        opened = barrier.barrier_opened_at(b, a)
+        assert got(out.filter("phase = 'Open'"), "name", "ts") == got(opened.filter("opened_at is not null"), "name", "opened_at")
+        assert got(out.filter("phase = 'Failed'"), "name", "ts") == got(opened.filter("opened_at is null and deadline is not null"), "name", "deadline")
+        return
+    df = log(spark, ops[kind], ttl=200)
+    out = runtime.drain(getattr(streams, f"{kind}_stream")(shuffled(spark, df, tmp_path / "in"), "10 minutes"), "t").filter("name <> 'ahead'")
+    end = df.agg(F.max("ts")).first()[0]
+    if kind == "mutex":
+        cols = ["name", "seq", "outcome", "blocked_by", "locked_at"]
+        assert got(out.filter("op <> 'expire'"), *cols) == got(mutex.mutex_replay(df), *cols)
+        ended = mutex.mutex_tenures(df, str(end + timedelta(days=1))).filter("end_reason = 'ttl'")
+        assert got(out.filter("op = 'expire'"), "name", "holder", "ts") == got(ended, "name", "holder", "ended_at")
+    elif kind == "rwmutex":
+        cols = ["name", "seq", "outcome", "readers", "writer", "expires_at"]
+        assert got(out.filter("op <> 'expire'"), *cols) == got(rwmutex.rwmutex_replay(df), *cols)
+    elif kind == "lease":
+        cols = ["name", "holder", "priority", "started_at", "ended_at", "end_reason"]
+        batch = lease.lease_tenures(df, str(end + timedelta(days=29)))
+        assert got(out, *cols) == got(batch, *cols)
+    elif kind == "semaphore":
+        batch = semaphore.in_use_timeline(semaphore.permit_intervals(df))
+        assert got(out, "name", "ts", "in_use") == got(batch, "name", "ts", "in_use")
+    elif kind == "waitgroup":
+        assert got(out, "name", "seq", "counter", "lost") == got(waitgroup.waitgroup_counter(df), "name", "seq", "counter", "lost")
+    else:
+        want, until = [], {}
+        for r in sorted(df.collect(), key=lambda r: r.seq):
+            if r.name not in until or r.ts > until[r.name]:
+                until[r.name] = r.ts + r.ttl
+                want.append((r.name, r.seq))
+        assert got(out, "name", "seq") == sorted(want, key=repr)
+
+
 def test_upsert_is_idempotent(spark, tmp_path):
     df = log(spark, ["x"]).select("ns", "name", "ts", "seq", "holder")
     stream = as_stream(spark, df, tmp_path / "in")
