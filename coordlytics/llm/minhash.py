@@ -7,11 +7,12 @@ Sets in a band are candidates. Their similarity is estimated from bit counts, co
 the quarter of positions that agree by chance, and only what may reach the limit is confirmed
 on the full sets, recomputed from the texts.
 
-A band is never expanded into all its pairs. First every member is held against one member of its
-band. Bands that then still mix components are joined to clusters, and within a cluster each member
-outside the largest component is compared with the members of other components, on bit counts and,
-where those allow, on the full sets; only links leave the join. All links between different
-components have then been looked at.
+A band is never expanded into all its pairs. First every set is confirmed against one other, the likeliest
+of those that are the centre of a band with it; in a second round every component that shares a band with
+the centre of another tries the likeliest such pair. Bands that then still mix components are joined to clusters, and within a
+cluster each member outside the largest component is compared with the members of other components, on bit counts and,
+where those allow, on the full sets; only one row per two components leaves the join. All links between different
+components have then been looked at, and links in all are about as many as sets.
 
 Defined cases: a null text or one without words has no shingles and is linked with nothing; fewer
 words than a shingle form one shingle; a null doc_id takes part and gets its component's
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 
 from coordlytics.llm.graph import components
 from coordlytics.llm.shingles import shingle_sets
-from coordlytics.llm.store import stored
+from coordlytics.llm.store import scratch, stored
 from coordlytics.llm.words import Reader, mixed, text_slices
 
 MINIMA, ROWS = 128, 4
 BANDS = MINIMA // ROWS
-MINORS = 1024  # members outside the largest component that one group of a cluster takes
+MINORS = 128  # members outside the largest component that one group of a cluster takes
+ROUNDS = 2  # in which each component tries one pair before clusters are compared
 #: An estimate this far below the limit, six standard deviations, rules a pair out.
 SLACK = 0.25
 
@@ -112,12 +114,17 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
         run, f"doc_id {id_type}, tid binary, n long, sid binary, p0 long, p1 long, p2 long, p3 long, bands array<long>")
 
 
+def _differing(a: str, b: str) -> Column:
+    """In how many of the minima the low bits differ."""
+    x, y = (lambda name: F.col(f"{a}.{name}")), (lambda name: F.col(f"{b}.{name}"))
+    return sum((F.bit_count(x(f"p{h}").bitwiseXOR(y(f"p{h}")).bitwiseOR(x(f"p{h + 2}").bitwiseXOR(y(f"p{h + 2}"))))
+                for h in range(2)), F.lit(0))
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
     """Sizes and bit counts allow the similarity."""
     x, y = (lambda name: F.col(f"{a}.{name}")), (lambda name: F.col(f"{b}.{name}"))
-    differ = sum((F.bit_count(x(f"p{h}").bitwiseXOR(y(f"p{h}")).bitwiseOR(x(f"p{h + 2}").bitwiseXOR(y(f"p{h + 2}"))))
-                  for h in range(2)), F.lit(0))
-    agreeing = 1 - differ / MINIMA
+    agreeing = 1 - _differing(a, b) / MINIMA
     estimate = (agreeing - 0.25) / 0.75
     return ((100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n")))
             & (estimate >= percent / 100 - SLACK))
@@ -170,7 +177,7 @@ def shingled(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _across(clustered: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between different components of a cluster, confirmed on the full sets in the join itself."""
+    """(a, b): components of a cluster with a link between them, confirmed on the full sets in the join itself."""
     held = clustered.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
     sizes = held.groupBy("cluster").agg(
         F.max(F.struct("c", "comp"))["comp"].alias("main"), (F.sum("c") - F.max("c")).alias("minors"))
@@ -185,7 +192,20 @@ def _across(clustered: DataFrame, percent: int) -> DataFrame:
     found = minor.join(every, ["cluster", "part"]).filter(
         (F.col("x.comp") != F.col("m.comp")) & ((F.col("m.comp") == F.col("main")) | (F.col("x.sid") < F.col("m.sid")))
         & _possible("x", "m", percent) & alike)
-    return found.select(*_pair("x", "m"))
+    x, y = F.col("x.comp"), F.col("m.comp")
+    return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _likeliest(full: DataFrame, draw: int, percent: int) -> DataFrame:
+    """(a, b): for every component of ``full`` (key, comp and a set's traits) the pair of one of its sets and
+    a band's centre of another component whose bits agree best. A band's centre is drawn by hash."""
+    row = F.struct("sid", "comp", "n", "p0", "p1", "p2", "p3")
+    centres = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(draw)).alias("h"), row.alias("c")))["c"].alias("c"))
+    pairs = full.select("key", row.alias("m")).join(centres, "key").filter(
+        (F.col("m.comp") != F.col("c.comp")) & _possible("m", "c", percent))
+    best = pairs.groupBy(F.col("m.comp").alias("comp")).agg(F.min(F.struct(
+        _differing("m", "c").alias("d"), F.col("m.sid").alias("m"), F.col("c.sid").alias("c"))).alias("best"))
+    return best.select(F.least("best.m", "best.c").alias("a"), F.greatest("best.m", "best.c").alias("b")).distinct()
 
 
 def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int) -> DataFrame:
@@ -197,21 +217,21 @@ def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int)
         shared.select("sid").distinct().join(sets.select("sid", "tid", "n", "p0", "p1", "p2", "p3"), "sid"), "traits")
     texts = texts_of.join(traits.select("tid", "sid"), "tid").select("sid", "text").dropDuplicates(["sid"])
     texts = stored(texts, "texts")
-    row = F.struct("sid", "n", "p0", "p1", "p2", "p3")
-    full = shared.join(traits.drop("tid"), "sid")
-    centres = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), row.alias("c")))["c"].alias("c"))
-    stars = full.select("key", row.alias("m")).join(centres, "key").filter(
-        (F.col("m.sid") != F.col("c.sid")) & _possible("m", "c", percent))
-    links = stored(confirmed(stars.select(*_pair("m", "c")).distinct(), texts, width, percent), "star-links")
-    found = stored(components(links), "star-components")
-    comp = F.coalesce("component", "sid").alias("comp")
-    now = shared.join(found.withColumnRenamed("id", "sid"), "sid", "left").select("key", "sid", comp)
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("sid").alias("low")).filter("x <> y")
-    rest = stored(now.join(open_keys.select("key", "low"), "key").select("sid", "comp", "low").distinct(), "open")
-    clusters = components(rest.select(F.col("sid").alias("a"), F.col("low").alias("b")))
-    inside = rest.select("sid", "comp").distinct().join(
-        clusters.select(F.col("id").alias("sid"), F.col("component").alias("cluster")), "sid")
-    shingles = shingled(texts.join(rest.select("sid").distinct(), "sid", "left_semi"), width)
+    now = shared.withColumn("comp", F.col("sid"))
+    links = None
+    for draw in range(ROUNDS):
+        pairs = stored(_likeliest(now.join(traits.drop("tid"), "sid"), draw, percent), "star-pairs")
+        more = confirmed(pairs, texts, width, percent)
+        links = stored(more if links is None else links.unionByName(more), "star-links")
+        found = stored(components(links), "star-components")
+        now = shared.join(found.withColumnRenamed("id", "sid"), "sid", "left").select(
+            "key", "sid", F.coalesce("component", "sid").alias("comp"))
+        mixed_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        now = stored(now.join(mixed_keys.select("key", "low"), "key"), "open")
+    clusters = components(now.select(F.col("comp").alias("a"), F.col("low").alias("b")))
+    inside = now.select("sid", "comp").distinct().join(
+        clusters.select(F.col("id").alias("comp"), F.col("component").alias("cluster")), "comp")
+    shingles = shingled(texts.join(now.select("sid").distinct(), "sid", "left_semi"), width)
     clustered = stored(inside.join(traits.drop("tid"), "sid").join(shingles, "sid"), "clusters")
     more = stored(_across(clustered, percent), "cluster-links")
     return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
@@ -223,7 +243,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sketched = stored(sketch(docs.select("doc_id", "text"), width), "sketch")
     sets = sketched.filter("n > 0").select("sid", "tid", "n", "p0", "p1", "p2", "p3", "bands").dropDuplicates(["sid"])
     texts_of = docs.select(F.unhex(F.md5(F.col("text").cast("string"))).alias("tid"), F.col("text").cast("string").alias("text"))
-    owners = linked_sets(stored(sets, "sets"), texts_of, width, percent)
+    with scratch(docs.sparkSession) as step:
+        owners = step.keep(linked_sets(stored(sets, "sets"), texts_of, width, percent), "linked-sets")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")
     classes = sketched.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.min(place).alias("first"))
     named = classes.join(owners.withColumnRenamed("id", "sid"), "sid", "left").select(

@@ -3,7 +3,8 @@
 The list is learned by sequential covering. A rule is a conjunction of thresholds on
 statistics; it is grown condition by condition for the highest information gain on two thirds
 of the labelled rows, pruned on the others, kept if it is precise there, and the rows it covers
-are taken out before the next one. The driver only ever sees counts per (statistic,
+are taken out before the next one. A condition has to save more bits than it takes to name it, which ends both
+growing and covering; a rule that is not precise is dropped and what it covers set aside, so that it hides no other. The driver only ever sees counts per (statistic,
 threshold), a fixed number. The result is an ordered list of Spark conditions.
 
 Defined cases: a null or empty text has zero words and fails the base rules; null labels, labels
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordlytics.llm.store import stored
+from coordlytics.llm.store import scratch, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 10
@@ -30,7 +31,7 @@ SPAN = 5
 #: Learned from at most about so many labelled rows, chosen by a hash of their id.
 MAX_LABELLED = 200_000
 THRESHOLDS = 24  # for each statistic
-MAX_RULES, MAX_CONDITIONS = 6, 3
+MIN_GAIN = 10.0  # bits: about what it takes to name one of all statistics, thresholds and directions
 MIN_PRECISION = 0.9  # of a rule, on the rows it was not grown on
 MIN_COVERED = 5
 
@@ -131,9 +132,9 @@ def _gain(bad: int, good: int, all_bad: int, all_good: int) -> float:
 
 def _grow(rows: DataFrame, grids: dict[str, list[float]]) -> Rule:
     rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS:
+    while True:
         counts = _counts(rows.filter(_covers(rule)), grids)
-        best, best_gain, pure = None, 1e-9, False
+        best, best_gain, pure = None, MIN_GAIN, False
         for name in sorted(grids):
             held, size = counts[name], len(grids[name])
             all_bad, all_good = sum(b for b, _ in held.values()), sum(g for _, g in held.values())
@@ -185,17 +186,18 @@ def learn(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return {n: g for n in names if (g := sorted({*(found[f"b{n}"] or []), *(found[f"a{n}"] or [])}))}
 
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
-        growing, unseen = rows.filter("draw % 3 <> 0"), rows.filter("draw % 3 = 0")
-        grids = grid(growing)
-        rule = _grow(growing, grids) if grids else ()
-        if not rule:
+    growing, unseen = rows.filter("draw % 3 <> 0"), rows.filter("draw % 3 = 0")
+    while grids := grid(growing):
+        grown = _grow(growing, grids)
+        if not grown:
             break
-        rule, precision, covered = _prune(unseen, rule)
-        if precision < MIN_PRECISION or covered < MIN_COVERED:
-            break
-        rules.append(rule)
-        rows = rows.filter(~_covers(rule))
+        rule, precision, covered = _prune(unseen, grown)
+        if precision >= MIN_PRECISION and covered >= MIN_COVERED:
+            rules.append(rule)
+            unseen = unseen.filter(~_covers(rule))
+            growing = growing.filter(~_covers(rule))
+        else:  # what a failed rule covers is set aside: it may hide other kinds
+            growing = growing.filter(~_covers(grown))
     return rules
 
 
@@ -209,10 +211,16 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``row`` (the given columns, all by default), the statistics, base_failed and kept of every document."""
-    carried = docs.columns if columns is None else columns
     stats = statistics(docs)
-    narrow = stored(stats.withColumn("doc_id", F.col("row.doc_id")).withColumn(
-        "row", F.struct(*[F.col(f"row.`{c}`").alias(c) for c in carried])), "quality-stats")
-    rules = learn(narrow.drop("row"), labels)
-    return with_features(narrow).withColumn("base_failed", base_failed()).withColumn(
+    names = [c for c in stats.columns if c != "row"]
+    if columns is None:
+        with scratch(docs.sparkSession):
+            rules = learn(stored(stats.select(F.col("row.doc_id").alias("doc_id"), *names), "quality-stats"), labels)
+        # read again rather than stored with whole rows; as a generator's output, which no filter is pushed into
+        read = stats.select("row", F.inline(F.array(F.struct(*names))))
+    else:
+        carried = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+        read = stored(stats.select(F.col("row.doc_id").alias("doc_id"), carried.alias("row"), *names), "quality-stats")
+        rules = learn(read.drop("row"), labels)
+    return with_features(read).withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & verdict(rules))
