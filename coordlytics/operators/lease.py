@@ -132,6 +132,36 @@ def lease_tenures(events: DataFrame, as_of: str | None = None) -> DataFrame:
     return grants.join(asked, [*KEY, "priority", "ordinal"]).drop("ordinal")
 
 
+def recorded_tenures(status_log: DataFrame, as_of: str | None = None) -> DataFrame:
+    """L3 from what was recorded: every tenure in a log of status rows, with nothing simulated.
+
+    ``status_log`` has ns, name, ts, seq, holder (null or empty: nobody) and expires_at (null: never) as written after each change. A
+    row of the same holder before the recorded expiry renews its tenure. A tenure ends when its last expiry
+    passes, or with the first row that names another holder or none; an expiry at the instant of a row is a renewal in time.
+    ``as_of`` ends tenures whose expiry lies before it. Two scans of the log's order, however long a lease's log is.
+    """
+    order = ["ts", "seq"]
+    log = _until(status_log, as_of).select(*KEY, *order, none_if_empty("holder").alias("holder"), "expires_at")
+    last = log.groupBy(*KEY).agg(F.max_by("expires_at", F.struct(*order)).alias("__expires"))
+    before = ordered_scan(log, KEY, order, {"__b": Prefix("prev", F.struct("holder", "expires_at"))})
+    lapsed = F.coalesce(F.col("__b.expires_at") < F.col("ts"), F.lit(False))
+    goes_on = F.col("__b.holder").eqNullSafe(F.col("holder")) & (F.col("holder").isNull() | ~lapsed)
+    edges = before.filter(F.col("__b").isNull() | ~goes_on)
+    # the row before an edge has the last expiry of the tenure that the edge ends
+    ended = ordered_scan(edges, KEY, order, {
+        "__next": Prefix("prev", F.struct("ts", "holder", F.col("__b.expires_at").alias("expires_at")), reverse=True)})
+    tenures = ended.filter("holder is not null").join(last, KEY)
+    expires = F.when(F.col("__next").isNull(), F.col("__expires")).otherwise(F.col("__next.expires_at"))
+    limit = F.col("__next.ts") if as_of is None else F.coalesce("__next.ts", instant(as_of))
+    lapses = F.coalesce(expires < limit, F.lit(False))
+    reason = (
+        F.when(lapses, "ttl").when(F.col("__next").isNull(), "open")
+        .when(F.col("__next.holder").isNull(), "clear").otherwise("handover"))
+    return tenures.select(
+        *KEY, "holder", "seq", F.col("ts").alias("started_at"), F.when(lapses, expires).otherwise(F.col("__next.ts")).alias("ended_at"),
+        reason.alias("end_reason"))
+
+
 def pending_requests(requests: DataFrame, as_of: str) -> DataFrame:
     """L4: ungranted requests with their place in the queue and their age."""
     now = instant(as_of)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from coordlytics.functions.columns import DEFAULT_WAIT, instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
+from coordlytics.functions.sketches import distinct_estimate, distinct_sketch, merged, quantile_estimate, quantile_sketch
 from coordlytics.operators.relations import KEY
 from coordlytics.operators.semaphore import pair_in_order
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import Fold, Prefix, ordered_fold, ordered_scan
+from coordlytics.plans.ordered import ComposedFold, Fold, Prefix, composed_fold, ordered_fold, ordered_scan
 
 ORDER = ["ts", "seq"]
 #: The end of what has not ended.
@@ -34,8 +37,13 @@ def fields(text: str) -> T.StructType:
         for name, kind in (part.split() for part in text.split(","))])
 
 
-class MutexFold(Fold):
-    """State: (holder, locked_at, expires_at) or None. Emits outcomes, tenures or the last state."""
+class MutexFold(ComposedFold):
+    """State: (holder, locked_at, expires_at) or None. Emits outcomes, tenures or the last state.
+
+    What a stretch of operations does to an entering hold depends on when the hold ends: with its holder's first unlock or
+    with the first operation after its expiry, whichever comes first. From there on the mutex is free, and where a
+    free mutex ends up is known for every operation from the end of the stretch backwards.
+    """
 
     inputs = ["op", "holder", "ts_us", "ttl_us", "seq"]
     ends = "end_us"
@@ -91,6 +99,47 @@ class MutexFold(Fold):
             emit((seq, ts, op, holder, ok, outcome, blocked_by, mine[1], mine[2]))
         return state
 
+    def summary(self, rows):
+        """(end if free, unlocks, ends): per holder the instant of the first unlock and the state at the end if free after it;
+        and that state if free from the first operation later than an instant on, as (instant before which it holds, state)."""
+        times = [ts for _, _, ts, _, _ in rows]
+        free = [None] * (len(rows) + 1)  # the state at the end, if the mutex is free before row i
+        unlocks: dict = {}  # holder -> the next row that unlocks for it
+        for i in range(len(rows) - 1, -1, -1):
+            op, holder, ts, ttl, _ = rows[i]
+            free[i] = free[i + 1]
+            if op == "lock":
+                expires = None if ttl is None else ts + ttl
+                late = len(rows) if expires is None else bisect_right(times, expires, i + 1)
+                unlock = unlocks.get(holder, len(rows))
+                if unlock < late:
+                    free[i] = free[unlock + 1]
+                elif late < len(rows):
+                    free[i] = free[late]
+                else:
+                    free[i] = (holder, ts, expires)
+            elif holder:
+                unlocks[holder] = i
+        ends = []
+        for i, ts in enumerate(times):
+            if ends and ends[-1][1] == free[i]:
+                ends[-1] = (ts, free[i])
+            else:
+                ends.append((ts, free[i]))
+        return free[0], {h: (times[i], free[i + 1]) for h, i in unlocks.items()}, ends
+
+    def through(self, summary, state):
+        free, unlocks, ends = summary
+        if state is None:
+            return free
+        holder, _, expires = state
+        unlocked = unlocks.get(holder)
+        if unlocked is not None and (expires is None or unlocked[0] <= expires):
+            return unlocked[1]
+        if expires is not None and expires < ends[-1][0]:
+            return ends[bisect_right(ends, expires, key=lambda e: e[0])][1]
+        return state
+
     def finish(self, state, emit, end):
         now = self.as_of_us if end is None else end
         if now is not None:
@@ -140,9 +189,13 @@ def last_stretches(stretches: DataFrame) -> DataFrame:
     return stretches.filter("end_us is null")
 
 
+def _composed(ops: DataFrame, fold: MutexFold, times: list[str], only_last: bool = False) -> DataFrame:
+    return as_timestamps(composed_fold(with_micros(ops), KEY, ORDER, fold, only_last), times)
+
+
 def mutex_replay(ops: DataFrame) -> DataFrame:
     """M2: the outcome of every operation, given all those before it on the same mutex."""
-    return replayed(stretched(ops, ["lock"]), MutexFold("outcomes"), ["ts", "locked_at", "expires_at"])
+    return _composed(ops, MutexFold("outcomes"), ["ts", "locked_at", "expires_at"])
 
 
 def mutex_tenures(ops: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -150,14 +203,12 @@ def mutex_tenures(ops: DataFrame, as_of: str | None = None) -> DataFrame:
 
     Emitted by the same pass as the outcomes, so no second shuffle pairs locks with unlocks.
     """
-    fold = MutexFold("tenures", _as_of_us(as_of))
-    return replayed(stretched(_until(ops, as_of), ["lock"]), fold, ["locked_at", "ended_at", "expires_at"])
+    return _composed(_until(ops, as_of), MutexFold("tenures", _as_of_us(as_of)), ["locked_at", "ended_at", "expires_at"])
 
 
 def mutex_status(ops: DataFrame, as_of: str) -> DataFrame:
-    """M1: current holder; an expired lock is Unlocked."""
-    fold = MutexFold("status", _as_of_us(as_of))
-    out = replayed(last_stretches(stretched(_until(ops, as_of), ["lock"])), fold, ["locked_at", "expires_at"])
+    """M1: current holder; an expired lock is Unlocked. Only the last operations of a mutex are replayed."""
+    out = _composed(_until(ops, as_of), MutexFold("status", _as_of_us(as_of)), ["locked_at", "expires_at"], only_last=True)
     return out.withColumn("phase", F.when(F.col("holder").isNull(), "Unlocked").otherwise("Locked"))
 
 
@@ -171,9 +222,10 @@ def mutex_contention(replay: DataFrame, tenures: DataFrame, bucket: str = "day")
 
     A tenure that lasts over several buckets counts in each for the time it spends there.
     """
-    attempts = replay.filter("op = 'lock'").groupBy(*KEY, F.date_trunc(bucket, "ts").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if("ok").alias("acquired"),
-        F.approx_count_distinct("holder").alias("contenders"))
+    per_holder = replay.filter("op = 'lock'").groupBy(*KEY, F.date_trunc(bucket, "ts").alias("bucket"), "holder").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok"))
+    attempts = per_holder.groupBy(*KEY, "bucket").agg(
+        F.sum("n").alias("attempts"), F.sum("ok").alias("acquired"), F.count("holder").alias("contenders"))
     closed = tenures.filter("ended_at is not null")
     holds = cut(closed.groupBy(
         *KEY, F.date_trunc(bucket, "locked_at").alias("bucket"), seconds_between("locked_at", "ended_at").alias("hold")
@@ -193,6 +245,27 @@ def mutex_contention(replay: DataFrame, tenures: DataFrame, bucket: str = "day")
         F.round(F.col("acquired") / F.col("attempts"), 4).alias("success_rate"))
 
 
+def contention_sketches(replay: DataFrame, tenures: DataFrame, bucket: str = "day") -> DataFrame:
+    """M5 to be kept: per mutex and time bucket the attempts, and sketches of the contenders and of the hold times.
+
+    Merged over wider buckets (`wider_contention`) they answer for months what no one wants to read days for again.
+    """
+    asked = replay.filter("op = 'lock'").groupBy(*KEY, F.date_trunc(bucket, "ts").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if("ok").alias("acquired"), distinct_sketch("holder", "contenders"))
+    held = tenures.filter("ended_at is not null").groupBy(*KEY, F.date_trunc(bucket, "locked_at").alias("bucket")).agg(
+        quantile_sketch(seconds_between("locked_at", "ended_at").cast("long"), "holds"))
+    return asked.join(held, [*KEY, "bucket"], "full")
+
+
+def wider_contention(sketches: DataFrame, bucket: str) -> DataFrame:
+    """Contention per ``bucket``, from sketches of narrower ones; contenders and quantiles are estimates (`functions.sketches`)."""
+    wide = merged(sketches.withColumn("bucket", F.date_trunc(bucket, "bucket")), [*KEY, "bucket"])
+    return wide.select(
+        *KEY, "bucket", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("acquired", F.lit(0)).alias("acquired"),
+        F.coalesce(distinct_estimate("contenders"), F.lit(0)).alias("contenders"),
+        quantile_estimate("holds", 0.5).alias("p50_hold_seconds"), quantile_estimate("holds", 0.95).alias("p95_hold_seconds"))
+
+
 def with_open_ends(intervals: DataFrame) -> DataFrame:
     """Intervals that have not ended reach beyond all others."""
     return intervals.withColumn("end_at", F.coalesce("end_at", F.expr(FAR)))

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coordlytics.plans.ordered import Prefix, ordered_scan
+from coordlytics.sources.specs import LABEL
 
 KEY = ["ns", "name"]
 
 
 def list_kind(df: DataFrame, ns: str, selector: dict[str, str] | None = None) -> DataFrame:
-    """IO3: rows of one namespace whose labels equal every entry of ``selector``."""
+    """IO3: rows of one namespace whose labels equal every entry of ``selector``.
+
+    A label that has a column of its own (`sources.specs.write_clustered`) is compared there, which reaches the files.
+    """
     rows = df.filter(F.col("ns") == ns)
     for label, value in (selector or {}).items():
-        rows = rows.filter(F.col("labels")[label] == value)
+        own = f"{LABEL}{label}"
+        rows = rows.filter((F.col(own) if own in df.columns else F.col("labels")[label]) == value)
     return rows
 
 

@@ -117,6 +117,12 @@ class Tables:
             op="case when event_type = 'purchase' then 'clear' else 'request' end",
             ttl="make_dt_interval(0, 6)")
 
+    def lease_status_log(self) -> DataFrame:
+        """The recorded holder of the user's lease after each event; a purchase leaves none."""
+        return self.events(
+            kind="'lease'", holder="nullif(event_type, 'purchase')", op="'status'", ttl="make_dt_interval(0, 6)").withColumn(
+            "expires_at", F.col("ts") + F.col("ttl"))
+
     def heartbeats(self) -> DataFrame:
         return self.events(kind="'lease'", holder="event_type", op="'renew'", ttl="make_dt_interval(0, 6)")
 

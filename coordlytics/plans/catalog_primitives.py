@@ -228,6 +228,20 @@ EXTRA: dict[str, str] = {
         case when w.cleared_at is not null then w.cleared_at when w.started_at + interval 6 hour < {EVENT_NOW} then w.started_at + interval 6 hour end as ended_at,
         case when w.cleared_at is not null then 'clear' when w.started_at + interval 6 hour < {EVENT_NOW} then 'ttl' else 'open' end as end_reason
       from lease_walk w join lease_log r on r.seq = w.seq where w.step > 0 and w.started_at <= {EVENT_NOW}""",
+    "recorded_tenures": f"""
+      with log as (select user_id::varchar as name, ts, event_id as seq, nullif(event_type, 'purchase') as holder, ts + interval 6 hour as expires_at
+                   from events where ts <= {EVENT_NOW}),
+        paired as (select *, row_number() over w as rn, lag(holder) over w as bh, lag(expires_at) over w as be,
+                     last_value(expires_at) over (partition by name order by ts, seq rows between unbounded preceding and unbounded following) as final
+                   from log window w as (partition by name order by ts, seq)),
+        edges as (select *, lead(ts) over w as nt, lead(holder) over w as nh, lead(be) over w as ne, lead(rn) over w as nn
+                  from paired where rn = 1 or bh is distinct from holder or (holder is not null and be < ts)
+                  window w as (partition by name order by ts, seq)),
+        ending as (select *, case when nn is null then final else ne end as expires from edges where holder is not null)
+      select name, holder, seq, ts as started_at,
+        case when expires < coalesce(nt, {EVENT_NOW}) then expires else nt end as ended_at,
+        case when expires < coalesce(nt, {EVENT_NOW}) then 'ttl' when nn is null then 'open' when nh is null then 'clear' else 'handover' end as end_reason
+      from ending""",
     "mutex_seq": "select *, row_number() over (partition by name order by ts, seq) as rn from mutex_ops",
     "mutex_walk": """
       select name, 0::bigint as rn, null::timestamp as ts, null::bigint as seq, null::varchar as op, null::varchar as who,
@@ -499,6 +513,20 @@ ENTRIES: dict[str, Entry] = {
     "lease_tenures": entry(
         tenures,
         f"select {NS}, name, holder, priority::bigint as priority, requested_at, seq, started_at, ended_at, end_reason from lease_tenures"),
+    "recorded_tenures": entry(
+        lambda t: lease.recorded_tenures(t.lease_status_log(), EVENT_AS_OF),
+        f"select {NS}, name, holder, seq, started_at, ended_at, end_reason from recorded_tenures"),
+    "recorded_leader_at": entry(
+        lambda t: lease.leader_at(t.heartbeats(), lease.recorded_tenures(t.lease_status_log(), EVENT_AS_OF)),
+        f"""select {NS}, e.name, e.ts, e.seq, l.holder as leader from heartbeats e left join recorded_tenures l
+              on l.name = e.name and e.ts >= l.started_at and (l.ended_at is null or e.ts < l.ended_at)"""),
+    "recorded_leader_changes": entry(
+        lambda t: lease.leader_changes(lease.recorded_tenures(t.lease_status_log(), EVENT_AS_OF)),
+        f"""select {NS}, name, count(*) as tenures, count(*) filter (ph <> holder) as handovers,
+              max({secs('pe', 'started_at')}) as max_gap_seconds, coalesce(sum({secs('pe', 'started_at')}), 0)::bigint as total_gap_seconds,
+              count(*) filter (ph <> holder) >= 3 as flapping
+            from (select *, lag(holder) over w as ph, lag(ended_at) over w as pe from recorded_tenures window w as (partition by name order by started_at, seq))
+            group by name"""),
     "pending_requests": entry(
         lambda t: lease.pending_requests(t.lease_requests(), ORDER_AS_OF),
         f"""select {NS}, lease as name, holder, seq, priority, row_number() over (partition by lease order by priority desc, requested_at, seq) as position,
@@ -553,6 +581,15 @@ ENTRIES: dict[str, Entry] = {
             full join (select name, b as bucket, sum({secs('greatest(locked_at, b)', 'least(ended_at, b + interval 1 day)')}) as held_seconds
                   from (select *, unnest(generate_series(date_trunc('day', locked_at)::timestamp, date_trunc('day', ended_at)::timestamp, interval 1 day)) as b
                         from mutex_tenures where ended_at is not null) group by all) u using (name, bucket)"""),
+    "wider_contention": entry(
+        lambda t: mutex.wider_contention(mutex.contention_sketches(
+            mutex.mutex_replay(t.mutex_ops().filter(F.col("ts") <= EVENT_AS_OF)), mutex.mutex_tenures(t.mutex_ops(), EVENT_AS_OF)), "week"),
+        f"""select {NS}, name, bucket, coalesce(attempts, 0) as attempts, coalesce(acquired, 0) as acquired, coalesce(contenders, 0) as contenders,
+              p50 as p50_hold_seconds, p95 as p95_hold_seconds
+            from (select name, date_trunc('week', ts)::timestamp as bucket, count(*) as attempts, count(*) filter (ok) as acquired, count(distinct holder) as contenders
+                  from mutex_replay where op = 'lock' and ts <= {EVENT_NOW} group by all) a
+            full join (select name, date_trunc('week', locked_at)::timestamp as bucket, quantile_disc(hold, 0.5) as p50, quantile_disc(hold, 0.95) as p95
+                  from (select *, {secs('locked_at', 'ended_at')}::bigint as hold from mutex_tenures where ended_at is not null) group by all) s using (name, bucket)"""),
     "exclusion_violations": entry(
         lambda t: mutex.exclusion_violations(t.runs()),
         f"""select {NS}, name, holder, start_at, end_at, far.h as held_by, {secs('start_at', 'least(end_at, far.e)')} as overlap_seconds

@@ -11,7 +11,8 @@ from coordlytics.operators import barrier, gate, mutex, once, relations, report,
 from coordlytics.plans import catalog_primitives as P
 from coordlytics.plans.bindings import EVENT_AS_OF, ORDER_AS_OF, Tables
 from coordlytics.plans.catalog import Entry
-from coordlytics.plans.durable import cut
+from coordlytics.plans.durable import cut, fresh_path
+from coordlytics.sources.specs import SPEC_SCHEMAS, read_clustered, write_clustered
 from coordlytics.plans.catalog_primitives import EVENT_NOW, NS, ORDER_NOW, entry, secs
 
 
@@ -24,6 +25,14 @@ def duration_texts(t: Tables) -> DataFrame:
              when 3 then concat(event_id % 9000, 'ns') else concat(event_id % 7, 'm ', event_id % 5, 's') end as ttl""")
 
 
+def clustered_requests(t: Tables) -> DataFrame:
+    """IO3 over a clustered table: the label and the time bound are compared in the files."""
+    requests, path = t.lease_requests(), fresh_path(t.spark, "requests")
+    write_clustered(requests, path, ["lease"], time="requested_at", unit="year")
+    rows = read_clustered(t.spark, path, SPEC_SCHEMAS["lease_request"], ["lease"], since="1995-01-01", time="requested_at", unit="year")
+    return relations.list_kind(rows, "default", {"lease": "7"}).select("ns", "lease", "holder", "priority", "requested_at", "seq")
+
+
 def loose_barriers(t: Tables) -> DataFrame:
     """Specs that break every rule somewhere."""
     return t.raw("orders").selectExpr(
@@ -175,6 +184,9 @@ ENTRIES: dict[str, Entry] = {
     "list_kind": entry(
         lambda t: relations.list_kind(t.lease_requests(), "default", {"lease": "7"}).select("ns", "lease", "holder", "priority", "requested_at", "seq"),
         f"select {NS}, lease, holder, priority, requested_at, seq from lease_requests where lease = '7'"),
+    "list_kind_clustered": entry(
+        clustered_requests,
+        f"select {NS}, lease, holder, priority, requested_at, seq from lease_requests where lease = '7' and requested_at >= timestamp '1995-01-01'"),
     "children_of": entry(
         lambda t: relations.children_of(t.barriers().select("ns", "name", "expected"), t.arrivals(), "barrier")
         .groupBy("ns", "name", "expected").agg(F.count("child_seq").alias("children"), F.max("child_arrived_at").alias("last")),

@@ -99,7 +99,7 @@ def watching_gates(t: Tables) -> DataFrame:
 def touched_gates(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "gates")
     streams.gate_stream(semaphore_changes(t), watching_gates(t), "ts", path, f"{path}-checkpoint").awaitTermination()
-    return runtime.latest_rows(t.spark.read.parquet(f"{path}/gates"), ["ns", "name"], ["ts"]).select(
+    return runtime.read_status(t.spark, f"{path}/gates", ["ns", "name"], ["ts"]).select(
         "ns", "name", "conditions_met", "conditions_total", "phase")
 
 
@@ -200,4 +200,24 @@ ENTRIES: dict[str, Entry] = {
             select {NS}, gate as name, met as conditions_met, total as conditions_total,
               case when met = total then 'Open' when timestamp '2024-01-11' < (select max(ts) from events) then 'Failed' else 'Waiting' end as phase
             from counted where known > 0"""),
+    "gate_phase_stream": entry(
+        drained(lambda t: streams.gate_phase_stream(semaphore_changes(t), watching_gates(t), NO_DELAY), "gate-phases"),
+        f"""with needs as (
+              select c_custkey::varchar as gate, unnest([(c_custkey % 25)::varchar, ((c_custkey + 7) % 25)::varchar]) as name, unnest([0, 1]) as pos
+              from customer),
+            seen as (
+              select n.gate, n.pos, e.ts, e.event_id, trunc(e.value)::int % 6 >= 2 as met
+              from needs n join events e on (e.event_id % 20)::varchar = n.name),
+            flips as (
+              select gate, ts, met::int - coalesce(lag(met) over (partition by gate, pos order by ts, event_id), false)::int as d from seen),
+            steps as (
+              select gate, ts, 0 as late, sum(d) as d from flips group by gate, ts
+              union all select distinct gate, timestamp '2024-01-11', 1, 0 from needs),
+            levels as (
+              select gate, ts, late, sum(d) over w as met from steps window w as (partition by gate order by ts, late)),
+            phases as (
+              select *, case when met = 2 then 'Open' when late = 1 or ts > timestamp '2024-01-11' then 'Failed' else 'Waiting' end as phase from levels),
+            edges as (select *, coalesce(lag(phase) over (partition by gate order by ts, late), 'Waiting') as before from phases)
+            select {NS}, gate as name, phase, ts, met::bigint as conditions_met, 2::bigint as conditions_total from edges
+            where phase <> before and ts >= timestamp '2024-01-01'"""),
 }

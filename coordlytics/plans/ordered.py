@@ -12,6 +12,7 @@ Folds, whose next state depends on the last one, stream through Arrow batches by
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -271,6 +272,128 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -
     return ordered.mapInArrow(_runner(fold, len(keys), schema), schema)
 
 
+class ComposedFold(Fold):
+    """A fold whose effect on any entering state can be told from a summary of the rows."""
+
+    def summary(self, rows: list[tuple]):
+        """What the rows, in order, do to any state."""
+        raise NotImplementedError
+
+    def through(self, summary, state):
+        """The state behind the rows, entered with ``state``."""
+        raise NotImplementedError
+
+
+def composed_fold(df: DataFrame, keys: list[str], order: list[str], fold: ComposedFold, only_last: bool = False) -> DataFrame:
+    """Run ``fold`` over every key's rows in order, bucket by bucket, by one plan whatever the number of rows of a key.
+
+    Each (key, bucket) is summarised as a function from the entering state to the leaving one; these
+    are composed along the key, one small row per bucket; then every bucket is replayed from the state it is entered with. The rows of
+    a key are spread over all tasks in both passes and shuffled once. ``only_last`` replays the last bucket of each key.
+    """
+    columns = [*keys, *fold.inputs]
+    rows = bucketed(df.select(*dict.fromkeys([*columns, *order])), keys, order)
+    sorting = dict.fromkeys([*HELD, *order])
+    bucket = rows.schema[BUCKET]
+    key_fields = [df.schema[k] for k in keys]
+    binary = T.StructField("__effect", T.BinaryType())
+    effects = T.StructType([*key_fields, bucket, binary])
+    summaries = rows.sortWithinPartitions(*sorting).select(*keys, BUCKET, *fold.inputs).mapInArrow(
+        _summariser(fold, len(keys) + 1, effects), effects)
+    entered = T.StructType([*key_fields, bucket, T.StructField("__enter", T.BinaryType()), T.StructField("__last", T.BooleanType())])
+    entries = summaries.repartition(*keys).sortWithinPartitions(*keys, BUCKET).mapInArrow(
+        _composer(fold, len(keys), entered), entered).select(F.struct(*keys).alias(GROUP), BUCKET, "__enter", "__last")
+    if only_last:
+        entries = entries.filter("__last")
+    output = T.StructType([*key_fields, *fold.output.fields])
+    return rows.join(entries, HELD).sortWithinPartitions(*sorting).select(*keys, BUCKET, *fold.inputs, "__enter", "__last").mapInArrow(
+        _replayer(fold, len(keys) + 1, output), output)
+
+
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _summariser(fold: ComposedFold, n_keys: int, schema: T.StructType):
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        key, held, done = None, [], []
+        for row_key, _, rows in _stretches(batches, n_keys, len(fold.inputs)):
+            if row_key != key:
+                if key is not None:
+                    done.append((*key, pickle.dumps(fold.summary(held))))
+                key, held = row_key, []
+            held.extend(rows)
+            if len(done) >= 1_000:
+                yield _record_batch(done, arrow_schema)
+                done = []
+        if key is not None:
+            done.append((*key, pickle.dumps(fold.summary(held))))
+        if done:
+            yield _record_batch(done, arrow_schema)
+
+    return run
+
+
+def _composer(fold: ComposedFold, n_keys: int, schema: T.StructType):
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        key, state, waiting, done = None, None, None, []
+        for batch in batches:
+            for *own, bucket, effect in zip(*[c.to_pylist() for c in batch.columns]):
+                if waiting is not None:
+                    done.append((*waiting, own != key))
+                if own != key:
+                    key, state = own, fold.start()
+                waiting = (*own, bucket, pickle.dumps(state))
+                state = fold.through(pickle.loads(effect), state)
+            if len(done) >= 1_000:
+                yield _record_batch(done, arrow_schema)
+                done = []
+        if waiting is not None:
+            done.append((*waiting, True))
+        if done:
+            yield _record_batch(done, arrow_schema)
+
+    return run
+
+
+def _replayer(fold: ComposedFold, n_keys: int, schema: T.StructType):
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        out: list[tuple] = []
+        done: list[tuple] = []
+        key, state, last = None, None, False
+
+        def keep():
+            done.extend((*key[:-1], *values) for values in out)
+            out.clear()
+
+        for row_key, _, rows in _stretches(batches, n_keys, len(fold.inputs) + 2):
+            if row_key != key:
+                if key is not None and last:
+                    fold.finish(state, out.append, None)
+                    keep()
+                key, last = row_key, rows[0][-1]
+                state = pickle.loads(rows[0][-2])
+            for row in rows:
+                state = fold.step(state, row[:-2], out.append)
+            keep()
+            if len(done) >= 10_000:
+                yield _record_batch(done, arrow_schema)
+                done = []
+        if key is not None and last:
+            fold.finish(state, out.append, None)
+            keep()
+        if done:
+            yield _record_batch(done, arrow_schema)
+
+    return run
+
+
 def _plain_values(column: pa.Array) -> list:
     """A column as Python values, by the cheapest route its type allows."""
     if column.null_count:

@@ -1,4 +1,7 @@
-"""IO1, IO2: typed readers. Schemas are explicit, nothing is inferred."""
+"""IO1, IO2: typed readers, and the layout of a log that selections can be pushed into.
+
+The kinds' own schemas are explicit; files of another layout that are read through a mapping have the schema
+given with it, else the one they carry."""
 
 from __future__ import annotations
 
@@ -103,3 +106,34 @@ def read_events(
                 day = F.lit(bound).cast("date")
                 rows = rows.filter(F.col("date") >= day if bound == since else F.col("date") <= day)
     return rows if mapping is None else typed(rows, EVENT_SCHEMA, mapping)
+
+
+#: Columns that hold one label each in a clustered table.
+LABEL = "label_"
+
+
+def write_clustered(df: DataFrame, path: str, labels: list[str], time: str = "ts", unit: str = "day", mode: str = "append") -> None:
+    """A log or table of children laid out for what is asked of it.
+
+    One folder per day, month or year (``unit``) of ``time``, named by its first day (column ``date``), rows of a folder dealt and ordered by (ns, name) or whatever leads
+    ``df`` after ns, so that the files' statistics skip other keys, and each of ``labels`` as a column of its own besides the map, which no
+    filter can be pushed into. Rows are dealt by ranges, so a key or a day of any share is spread over files.
+    """
+    key = [c for c in df.columns if c == "ns"] + [c for c in df.columns if c not in ("ns", "labels", time)][:1]
+    promoted = df.withColumns({f"{LABEL}{name}": F.col("labels")[name] for name in labels}).withColumn("date", F.to_date(F.date_trunc(unit, time)))
+    order = ["date", *key, time]
+    promoted.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("date").mode(mode).parquet(path)
+
+
+def read_clustered(spark: SparkSession, path: str, schema: str, labels: list[str], since: str | None = None, until: str | None = None,
+                   time: str = "ts", unit: str = "day") -> DataFrame:
+    """What `write_clustered` wrote: ``schema`` with the promoted labels and the date; bounds read only their days and row groups."""
+    columns = ", ".join(f"{LABEL}{name} string" for name in labels)
+    rows = spark.read.schema(f"{schema}, {columns}, date date" if labels else f"{schema}, date date").parquet(path)
+    for bound, late in ((since, False), (until, True)):
+        if bound is not None:
+            moment = F.lit(bound).cast("timestamp")
+            day = F.to_date(F.date_trunc(unit, moment))
+            rows = rows.filter(F.col(time) < moment if late else F.col(time) >= moment)
+            rows = rows.filter(F.col("date") <= day if late else F.col("date") >= day)
+    return rows

@@ -12,15 +12,16 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from coordlytics.functions.columns import micros
-from coordlytics.operators.gate import exploded_conditions, gate_conditions, gate_status
+from coordlytics.operators.gate import condition_met, exploded_conditions, gate_conditions, gate_status
 from coordlytics.operators.lease import LeaseFold, given_priority
 from coordlytics.operators.mutex import MutexFold, as_timestamps, with_micros
 from coordlytics.operators.relations import KEY
 from coordlytics.operators.rwmutex import RWMutexFold
 from coordlytics.plans.ordered import Fold
 from coordlytics.streaming.processors import (
-    BarrierProcessor, CounterFold, FirstFold, FoldProcessor, LeaseProcessor, SemaphoreProcessor)
-from coordlytics.streaming.runtime import latest_rows, read_status, use_rocksdb
+    BarrierProcessor, CounterFold, FirstFold, FoldProcessor, GateProcessor, LeaseProcessor, SemaphoreProcessor)
+from coordlytics.streaming.runtime import latest_rows, use_rocksdb
+from coordlytics.streaming.status_table import StatusTable
 
 LATENESS = "10 minutes"
 
@@ -123,12 +124,34 @@ def late_arrivals(arrivals: DataFrame, specs: DataFrame) -> DataFrame:
     return joined.withColumn("late", F.coalesce(F.col("arrived_at") > F.col("deadline"), F.lit(False)))
 
 
+def gate_phase_stream(changes: DataFrame, gates: DataFrame, delay: str = LATENESS) -> DataFrame:
+    """ST7 with state: a row whenever a gate's phase changes, also at its deadline and without any change of a resource.
+
+    ``changes`` has kind, ns, name, ts, seq and the status columns. Changes meet the conditions that name
+    their resource in a stream-static join; per gate only which conditions hold is kept, and changes of one instant are one.
+    A gate that is not in ``gates`` has no phase.
+    """
+    use_rocksdb(changes.sparkSession)
+    found = changes.withWatermark("ts", delay).select(
+        F.col("kind").alias("type"), F.col("ns").alias("target_ns"), F.col("name").alias("condition"), "ts", "seq", "phase", "available", "succeeded")
+    met = found.join(exploded_conditions(gates), ["type", "target_ns", "condition"]).select(
+        *KEY, "ts", micros("ts").alias("ts_us"), "seq", F.col("pos").cast("long").alias("pos"), condition_met().alias("met"))
+    start = gates.select(
+        *KEY, F.size("conditions").cast("long").alias("conditions_total"), micros("created_at").alias("created_us"),
+        micros(F.col("created_at") + F.col("timeout")).alias("deadline_us"))
+    processor = GateProcessor(held(delay))
+    return as_timestamps(met.groupBy(*KEY).transformWithState(
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="EventTime",
+        initialState=start.groupBy(*KEY)), ["ts"])
+
+
 def gate_stream(changes: DataFrame, gates: DataFrame, as_of_column: str, path: str, checkpoint: str):
     """ST7: re-evaluate the gates that depend on a changed resource.
 
-    Each micro-batch first adds its latest status rows to the table under ``path``/resources,
-    then evaluates only the gates that name one of them, as of the batch's newest change, and
-    writes them under its own batch number. A batch delivered again overwrites the same files.
+    Each micro-batch first merges its latest status rows into the versioned table under ``path``/resources,
+    then evaluates only the gates that name one of them, as of the batch's newest change, and merges them into
+    the table under ``path``/gates. A batch delivered again changes nothing, and what a batch reads
+    does not grow with the number of batches.
     """
     resource = ["kind", "ns", "name"]
 
@@ -141,16 +164,17 @@ def gate_stream(changes: DataFrame, gates: DataFrame, as_of_column: str, path: s
             batch.unpersist()
 
     def _evaluate(spark, batch: DataFrame, batch_id: int) -> None:
-        latest_rows(batch, resource, ["ts", "seq"]).write.mode("overwrite").parquet(f"{path}/resources/batch_id={batch_id}")
+        known = StatusTable(spark, f"{path}/resources", resource, ["ts", "seq"])
+        known.merge(batch, checkpoint, batch_id)
         newest = batch.agg(F.date_format(F.max(as_of_column), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first().t
         if newest is None:
             return
-        resources = read_status(spark, f"{path}/resources", resource)
+        resources = known.read()
         changed = batch.select(F.col("kind").alias("type"), F.col("ns").alias("target_ns"), F.col("name").alias("condition"))
         named = exploded_conditions(gates).join(changed, ["type", "target_ns", "condition"], "left_semi")
         touched = gates.join(named.select(*KEY), KEY, "left_semi")
         status = gate_status(touched, gate_conditions(touched, resources), newest)
-        status.withColumn("ts", F.lit(newest).cast("timestamp")).write.mode("overwrite").parquet(f"{path}/gates/batch_id={batch_id}")
+        StatusTable(spark, f"{path}/gates", KEY, ["ts"]).merge(status.withColumn("ts", F.lit(newest).cast("timestamp")), checkpoint, batch_id)
 
     return (
         changes.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)

@@ -1,6 +1,7 @@
 """Ordered computation against plain Python, on logs dominated by one key."""
 
 import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,150 @@ def test_child_tables_are_validated_as_stored(spark):
     for kind, parent in (("arrival", "barrier"), ("permit", "semaphore"), ("lease_request", "lease")):
         df = spark.createDataFrame([("default", "p", None)], f"ns string, {parent} string, holder string")
         assert got(validate_specs(df, kind), "name") != []
+
+
+# --- locks by composition ------------------------------------------------------------------------
+
+def random_ops(rnd, n, gap=40):
+    t, rows = 0, []
+    for i in range(n):
+        t += rnd.choice([0, 1, rnd.randrange(gap)])
+        ttl = rnd.choice([None, None, 0, 5, 60, 400])
+        rows.append((rnd.choice(["lock", "lock", "unlock"]), rnd.choice(["a", "b", "c", "", None]), t, ttl, i))
+    return rows
+
+
+def test_a_summary_does_what_the_operations_do():
+    """Every prefix of random logs, entered in many states, against the operations one by one."""
+    from coordlytics.operators.mutex import MutexFold
+
+    rnd, fold = random.Random(3), MutexFold("outcomes")
+    for _ in range(300):
+        rows = random_ops(rnd, rnd.randint(1, 14))
+        states = [None] + [(h, -9, e) for h in ("a", "b", "d", None) for e in (None, *range(-2, 120, 7))]
+        effect = fold.summary(rows)
+        for state in states:
+            want = state
+            for row in rows:
+                want = fold.step(want, row, [].append)
+            got = fold.through(effect, state)
+            # a hold that has run out by the last operation is gone; one that runs out later is kept
+            assert got == want, (rows, state)
+
+
+def test_mutex_of_one_key_spreads_over_tasks(spark):
+    """No ttl, one lock: many tasks replay it, with the outcomes of one loop."""
+    from coordlytics.operators.mutex import MutexFold, mutex_replay, mutex_status, mutex_tenures
+
+    rnd = random.Random(4)
+    start, ops = datetime(2024, 1, 1), []
+    for i in range(6000):
+        ops.append(("default", "one", rnd.choice(["lock", "unlock"]), f"h{rnd.randrange(3)}", start + timedelta(minutes=7 * (i // 2)), i))
+    df = spark.createDataFrame(ops, "ns string, name string, op string, holder string, ts timestamp, seq long").withColumn(
+        "ttl", F.lit(None).cast("interval day to second"))
+    fold, state, want = MutexFold("outcomes"), None, []
+    for _, _, op, holder, ts, seq in ops:
+        state = fold.step(state, (op, holder, int(ts.replace(tzinfo=timezone.utc).timestamp() * 1e6), None, seq), want.append)
+    replay = mutex_replay(df)
+    assert sorted((r["seq"], r["outcome"], r["blocked_by"]) for r in replay.collect()) == sorted((w[0], w[5], w[6]) for w in want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins small partitions
+    try:
+        tasks = mutex_replay(df).select(F.spark_partition_id().alias("p"), "seq").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) >= 6 and max(r["count"] for r in tasks) < 3000
+    status = mutex_status(df, "2030-01-01 00:00:00").collect()
+    assert [(r["holder"], r["phase"]) for r in status] == [(state[0] if state else None, "Locked" if state else "Unlocked")]
+    ended = mutex_tenures(df).filter("ended_at is not null").count()
+    assert ended == sum(w[5] == "released" for w in want)
+
+
+def test_recorded_tenures(spark):
+    from coordlytics.operators.lease import recorded_tenures
+
+    rnd = random.Random(9)
+    start, rows, want = datetime(2024, 1, 1), [], []
+    as_of = start + timedelta(hours=400)
+    for name in ("x", "y", "z"):
+        t, held = start, None
+        for i in range(300):
+            t += timedelta(minutes=rnd.choice([0, 10, 60, 200]))
+            holder = rnd.choice(["a", "a", "a", "b", "", None])
+            ends = rnd.choice([None, t + timedelta(minutes=60), t + timedelta(minutes=120)])
+            rows.append(("default", name, t, i, holder, ends))
+            if held and held[3] is not None and held[3] < t:
+                want.append((name, *held[:3], held[3], "ttl"))
+                held = None
+            if held and held[0] == (holder or None):
+                held = (*held[:3], ends)
+                continue
+            if held:
+                want.append((name, *held[:3], t, "handover" if holder else "clear"))
+            held = (holder, i, t, ends) if holder else None
+        if held:
+            over = held[3] is not None and held[3] < as_of
+            want.append((name, *held[:3], held[3] if over else None, "ttl" if over else "open"))
+    df = spark.createDataFrame(rows, "ns string, name string, ts timestamp, seq long, holder string, expires_at timestamp")
+    got = recorded_tenures(df, str(as_of)).select("name", "holder", "seq", "started_at", "ended_at", "end_reason").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dependent_values_take_one_summary(spark):
+    """Shuffles of a phase timeline and a gate history do not double with every dependent value."""
+    from coordlytics.plans.bindings import Tables
+    from coordlytics.plans.registry import all_entries
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    most = {"barrier_phase_timeline": 28, "gate_history": 140, "oversubscription": 12}
+    for name, limit in most.items():
+        plan = plan_of(all_entries()[name].run(tables))
+        assert plan.count("Exchange hashpartitioning") <= limit, (name, plan.count("Exchange hashpartitioning"))
+
+
+def test_a_summary_does_what_reads_and_writes_do():
+    """Random logs entered in states that earlier random logs led to, against the operations one by one."""
+    from coordlytics.operators.rwmutex import RWMutexFold, _copied
+
+    rnd, fold = random.Random(5), RWMutexFold("outcomes")
+    for _ in range(600):
+        rows = [("rlock" if op == "lock" and rnd.random() < 0.6 else op, h or "d", *rest) for op, h, *rest in random_ops(rnd, rnd.randint(1, 14))]
+        effect = fold.summary(rows)
+        for _ in range(25):
+            entering = fold.start()
+            earlier = [("rlock" if op == "lock" and rnd.random() < 0.7 else op, h or "d", ts - 200, ttl, seq)
+                       for op, h, ts, ttl, seq in random_ops(rnd, rnd.randint(0, 8), gap=20)]
+            for row in earlier:
+                entering = fold.step(entering, row, [].append)
+            want = _copied(entering)
+            for row in rows:
+                want = fold.step(want, row, [].append)
+            assert fold.through(effect, _copied(entering)) == want, (earlier, rows)
+
+
+def test_day_sketches_merge_to_months(spark):
+    """Merged sketches against exact answers, within the stated errors; and the same whether merged once or twice."""
+    from coordlytics.functions import sketches as S
+
+    rnd = random.Random(6)
+    rows = [(f"k{i % 2}", i % 30, f"h{rnd.randrange(6000)}", int(rnd.expovariate(0.001))) for i in range(40000)] + [("k0", 3, None, None), ("few", 1, "a", 5)]
+    df = spark.createDataFrame(rows, "name string, day int, holder string, hold long")
+    days = df.groupBy("name", "day").agg(F.count("*").alias("n"), S.distinct_sketch("holder", "who"), S.quantile_sketch("hold", "held"))
+    weeks = S.merged(days.withColumn("week", F.expr("day div 7")).drop("day"), ["name", "week"])
+    for source in (days.drop("day"), weeks.drop("week")):
+        got = {r["name"]: r for r in S.merged(source, ["name"]).select(
+            "name", "n", S.distinct_estimate("who").alias("who"), *[S.quantile_estimate("held", p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95)]).collect()}
+        for name in ("k0", "k1"):
+            own = [r for r in rows if r[0] == name]
+            held = sorted(r[3] for r in own if r[3] is not None)
+            assert got[name]["n"] == len(own)
+            exact = len({r[2] for r in own if r[2]})
+            assert abs(got[name]["who"] - exact) <= 4 * S.RELATIVE_ERROR * exact
+            for p in (0.5, 0.95):
+                found = got[name][f"p{int(100 * p)}"]
+                low, high = sum(h < found for h in held) / len(held), sum(h <= found for h in held) / len(held)
+                assert low - 2 * S.RANK_ERROR <= p <= high + 2 * S.RANK_ERROR
+        assert tuple(got["few"])[1:] == (1, 1, 5, 5)

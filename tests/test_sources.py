@@ -4,7 +4,8 @@ import json
 
 from coordlytics.functions.columns import parse_durations
 from coordlytics.operators.validate import validate_specs
-from coordlytics.sources.specs import EVENT_SCHEMA, SPEC_SCHEMAS, read_events, read_specs
+from coordlytics.operators.relations import list_kind
+from coordlytics.sources.specs import EVENT_SCHEMA, SPEC_SCHEMAS, read_clustered, read_events, read_specs, write_clustered
 from helpers import got
 
 
@@ -45,3 +46,23 @@ def test_a_time_range_reads_only_its_days(spark, tmp_path):
     assert got(df, "seq") == sorted([(i,) for i in range(6, 13)], key=repr)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_labels_of_a_clustered_log_reach_the_files(spark, tmp_path):
+    rows = [("default" if i % 5 else "other", f"l{i % 7}", f"h{i}", f"2024-01-{1 + i // 40:02d} 01:00:00", i, {"lease": f"l{i % 7}", "app": "etl" if i % 2 else "web"})
+            for i in range(200)]
+    log = spark.createDataFrame(rows, "ns string, lease string, holder string, at string, seq long, labels map<string,string>").selectExpr(
+        "ns", "lease", "holder", "cast(at as timestamp) as ts", "seq", "labels")
+    path = str(tmp_path / "log")
+    write_clustered(log, path, ["lease", "app"])
+    schema = "ns string, lease string, holder string, ts timestamp, seq long, labels map<string,string>"
+    back = read_clustered(spark, path, schema, ["lease", "app"], since="2024-01-02 00:00:00", until="2024-01-04 00:00:00")
+    found = list_kind(back, "default", {"lease": "l3", "app": "etl"})
+    assert got(found, "seq") == sorted([(i,) for i in range(40, 120) if i % 5 and i % 7 == 3 and i % 2], key=repr)
+    assert got(list_kind(log, "default", {"lease": "l3"}), "seq") == sorted([(i,) for i in range(200) if i % 5 and i % 7 == 3], key=repr)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found.select("seq")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(label_lease,l3)" in plan and "EqualTo(label_app,etl)" in plan and "PartitionFilters: [isnotnull(date" in plan
+    assert "labels:map" not in plan
+    assert read_clustered(spark, path, schema, ["lease", "app"]).count() == 200

@@ -247,3 +247,56 @@ def test_event_log_batch_and_stream(spark, tmp_path):
     batch = read_events(spark, str(tmp_path / "log"))
     stream = runtime.drain(read_events(spark, str(tmp_path / "log"), stream=True), "t")
     assert batch.count() == 6 and got(batch, "name", "op", "seq") == got(stream, "name", "op", "seq")
+
+
+def test_status_table_versions(spark, tmp_path):
+    """A replayed batch changes nothing, old files go, and the files of a version do not grow with the batches."""
+    from coordlytics.streaming.status_table import KEPT, StatusTable
+
+    table = StatusTable(spark, str(tmp_path / "t"), ["ns", "name"], ["ts", "seq"], buckets=4)
+    want, rnd = {}, random.Random(2)
+    schema = "ns string, name string, ts timestamp, seq long, phase string"
+    sizes = []
+    for batch in range(8):
+        rows = [("default", f"k{rnd.randrange(30)}", at(seconds=rnd.randrange(500)), 100 * batch + i, rnd.choice("ab")) for i in range(25)]
+        df = frame(spark, schema, rows)
+        assert table.merge(df, "writer", batch)
+        for r in rows:
+            want[r[1]] = max(want.get(r[1], r), r, key=lambda x: (x[2], x[3]))
+        before = table.current()
+        assert not table.merge(df, "writer", batch) and table.current() == before
+        assert got(table.read(), "name", "seq", "phase") == sorted((r[1], r[3], r[4]) for r in want.values())
+        sizes.append(len(before["folders"]))
+    assert max(sizes) <= 4 and len(table.versions()) == KEPT
+    assert len([p for p in (tmp_path / "t" / "data").glob("*/*") if p.is_dir()]) <= 4 * KEPT
+    # the same rows from another writer merge to the same table; an empty batch is a version without new files
+    assert table.merge(df, "another", 0)
+    assert got(table.read(), "name", "seq", "phase") == sorted((r[1], r[3], r[4]) for r in want.values())
+    assert table.merge(df.limit(0), "another", 1)
+    assert table.read().count() == len(want)
+
+
+def test_gate_phases_without_changes(spark, tmp_path):
+    """Gates whose resources never change fail at their deadlines, one without conditions opens, late changes count in order."""
+    need = lambda n, v: ("Semaphore", n, "", "", v)
+    gates = frame(spark, GATES, [
+        ("default", "quiet", T0, timedelta(minutes=10), [need("nobody", 1)]), ("default", "empty", at(seconds=5), timedelta(minutes=10), []),
+        ("default", "both", T0, timedelta(minutes=10), [need("s", 2), need("r", 1)]), ("default", "patient", T0, None, [need("s", 3)]),
+        ("default", "late", T0, timedelta(minutes=10), [need("r", 5)])])
+    log = [  # out of order within ten minutes, over three files
+        [("r", 60, 1), ("s", 200, 2), ("s", 30, 0)], [("s", 120, 3), ("r", 400, 0), ("unnamed", 500, 1)], [("r", 700, 5), ("s", 650, 0)]]
+    schema = "kind string, ns string, name string, ts timestamp, seq long, phase string, available long, succeeded long"
+    seq = 0
+    for part in [*log, [("unnamed", 9000, 0)], [("unnamed", 9001, 0)]]:
+        rows = []
+        for name, second, free in part:
+            seq += 1
+            rows.append(("Semaphore", "default", name, at(seconds=second), seq, None, free, None))
+        frame(spark, schema, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = got(runtime.drain(streams.gate_phase_stream(stream, gates, "10 minutes"), "t"), "name", "ts", "phase", "conditions_met", "conditions_total")
+    assert out == sorted([
+        ("quiet", at(minutes=10), "Failed", 0, 1), ("empty", at(seconds=5), "Open", 0, 0),
+        ("both", at(seconds=120), "Open", 2, 2), ("both", at(seconds=400), "Waiting", 1, 2), ("both", at(minutes=10), "Failed", 1, 2),
+        ("patient", at(seconds=120), "Open", 1, 1), ("patient", at(seconds=200), "Waiting", 0, 1),
+        ("late", at(minutes=10), "Failed", 0, 1), ("late", at(seconds=700), "Open", 1, 1)], key=repr)
