@@ -7,7 +7,9 @@ block's first two coordinates, with cells twice as wide as the range, brings pos
 together, each pair in one cell. The union over the blocks is verified by the exact cosine.
 
 Equal vectors with equal labels are one class and are joined once; a crowded cell is cut into tiles that
-meet two at a time, so a task holds at most two tiles.
+meet two at a time, so a task holds at most two tiles. A pair counts in the first block that finds it, so none counts
+twice; a task gives back each vector's number of links and what they connect it to, never the
+links themselves, however many of its vectors are alike.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components and
 rows with a null label have no links and stand for themselves; vectors of different length
@@ -49,7 +51,17 @@ class Blocks:
         self.cells = [WIDTH * np.sqrt(b) for b in self.budgets]
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
-        return vectors @ self.turn / np.linalg.norm(vectors, axis=1, keepdims=True)
+        """Rotated unit vectors; summed row by row, so that a vector gives the same numbers in every batch."""
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        out = np.empty_like(unit)
+        for begin in range(0, len(unit), 512):
+            out[begin: begin + 512] = (unit[begin: begin + 512, :, None] * self.turn[None]).sum(axis=1)
+        return out
+
+    def within(self, j: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which rotated vectors of two lists are within reach of each other in block ``j``."""
+        a, b = self.parts[j]
+        return ((x[:, a:b] - y[:, a:b]) ** 2).sum(axis=1) <= self.budgets[j]
 
     def axes(self, j: int) -> range:
         a, b = self.parts[j]
@@ -67,7 +79,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
 
 
 def cells(classes: DataFrame, cosine: float) -> DataFrame:
-    """Each vector in every cell it belongs to: (label, size, block, x, y, key, vector)."""
+    """Each vector in every cell it belongs to: (label, size, block, x, y, key, vector, m)."""
     kind = classes.schema["vector"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,22 +116,38 @@ def cells(classes: DataFrame, cosine: float) -> DataFrame:
                             yield pa.RecordBatch.from_arrays(
                                 [batch.column(0).take(at), pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, j, np.int32)),
                                  pa.array(x[new].astype(np.int64)), pa.array(y[new].astype(np.int64)),
-                                 batch.column(1).take(at), batch.column(2).take(at)],
-                                ["label", "size", "block", "x", "y", "key", "vector"])
+                                 batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at)],
+                                ["label", "size", "block", "x", "y", "key", "vector", "m"])
 
     label = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "key", "vector").mapInArrow(
-        run, f"label {label}, size int, block int, x long, y long, key binary, vector {kind}")
+    return classes.select("label", "key", "vector", "m").mapInArrow(
+        run, f"label {label}, size int, block int, x long, y long, key binary, vector {kind}, m long")
+
+
+def _lowest_connected(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of ``n`` things the lowest one that the pairs (p, q) connect it to."""
+    low = np.arange(n)
+    while True:
+        both = np.minimum(low[p], low[q])
+        after = low.copy()
+        np.minimum.at(after, p, both)
+        np.minimum.at(after, q, both)
+        after = after[after]
+        if (after == low).all():
+            return low
+        low = after
 
 
 def links(classes: DataFrame, cosine: float) -> DataFrame:
-    """(a, b): keys of different classes with the same label whose cosine is at least ``cosine``."""
+    """(a, b, linked), summed or connected over all rows: how many vectors of other classes with the same label
+    have a cosine of at least ``cosine`` with those of class a, and a class b it is connected with, if another.
+    ``classes``: label, key, vector and the number m of vectors."""
     cell = ["label", "size", "block", "x", "y"]
     placed = stored(cells(classes, cosine), "cells")
     crowd = placed.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     drawn = placed.join(crowd, cell).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     meeting = drawn.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        *cell, F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "tile", "key", "vector")
+        *cell, F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "tile", "key", "vector", "m")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -130,11 +158,11 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
         vectors = np.stack(_vectors(table["vector"].chunk(0) if table["vector"].num_chunks else table["vector"]))
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         turned = of.turned(vectors)
-        tile, keys = table["tile"].to_numpy(), table["key"].to_pylist()
+        tile, keys, many = table["tile"].to_numpy(), table["key"].to_pylist(), table["m"].to_numpy()
         left, right = np.flatnonzero(tile == s), np.flatnonzero(tile == t)
         a, b = of.parts[j]
         lowest = [np.floor(turned[:, axis] / of.cells[j]) for axis in of.axes(j)]
-        out: tuple[list, list] = ([], [])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for begin in range(0, len(left), 256):
             rows = left[begin: begin + 256]
             block = turned[:, a:b]
@@ -147,14 +175,23 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
             if s == t:
                 near &= rows[:, None] < right[None]
             p, q = np.nonzero(near)
-            exact = np.einsum("ij,ij->i", unit[rows[p]], unit[right[q]]) >= cosine
-            for u, v in zip(rows[p[exact]], right[q[exact]]):
-                if keys[u] != keys[v]:
-                    out[0].append(min(keys[u], keys[v]))
-                    out[1].append(max(keys[u], keys[v]))
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
-
-    return meeting.groupBy(*cell, "s", "t").applyInArrow(run, "a binary, b binary").distinct()
+            p, q = rows[p], right[q]
+            alike = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
+            p, q = p[alike], q[alike]
+            mine = of.within(j, turned[p], turned[q])
+            for earlier in range(j):
+                mine &= ~of.within(earlier, turned[p], turned[q])
+            found.append((p[mine], q[mine]))
+        p, q = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(2))
+        n = len(keys)
+        linked = np.bincount(p, weights=many[q], minlength=n) + np.bincount(q, weights=many[p], minlength=n)
+        low, own = _lowest_connected(n, p, q), np.flatnonzero(linked)
+        return pa.table({
+            "a": pa.array([keys[i] for i in own], pa.binary()),
+            "b": pa.array([keys[low[i]] if low[i] != i else None for i in own], pa.binary()),
+            "linked": pa.array(linked[own].astype(np.int64))})
+
+    return meeting.groupBy(*cell, "s", "t").applyInArrow(run, "a binary, b binary, linked long")
 
 
 def _key(label: Column, vector: Column) -> Column:
@@ -172,10 +209,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, id_column: str
         keyed.filter("key is not null").groupBy("key", "label", "vector").agg(F.count("*").alias("m"), F.min("vec_id").alias("low")),
         "vector-classes")
     found = stored(links(classes, cosine), "vector-links")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = both.join(classes.select(F.col("key").alias("b"), "m"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("m").alias("linked"))
+    partners = found.groupBy(F.col("a").alias("key")).agg(F.sum("linked").alias("linked"))
     members = classes.select("key", "m", "low").join(partners, "key", "left").join(
-        components(found).withColumnRenamed("id", "key"), "key", "left").select(
+        components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "key"), "key", "left").select(
         "key", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "low",
         F.coalesce("component", "key").alias("component"))
     lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
