@@ -123,10 +123,9 @@ def gains(documents: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
         documents.sparkSession.range(buckets).select(
             F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t")))
     each = both.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    sums = each.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)).cast("double") / (
-        (F.col("s") + 1) * (F.col("all_t") + buckets)).cast("double")
-    return each.join(F.broadcast(sums)).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
+    all_s, all_t = each.agg(F.sum("s")).scalar(), each.agg(F.sum("t")).scalar()
+    ratio = ((F.col("t") + 1) * (all_s + buckets)).cast("double") / ((F.col("s") + 1) * (all_t + buckets)).cast("double")
+    return each.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
 
 
 def _weigher(gain: np.ndarray, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -156,7 +155,8 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
               buckets: int = BUCKETS, longest: int = LONGEST_RUN, seed: int = SEED) -> DataFrame:
     """doc_id, n_features, weight, score and rank of every row; what is not drawn has no rank."""
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    table = stored(gains(bucket_counts(read, buckets, longest), bucket_counts(target, buckets, longest), buckets), "gains")
+    counts = [stored(bucket_counts(x, buckets, longest), "bucket-counts") for x in (read, target)]
+    table = stored(gains(*counts, buckets), "gains")
     gain = np.zeros(buckets, np.int64)
     for r in table.collect():  # one number per bucket
         gain[r["bucket"]] = r["gain"]
