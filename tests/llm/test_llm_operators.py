@@ -177,6 +177,40 @@ def test_quality_without_labels(docs, none, spark):
     assert quality_rules.judged(none, labels).count() == 0
 
 
+def test_ten_kinds_of_junk_give_ten_rules(spark):
+    rng = random.Random(21)
+    table = []
+
+    def add(bad, words=None, length=None, symbols=None, dup=None, repeat=None, distinct=None):
+        n = int(words or rng.uniform(60, 900))
+        share = lambda x, low, high: n * (rng.uniform(low, high) if x is None else rng.uniform(*x))
+        table.append((bad, n, int(share(length, 4.0, 6.0)), int(share(symbols, 0.0, 0.05)), int(100 * (rng.uniform(*dup) if dup else rng.uniform(0, 0.2))),
+                      int(share(repeat, 0.0, 0.05)), int(share(distinct, 0.5, 0.8)), 100))
+
+    kinds = [
+        dict(words=5000), dict(words=14), dict(length=(12, 20)), dict(length=(1.0, 2.0)), dict(symbols=(0.5, 0.9)), dict(symbols=(0.2, 0.3)),
+        dict(dup=(0.8, 0.99)), dict(dup=(0.4, 0.5)), dict(repeat=(0.12, 0.19)), dict(distinct=(0.05, 0.2))]
+    for kind in kinds:
+        for _ in range(150):
+            add(1, **kind)
+    for _ in range(2500):
+        add(0)
+    for _ in range(600):  # ordinary texts beyond two of the kinds: those are bands, not tails
+        add(0, symbols=(0.36, 0.44))
+        add(0, dup=(0.56, 0.7))
+    rng.shuffle(table)
+    stats = spark.createDataFrame(
+        [(i, *r[1:]) for i, r in enumerate(table)],
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct long, n_lines long")
+    labels = spark.createDataFrame([(i, 1 - r[0]) for i, r in enumerate(table)], "doc_id long, quality int")
+    rules = quality_rules.learn(stats, labels)
+    assert len(rules) >= 10
+    judged = quality_rules.with_features(stats).select("doc_id", quality_rules.verdict(rules).alias("kept")).collect()
+    bad = [r["kept"] for r in judged if table[r["doc_id"]][0]]
+    good = [r["kept"] for r in judged if not table[r["doc_id"]][0]]
+    assert sum(bad) <= 0.03 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 # --- 3 and 8 ------------------------------------------------------------------------------------
 
 ODD = ["", " ", "  a", "a  b", "a \n b", "a<|endoftext|> b <|endoftext|>", "\t a  b", "x\x1c y", "a'll 's  's", "<s> a", "▁▁ ▁",
@@ -269,6 +303,51 @@ def test_shards(spark, none):
     assert sharding.sharded(none, 7).count() == 0
 
 
+def test_shards_recount_votes_and_keep_neighbours_together(spark):
+    """A graph of cliques joined by single links, against recounts in plain Python."""
+    rng = random.Random(13)
+    size, cliques, shards = 6, 20, 4
+    links = [(c * size + i, c * size + j) for c in range(cliques) for i in range(size) for j in range(i)]
+    links += [(c * size, c * size + size) for c in range(cliques - 1)]
+    members = spark.createDataFrame([(d, f"{a}-{b}") for a, b in links for d in (a, b)], "doc long, hub string")
+    start = [d % shards for d in range(size * cliques)]
+    rng.shuffle(start)
+    labels = spark.createDataFrame(list(enumerate(start)), "doc long, shard int")
+    quota = [size * cliques // shards + 4] * shards
+
+    def cut(of):
+        return sum(of[a] != of[b] for a, b in links)
+
+    votes = {r["hub"]: r["votes"] for r in sharding.votes_of(members, labels, shards).collect()}
+    assert votes == {f"{a}-{b}": [(start[a] == s) + (start[b] == s) for s in range(shards)] for a, b in links}
+    done = sharding.propagate(members, labels, quota)
+    after = {r["doc"]: r["shard"] for r in done.labels.collect()}
+    assert done.cuts[0] == cut(dict(enumerate(start))) and min(done.cuts) == cut(after)
+    assert len(set(done.cuts)) > 2  # later rounds count the shards that the earlier ones led to
+    assert cut(after) <= 0.35 * cut(dict(enumerate(start)))
+    assert sorted(after) == list(range(size * cliques)) and max(list(after.values()).count(s) for s in range(shards)) <= quota[0]
+
+
+def test_grants_keep_quotas():
+    rng = random.Random(14)
+    for _ in range(200):
+        n = rng.randint(2, 6)
+        room = [rng.randint(0, 9) for _ in range(n)]
+        flows = {(s, t): rng.randint(1, 20) for s in range(n) for t in range(n) if s != t and rng.random() < 0.6}
+        got = sharding.grants(flows, room)
+        assert all(0 <= got[k] <= flows[k] for k in flows)
+        for t in range(n):
+            assert sum(v for (_, to), v in got.items() if to == t) - sum(v for (s, _), v in got.items() if s == t) <= room[t]
+
+
+def test_shards_with_links_of_the_caller(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(64)] + [(None, None)], "doc_id long, text string")
+    members = spark.createDataFrame([(i, i // 4) for i in range(40)] + [(99, 1), (None, 2), (50, 77)], "doc_id long, group long")
+    got = {r["doc_id"]: r["shard"] for r in sharding.sharded(docs, 4, members=members).select("row.doc_id", "shard").collect()}
+    assert sorted(list(got.values()).count(s) for s in range(4)) == [16, 16, 16, 17]
+    assert sum(len({got[i] for i in range(g * 4, g * 4 + 4)}) == 1 for g in range(10)) >= 8
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("span", [8, 12, 35])
@@ -336,13 +415,96 @@ def test_toxicity(spark, none):
     assert {r[0] for r in rows(toxicity.toxicity(docs, marks.limit(0)), "score")} == {0.0}
 
 
-def test_toxicity_counts_what_one_text_has(spark):
-    texts = [(1, "all say this"), (1, "all say slurry"), (0, "all say that"), (0, "all say this")]
-    models = toxicity.count_models(spark.createDataFrame(texts, "toxic int, text string"))
-    bodies = [t.split() for _, t in texts]
-    pairs = {(a, b) for w in bodies for a, b in zip(["", *w], w)}
-    assert len(models.pairs) == len(pairs)
-    assert len(models.words) == len({w for b in bodies for w in b}) + 1  # and the beginning of a text
+def plain_kneser_ney(labelled, docs):
+    """Features of every text of ``docs`` by dictionaries of strings."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    split = lambda t: [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))]
+    pairs, stems = Counter(), {w: Counter() for w in toxicity.STEMS}
+    for toxic, text in set(labelled):
+        words = split(text)
+        pairs.update((p, toxic) for p in set(zip([b"", *words], words)))
+        for width, counts in stems.items():
+            counts.update((s, toxic) for s in {w[:width] for w in words})
+
+    def discount(counts):
+        once, twice = (sum(n == k for n in counts) for k in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    def level(counts):
+        of = [[n for (_, c), n in counts.items() if c == k] for k in (1, 0)]
+        return [max(1, sum(x)) for x in of], [len(x) for x in of], [discount(x) for x in of]
+
+    rare = 1 + toxicity.RARE_SHARE * len({t for c, t in labelled if c})
+    follow, seen, kinds = Counter(), Counter(), Counter()
+    for (pair, c), n in pairs.items():
+        follow[pair[1], c] += 1
+        seen[pair[0], c] += n
+        kinds[pair[0], c] += 1
+
+    def likelihoods(of_level, t, o, lean):
+        total, kind, d = of_level
+        shared = (t + o + 1) / (sum(total) + sum(kind) + 1)
+        weight = max(d[k] * kind[k] / total[k] for k in (0, 1))
+        return [(1 - weight) * max(n - d[k], 0) / max(1, total[k] - d[k] * kind[k]) + (weight * shared + rare / total[0]) * lean[k]
+                for k, n in ((0, t), (1, o))]
+
+    levels, words_level = {w: level(c) for w, c in stems.items()}, level(follow)
+    d = discount(list(pairs.values()))
+    scale = words_level[0][0] / words_level[0][1]
+
+    def evidence(before, word):
+        lean = [1, 1]
+        for width, counts in stems.items():
+            got = likelihoods(levels[width], counts[word[:width], 1], counts[word[:width], 0], lean)
+            lean = [x / (sum(got) / 2) for x in got]
+        own = likelihoods(words_level, follow[word, 1], follow[word, 0], lean)
+        n = [pairs[(before, word), 1], pairs[(before, word), 0]]
+        if not any(n):
+            return math.log(own[0] / own[1]), math.log(own[0] / own[1])
+        s, k, middle = [seen[before, 1], seen[before, 0]], [kinds[before, 1], kinds[before, 0]], sum(own) / 2
+        both = (max(sum(n) - d, 0) + d * sum(k) * middle) / sum(s)
+        backoff = (d * (k[0] + scale * k[1]) + toxicity.RARE_CONTEXT) / (s[0] + scale * s[1] + toxicity.RARE_CONTEXT)
+        logs = [math.log((1 - backoff) * (max(n[i] - d, 0) / (s[i] - d * k[i]) if s[i] - d * k[i] > 0 else 0) + backoff * both * own[i] / middle) for i in (0, 1)]
+        return logs[0] - logs[1], math.log(own[0] / own[1])
+
+    out = defaultdict(list)
+    for doc_id, text in docs:
+        words = split(text)
+        found = [evidence(b, w) for b, w in zip([b"", *words], words)]
+        mean = sum(e for e, _ in found) / len(found) if found else 0
+        out[doc_id].append((max((max(pair) for pair in found), default=0), mean, math.log1p(len(words))))
+    return out
+
+
+@pytest.mark.parametrize("hot,bits", [(0, 64), (40, 1 << 10), (10**6, 1 << 20)])
+def test_toxicity_evidence_equals_plain_kneser_ney(spark, hot, bits):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(30)] + ["vile", "vilest", "vilely", "é", "Über", "éclat"]
+    say = lambda: rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(1, 25)))
+    labelled = [(int(rng.random() < 0.4), say()) for _ in range(60)] + [(1, "only here"), (0, ""), (1, "vile vile vile")]
+    labelled += labelled[:2]
+    docs = [(i, t) for i, (_, t) in enumerate(labelled)] + [(500, "never seen words, wordless vilextra"), (501, None), (502, " "), (503, say() + " new" * 2000)]
+    texts = spark.createDataFrame(sorted(set(labelled)), "toxic int, text string")
+    frame_of = spark.createDataFrame(docs, "doc_id long, text string")
+    tables = toxicity.evidence_tables(texts, toxicity._vocabulary(frame_of))
+    want = plain_kneser_ney(labelled, docs)
+    got = toxicity.traits(frame_of.repartition(3), *tables, hot=hot, bits=bits).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert [r["x"], r["y"], r["z"]] == pytest.approx(want[r["doc_id"]][0], abs=1e-4)
+
+
+def test_toxicity_models_hear_every_labelled_text_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (4, "a b"), (8, "c"), (10, "d"), (None, "e"), (12, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (4, 1), (8, 0), (10, 0), (12, 0)], "doc_id long, toxic int").withColumn("fold", toxicity.fold_of(F.col("doc_id")))
+    import zlib
+    own = {d for d in (1, 4, 8, 10, 12) if zlib.crc32(str(d).encode()) % 4 in (0, 1)}
+    want = {(int(d in (1, 4)), {1: "a b", 4: "a b", 8: "c", 10: "d", 12: None}[d]) for d in own}
+    assert sorted(rows(toxicity._model_texts(docs, marks), "toxic", "text"), key=repr) == sorted(want, key=repr)
+
 
 
 # --- 7 ------------------------------------------------------------------------------------------
@@ -418,5 +580,30 @@ def test_near_duplicates(docs, width):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("members", [200, 800])
+def test_links_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch, members):
+    """60 words, two of them changed: about as many confirmed pairs and cluster links as members."""
+    rng = random.Random(22)
+    base, texts = sentence(rng, 60).split(), []
+    for i in range(members):
+        own = list(base)
+        for p in rng.sample(range(60), 2):
+            own[p] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    kept, stored = {}, minhash.stored
+
+    def counting(df, label):
+        out = stored(df, label)
+        kept[label] = kept.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counting)
+    got = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80).collect()
+    found = brute.near_duplicates([t for _, t in texts], 5, 80) if members <= 200 else None
+    if found:
+        assert {r["doc_id"]: r["component_id"] for r in got} == {i: low for i, (_, low) in enumerate(found)}
+    assert kept["star-pairs"] <= 2 * members and kept["cluster-links"] <= 0.2 * members
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0
