@@ -2,20 +2,15 @@
 
 Two bigram models, of toxic and of ordinary texts, are interpolated Kneser-Ney: a pair's discounted count,
 else the pair's count over both classes, weighed by how many different words its word follows within the
-class, and at last in both; words back off to their beginnings. What is rare thus falls back to shared counts and
-speaks for neither class. Counts are numbers of documents, so a text that repeats itself does not weigh more. A word's
-evidence is the difference of its two log-likelihoods; a text is described by its mean evidence (length-normalised), by the
-highest evidence of a word or pair in it and by its length, and a logistic curve fitted on other labelled rows turns
+class, and at last in both. What is rare thus falls back to shared counts and speaks for neither class. Counts are numbers of documents, so a text that repeats itself does not weigh more. A word's
+evidence is the difference of its two log-likelihoods; a text is described by its mean evidence and by the
+highest mean over few neighbouring words, by its length, and a logistic curve fitted on other labelled rows turns
 that into a score.
 
-All labelled documents of two folds are counted, so the models grow with the input; no model ever comes to the driver.
-Counts, and what follows from them for a word or a pair (one number each), are tables. A pair the models do not know
-says what its word says, so evidence adds up from words and from what known pairs add. Tasks get the most frequent words and pairs
-(at most `HOT` each) and a bit table of `BITS` bits over the hashes of known pairs; whatever else a text holds is summed up
-per text and joined to the tables. Both only save rows of that join: results are the same without them.
-
-Only the curve is fitted on a bounded sample, at most `MAX_ROWS` labelled rows per class of the third fold, drawn by a hash
-of the id; labels of held-out ids are never read. Scoring reads every whole text.
+Fitted on at most `MAX_ROWS` labelled rows and `MAX_BYTES` of text per class for the models and as many rows for the curve, drawn by a
+hash of the id; labels of held-out ids are never read. Scoring reads every whole text. Counts are made by Spark, also of
+what a single document has; what scoring needs of a unit, a hash and two small counts, is bounded by the bytes
+read (no unit is shorter than a byte and its separator) and comes to the driver in `PARTS` slices of the hash.
 
 Defined cases: a null or empty text has no words and gets the score of no evidence; null labels and labels
 without a document are ignored, contradictory ones count as toxic; without both classes in either
@@ -30,16 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordlytics.llm.store import scratch, stored
+from coordlytics.llm.store import stored
 from coordlytics.llm.words import Reader, Words, mixed, text_slices
 
-MAX_ROWS = 5_000
-HOT, BITS = 300_000, 1 << 26  # 3.6 MB of words, 6 MB of pairs and 8 MB of bits
+MAX_ROWS, MAX_BYTES = 5_000, 16 << 20  # of the sample, per class
+PARTS = 8  # in which counts are fetched
 STEMS = (4, 5, 6, 7, 8)  # bytes of the beginnings of words
+NEAR = 1  # neighbouring words that are judged together
 THRESHOLD = 0.3
 RARE_SHARE = 0.01  # of the toxic documents: the number in which any word is assumed to occur in either class
 RARE_CONTEXT = 10.0  # documents in which a context is assumed to follow the shared counts
@@ -98,42 +93,79 @@ def leaning(likelihoods: list[np.ndarray]) -> list[np.ndarray]:
 
 
 @dataclass
-class Levels:
-    """The few totals that backoff needs of all counts."""
-
-    stems: list[Level]
-    words: Level
+class Models:
+    words: np.ndarray  # sorted
+    of_word: np.ndarray  # rows: follow_t, follow_o, seen_t, kinds_t, seen_o, kinds_o
+    pairs: np.ndarray  # sorted
+    of_pair: np.ndarray  # rows: n_t, n_o
+    stems: np.ndarray  # sorted
+    of_stem: np.ndarray  # rows: n_t, n_o
     pair_discount: float
+    word_level: Level
+    stem_levels: list[Level]
     rare: float  # documents in which any word is assumed to occur in either class besides
 
-    def of_words(self, stems: np.ndarray, follow: np.ndarray) -> list[np.ndarray]:
-        """Likelihoods in both classes; ``stems`` has two counts for each width."""
-        lean = [np.ones(len(follow))] * 2
-        for i, level in enumerate(self.stems):
-            lean = leaning(level.likelihoods(stems[:, 2 * i: 2 * i + 2], lean, self.rare))
-        return self.words.likelihoods(follow, lean, self.rare)
-
-    def of_pairs(self, counts: np.ndarray, context: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-        """log P(word | before, toxic) - log P(word | before, ordinary) of known pairs.
-
-        ``context``: seen and kinds of the word before, toxic and ordinary; ``own``: likelihoods of the word.
-        """
-        d, scale = self.pair_discount, self.words.total[0] / self.words.total[1]
-        middle = (own[0] + own[1]) / 2
+    def evidence(self, own: Reader, words: Words) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of every word."""
+        hashes, first = words.hash, words.first
+        if not len(hashes):
+            return np.zeros(0)
+        lean = [np.ones(len(hashes))] * 2
+        for width, level in zip(STEMS, self.stem_levels):
+            counts = _found(self.stems, self.of_stem, own.beginnings(words, width))
+            lean = leaning(level.likelihoods(counts, lean, self.rare))
+        traits = _found(self.words, self.of_word, hashes)
+        before = preceding(hashes, first)
+        context = np.zeros_like(traits)
+        context[1:] = traits[:-1]
+        heads = first[:-1][np.diff(first) > 0]
+        context[heads] = _found(self.words, self.of_word, np.zeros(1, np.uint64))
+        counts = _found(self.pairs, self.of_pair, pair_key(before, hashes))
+        own_c = self.word_level.likelihoods(traits[:, :2], lean, self.rare)
+        scale = self.word_level.total[0] / self.word_level.total[1]  # of ordinary counts to the size of the toxic ones
+        middle = (own_c[0] + own_c[1]) / 2
+        d = self.pair_discount
         # pairs over both classes
-        seen, kinds = context[:, 0] + context[:, 2], context[:, 1] + context[:, 3]
+        seen, kinds = context[:, 2] + context[:, 4], context[:, 3] + context[:, 5]
         both = np.where(seen > 0, (np.maximum(counts.sum(axis=1) - d, 0) + d * kinds * middle) / np.maximum(seen, 1), middle)
-        seen = context[:, 0] + scale * context[:, 2]
-        backoff = (d * (context[:, 1] + scale * context[:, 3]) + RARE_CONTEXT) / (seen + RARE_CONTEXT)
+        seen = context[:, 2] + scale * context[:, 4]
+        backoff = (d * (context[:, 3] + scale * context[:, 5]) + RARE_CONTEXT) / (seen + RARE_CONTEXT)
         logs = []
         for c in range(2):
-            kept = context[:, 2 * c] - d * context[:, 2 * c + 1]
+            kept = context[:, 2 + 2 * c] - d * context[:, 3 + 2 * c]
             known = np.where(kept > 0, np.maximum(counts[:, c] - d, 0) / np.maximum(kept, 1e-9), 0)
             # what the class does not know falls back to the shared pairs, weighed by what the class says of the word
-            logs.append(np.log((1 - backoff) * known + backoff * both * own[c] / middle))
+            logs.append(np.log((1 - backoff) * known + backoff * both * own_c[c] / middle))
         return logs[0] - logs[1]
 
 
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros((len(wanted), values.shape[1]))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    out = values[at].astype(np.float64)
+    out[keys[at] != wanted] = 0
+    return out
+
+
+def traits_of(evidence: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per text: highest mean over NEAR words, mean, and log of the number of words."""
+    n = np.diff(first)
+    out = np.zeros((len(n), 3))
+    sums = np.r_[0.0, np.cumsum(evidence)]
+    full = n > 0
+    out[full, 1] = (sums[first[1:]] - sums[first[:-1]])[full] / n[full]
+    out[:, 2] = np.log1p(n)
+    short = full & (n < NEAR)
+    out[short, 0] = (sums[first[1:]] - sums[first[:-1]])[short] / NEAR
+    long = np.flatnonzero(n >= NEAR)
+    if len(long):
+        near = (sums[NEAR:] - sums[:-NEAR]) / NEAR
+        cuts = np.stack([first[:-1][long], first[1:][long] - NEAR + 1], 1).reshape(-1)
+        out[long, 0] = np.maximum.reduceat(np.r_[near, -np.inf], cuts)[::2]
+    return out
+
+
 def _units(texts: DataFrame, stems: bool) -> DataFrame:
     """(toxic, before, word): each pair of a text once; or (toxic, before = width, word = stem): each stem once."""
 
@@ -162,41 +194,17 @@ def _discount(once: float, twice: float) -> float:
     return once / (once + 2 * twice) if once else 0.5
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, stems, n): every word of all texts by hash, its beginnings and about how many texts have it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = reader()
-        for batch in batches:
-            for row, stop, data, offsets in text_slices(batch.column(0)):
-                words = own.read(data, offsets)
-                found, at, n = np.unique(words.hash, return_index=True, return_counts=True)
-                stems = np.stack([own.beginnings(words, w)[at] for w in STEMS], 1).reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(STEMS)), pa.array(stems.view(np.int64))),
-                     pa.array(n)], ["word", "stems", "n"])
-
-    every = docs.select("text").mapInArrow(run, "word long, stems array<long>, n long")
-    return every.groupBy("word").agg(F.first("stems").alias("stems"), F.sum("n").alias("n"))
-
-
-def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names], 1)
-
-
-def evidence_tables(texts: DataFrame, vocabulary: DataFrame, rare_share: float = RARE_SHARE) -> tuple[DataFrame, DataFrame]:
-    """What the models fitted on ``texts`` (toxic, text) say of every word of ``vocabulary``, and of every pair they know.
-
-    Words: key, n, adds and peak, which are both the word's evidence. Pairs: key, n, adds (what the pair's
-    evidence is more than its word's) and peak (the pair's evidence). Lazy; counts are stored.
-    """
+def count_models(texts: DataFrame, rare_share: float = RARE_SHARE) -> Models:
+    """``texts``: toxic (0 or 1) and text of a bounded number of rows and bytes. Counted by Spark; all counts, also of what
+    one text has, come to the driver, 16 bytes a unit."""
     pairs = stored(_units(texts, False), "toxic-pairs")
     stems = stored(_units(texts, True), "toxic-stems")
     seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
-    contexts = pairs.groupBy(F.col("before").alias("c")).agg(
+    contexts = pairs.groupBy(F.col("before").alias("w")).agg(
         F.sum("t").alias("seen_t"), seen("t").alias("kinds_t"), F.sum("o").alias("seen_o"), seen("o").alias("kinds_o"))
-    follow = stored(pairs.groupBy("word").agg(seen("t").alias("follow_t"), seen("o").alias("follow_o")), "toxic-follow")
+    follow = pairs.groupBy(F.col("word").alias("w")).agg(seen("t").alias("follow_t"), seen("o").alias("follow_o"))
+    names = ["follow_t", "follow_o", "seen_t", "kinds_t", "seen_o", "kinds_o"]
+    words = stored(follow.join(contexts, "w", "full").fillna(0).select("w", *names), "toxic-words")
     at = lambda c, n: F.count(F.when(F.col(c) == n, 1))
     p = pairs.agg(at("t", 1).alias("t"), at("o", 1).alias("o"), at("t", 2).alias("tt"), at("o", 2).alias("oo")).first()
 
@@ -204,158 +212,44 @@ def evidence_tables(texts: DataFrame, vocabulary: DataFrame, rare_share: float =
         found = counts.groupBy("before").agg(*[
             x.alias(f"{c}{i}") for c, n in (("t", t), ("o", o))
             for i, x in enumerate((F.sum(n), F.count(F.when(F.col(n) > 0, 1)), at(n, 1), at(n, 2)))]).orderBy("before").collect()
-        return [Level(  # a row per width
+        return [Level(
             (max(1, r["t0"]), max(1, r["o0"])), (r["t1"], r["o1"]), (_discount(r["t2"], r["t3"]), _discount(r["o2"], r["o3"])))
             for r in found]
 
     none = Level((1, 1), (0, 0), (0.5, 0.5))
-    levels = Levels(
-        level(stems, "t", "o") or [none] * len(STEMS), (level(follow.withColumn("before", F.lit(0)), "follow_t", "follow_o") or [none])[0],
-        _discount(p["t"] + p["o"], p["tt"] + p["oo"]), 1 + rare_share * texts.filter("toxic = 1").count())
-
-    each = vocabulary.select("word", F.posexplode("stems").alias("i", "stem"))
-    widths = F.array(*[F.lit(w) for w in STEMS])
-    known = each.join(stems.select(F.col("before").alias("width"), F.col("word").alias("stem"), "t", "o"), "stem").filter(
-        F.get(widths, F.col("i")) == F.col("width"))
-    names = [f"{c}{i}" for i in range(len(STEMS)) for c in "to"]
-    of_stems = known.groupBy("word").agg(*[F.max(F.when(F.col("i") == int(n[1:]), F.col(n[0]))).alias(n) for n in names])
-    counted = vocabulary.select("word", "n").join(of_stems, "word", "left").join(follow, "word", "left").fillna(0)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = levels.of_words(_matrix(batch, names), _matrix(batch, ["follow_t", "follow_o"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), *[pa.array(x) for x in own], pa.array(np.log(own[0] / own[1]))],
-                ["key", "n", "own_t", "own_o", "peak"])
-
-    of_words = stored(counted.mapInArrow(words, "key long, n long, own_t double, own_o double, peak double"), "toxic-words")
-    placed = pairs.join(contexts, F.col("before") == F.col("c")).join(of_words.select("key", "own_t", "own_o"), F.col("word") == F.col("key")).drop("key")
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("own_t", "own_o")]
-            peak = levels.of_pairs(_matrix(batch, ["t", "o"]), _matrix(batch, ["seen_t", "kinds_t", "seen_o", "kinds_o"]), own)
-            before, word = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("before", "word"))
-            n = pa.array((batch.column("t").to_numpy() + batch.column("o").to_numpy()).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair_key(before, word).view(np.int64)), n, pa.array(peak - np.log(own[0] / own[1])), pa.array(peak)],
-                ["key", "n", "adds", "peak"])
-
-    of_pairs = placed.mapInArrow(paired, "key long, n long, adds double, peak double")
-    return of_words.select("key", "n", F.col("peak").alias("adds"), "peak"), of_pairs
-
-
-@dataclass
-class Known:
-    """A sorted table of at most ``HOT`` keys."""
-
-    keys: np.ndarray
-    adds: np.ndarray
-    peak: np.ndarray
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, adds, peak) of every key."""
-        if not len(self.keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted)), np.full(len(wanted), -np.inf)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        found = self.keys[at] == wanted
-        return found, np.where(found, self.adds[at], 0), np.where(found, self.peak[at], -np.inf)
-
-
-def _frequent(table: DataFrame, most: int) -> Known:
-    """The keys from the lowest frequency on that at most ``most`` keys reach."""
-    octave = F.floor(8 * F.log2("n")).cast("int")
-    counts = sorted(table.groupBy(octave.alias("b")).count().collect(), key=lambda r: -r["b"])  # a few hundred rows
-    total, low = 0, None
-    for r in counts:
-        total += r["count"]
-        if total > most:
-            break
-        low = r["b"]
-    rows = table.filter(octave >= low).select("key", "adds", "peak").toArrow() if low is not None else None
-    if rows is None:
-        return Known(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    keys = rows["key"].to_numpy()
-    order = np.argsort(keys)
-    return Known(keys[order], rows["adds"].to_numpy()[order].astype(np.float32), rows["peak"].to_numpy()[order].astype(np.float32))
-
-
-def _bit_table(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the hash of every key: what has none is not among them. ``bits`` / 64 numbers at most."""
-    place = F.col("key").bitwiseAND(F.lit(bits - 1))
-    words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return out
-
-
-def traits(docs: DataFrame, words: DataFrame, pairs: DataFrame, hot: int = HOT, bits: int = BITS) -> DataFrame:
-    """doc_id, x (highest evidence), y (mean evidence) and z (log of the number of words) of every row."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((_frequent(words, hot), _frequent(pairs, hot), _bit_table(pairs, bits)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = reader()
-        hot_words, hot_pairs, table = shared.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for row, stop, data, offsets in text_slices(batch.column(1)):
-                read = own.read(data, offsets)
-                doc = np.repeat(np.arange(stop - row), read.counts)
-                total, peak = np.zeros(stop - row), np.full(stop - row, -np.inf)
-                asked = []
-                for keys, known, filtered in (
-                        (read.hash, hot_words, False), (pair_key(preceding(read.hash, read.first), read.hash), hot_pairs, True)):
-                    keys = keys.view(np.int64)
-                    found, adds, high = known.find(keys)
-                    total += np.bincount(doc, weights=adds, minlength=stop - row)
-                    np.maximum.at(peak, doc[found], high[found])
-                    rest = ~found
-                    if filtered:
-                        place = keys & np.int64(bits - 1)
-                        rest &= (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    asked.append((keys[rest], doc[rest]))
-                keys, of = np.concatenate([k for k, _ in asked]), np.concatenate([d for _, d in asked])
-                # equal keys of a text are asked for once
-                order = np.lexsort((keys, of))
-                keys, of = keys[order], of[order]
-                heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]) if len(keys) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[heads, len(keys)])
-                n, m = stop - row, len(heads)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[ids[row:stop], ids[row + of[heads]]]),
-                    pa.array(np.r_[np.zeros(n, np.int64), keys[heads]], mask=np.r_[np.ones(n, bool), np.zeros(m, bool)]),
-                    pa.array(np.r_[read.counts, times].astype(np.int64)), pa.array(np.r_[total, np.zeros(m)]),
-                    pa.array(np.r_[peak, np.full(m, -np.inf)])], ["id", "key", "n", "total", "peak"])
-
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _with_ids(run), f"id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, total double, peak double"), "toxic-asked")
-    whole = numbered.filter("key is null").select("id", "doc_id", F.col("n").alias("words"), "total", "peak")
-    tables = words.select("key", "adds", F.col("peak").alias("high")).unionByName(pairs.select("key", "adds", F.col("peak").alias("high")))
-    asked = numbered.filter("key is not null").select("id", "key", "n").join(tables, "key").groupBy("id").agg(
-        F.sum(F.col("n") * F.col("adds")).alias("more"), F.max("high").alias("high"))
-    joined = whole.join(asked, "id", "left")
-    n = F.col("words")
-    return joined.select(
-        "doc_id", F.when(n > 0, F.greatest("peak", F.coalesce("high", F.lit(float("-inf"))))).otherwise(0.0).alias("x"),
-        F.when(n > 0, (F.col("total") + F.coalesce("more", F.lit(0.0))) / n).otherwise(0.0).alias("y"), F.log1p(n).alias("z"))
-
-
-def _with_ids(run):
-    """``run`` on (id, text), its rows for whole texts joined by their doc_id."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for out in run(iter([batch.select(["id", "text"])])):
-                at = np.searchsorted(ids, out.column(0).to_numpy())
-                names = batch.column("doc_id").take(pa.array(at))
-                blank = pc.is_valid(out.column(1))
-                names = pc.if_else(blank, pa.scalar(None, names.type), names)
-                yield pa.RecordBatch.from_arrays([out.column(0), names, *out.columns[1:]], ["id", "doc_id", "key", "n", "total", "peak"])
-
-    return wrapped
+    word_level = level(words.withColumn("before", F.lit(0)), "follow_t", "follow_o") or [none]
+    stem_levels = level(stems, "t", "o") or [none] * len(STEMS)
+    hashed = pairs.select("before", "word", "t", "o").mapInArrow(_with_keys, "key long, t int, o int")
+    word_keys, of_word = _sorted_counts(words.withColumnRenamed("w", "key"), names)
+    pair_keys, of_pair = _sorted_counts(stored(hashed, "toxic-pair-keys"), ["t", "o"])
+    stem_keys, of_stem = _sorted_counts(stems.select(F.col("word").alias("key"), "t", "o"), ["t", "o"])
+    return Models(
+        word_keys, of_word, pair_keys, of_pair, stem_keys, of_stem,
+        _discount(p["t"] + p["o"], p["tt"] + p["oo"]), word_level[0], stem_levels,
+        1 + rare_share * texts.filter("toxic = 1").count())
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        before, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pair_key(before, word).view(np.int64)), batch.column("t").cast(pa.int32()), batch.column("o").cast(pa.int32())], ["key", "t", "o"])
+
+
+def _sorted_counts(table: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their counts, fetched slice by slice of the key, so that the driver never holds a second copy of all."""
+    width = (1 << 64) // PARTS
+    keys, counts = [], []
+    for part in range(PARTS):
+        low = part * width - (1 << 63)
+        own = table.filter(F.col("key").between(low, low + width - 1)).select("key", *[F.col(n).cast("int").alias(n) for n in names]).toArrow()
+        # hashes are compared as unsigned numbers
+        found = own["key"].to_numpy().view(np.uint64)
+        order = np.argsort(found)
+        keys.append(found[order])
+        counts.append(np.stack([own[n].to_numpy().astype(np.float32)[order] for n in names], 1))
+    half = PARTS // 2  # negative numbers are the upper half
+    return np.concatenate(keys[half:] + keys[:half]), np.concatenate(counts[half:] + counts[:half])
 
 
 def fit_curve(traits: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -374,43 +268,62 @@ def fit_curve(traits: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.n
     return beta
 
 
-def _model_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(toxic, text): every different text of the first two folds' labelled documents, once per class."""
-    own = docs.filter(fold_of(F.col("doc_id")).isin(0, 1)).select("doc_id", "text")
-    labelled = marks.filter("fold in (0, 1)").select("doc_id", "toxic")
-    # one document speaks for all with its text; found on hashes, so that texts are joined once
-    first = own.select("doc_id", F.xxhash64("text", F.lit(0)).alias("h"), F.xxhash64("text", F.lit(1)).alias("g")).join(labelled, "doc_id").groupBy(
-        "toxic", "h", "g").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    return own.join(first, "doc_id").dropDuplicates(["doc_id", "toxic"]).select("toxic", "text")
+def _draw(labels: DataFrame, docs: DataFrame, model: bool, max_rows: int) -> DataFrame:
+    """(toxic, text) of at most ``max_rows`` rows per class; the ids drawn, 2 x ``max_rows``, are sent everywhere."""
+    chosen = labels.filter(F.col("fold").isin(0, 1) if model else F.col("fold") == 3)
+    ids = [chosen.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
+    drawn = ids[0].unionByName(ids[1]).select("doc_id", "toxic")
+    return docs.join(F.broadcast(drawn), "doc_id").dropDuplicates(["toxic", "text"])
+
 
+def _within(texts: DataFrame, max_bytes: int) -> DataFrame:
+    """Whole texts per class in a repeatable order until ``max_bytes`` are reached; the first stays whatever its size.
+
+    ``texts`` is a bounded sample; only lengths are ordered.
+    """
+    order = Window.partitionBy("toxic").orderBy("place", "text_md5").rowsBetween(Window.unboundedPreceding, -1)
+    sized = texts.withColumns({"place": F.xxhash64("text"), "text_md5": F.coalesce(F.md5("text"), F.lit("")), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
+    lengths = sized.select("toxic", "place", "text_md5", "size").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    kept = lengths.filter(F.col("before") < max_bytes).select("toxic", "place", "text_md5")
+    return sized.join(kept, ["toxic", "place", "text_md5"]).select("toxic", "text")
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, hot: int = HOT, bits: int = BITS) -> DataFrame:
+
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    with scratch(docs.sparkSession) as step:
-        marks = stored(
-            labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-            .withColumn("fold", fold_of(F.col("doc_id"))).filter("fold <> 2"), "toxic-labels")
-        share = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-        texts = stored(_model_texts(chosen, marks), "toxic-texts")
-        vocabulary = stored(_vocabulary(chosen), "toxic-vocabulary")
-        words, pairs = evidence_tables(texts, vocabulary)
-        pairs = stored(pairs, "toxic-evidence")
-        found = step.keep(traits(chosen, words, pairs, hot, bits), "toxic-traits")
-        curve = found.join(marks.filter("fold = 3"), "doc_id").select(
-            "toxic", "x", "y", "z", F.xxhash64("doc_id").alias("draw"))
-        drawn = [curve.filter(F.col("toxic") == c).orderBy("draw", "x", "y", "z").limit(max_rows) for c in (0, 1)]
-        other = drawn[0].unionByName(drawn[1]).toArrow()  # at most 2 x max_rows rows
-    toxic = other["toxic"].to_numpy().astype(float)
+    marks = stored(
+        labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        .withColumn("fold", fold_of(F.col("doc_id"))).filter("fold <> 2"), "toxic-labels")
+    share = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    texts = stored(_draw(marks, chosen, True, max_rows).withColumn("model", F.lit(True)).unionByName(
+        _draw(marks, chosen, False, max_rows).withColumn("model", F.lit(False))), "toxic-texts")
+    models = count_models(stored(_within(texts.filter("model"), max_bytes), "toxic-sample"))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(models)
+
+    def traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = reader()
+        for batch in batches:
+            for row, stop, data, offsets in text_slices(batch.column(1)):
+                words = own.read(data, offsets)
+                found = traits_of(shared.value.evidence(own, words), words.first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, stop - row), *[pa.array(found[:, i]) for i in range(3)]], ["k", "x", "y", "z"])
+
+    other = texts.filter("not model").select("toxic", "text").mapInArrow(
+        traits, "k int, x double, y double, z double").toArrow()  # at most 2 x max_rows rows
+    toxic = other["k"].to_numpy().astype(float)
     beta = None
     if len(toxic) and 0 < toxic.sum() < len(toxic):
         even = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
         beta = fit_curve(np.stack([other[c].to_numpy() for c in "xyz"], 1), toxic, even)
+    id_type = chosen.schema["doc_id"].dataType.simpleString()
+    scored = chosen.mapInArrow(traits, f"k {id_type}, x double, y double, z double")
     if beta is None:
         score = F.lit(0.0)
     else:
         line = F.lit(float(beta[0])) + sum(F.col(c) * float(b) for c, b in zip("xyz", beta[1:]))
         score = 1 / (1 + F.exp(-line))
-    return found.select(
-        "doc_id", F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), score.alias("score")
+    return scored.select(
+        F.col("k").alias("doc_id"), F.coalesce(fold_of(F.col("k")) == 2, F.lit(False)).alias("held_out"), score.alias("score")
     ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -475,35 +475,46 @@ def plain_kneser_ney(labelled, docs):
         words = split(text)
         found = [evidence(b, w) for b, w in zip([b"", *words], words)]
         mean = sum(e for e, _ in found) / len(found) if found else 0
-        out[doc_id].append((max((max(pair) for pair in found), default=0), mean, math.log1p(len(words))))
+        out[doc_id].append((max((e for e, _ in found), default=0), mean, math.log1p(len(words))))
     return out
 
 
-@pytest.mark.parametrize("hot,bits", [(0, 64), (40, 1 << 10), (10**6, 1 << 20)])
-def test_toxicity_evidence_equals_plain_kneser_ney(spark, hot, bits):
+def test_toxicity_evidence_equals_plain_kneser_ney(spark):
+    import pyarrow as pa
+    from coordlytics.llm.words import text_slices
+
     rng = random.Random(11)
     words = [f"word{i}" for i in range(30)] + ["vile", "vilest", "vilely", "é", "Über", "éclat"]
     say = lambda: rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(1, 25)))
     labelled = [(int(rng.random() < 0.4), say()) for _ in range(60)] + [(1, "only here"), (0, ""), (1, "vile vile vile")]
-    labelled += labelled[:2]
     docs = [(i, t) for i, (_, t) in enumerate(labelled)] + [(500, "never seen words, wordless vilextra"), (501, None), (502, " "), (503, say() + " new" * 2000)]
-    texts = spark.createDataFrame(sorted(set(labelled)), "toxic int, text string")
-    frame_of = spark.createDataFrame(docs, "doc_id long, text string")
-    tables = toxicity.evidence_tables(texts, toxicity._vocabulary(frame_of))
+    models = toxicity.count_models(spark.createDataFrame(sorted(set(labelled)), "toxic int, text string"))
     want = plain_kneser_ney(labelled, docs)
-    got = toxicity.traits(frame_of.repartition(3), *tables, hot=hot, bits=bits).collect()
-    assert len(got) == len(docs)
-    for r in got:
-        assert [r["x"], r["y"], r["z"]] == pytest.approx(want[r["doc_id"]][0], abs=1e-4)
-
-
-def test_toxicity_models_hear_every_labelled_text_once(spark):
-    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (4, "a b"), (8, "c"), (10, "d"), (None, "e"), (12, None)], "doc_id long, text string")
-    marks = spark.createDataFrame([(1, 1), (4, 1), (8, 0), (10, 0), (12, 0)], "doc_id long, toxic int").withColumn("fold", toxicity.fold_of(F.col("doc_id")))
-    import zlib
-    own = {d for d in (1, 4, 8, 10, 12) if zlib.crc32(str(d).encode()) % 4 in (0, 1)}
-    want = {(int(d in (1, 4)), {1: "a b", 4: "a b", 8: "c", 10: "d", 12: None}[d]) for d in own}
-    assert sorted(rows(toxicity._model_texts(docs, marks), "toxic", "text"), key=repr) == sorted(want, key=repr)
+    own = toxicity.reader()
+    for low, high, data, offsets in text_slices(pa.array([t for _, t in docs]), 2000):
+        read = own.read(data, offsets)
+        found = toxicity.traits_of(models.evidence(own, read), read.first)
+        for (d, _), got in zip(docs[low:high], found):
+            assert list(got) == pytest.approx(want[d][0], abs=1e-4)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    texts = spark.createDataFrame([(c, f"{c} {i} " + "x" * 50) for c in (0, 1) for i in range(100)] + [(1, None)], "toxic int, text string")
+    kept = toxicity._within(texts, 500).collect()
+    for c in (0, 1):
+        sizes = [len(r["text"] or "") for r in kept if r["toxic"] == c]
+        assert 500 <= sum(sizes) < 500 + 60
+    assert sorted(map(repr, kept)) == sorted(map(repr, toxicity._within(texts.repartition(5), 500).collect()))
+    assert toxicity._within(texts, 10**9).count() == 201
+
+
+def test_toxicity_counts_what_one_text_has(spark):
+    texts = [(1, "all say this"), (1, "all say slurry"), (0, "all say that"), (0, "all say this")]
+    models = toxicity.count_models(spark.createDataFrame(texts, "toxic int, text string"))
+    bodies = [t.split() for _, t in texts]
+    pairs = {(a, b) for w in bodies for a, b in zip(["", *w], w)}
+    assert len(models.pairs) == len(pairs)
+    assert len(models.words) == len({w for b in bodies for w in b}) + 1  # and the beginning of a text
 
 
 
