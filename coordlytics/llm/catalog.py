@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordlytics.llm import dialogue_repair, dialogue_sql, disclosure, embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from coordlytics.llm import dialogue_repair, dialogue_sql, disclosure, disclosure_sql, embeddings, importance, minhash, mixing, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op12_personal_data": disclosure_sql.SQL,
     "op13_conversation_repair": dialogue_sql.SQL,
     "op11_importance_resampling": r"""
 WITH shares AS (
