@@ -40,6 +40,12 @@ def timeline(t: Tables) -> DataFrame:
     return semaphore.in_use_timeline(permit_spans(t), spans=True)
 
 
+def wanted_conditions(t: Tables) -> DataFrame:
+    return t.raw("customer").selectExpr(
+        "'default' as ns", "cast(c_custkey as string) as name",
+        "explode(array(cast(c_nationkey as string), if(c_custkey % 5 = 0, 'nowhere', cast(c_nationkey as string)))) as condition")
+
+
 def held_leases(t: Tables) -> DataFrame:
     """A third of the leases have run out, a third are held, the others were never taken."""
     k = "cast(name as int) % 3"
@@ -722,11 +728,7 @@ ENTRIES: dict[str, Entry] = {
               from conditions c left join (select type, cname, min(ts) as met_at from rule_flips where d = 1 group by type, cname) f
                 on f.type = c.type and f.cname = c.cname group by c.gate) c on c.gate = g.name"""),
     "gate_subset_ready": entry(
-        lambda t: gate.gate_subset_ready(
-            conditions(t),
-            t.raw("customer").selectExpr(
-                "'default' as ns", "cast(c_custkey as string) as name",
-                "explode(array(cast(c_nationkey as string), if(c_custkey % 5 = 0, 'nowhere', cast(c_nationkey as string)))) as condition")),
+        lambda t: gate.gate_subset_ready(gate.gate_conditions(t.gates(), resources(t), wanted_conditions(t)), wanted_conditions(t)),
         f"""select {NS}, c_custkey::varchar as name, c_custkey % 5 <> 0 and coalesce(m.met, false) as ready
             from customer left join (select name, condition, arg_max(met, pos) as met from checked group by name, condition) m
               on m.name = c_custkey::varchar and m.condition = c_nationkey::varchar"""),
