@@ -114,7 +114,7 @@ def test_once_and_heartbeats(spark, tmp_path):
     assert online and online <= batch and len(batch - online) <= 6
 
 
-def shuffled(spark, df, folder, lateness=600, parts=5, seed=3):
+def shuffled(spark, df, folder, lateness=600, parts=3, seed=3):
     """The log in files whose rows are out of order by less than ``lateness`` seconds, and a last one far ahead."""
     rnd = random.Random(seed)
     rows = sorted((r for r in df.collect()), key=lambda r: r.ts.timestamp() + rnd.uniform(0, lateness - 1))
