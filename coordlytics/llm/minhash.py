@@ -9,7 +9,9 @@ on the full sets, recomputed from the texts.
 
 A band is never expanded into all its pairs. First every set is confirmed against one other, the likeliest
 of those that are the centre of a band with it; in a second round every component that shares a band with
-the centre of another tries the likeliest such pair. Bands that then still mix components are joined to clusters, and within a
+the centre of another tries the likeliest such pair. Centres are of the band's largest component, so the confirmed
+pairs of a round are a forest, whose roots are found by a few jumps and name the components of the next round.
+Bands that then still mix components are joined to clusters, and within a
 cluster each member outside the largest component is compared with the members of other components, on bit counts and,
 where those allow, on the full sets; only one row per two components leaves the join. All links between different
 components have then been looked at, and links in all are about as many as sets.
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordlytics.llm.graph import components
+from coordlytics.llm.prefilter import possible
 from coordlytics.llm.shingles import shingle_sets
 from coordlytics.llm.store import scratch, stored
 from coordlytics.llm.words import Reader, mixed, text_slices
@@ -131,11 +134,11 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names whose full sets are similar enough."""
+    """The rows (id, parent) of ``pairs`` whose sets a and b are similar enough, by their full texts."""
     held = (
         pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b"))
+        .select("id", "parent", "text_a", "text_b"))
 
     def sets(reader: Reader, texts: pa.Array) -> Iterator[np.ndarray]:
         for start, stop, data, offsets in text_slices(texts):
@@ -150,14 +153,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             for x, y in zip(sets(reader, batch.column(2)), sets(reader, batch.column(3))):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["id", "parent"]).filter(pa.array(good, pa.bool_()))
 
-    return held.mapInArrow(run, "a binary, b binary")
-
-
-def _pair(a: str, b: str) -> list[Column]:
-    x, y = F.col(f"{a}.sid"), F.col(f"{b}.sid")
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return held.mapInArrow(run, "id binary, parent binary")
 
 
 def shingled(texts: DataFrame, width: int) -> DataFrame:
@@ -197,44 +195,76 @@ def _across(clustered: DataFrame, percent: int) -> DataFrame:
 
 
 def _likeliest(full: DataFrame, draw: int, percent: int) -> DataFrame:
-    """(a, b): for every component of ``full`` (key, comp and a set's traits) the pair of one of its sets and
-    a band's centre of another component whose bits agree best. A band's centre is drawn by hash."""
+    """(id, parent, a, b): for every component of ``full`` (key, comp and a set's traits) the pair of one of its sets
+    and a band's centre of another component whose bits agree best. A centre is of the largest component
+    of its band, the lowest by hash of several, so no chain of parents returns."""
     row = F.struct("sid", "comp", "n", "p0", "p1", "p2", "p3")
-    centres = full.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(draw)).alias("h"), row.alias("c")))["c"].alias("c"))
+    order = F.struct(
+        (-F.col("size")).alias("s"), F.xxhash64("comp", F.lit(draw)).alias("h"), F.col("comp"),
+        F.xxhash64("sid", F.lit(draw)).alias("g"), row.alias("c"))
+    centres = full.groupBy("key").agg(F.min(order)["c"].alias("c"))
     pairs = full.select("key", row.alias("m")).join(centres, "key").filter(
         (F.col("m.comp") != F.col("c.comp")) & _possible("m", "c", percent))
-    best = pairs.groupBy(F.col("m.comp").alias("comp")).agg(F.min(F.struct(
-        _differing("m", "c").alias("d"), F.col("m.sid").alias("m"), F.col("c.sid").alias("c"))).alias("best"))
-    return best.select(F.least("best.m", "best.c").alias("a"), F.greatest("best.m", "best.c").alias("b")).distinct()
+    best = pairs.groupBy(F.col("m.comp").alias("id")).agg(F.min(F.struct(
+        _differing("m", "c").alias("d"), F.col("m.sid").alias("m"), F.col("c.sid").alias("c"), F.col("c.comp").alias("comp"))).alias("best"))
+    return best.select("id", F.col("best.comp").alias("parent"), F.col("best.m").alias("a"), F.col("best.c").alias("b"))
+
+
+def rooted(parents: DataFrame) -> DataFrame:
+    """(id, component): the root above every node of a forest that is none itself, by jumps of doubling length.
+    ``parents``: id, parent, one row per id."""
+    now = parents
+    while True:
+        above = now.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
+        ahead = stored(now.select("id", "parent").join(above, "parent", "left").select(
+            "id", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")), "jumps")
+        if ahead.filter("moved").isEmpty():
+            return ahead.select("id", F.col("parent").alias("component"))
+        now = ahead
+
+
+def _sized(found: DataFrame) -> DataFrame:
+    """(comp, root, larger): every component that takes part in a round, its root and how many now are one."""
+    counts = found.groupBy("component").agg((F.count("*") + 1).alias("larger"))
+    below = found.join(counts, "component").select(F.col("id").alias("comp"), F.col("component").alias("root"), "larger")
+    return below.unionByName(counts.select(F.col("component").alias("comp"), F.col("component").alias("root"), "larger"))
+
+
+def _renamed(named: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) after components of ``named`` have got new ones by ``more``. No id is in both."""
+    onward = more.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return named.join(onward, "component", "left").select(
+        "id", F.coalesce("next", "component").alias("component")).unionByName(more)
 
 
 def linked_sets(sets: DataFrame, texts_of: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, component) of the sets that are linked with others. ``sets``: one row per sid."""
+    """(id, component) of the sets that are linked with others; a component's own name may be missing among the ids.
+    ``sets``: one row per sid."""
+    traits = ["n", "p0", "p1", "p2", "p3"]
     members = sets.select("sid", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    shared = stored(members.join(crowded, "key"), "bands")
-    traits = stored(
-        shared.select("sid").distinct().join(sets.select("sid", "tid", "n", "p0", "p1", "p2", "p3"), "sid"), "traits")
-    texts = texts_of.join(traits.select("tid", "sid"), "tid").select("sid", "text").dropDuplicates(["sid"])
+    shared = members.join(crowded, "key")
+    now = stored(shared.join(sets.select("sid", "tid", *traits), "sid").withColumn("comp", F.col("sid")), "bands")
+    chosen = stored(now.select("tid", "sid").distinct(), "chosen")
+    texts = possible(texts_of, F.col("tid"), chosen, F.col("tid"))[0].join(chosen, "tid").select("sid", "text").dropDuplicates(["sid"])
     texts = stored(texts, "texts")
-    now = shared.withColumn("comp", F.col("sid"))
-    links = None
+    now = now.drop("tid").withColumn("size", F.lit(1).cast("long"))
+    named = None
     for draw in range(ROUNDS):
-        pairs = stored(_likeliest(now.join(traits.drop("tid"), "sid"), draw, percent), "star-pairs")
-        more = confirmed(pairs, texts, width, percent)
-        links = stored(more if links is None else links.unionByName(more), "star-links")
-        found = stored(components(links), "star-components")
-        now = shared.join(found.withColumnRenamed("id", "sid"), "sid", "left").select(
-            "key", "sid", F.coalesce("component", "sid").alias("comp"))
+        pairs = stored(_likeliest(now, draw, percent), "star-pairs")
+        found = rooted(stored(confirmed(pairs, texts, width, percent), "star-links"))
+        named = found if named is None else _renamed(named, found)
+        now = now.drop("low").join(_sized(found), "comp", "left").select(
+            "key", "sid", *traits, F.coalesce("root", "comp").alias("comp"), F.coalesce("larger", "size").alias("size"))
         mixed_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         now = stored(now.join(mixed_keys.select("key", "low"), "key"), "open")
     clusters = components(now.select(F.col("comp").alias("a"), F.col("low").alias("b")))
-    inside = now.select("sid", "comp").distinct().join(
+    inside = now.select("sid", "comp", *traits).distinct().join(
         clusters.select(F.col("id").alias("comp"), F.col("component").alias("cluster")), "comp")
     shingles = shingled(texts.join(now.select("sid").distinct(), "sid", "left_semi"), width)
-    clustered = stored(inside.join(traits.drop("tid"), "sid").join(shingles, "sid"), "clusters")
+    clustered = stored(inside.join(shingles, "sid"), "clusters")
     more = stored(_across(clustered, percent), "cluster-links")
-    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return _renamed(named, components(more))
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -55,7 +55,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
+            size = max(n, 2 * len(self.up))  # a task of few words needs no table for a whole slice
 
             def powers(b):
                 steps = np.full(size, b, np.uint64)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from coordlytics.llm import (
-    embeddings, graph, minhash, mixing, prefix, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity,
+    embeddings, graph, minhash, mixing, prefilter, prefix, quality_rules, repeats, sentencepiece_codec, sharding, token_counts, toxicity,
     url_filter)
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `size` string, `row` int, `key` string"
@@ -618,3 +618,23 @@ def test_links_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch, member
 
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0
+
+
+def test_roots_of_a_long_chain_take_few_jumps(spark, monkeypatch):
+    stored, jumps = minhash.stored, []
+    monkeypatch.setattr(minhash, "stored", lambda df, label: jumps.append(label) or stored(df, label))
+    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 300)] + [(1000, 7), (2001, 2000)], "id long, parent long")
+    got = rows(minhash.rooted(parents), "id", "component")
+    assert sorted(got) == [(i, 0) for i in range(1, 300)] + [(1000, 0), (2001, 2000)]
+    assert len(jumps) <= 10
+
+
+def test_prefilter_misses_no_key(spark):
+    wanted = spark.createDataFrame([(i,) for i in range(0, 9000, 3)] + [(None,)], "k long")
+    table = spark.createDataFrame([(i, "x") for i in range(90000)] + [(None, "x")], "id long, v string")
+    inside, outside = prefilter.possible(table, F.col("id"), wanted, F.col("k"))
+    few, rest = {r[0] for r in rows(inside, "id")}, [r[0] for r in rows(outside, "id")]
+    assert few >= {None, *range(0, 9000, 3)} and len(few) < 3001 + 90000 // 10
+    assert sorted([*rest, *few], key=repr) == sorted([None, *range(90000)], key=repr)
+    nothing, every = prefilter.possible(table, F.col("id"), wanted.limit(0), F.col("k"))
+    assert nothing.count() == 0 and every.count() == 90001
