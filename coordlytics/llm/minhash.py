@@ -304,9 +304,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     held = _grouped(docs, width, percent).filter("n > 0").groupBy(F.col("doc_id").alias("held_id"), F.col("tid").alias("held_text")).agg(
         F.count("*").alias("c"), F.bool_and(leads).alias("leads"))
     found = stored(held.filter("not leads or c > 1").drop("c"), "near-duplicates")
-    rows = docs.select(F.struct("*").alias("row"))
+    rows, others = possible(docs.select(F.struct("*").alias("row")), F.col("row.doc_id"), found, F.col("held_id"))
     text = F.unhex(F.md5(F.col("row.text").cast("string")))
     same = F.col("row.doc_id").eqNullSafe(F.col("held_id")) & (text == F.col("held_text"))
     again = rows.join(found.filter("leads"), same, "left_semi").groupBy(F.col("row.doc_id").alias("d"), text.alias("t")).agg(
         F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
-    return rows.join(found, same, "left_anti").unionByName(again.select("row")).select("row.*")
+    return others.unionByName(rows.join(found, same, "left_anti")).unionByName(again.select("row")).select("row.*")

@@ -638,3 +638,14 @@ def test_prefilter_misses_no_key(spark):
     assert sorted([*rest, *few], key=repr) == sorted([None, *range(90000)], key=repr)
     nothing, every = prefilter.possible(table, F.col("id"), wanted.limit(0), F.col("k"))
     assert nothing.count() == 0 and every.count() == 90001
+
+
+def test_one_of_each_reads_all_columns_of_few_rows(spark, docs):
+    """Rows that no duplicate can be are not shuffled, and the outcome is that of the plain groups."""
+    kept = minhash.one_of_each(docs, 5, 80)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "strategy=broadcast" in plan
+    table = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    found = brute.near_duplicates([t for _, t in table], 5, 80)
+    groups = {low for n, low in found if n}
+    assert kept.count() == len(groups) + sum(1 for n, _ in found if not n)
