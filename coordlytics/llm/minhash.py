@@ -36,7 +36,7 @@ from coordlytics.llm.graph import components
 from coordlytics.llm.prefilter import possible
 from coordlytics.llm.shingles import shingle_sets
 from coordlytics.llm.store import scratch, stored
-from coordlytics.llm.words import Reader, mixed, text_slices
+from coordlytics.llm.words import READ_BYTES, Reader, mixed, text_slices
 
 MINIMA, ROWS = 128, 4
 BANDS = MINIMA // ROWS
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(fold=True)
         for batch in batches:
-            for start, stop, data, offsets in text_slices(batch.column(2)):
+            for start, stop, data, offsets in text_slices(batch.column(2), READ_BYTES):
                 own = signatures(*shingle_sets(reader, reader.read(data, offsets), width))
                 rows = stop - start
                 planes = [pa.array(own.planes[:, i].view(np.int64)) for i in range(4)]
@@ -141,7 +141,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         .select("id", "parent", "text_a", "text_b"))
 
     def sets(reader: Reader, texts: pa.Array) -> Iterator[np.ndarray]:
-        for start, stop, data, offsets in text_slices(texts):
+        for start, stop, data, offsets in text_slices(texts, READ_BYTES):
             hashes, first = shingle_sets(reader, reader.read(data, offsets), width)
             for d in range(stop - start):
                 yield hashes[first[d]: first[d + 1]]
@@ -164,7 +164,7 @@ def shingled(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(fold=True)
         for batch in batches:
-            for start, stop, data, offsets in text_slices(batch.column(1)):
+            for start, stop, data, offsets in text_slices(batch.column(1), READ_BYTES):
                 hashes, first = shingle_sets(reader, reader.read(data, offsets), width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, stop - start),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordlytics.llm.words import Reader, Words, mixed, text_slices
+from coordlytics.llm.words import READ_BYTES, Reader, Words, mixed, text_slices
 
 SEED = 8
 PLACES = 512  # of an anchor, on average, in one group
@@ -83,7 +83,7 @@ def anchors(texts: DataFrame, span: int, seed: int) -> DataFrame:
         reader = Reader()
         for batch in batches:
             tid = batch.column(0)
-            for row, _, data, offsets in text_slices(batch.column(1)):
+            for row, _, data, offsets in text_slices(batch.column(1), READ_BYTES):
                 words = reader.read(data, offsets)
                 found = Anchors(reader, words, span, seed)
                 heads = found.cuts()
@@ -115,7 +115,7 @@ def windows(texts: DataFrame, span: int, seed: int) -> DataFrame:
             limits = np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())].astype(np.int64)
             names = flat.field("h").to_numpy().view(np.uint64)
             counts = flat.field("c").to_numpy()
-            for row, _, data, offsets in text_slices(batch.column(1)):
+            for row, _, data, offsets in text_slices(batch.column(1), READ_BYTES):
                 words = reader.read(data, offsets)
                 found = Anchors(reader, words, span, seed)
                 if not len(found.start):
@@ -164,7 +164,7 @@ def cleaned(texts: DataFrame, span: int, give_text: bool) -> DataFrame:
         for batch in batches:
             starts, copied = batch.column(2), batch.column(3).to_pylist()
             n_words, n_removed, digests, left = [], [], [], []
-            for row, stop, data, offsets in text_slices(batch.column(1)):
+            for row, stop, data, offsets in text_slices(batch.column(1), READ_BYTES):
                 words = reader.read(data, offsets)
                 for d in range(stop - row):
                     body = data[offsets[d]: offsets[d + 1]].tobytes()

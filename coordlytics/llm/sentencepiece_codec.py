@@ -38,7 +38,7 @@ UNIGRAM, BPE = 1, 2
 REMEMBERED = 250_000
 LONGEST_REMEMBERED = 64
 PAIRS_REMEMBERED = 1_000_000
-ROWS_BYTES = 4 << 20
+ROWS_BYTES = 1 << 20  # of text whose parts are worked on at once; as strings they take over twenty times as much
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
+#: Slices for Reader, which holds about a hundred bytes for each byte of a slice; idle Python workers keep that much.
+READ_BYTES = 512 << 10
 BASE = 0x9E3779B97F4A7C15 | 1
 WINDOW_BASE = 0xD1342543DE82EF95 | 1
 

@@ -616,6 +616,31 @@ def test_links_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch, member
     assert kept["star-pairs"] <= 2 * members and kept["cluster-links"] <= 0.2 * members
 
 
+def test_python_workers_hold_a_bounded_part_of_a_batch(spark, none, monkeypatch):
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = pa.array([sentence(rng, 1000) for _ in range(2000)])  # 9 MB
+    ids = pa.array([b"%016d" % i for i in range(2000)])
+    seen = []
+    # the functions that the operators give to Spark, without Spark
+    monkeypatch.setattr(type(none), "mapInArrow", lambda self, f, schema: seen.append(f) or self)
+    minhash.sketch(none, 5)
+    repeats.anchors(none, 35, 8)
+    sentencepiece_codec.coded(none, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    sentencepiece_codec.model(public_tokenizers.path("piece_bpe_32k.model"))
+    for run, columns in zip(seen, [[ids, ids, texts], [ids, texts], [ids, texts]], strict=True):
+        batch = pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+        tracemalloc.start()
+        rows_out = sum(len(b) for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows_out >= 2000 and peak < 64e6, (run, rows_out, peak)
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0
 
