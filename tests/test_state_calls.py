@@ -1,10 +1,13 @@
 """Processors against a state that counts its calls: a key reads and writes what its rows touch once, not once a row."""
 
 import random
+from datetime import timedelta
 
 from pyspark.sql import Row
 
-from coordlytics.streaming.processors import SemaphoreProcessor
+from coordlytics.streaming import runtime, streams
+from coordlytics.streaming.processors import GateProcessor, SemaphoreProcessor
+from helpers import GATES, T0, at, frame, got
 
 
 class Table:
@@ -94,3 +97,51 @@ def test_a_semaphore_reads_and_writes_what_a_batch_touches():
     # batches end between instants, as the rows of one instant are ordered among themselves
     pieces, _, also = fed(SemaphoreProcessor(), cut_up(rows, [3, 6, 699, 0, 30, 1500]))
     assert (whole, left) == (pieces, also)
+
+
+def test_a_gate_reads_and_writes_a_condition_once():
+    rnd = random.Random(4)
+    rows = [Row(ts_us=i, seq=i, pos=rnd.randrange(2), met=rnd.random() < 0.6) for i in range(3000)]
+
+    def run(batches):
+        handle, processor = Handle(), GateProcessor()
+        processor.init(handle)
+        processor.handleInitialState(("default", "g"), {"conditions_total": 2, "created_us": 0, "deadline_us": None, "blocks": 1}, Clock())
+        out = [tuple(r) for batch in batches for r in processor.handleInputRows(("default", "g"), iter(batch), Clock())]
+        return out, handle.calls[0]
+
+    whole, calls = run([rows])
+    assert calls < 20  # called for every row, the state took over 3,000
+    assert len(whole) > 500 and whole == run(cut_up(rows, [1, 10, 0, 1500]))[0]
+
+
+def test_equal_gates_are_followed_as_one(spark, tmp_path, monkeypatch):
+    """Kinds of gates of more than one block, a gate listed twice and one without a name: each has its own rows, once."""
+    need = lambda n: [dict(type="Semaphore", name=n, namespace="", state="", value=1)]
+    names = [f"g{i}" for i in range(streams.BLOCK + 200)] + ["g0", None]
+    gates = frame(spark, GATES, [("default", n, T0, timedelta(minutes=10), need("s")) for n in names] + [
+        ("default", "other", T0, None, need("s")), ("default", "quiet", T0, timedelta(minutes=1), need("t"))])
+    followed = []
+    listed = streams.exploded_conditions
+    monkeypatch.setattr(streams, "exploded_conditions", lambda g: (followed.append(g), listed(g))[1])
+    schema = "kind string, ns string, name string, ts timestamp, seq long, phase string, available long, succeeded long"
+    for i, (second, free) in enumerate([(30, 1), (60, 0), (3600, 0)]):
+        frame(spark, schema, [("Semaphore", "default", "s", at(seconds=second), i, None, free, None)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = runtime.drain(streams.gate_phase_stream(stream, gates, "0 seconds"), "t")
+    assert followed[0].count() == 3  # one of each kind
+    steps = [(at(seconds=30), "Open", 1, 1), (at(seconds=60), "Waiting", 0, 1), (at(minutes=10), "Failed", 0, 1)]
+    want = [("default", n, *s) for n in {*names} for s in steps] + [("default", "other", *s) for s in steps[:2]] + [
+        ("default", "quiet", at(minutes=1), "Failed", 0, 1)]
+    assert got(out, "ns", "name", "ts", "phase", "conditions_met", "conditions_total") == sorted(want, key=repr)
+
+
+def test_the_gates_of_the_registered_stream_are_a_batch_table(spark, monkeypatch):
+    from coordlytics.plans.bindings import Tables
+    from coordlytics.plans.registry import all_entries
+
+    seen = []
+    monkeypatch.setattr(streams, "gate_phase_stream", lambda changes, gates, *_: seen.append((changes.isStreaming, gates.isStreaming)) or changes)
+    monkeypatch.setattr(runtime, "drain", lambda stream, label: stream)
+    all_entries()["gate_phase_stream"].run(Tables(spark, "/root/testdata/sf0.001"))
+    assert seen == [(True, False)]
