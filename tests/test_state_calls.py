@@ -1,12 +1,13 @@
 """Processors against a state that counts its calls: a key reads and writes what its rows touch once, not once a row."""
 
+import pickle
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from coordlytics.streaming import runtime, streams
-from coordlytics.streaming.processors import GateProcessor, SemaphoreProcessor
+from coordlytics.streaming.processors import FEW, BarrierProcessor, GateProcessor, SemaphoreProcessor
 from helpers import GATES, T0, at, frame, got
 
 
@@ -145,3 +146,62 @@ def test_the_gates_of_the_registered_stream_are_a_batch_table(spark, monkeypatch
     monkeypatch.setattr(runtime, "drain", lambda stream, label: stream)
     all_entries()["gate_phase_stream"].run(Tables(spark, "/root/testdata/sf0.001"))
     assert seen == [(True, False)]
+
+
+def shard_rows(spark, rows):
+    """Rows of a barrier log as the processor gets them; all barriers are given to one key."""
+    schema = "ns string, name string, op string, holder string, ts timestamp, seq long, required int, deadline timestamp"
+    df = frame(spark, schema, rows)
+    # the part of a barrier goes by its name, as it does in the stream
+    part = F.pmod(F.xxhash64("ns", "name"), F.lit(4))
+    return df.select("seq", streams.packed_barrier(part).alias("packed")).orderBy("seq").collect()
+
+
+def test_a_shard_of_barriers_calls_the_state_once_a_part(spark):
+    rnd = random.Random(8)
+    rows, seq = [], 0
+    for b in range(400):
+        for h in [None, *rnd.sample(["x", "y", "z", "", None], 3)]:
+            seq += 1
+            op = "create" if seq % 4 == 1 else "arrive"
+            rows.append(("a,b:" if b % 7 else None, f"b:{b},", op, h, at(seconds=seq), seq, 2 + b % 3 if op == "create" else None, at(seconds=seq + 2) if op == "create" and b % 5 == 0 else None))
+    came = shard_rows(spark, rows)
+    whole, calls, left = fed(BarrierProcessor(), [came], (0,))
+    assert calls < 60  # a key of its own for every barrier made over 2,000 calls
+    pieces, _, also = fed(BarrierProcessor(), cut_up(came, [1, 7, 0, 500, 200]), (0,))
+    unpacked = lambda tables: {k[0]: pickle.loads(v[0]) for k, v in tables["barriers"].items()}
+    assert whole and sorted(whole, key=repr) == sorted(pieces, key=repr) and unpacked(left) == unpacked(also)
+    # one after the other, by the definition
+    want = []
+    for b in range(400):
+        create, *arrived = rows[4 * b: 4 * b + 4]
+        in_time, holders, deadline = [], set(), create[7]
+        for r in arrived:
+            if deadline is not None and deadline < r[4]:
+                break
+            holders.add(r[3])
+            in_time.append((len(holders), r[4]))
+        opened = next(((n, t) for n, t in in_time if n >= create[6]), None)
+        if opened:
+            want.append((create[0], create[1], "Open", opened[1], opened[0]))
+        elif deadline is not None:
+            want.append((create[0], create[1], "Failed", deadline, len(holders)))
+    us = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    assert sorted(whole, key=repr) == sorted(((n, m, p, us(t), k) for n, m, p, t, k in want), key=repr)
+
+
+def test_many_holders_of_a_barrier_are_read_by_slot(spark):
+    """A barrier of very many holders: an arrival reads few of them, repeats do not count, all are gone once it is open."""
+    holders = [f"h{i}" for i in range(1000)]
+    rows = [("default", "b", "create", None, T0, 0, 1001, None)] + [
+        ("default", "b", "arrive", h, at(seconds=1 + i), 1 + i, None, None) for i, h in enumerate([*holders, *holders])]
+    came = shard_rows(spark, [*rows, ("default", "b", "arrive", "last", at(hours=2), 9000, None, None)])
+    handle, processor = Handle(), BarrierProcessor()
+    processor.init(handle)
+    assert not list(processor.handleInputRows((0,), iter(came[:-1]), Clock()))
+    kept = [pickle.loads(v[0]) for v in handle.tables["holders"].rows.values()]
+    assert sorted(h for some in kept for h in some) == sorted(holders) and max(map(len, kept)) < 4 * FEW
+    before = handle.calls[0]
+    assert not list(processor.handleInputRows((0,), iter(came[5:6]), Clock())) and handle.calls[0] - before < 10
+    assert [tuple(r)[2:] for r in processor.handleInputRows((0,), iter(came[-1:]), Clock())] == [("Open", 1704117600000000, 1001)]
+    assert not handle.tables["holders"].rows
