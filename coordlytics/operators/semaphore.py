@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coordlytics.functions.columns import expiry, instant, permit_live, seconds_between
 from coordlytics.operators.relations import KEY
-from coordlytics.plans.ordered import HELD, Prefix, bucketed, composed_scan, ordered_scan, running_balance
+from coordlytics.plans.ordered import HELD, Prefix, bucketed, busy_keys, composed_scan, ordered_scan, running_balance
 
 
 def semaphore_status(semaphores: DataFrame, permits: DataFrame, as_of: str) -> DataFrame:
@@ -33,22 +35,37 @@ def pair_in_order(log: DataFrame, keys: list[str], opens: str, closes: str) -> D
 
     ``log`` has op, ts and, when two rows of a key can be equal in (ts, op), seq. A close that
     finds nothing open has no effect: the running balance clamped at zero tells which ones
-    those are, so the match needs one pass and a join on (key, ordinal), which is unique.
+    those are, so the match needs one pass, and the rows of (key, ordinal) together: one open and at most one close. The rows of a key
+    are shuffled once, unless it is busy.
     """
     is_open = F.col("op") == opens
-    steps = log.filter(F.col("op").isin(opens, closes)).withColumn(
-        "__side", F.when(is_open, 1).otherwise(0))
+    steps = log.filter(F.col("op").isin(opens, closes)).withColumn("__side", F.when(is_open, 1).otherwise(0)).withColumn(
+        "__d", F.when(is_open, 1).otherwise(-1))
     order = ["ts", "__side"] + (["seq"] if "seq" in log.columns else [])
-    level = running_balance(steps, keys, order, F.when(is_open, 1).otherwise(-1))
+    busy = busy_keys((steps, keys))(keys)
+    in_order = Window.partitionBy(*keys).orderBy(*order)
+    upto, earlier = in_order.rowsBetween(Window.unboundedPreceding, 0), in_order.rowsBetween(Window.unboundedPreceding, -1)
+    few = (
+        steps.filter(~busy).withColumns({"total": F.sum("__d").over(upto), "ups": F.sum("__side").over(upto)})
+        .withColumns({"floor": F.min("total").over(upto), "floor_before": F.min("total").over(earlier)}))
+    numbered = _numbered(few)
+    # a key with a null is equal to none
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    end = F.max(F.when((F.col("__side") == 0) & known, F.col("ts"))).over(Window.partitionBy(*keys, "__n"))
+    whole = numbered.filter("__side = 1 or effective").withColumn("closed_at", end).filter("__side = 1")
+    many = _numbered(running_balance(steps.filter(busy), keys, order, F.col("__d")))
+    starts = many.filter("__side = 1")
+    ends = many.filter("__side = 0").filter("effective").select(*keys, "__n", F.col("ts").alias("closed_at"))
+    apart = starts.join(ends, [*keys, "__n"], "left")
+    return whole.select(*log.columns, "closed_at").unionByName(apart.select(*log.columns, "closed_at"))
+
+
+def _numbered(level: DataFrame) -> DataFrame:
+    """Steps with their running balance: __n, the ordinal of an open or close, and whether a close is effective."""
     low = F.least(F.lit(0), F.col("floor"))
-    effective = low == F.least(F.lit(0), F.col("floor_before"))
     # effective closes so far = closes so far less those absorbed at zero
-    ordinal = F.when(is_open, F.col("ups")).otherwise(F.col("ups") - F.col("total") + low)
-    numbered = level.withColumn("__n", ordinal)
-    starts = numbered.filter("__side = 1")
-    ends = numbered.filter("__side = 0").filter(effective).select(
-        *keys, "__n", F.col("ts").alias("closed_at"))
-    return starts.join(ends, [*keys, "__n"], "left").drop("__n", "__side", "total", "ups", "floor", "floor_before")
+    ordinal = F.when(F.col("__side") == 1, F.col("ups")).otherwise(F.col("ups") - F.col("total") + low)
+    return level.withColumns({"__n": ordinal, "effective": low == F.least(F.lit(0), F.col("floor_before"))})
 
 
 def permit_intervals(events: DataFrame) -> DataFrame:

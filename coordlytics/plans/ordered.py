@@ -15,6 +15,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,40 @@ def bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column |
     return packed.repartition(GROUP, BUCKET).select(*HELD, f"{ROW}.*")
 
 
+# ---------------------------------------------------------------- keys of few and of many rows
+
+#: Keys are counted together by so many hashes; a key is busy if the rows of its hash are more than these, and more than
+#: eight times their mean.
+CELLS, FEW_ROWS = 1 << 14, 100_000
+
+
+def busy_keys(*logs: tuple[DataFrame, list[str]]) -> Callable[[list[str]], Column]:
+    """Whether the key in some columns may have many rows in the logs, given with their key columns.
+
+    Busy keys are computed by (key, bucket), which shuffles their rows several times and has no task order a whole
+    key; the rows of all others are shuffled once, by key. The counts are exact, at most CELLS rows a task, and part of the plan: a
+    scalar subquery. Both ways give the same, so it does not matter that a hash may make a small key busy.
+    """
+    def cell(keys):
+        return F.pmod(F.xxhash64(*keys), F.lit(CELLS))
+
+    cells = reduce(DataFrame.unionByName, [df.select(cell(keys).alias("cell")) for df, keys in logs])
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("total"))
+    most = F.greatest(F.lit(FEW_ROWS), F.col("total") * 8 / CELLS)
+    busy = every.select(F.transform(F.filter("cells", lambda c: c["n"] > most), lambda c: c["cell"])).scalar()
+    return lambda keys: F.array_contains(busy, cell(keys))
+
+
+def split_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, Prefix], busy: Column) -> DataFrame:
+    """`ordered_scan` for the rows of busy keys, and one window over the key for all others."""
+    few = df.filter(~busy)
+    wrapped = {c: _keep_null_rows(s) for c, s in specs.items()}
+    values = {c: _running(s, keys, order) for c, s in wrapped.items()}
+    whole = few.select("*", *[(v["v"] if specs[c].how == "prev" else v).alias(c) for c, v in values.items()])
+    return whole.unionByName(ordered_scan(df.filter(busy), keys, order, specs))
+
+
 # ---------------------------------------------------------------- running values
 
 
