@@ -1,6 +1,7 @@
 """How many rows are shuffled for logs of many small keys, and that busy keys get the same results by their own way."""
 
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,17 @@ def test_permits_of_few_and_busy_keys(spark, share):
     if share == "few":
         # once by key, and the counts; five times by (key, hour) and by ordinal
         assert 900 <= moved < 1.7 * 900
+
+
+def test_usage_of_few_and_busy_keys(spark, share):
+    df = events(spark, 60, 900, seed=2).filter("holder is not null")
+    out, moved = shuffled(semaphore.holder_usage(semaphore.permit_intervals(df), str(at(hours=150))))
+    now, want = at(hours=150), {}
+    for *key, start, end in by_definition(df.collect()):
+        if start is not None and start <= now:
+            n, held = want.get(tuple(key), (0, 0))
+            over = min(end or start + timedelta(days=2), start + timedelta(days=2))
+            want[tuple(key)] = (n + 1, held + (int((over - start).total_seconds()) if over <= now else 0))
+    assert {(r.ns, r.name, r.holder): (r.permits, r.total_hold_seconds or 0) for r in out} == want
+    if share == "few":
+        assert moved < 2 * df.count()
