@@ -8,7 +8,7 @@ from coordlytics.functions.columns import instant, seconds_between
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import HELD, Prefix, bucketed, composed_scan, inside_bucket, ordered_scan
+from coordlytics.plans.ordered import HELD, Prefix, bucketed, busy_keys, composed_scan, inside_bucket, ordered_scan
 
 
 def required():
@@ -48,19 +48,52 @@ def barrier_arrivals(arrivals: DataFrame) -> DataFrame:
 def barrier_opened_at(barriers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """B2: when the required-th distinct arrival came, if not after the deadline.
 
-    Arrivals older than the barrier count from its creation on. Counts are partial sums and the required-th
-    arrival is joined on (barrier, position), which is unique, so the rows of a barrier never meet in one task.
+    Arrivals older than the barrier count from its creation on. The rows of a barrier are shuffled once, by barrier. Of a busy one
+    counts are partial sums and the required-th arrival is joined on (barrier, position), which is unique, so its rows never
+    meet in one task.
     """
     spec = barriers.select(*KEY, "created_at", "expected", "quorum", required(), deadline())
+    busy = busy_keys((arrivals, ["ns", "barrier"]))
+    here, there = busy(KEY), busy(["ns", "barrier"])
+    counted = _by_barrier(spec.filter(~here), arrivals.filter(~there)).unionByName(_by_position(spec.filter(here), arrivals.filter(there)))
+    return counted.withColumn("opened_at", opening()).withColumn(
+        "last_holder", F.when(F.col("opened_at").isNotNull(), F.col("last_holder"))).drop("nth")
+
+
+def _by_position(spec: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The spec with arrived, nth and last_holder, by joins on (barrier, position)."""
     ranked = barrier_arrivals(arrivals)
     arrived = ranked.groupBy(*KEY).agg(F.max("position").alias("arrived"))
     nth = ranked.select(
         *KEY, F.col("position").alias("required"), F.col("arrived_at").alias("nth"), F.col("holder").alias("last_holder"))
-    counted = (
+    return (
         spec.join(arrived, KEY, "left").withColumn("arrived", F.coalesce("arrived", F.lit(0)))
         .join(nth, [*KEY, "required"], "left"))
-    return counted.withColumn("opened_at", opening()).withColumn(
-        "last_holder", F.when(F.col("opened_at").isNotNull(), F.col("last_holder"))).drop("nth")
+
+
+def _by_barrier(spec: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The same with all rows of a barrier in one task.
+
+    Holders are told apart, ranked and joined to the spec in the one shuffle by barrier. The join is on the barrier alone, to one row: the
+    required-th arrival or, as it also has the number of arrivals, the last one.
+    """
+    # as one value, since a constant namespace would be left out of what the groups ask for, but not of the shuffle; nulls are equal to none
+    key, own = F.struct(*KEY).alias("__key"), Window.partitionBy("__key")
+    named = arrivals.withColumnRenamed("barrier", "name").filter(F.col("ns").isNotNull() & F.col("name").isNotNull())
+    firsts = named.select(key, "holder", "arrived_at", "seq").repartition("__key").groupBy("__key", "holder").agg(
+        F.min("arrived_at").alias("arrived_at"), F.min("seq").alias("seq"))
+    ranked = firsts.select(
+        "__key", F.col("holder").alias("__holder"), F.col("arrived_at").alias("__at"),
+        F.row_number().over(own.orderBy("arrived_at", "seq", "holder")).cast("long").alias("__position"),
+        F.count(F.lit(1)).over(own).alias("__arrived"))
+    wanted = F.greatest(F.least("required", "__arrived"), F.lit(1))
+    keyed = spec.withColumn("__spec", key)
+    # a difference is no equality to deal rows by
+    joined = keyed.join(ranked, (F.col("__spec") == F.col("__key")) & (F.col("__position") - wanted == 0), "left")
+    nth = F.col("__position") == F.col("required")
+    return joined.select(
+        *KEY, "required", *[c for c in spec.columns if c not in (*KEY, "required")], F.coalesce("__arrived", F.lit(0)).alias("arrived"),
+        F.when(nth, F.col("__at")).alias("nth"), F.when(nth, F.col("__holder")).alias("last_holder"))
 
 
 def barrier_status(barriers: DataFrame, arrivals: DataFrame, as_of: str) -> DataFrame:

@@ -8,7 +8,7 @@ from coordlytics.functions.columns import DEFAULT_WAIT, micros
 from coordlytics.functions.quantiles import discrete_quantiles
 from coordlytics.operators.relations import KEY
 from coordlytics.plans.durable import cut
-from coordlytics.plans.ordered import Prefix, ordered_scan
+from coordlytics.plans.ordered import Prefix, busy_keys, split_scan
 
 
 def wait_outcomes(
@@ -26,9 +26,10 @@ def wait_outcomes(
         transitions.select(*KEY, "ts", F.lit(0).alias("side"), seq.alias("seq"), F.struct("ts", "phase").alias("t"), F.lit(None).cast("interval day to second").alias("timeout"))
         .unionByName(waiters.select(*KEY, "ts", F.lit(1).alias("side"), "seq", F.lit(None).alias("t"), "timeout")))
     ended = F.when(F.col("t.phase").isin("Open", "Failed"), F.col("t"))
-    seen = ordered_scan(rows, KEY, ["ts", "side", "seq"], {
+    busy = busy_keys((waiters, KEY), (transitions, KEY))(KEY)
+    seen = split_scan(rows, KEY, ["ts", "side", "seq"], {
         "current": Prefix("last", F.col("t")),
-        "coming": Prefix("last", ended, inclusive=False, reverse=True)})
+        "coming": Prefix("last", ended, inclusive=False, reverse=True)}, busy)
     limit = F.coalesce("timeout", F.expr(default_timeout))
     already = F.when(F.col("current.phase").isin("Open", "Failed"), F.col("current.phase"))
     later = F.when(F.col("coming.ts") <= F.col("ts") + limit, F.col("coming.phase"))

@@ -6,9 +6,10 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from coordlytics.operators import semaphore
+from coordlytics.operators import barrier, semaphore
+from coordlytics.operators.waits import wait_outcomes
 from coordlytics.plans import ordered
-from helpers import at, frame, got
+from helpers import ARRIVALS, BARRIERS, at, frame
 
 EVENTS = "ns string, name string, op string, holder string, ts timestamp, seq long, ttl interval day to second"
 
@@ -87,3 +88,61 @@ def test_usage_of_few_and_busy_keys(spark, share):
     assert {(r.ns, r.name, r.holder): (r.permits, r.total_hold_seconds or 0) for r in out} == want
     if share == "few":
         assert moved < 2 * df.count()
+
+
+def waits_and_moves(spark, keys, n, seed=3):
+    rnd = random.Random(seed)
+    name = lambda i: rnd.choice([f"b{i % keys}", f"b{i % keys}", "b0", None])
+    waiters = frame(spark, "ns string, name string, ts timestamp, seq long, timeout interval day to second", [
+        ("default", name(i), at(hours=rnd.randrange(300)), i, timedelta(hours=rnd.randrange(60)) if i % 3 else None) for i in range(n)])
+    moves = frame(spark, "ns string, name string, ts timestamp, phase string, seq long", [
+        ("default", name(i), at(hours=rnd.randrange(300)), rnd.choice(["Open", "Failed", "Waiting"]), i) for i in range(n // 3)])
+    return waiters, moves
+
+
+def outcomes_by_definition(waiters, moves):
+    out = []
+    for w in waiters:
+        own = sorted((m.ts, m.seq, m.phase) for m in moves if (m.ns, m.name) == (w.ns, w.name))
+        ended = ("Open", "Failed")
+        until = w.ts + (w.timeout if w.timeout is not None else timedelta(seconds=30))
+        now = [p for t, _, p in own if t <= w.ts][-1:]
+        later = [(t, p) for t, _, p in own if t > w.ts and p in ended][:1]
+        if now and now[0] in ended:
+            phase, end = now[0], w.ts
+        elif later and later[0][0] <= until:
+            phase, end = later[0][1], later[0][0]
+        else:
+            phase, end = "timeout", until
+        out.append((w.ns, w.name, w.seq, {"Open": "opened", "Failed": "failed"}.get(phase, phase), int((end - w.ts).total_seconds())))
+    return sorted(out, key=repr)
+
+
+def test_waits_of_few_and_busy_keys(spark, share):
+    waiters, moves = waits_and_moves(spark, 50, 600)
+    out, moved = shuffled(wait_outcomes(waiters, moves))
+    assert sorted(((r.ns, r.name, r.seq, r.outcome, r.wait_seconds) for r in out), key=repr) == outcomes_by_definition(waiters.collect(), moves.collect())
+    if share == "few":
+        assert moved < 1.7 * 800
+
+
+def test_openings_of_few_and_busy_barriers(spark, share):
+    rnd = random.Random(5)
+    specs = [("default", None if i == 7 else f"b{i % 58}", at(hours=i % 9), 1 + i % 4, [None, 0, 2][i % 3], timedelta(hours=60) if i % 4 else None) for i in range(60)]
+    came = [("default", rnd.choice([f"b{i % 55}", "b0", None]), rnd.choice(["x", "y", "z", "w", None]), at(hours=rnd.randrange(100)), i) for i in range(500)]
+    barriers, arrivals = frame(spark, BARRIERS, specs), frame(spark, ARRIVALS, came)
+    out, moved = shuffled(barrier.barrier_opened_at(barriers, arrivals))
+    want = []
+    for ns, name, created, expected, quorum, timeout in specs:
+        required, firsts = expected if quorum is None else quorum, {}
+        for _, b, h, t, s in came if name else []:
+            if b == name:
+                t0, s0 = firsts.get(h, (t, s))
+                firsts[h] = (min(t, t0), min(s, s0))
+        order = sorted((t, s, h) for h, (t, s) in firsts.items())
+        nth = order[required - 1] if 1 <= required <= len(order) else None
+        open_ = nth is not None and (timeout is None or nth[0] <= created + timeout)
+        want.append((name, required, len(order), max(nth[0], created) if open_ else None, nth[2] if open_ else None))
+    assert sorted(((r.name, r.required, r.arrived, r.opened_at, r.last_holder) for r in out), key=repr) == sorted(want, key=repr)
+    if share == "few":
+        assert moved < 1.7 * 560
