@@ -1,5 +1,6 @@
 """How many rows are shuffled for logs of many small keys, and that busy keys get the same results by their own way."""
 
+import math
 import random
 from datetime import timedelta
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coordlytics.operators import barrier, semaphore
-from coordlytics.operators.waits import wait_outcomes
+from coordlytics.operators.waits import wait_outcomes, wait_percentiles
 from coordlytics.plans import ordered
 from helpers import ARRIVALS, BARRIERS, at, frame
 
@@ -146,3 +147,20 @@ def test_openings_of_few_and_busy_barriers(spark, share):
     assert sorted(((r.name, r.required, r.arrived, r.opened_at, r.last_holder) for r in out), key=repr) == sorted(want, key=repr)
     if share == "few":
         assert moved < 1.7 * 560
+
+
+def test_percentiles_of_few_and_busy_keys(spark, share):
+    waiters, moves = waits_and_moves(spark, 50, 600, seed=4)
+    groups = frame(spark, "ns string, name string, expected int", [("default", f"b{i}", i % 3) for i in range(50)])
+    outcomes = wait_outcomes(waiters, moves)
+    shared = outcomes.join(groups, ["ns", "name"])
+    got = {r.expected: (r.opened, r.failed, r.timeout, r.p50, r.p95) for r in wait_percentiles(shared, ["expected"]).collect()}
+    known = [r for r in outcomes_by_definition(waiters.collect(), moves.collect()) if r[1]]
+    for k in range(3):
+        own = [r for r in known if int(r[1][1:]) % 3 == k]
+        times = sorted(r[4] for r in own)
+        at_least = lambda q: times[max(0, math.ceil(q * len(times)) - 1)]
+        assert got[k] == (*[sum(r[3] == o for r in own) for o in ("opened", "failed", "timeout")], at_least(0.5), at_least(0.95))
+    if share == "few":
+        # the waits once for their outcomes; behind them the join and the groups
+        assert shuffled(shared)[1] < 2.9 * 800
