@@ -87,13 +87,16 @@ def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str =
     Changes of one instant are summed first, so ends and starts at a tie cancel and a burst of
     simultaneous changes is a single row. With ``spans`` also until, the next change, and d, the change itself.
     """
-    steps = intervals.select(*KEY, F.explode(F.array(
-        F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
-        F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s")).filter("s.ts is not null")
-    steps = bucketed(steps.select(*KEY, "s.*"), KEY, ["ts"])
-    net = steps.groupBy(*HELD, *KEY, "ts").agg(F.sum("d").alias("d")).filter("d <> 0")
     if not spans:
-        return ordered_scan(net, KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}).drop("d")
+        busy = busy_keys((intervals, KEY))(KEY)
+        net = bucketed(_steps(intervals.filter(busy), KEY, start, end), KEY, ["ts"]).groupBy(*HELD, *KEY, "ts").agg(F.sum("d").alias("d"))
+        many = ordered_scan(net.filter("d <> 0"), KEY, ["ts"], {"in_use": Prefix("sum", F.col("d"))}).drop("d")
+        # the key as one value, since a constant namespace would be left out of what the groups ask for, but not of the shuffle
+        dealt = intervals.filter(~busy).select(F.struct(*KEY).alias("__key"), start, end).repartition("__key")
+        whole = _steps(dealt, ["__key"], start, end).groupBy("__key", "ts").agg(F.sum("d").alias("d")).filter("d <> 0")
+        upto = Window.partitionBy("__key").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        return whole.select("__key.*", "ts", F.sum("d").over(upto).alias("in_use")).unionByName(many)
+    net = bucketed(_steps(intervals, KEY, start, end), KEY, ["ts"]).groupBy(*HELD, *KEY, "ts").agg(F.sum("d").alias("d")).filter("d <> 0")
     scanned = composed_scan(
         net, KEY, ["ts"],
         local=[{"__upto": lambda w: F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__next": lambda w: F.lead("ts").over(w)}],
@@ -104,6 +107,13 @@ def in_use_timeline(intervals: DataFrame, start: str = "acquired_at", end: str =
         F.coalesce("__next", "__later").alias("until"))
 
 
+def _steps(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    steps = intervals.select(*keys, F.explode(F.array(
+        F.struct(F.col(start).alias("ts"), F.lit(1).alias("d")),
+        F.struct(F.col(end).alias("ts"), F.lit(-1).alias("d")))).alias("s")).filter("s.ts is not null")
+    return steps.select(*keys, "s.*")
+
+
 def _with_spans(timeline: DataFrame) -> DataFrame:
     """``timeline`` with until and d, which it has if it was made with ``spans``."""
     if "until" in timeline.columns:

@@ -7,10 +7,10 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from coordlytics.operators import barrier, semaphore
+from coordlytics.operators import barrier, gate, semaphore
 from coordlytics.operators.waits import wait_outcomes, wait_percentiles
 from coordlytics.plans import ordered
-from helpers import ARRIVALS, BARRIERS, at, frame
+from helpers import ARRIVALS, BARRIERS, GATES, at, frame
 
 EVENTS = "ns string, name string, op string, holder string, ts timestamp, seq long, ttl interval day to second"
 
@@ -164,3 +164,75 @@ def test_percentiles_of_few_and_busy_keys(spark, share):
     if share == "few":
         # the waits once for their outcomes; behind them the join and the groups
         assert shuffled(shared)[1] < 2.9 * 800
+
+
+def test_timelines_of_few_and_busy_keys(spark, share):
+    rnd = random.Random(6)
+    spans = [("default", rnd.choice([f"s{i % 40}", "s0", None]), at(hours=rnd.randrange(50)) if i % 50 else None,
+              at(hours=50 + rnd.randrange(40)) if i % 7 else None) for i in range(600)]
+    out, moved = shuffled(semaphore.in_use_timeline(frame(spark, "ns string, name string, acquired_at timestamp, ended_at timestamp", spans)))
+    steps = {}
+    for _, name, start, end in spans:
+        for t, d in ((start, 1), (end, -1)):
+            if t is not None:
+                steps.setdefault(name, {}).setdefault(t, []).append(d)
+    want = []
+    for name, own in steps.items():
+        level = 0
+        for t in sorted(own):
+            level += sum(own[t])
+            if sum(own[t]):
+                want.append((name, t, level))
+    assert sorted(((r.name, r.ts, r.in_use) for r in out), key=repr) == sorted(want, key=repr)
+    if share == "few":
+        assert moved < 2 * 600  # spans and the counts, not their two ends several times
+
+
+CHANGES = "type string, target_ns string, condition string, ts timestamp, seq long, phase string, available long, succeeded long"
+
+
+def gates_and_changes(spark, n=40, seed=7):
+    rnd = random.Random(seed)
+    need = lambda r, v: dict(type="Semaphore", name=f"r{r}", namespace="", state="", value=v)
+    specs = [("default", f"g{i}" if i else None, at(hours=i % 20), None, [need(rnd.randrange(12), rnd.randrange(1, 4)) for _ in range(i % 4)]) for i in range(n)]
+    moves = [("Semaphore", "default", f"r{rnd.randrange(11)}" if i % 40 else None, at(minutes=7 * i), i, None, rnd.randrange(5), None) for i in range(400)]
+    return frame(spark, GATES, specs), frame(spark, CHANGES, moves), specs, moves
+
+
+def met_over_time(spec, moves):
+    """(instant, number met) of a gate whenever one of its resources changes, and at its creation."""
+    _, name, created, _, conditions = spec
+    own, out = ([] if name is None else conditions), {}
+    levels, met = {}, lambda: sum(levels.get(c["name"], 0) >= c["value"] for c in own)
+    out[created] = 0
+    for _, _, r, t, _, _, free, _ in moves:
+        levels[r] = free
+        out[max(t, created)] = met()
+    return sorted(out.items()), len(own)
+
+
+def test_gates_over_time_of_few_and_busy_keys(spark, share):
+    gates, changes, specs, moves = gates_and_changes(spark)
+    rows = gate.gate_history(gates, changes).collect()
+    want = []
+    for spec in specs:
+        points, total = met_over_time(spec, moves)
+        kept = [(t, n) for i, (t, n) in enumerate(points) if not i or (n == total) != (points[i - 1][1] == total)]
+        want += [(spec[1], n == total, t, e, n) for (t, n), e in zip(kept, [*[t for t, _ in kept[1:]], None])]
+    assert sorted(((r.name, r.open, r.started_at, r.ended_at, r.conditions_met) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_first_instants_are_told_by_status(spark):
+    """Of many changes to the same status only the first is joined to the conditions."""
+    gates, changes, specs, moves = gates_and_changes(spark)
+    joined = gate.first_met(gates, changes)
+    got = {(r.condition, r["__value"]): r.met_at for r in joined.collect()}
+    want = {}
+    for *_, conditions in specs:
+        for c in conditions:
+            times = [t for _, _, r, t, _, _, free, _ in moves if r == c["name"] and free >= c["value"]]
+            if times:
+                want[(c["name"], str(c["value"]))] = min(times)
+    assert got == want
+    many = changes.unionByName(changes.withColumn("ts", F.expr("ts + interval 1 day"))).unionByName(changes.withColumn("ts", F.expr("ts + interval 2 days")))
+    assert shuffled(gate.first_met(gates, many.coalesce(1)))[1] == shuffled(gate.first_met(gates, changes.coalesce(1)))[1]
