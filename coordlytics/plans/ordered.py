@@ -74,8 +74,9 @@ def bucketed(df: DataFrame, keys: list[str], order: list[str], bucket: Column |
 CELLS, FEW_ROWS = 1 << 14, 100_000
 
 
-def busy_keys(*logs: tuple[DataFrame, list[str]]) -> Callable[[list[str]], Column]:
-    """Whether the key in some columns may have many rows in the logs, given with their key columns.
+def busy_keys(*logs: tuple[DataFrame, list[str]], weight: str | None = None) -> Callable[[list[str]], Column]:
+    """Whether the key in some columns may have many rows in the logs, given with their key columns. ``weight``: a
+    column that says for how many rows a row stands.
 
     Busy keys are computed by (key, bucket), which shuffles their rows several times and has no task order a whole
     key; the rows of all others are shuffled once, by key. The counts are exact, at most CELLS rows a task, and part of the plan: a
@@ -84,8 +85,9 @@ def busy_keys(*logs: tuple[DataFrame, list[str]]) -> Callable[[list[str]], Colum
     def cell(keys):
         return F.pmod(F.xxhash64(*keys), F.lit(CELLS))
 
-    cells = reduce(DataFrame.unionByName, [df.select(cell(keys).alias("cell")) for df, keys in logs])
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = reduce(DataFrame.unionByName, [
+        df.select(cell(keys).alias("cell"), (F.col(weight) if weight else F.lit(1).cast("long")).alias("n")) for df, keys in logs])
+    counts = cells.groupBy("cell").agg(F.sum("n").alias("n"))
     every = counts.agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("total"))
     most = F.greatest(F.lit(FEW_ROWS), F.col("total") * 8 / CELLS)
     busy = every.select(F.transform(F.filter("cells", lambda c: c["n"] > most), lambda c: c["cell"])).scalar()
